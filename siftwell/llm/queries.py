@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, url_filter
+from . import near_dup, packing, quality, secret_scan, sharding, url_filter
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -19,14 +19,62 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shuffled = sharding.shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    s = "sharding"
+    return shuffled.select(
+        "doc_id",
+        F.col(f"{s}.size").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col(f"{s}.shard").alias("shard"),
+        F.col(f"{s}.slot").alias("slot"),
+        F.col(f"{s}.grown_shard").alias("grown_shard"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.labelled_urls(spark), URL_RULES).select("page_id", "url_filter.*")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+    packed = packing.pack(pieces, capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    spans, base = F.col("secrets"), [r.kind for r in secret_scan.BASE_RULES]
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    base_line = F.array_join(F.transform(F.filter(spans, lambda x: x["kind"].isin(base)), line), ",")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(base_line, 256).alias("base_sha256"),
+        F.array_join(F.transform(spans, line), ",").alias("spans"),
+    )
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_sharding": op2_sharding,
     "op3_url_filter": op3_url_filter,
+    "op7_near_dup": op7_near_dup,
+    "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
