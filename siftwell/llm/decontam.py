@@ -47,24 +47,35 @@ class Settings:
     seed: int = 20
 
 
-def cgk_samples(keys: np.ndarray, starts: np.ndarray, length: int, s: Settings, table: int) -> np.ndarray:
-    """LSH keys of the windows ``keys[start : start + length]`` in one table.
+def cgk_codes(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, s: Settings) -> np.ndarray:
+    """LSH keys (tables, windows) of the windows ``keys[start : start + length]``.
 
-    The walk over a window goes ``3 * length`` steps and emits 0 past the end.
+    All walks go on side by side, over the first two thirds of the embedding's
+    ``3 * length`` places, which hold the sampled ones; past its end a window
+    emits 0.
     """
-    rng = np.random.default_rng([s.seed, table, length])
-    places = np.sort(rng.choice(2 * length, min(s.samples, 2 * length), replace=False))
-    coin = rng.integers(0, 2**63, 3 * length, dtype=np.int64).astype(U)
-    at, code = np.zeros(len(starts), np.int64), np.full(len(starts), length * 1000 + table, U)
-    for step in range(int(places[-1]) + 1):
-        inside = at < length
-        word = np.where(inside, keys[np.minimum(starts + at, len(keys) - 1)], U(0))
-        if step in places:
-            code = mix(code ^ word)
+    rng = np.random.default_rng(s.seed)
+    shares = rng.random((s.tables, s.samples))
+    coins = rng.integers(0, 2**63, (s.tables, 2 * int(lengths.max(initial=1))), dtype=np.int64).astype(U) | U(1)
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = starts[order], lengths[order]
+    places = (shares[:, :, None] * (2 * size)).astype(np.int64)
+    at = np.zeros((s.tables, len(size)), np.int64)
+    code = mix(np.arange(s.tables, dtype=U)[:, None] * U(1 << 20) + size.astype(U))
+    walking = np.searchsorted(-2 * size, -np.arange(coins.shape[1]), "left")  # windows with more steps to go
+    for step, m in enumerate(walking.tolist()):
+        here = at[:, :m]
+        inside = here < size[:m]
+        word = np.where(inside, keys[np.minimum(begin[:m] + here, len(keys) - 1)], U(0))
+        for k in range(s.samples):
+            t, w = np.nonzero(places[:, k, :m] == step)
+            code[t, w] = mix(code[t, w] ^ word[t, w])
         # one hash bit of (step, word) decides whether the walk moves on
         with np.errstate(over="ignore"):
-            at += ((word * (coin[step] | U(1))) >> U(63)).astype(np.int64) & inside
-    return code
+            here += ((word * coins[:, step : step + 1]) >> U(63)).astype(np.int64) & inside
+    found = np.empty_like(code)
+    found[:, order] = code
+    return found
 
 
 def fit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -100,56 +111,73 @@ class ItemIndex:
         self.edits = [int(s.max_edit_share * len(x)) for x in self.items]
         #: length -> (q, least number of shared q-grams, the q-grams of its items as a sorted array)
         self.lengths: dict[int, tuple[int, int, np.ndarray]] = {}
-        self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for n in sorted({len(x) for x in self.items}):
-            own = [i for i, x in enumerate(self.items) if len(x) == n]
+        sizes = np.array([len(x) for x in self.items], np.int64)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
             edits = int(s.max_edit_share * n)
             q = next((q for q in (3, 2) if n - q + 1 - q * edits >= 2), 1)
             grams = np.unique(np.concatenate([_grams(self.items[i], q) for i in own]))
             self.lengths[n] = (q, max(1, n - q + 1 - q * edits), grams)
-            flat, starts = np.concatenate([self.items[i] for i in own]), np.arange(len(own)) * n
-            tables = []
-            for t in range(s.tables):
-                codes = cgk_samples(flat, starts, n, s, t)
-                order = np.argsort(codes)
-                tables.append((codes[order], np.array(own)[order]))
-            self.buckets[n] = tables
-        self.flags = {}
+        #: q -> (bit map of low bits, sorted q-grams, fewest hits that matter, longest reach) over all lengths
+        self.grams = {}
         for q in {v[0] for v in self.lengths.values()}:
-            flag = np.zeros(1 << _BITS, bool)
-            for _, _, grams in (v for v in self.lengths.values() if v[0] == q):
-                flag[grams & U((1 << _BITS) - 1)] = True
-            self.flags[q] = flag
+            own = {n: v for n, v in self.lengths.items() if v[0] == q}
+            union, flag = np.unique(np.concatenate([v[2] for v in own.values()])), np.zeros(1 << _BITS, bool)
+            flag[union & U((1 << _BITS) - 1)] = True
+            self.grams[q] = flag, union, min(v[1] for v in own.values()), int(max(own) * (1 + s.max_edit_share))
+        self.tables = []
+        if self.items:
+            codes = cgk_codes(np.concatenate(self.items), np.cumsum(sizes) - sizes, sizes, s)
+            order = np.argsort(codes, axis=1)
+            self.tables = [(c[o], o) for c, o in zip(codes, order, strict=True)]
+
+    def _hits(self, words, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, q-gram) of the words' q-grams that some item holds and that stand close enough to others to matter."""
+        flag, union, least, reach = self.grams[q]
+        at, key = windows(words, q)
+        some = np.flatnonzero(flag[key & U((1 << _BITS) - 1)])
+        some = some[union[np.minimum(np.searchsorted(union, key[some]), len(union) - 1)] == key[some]]
+        at, key = at[some], key[some]
+        if len(at) < least:
+            return at[:0], key[:0]
+        near = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= reach)
+        mark = np.zeros(len(at) + 1, np.int64)
+        np.add.at(mark, near, 1)
+        np.add.at(mark, near + least, -1)
+        keep = np.cumsum(mark[:-1]) > 0
+        return at[keep], key[keep]
 
     def find(self, words) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, end word, distance) of every leak, best place of each item in a row."""
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        cuts = words.bounds()
-        hits = {}
-        for q, flag in self.flags.items():
-            at, key = windows(words, q)
-            some = flag[key & U((1 << _BITS) - 1)]
-            hits[q] = at[some], key[some]
+        hits = {q: self._hits(words, q) for q in self.grams}
+        starts, lengths = [], []
         for n, (q, least, grams) in self.lengths.items():
             at, key = hits[q]
-            own = at[np.isin(key, grams)] if len(at) else at
+            if len(at) < least:
+                continue
+            own = at[np.isin(key, grams)]
             if len(own) < least:
                 continue
-            # starts whose window of n words holds at least ``least`` of the q-grams, widened by the edits allowed
+            # starts whose window of n words, widened by the edits allowed, holds at least ``least`` of the q-grams
             edits = int(self.s.max_edit_share * n)
             first, last = own[: len(own) - least + 1], own[least - 1 :]
             dense = np.flatnonzero(last + q - first <= n + edits)
-            starts = np.unique(np.concatenate([np.arange(max(0, last[d] + q - n - edits), first[d] + edits + 1) for d in dense])) if len(dense) else np.zeros(0, np.int64)
-            starts = starts[starts < len(words.key)]
-            if not len(starts):
-                continue
-            row = words.row[starts]
-            pairs = set()
-            for t, (codes, items) in enumerate(self.buckets[n]):
-                code = cgk_samples(words.key, starts, n, self.s, t)
-                low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
-                for j in np.flatnonzero(high > low).tolist():
-                    pairs.update((int(row[j]), int(items[k]), int(starts[j])) for k in range(low[j], high[j]))
+            if len(dense):
+                some = np.unique(np.concatenate([np.arange(max(0, last[d] + q - n - edits), first[d] + edits + 1) for d in dense]))
+                some = some[some < len(words.key)]
+                starts.append(some)
+                lengths.append(np.full(len(some), n, np.int64))
+        if starts:
+            starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+            cuts, pairs = words.bounds(), set()
+            for a in range(0, len(starts), 8192):
+                begin = starts[a : a + 8192]
+                row = words.row[begin]
+                for (codes, items), code in zip(self.tables, cgk_codes(words.key, begin, lengths[a : a + 8192], self.s), strict=True):
+                    low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+                    for j in np.flatnonzero(high > low).tolist():
+                        pairs.update((int(row[j]), int(i), int(begin[j])) for i in items[low[j] : high[j]])
             self._verify(pairs, words, cuts, found)
         return [(r, i, a, b, d) for (r, i), (d, a, b) in sorted(found.items())]
 
