@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, free_name
 from .words import U, mix, windows, word_keys
 
 CHUNKS, CHUNK_SIZE = 8, 4
@@ -232,3 +232,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     found = rows.join(label, ["set_a", "set_b"], "left")
     found = found.withColumn("component_id", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component_id")), F.col(key)))
     return found.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id.
+
+    Of rows that are equal in id and text, one stays.
+    """
+    kept = near_duplicates(docs, key=key, **options).where("kept").select(F.col(key).alias(free_name(docs, "kept_id"))).distinct()
+    mine = kept.columns[0]
+    survivors = docs.join(kept, F.col(key).eqNullSafe(F.col(mine)), "left_semi")
+    return survivors

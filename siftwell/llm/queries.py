@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, quality, secret_scan, sharding, url_filter
+from . import decontam, near_dup, packing, pii, quality, secret_scan, sharding, suffix_dedup, url_filter
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
+#: In production the key comes from a secret store; the queries need one fixed value.
+PII_KEY = "siftwell-demo-key"
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -38,10 +41,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.labelled_urls(spark), URL_RULES).select("page_id", "url_filter.*")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    return replaced.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), F.array_join(F.transform("pii", lambda e: e["kind"]), ",").alias("kinds"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item that it leaks."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontam.find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     packed = packing.pack(pieces, capacity=4096)
@@ -72,7 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_near_dup": op7_near_dup,
+    "op8_decontam": op8_decontam,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
