@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, packing, pii, quality, secret_scan, sharding, suffix_dedup, url_filter
+from . import decontam, katz, near_dup, packing, pii, quality, secret_scan, sharding, suffix_dedup, url_filter
 from .common import table
 
 #: Rules of the URL query, fixed by its contract.
@@ -50,6 +50,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return katz.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_pii": op4_pii,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_katz": op6_katz,
     "op7_near_dup": op7_near_dup,
     "op8_decontam": op8_decontam,
     "op9_packing": op9_packing,
