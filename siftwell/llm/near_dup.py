@@ -9,11 +9,14 @@ some key.  Links are then confirmed on the full sets.
 
 Equal sets are first folded into one class, kept by its smallest id, so a group
 of exact copies counts as one row.  Under a key, members are first linked to one
-centre, a different one in a second round; only keys whose members are still in
-several components are then compared pairwise, in blocks, and only pairs within
-the signature distance go on to be confirmed.  So a large group of near copies
-costs a row or two per member, yet no link between different components can be
-lost.  Components come from repeated hooking to the smallest label with
+centre, a different one in a second round; only keys of three or more members
+that are still in several components are then compared pairwise, in blocks of
+bounded size: by a longer signature of ``LONG`` values, of which a pair of
+similarity 0.8 differs in more than ``LONG_DISTANCE`` with a chance of about
+1e-9, then by their sets folded to 16 bits, which can only raise a similarity.
+The pairs that are left go on to be confirmed, once each.  So a large
+group of near copies costs a row or two per member, and no link between
+different components is lost to a cap.  Components come from repeated hooking to the smallest label with
 shortcuts; every round is written to the shared folder.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
@@ -38,9 +41,11 @@ from .common import cut, free_name
 from .words import U, mix, windows, word_keys
 
 CHUNKS, CHUNK_SIZE = 8, 4
-#: Largest number of differing signature values of which every pair is found, with one error a chunk.
+#: Every pair that differs in at most this many values of the signature is found, with one error a chunk.
 MAX_DISTANCE = 2 * CHUNKS - 1
-_MULTIPLIERS = mix(np.arange(1, CHUNKS * CHUNK_SIZE + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
+#: Values of the longer signature, and how many of them a pair worth confirming may differ in (for a similarity of 0.8).
+LONG, LONG_DISTANCE = 256, 90
+_MULTIPLIERS = mix(np.arange(1, LONG + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
 
 def shingle_sets(texts, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -60,12 +65,20 @@ def shingle_sets(texts, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield words.first + k, np.unique(key[cuts[k] : cuts[k + 1]])
 
 
-def signature(shingles: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    least = np.full(len(_MULTIPLIERS), np.iinfo(U).max, U)
+def min_hashes(shingles: np.ndarray, n: int, block: int = 1 << 14) -> np.ndarray:
+    least = np.full(n, np.iinfo(U).max, U)
     with np.errstate(over="ignore"):
         for a in range(0, len(shingles), block):
-            least = np.minimum(least, (shingles[a : a + block, None] * _MULTIPLIERS).min(axis=0))
-    return (mix(least) >> U(48)).astype("<u2")
+            least = np.minimum(least, (shingles[a : a + block, None] * _MULTIPLIERS[:n]).min(axis=0))
+    return mix(least)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return (min_hashes(shingles, CHUNKS * CHUNK_SIZE) >> U(48)).astype("<u2")
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    return (min_hashes(shingles, LONG) >> U(56)).astype(np.uint8)
 
 
 SKETCH = "n_shingles long, set_a long, set_b long, signature binary"
@@ -90,7 +103,7 @@ def sketch(docs: DataFrame, n: int, key: str = "doc_id", text_col: str = "text")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): each chunk with each of its values left out in turn."""
+    """(key, slot, id): each chunk with each of its values left out in turn; ``slot`` numbers the ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,21 +118,22 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                             code = mix((code << U(16)) ^ sigs[:, c, k] ^ (code >> U(48)))
                     keys[:, c, skip] = code
             ids = np.repeat(batch.column("id").to_numpy(), CHUNKS * CHUNK_SIZE)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["key", "id"])
+            slots = np.tile(np.arange(CHUNKS * CHUNK_SIZE, dtype=np.int8), n)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(slots), pa.array(ids, pa.int64())], names=["key", "slot", "id"])
 
-    return classes.select("id", "signature").mapInArrow(run, "key long, id long")
+    return classes.select("id", "signature").mapInArrow(run, "key long, slot byte, id long")
 
 
 def member_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, members): the set of every row of ``docs`` (id, text) as packed sorted keys."""
+    """(id, members, long, folded): the set of every row of ``docs`` (id, text) as packed sorted keys, its longer signature, and 16 bits of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             for row, s in shingle_sets(batch.column("text"), n):
-                yield pa.RecordBatch.from_arrays([ids.slice(row, 1), pa.array([s.tobytes()], pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, 1), pa.array([s.tobytes()], pa.binary()), pa.array([long_signature(s).tobytes()], pa.binary()), pa.array([(s >> U(48)).astype("<u2").tobytes()], pa.binary())], names=["id", "members", "long", "folded"])
 
-    return docs.mapInArrow(run, "id long, members binary")
+    return docs.mapInArrow(run, "id long, members binary, long binary, folded binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,34 +181,54 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs of each key's members in different components and within the signature distance.
+def block_pairs(members: DataFrame, percent: int, block: int = 1024, task_rows: int = 20_000) -> DataFrame:
+    """Pairs of each key's members in different components that longer signatures and folded sets let pass.
 
-    ``members``: key, id, component, signature.  A key's members are dealt into
-    blocks by hash, and each pair of blocks is one group of bounded size.
+    ``members``: key, slot, id, component, signature, long, folded.  A key's members are
+    dealt into blocks by hash; each pair of blocks is a group of bounded size,
+    and groups are gathered into tasks of about ``task_rows`` rows.  A pair that
+    meets under several keys is given under the first alone.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     grid = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = grid.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        sides = [group, group] if i == j else [group[group["own"] == i], group[group["own"] == j]]
-        ids = [s["id"].to_numpy() for s in sides]
-        comps = [s["component"].to_numpy() for s in sides]
-        sigs = [np.frombuffer(b"".join(s["signature"]), "<u2").reshape(len(s), -1) for s in sides]
-        a, b = [], []
-        for k in range(len(ids[0])):
-            near = ((sigs[1] != sigs[0][k]).sum(axis=1) <= MAX_DISTANCE) & (comps[1] != comps[0][k])
-            if i == j:
-                near[: k + 1] = False
-            b.append(ids[1][near])
-            a.append(np.full(len(b[-1]), ids[0][k]))
-        a, b = np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+    grid = cut(grid.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "slot", "id", "component", "signature", "long", "folded"))
+    tasks = max(1, -(-grid.count() // task_rows))
+
+    def first_slot(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        equal = (many == one).reshape(len(many), CHUNKS, CHUNK_SIZE)
+        lone = equal.sum(axis=2)[:, :, None] - equal  # equal values besides the one left out
+        return (lone >= CHUNK_SIZE - 1).reshape(len(many), CHUNKS * CHUNK_SIZE).argmax(axis=1)
+
+    def pairs(group: pd.DataFrame, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = group if same else group[group["own"] == group["i"]]
+        right = group if same else group[group["own"] == group["j"]]
+        slot, ids, comps = group["slot"].iloc[0], right["id"].to_numpy(), right["component"].to_numpy()
+        unpack = lambda side, c, kind: np.frombuffer(b"".join(side[c]), kind).reshape(len(side), -1)
+        folded, table = [np.frombuffer(x, "<u2") for x in right["folded"]], np.zeros(1 << 16, bool)
+        short, long = unpack(right, "signature", "<u2"), unpack(right, "long", np.uint8)
+        for k, (x, c, s, w, f) in enumerate(zip(left["id"], left["component"], unpack(left, "signature", "<u2"), unpack(left, "long", np.uint8), left["folded"], strict=True)):
+            near = np.flatnonzero(comps != c)
+            near = near[near > k] if same else near
+            near = near[(long[near] != w).sum(axis=1) <= LONG_DISTANCE]
+            near = near[first_slot(s, short[near]) == slot]
+            if len(near):
+                f = np.frombuffer(f, "<u2")
+                table[f] = True
+                common = np.array([int(table[folded[y]].sum()) for y in near])
+                table[f] = False
+                near = near[100 * common >= percent * (len(f) + np.array([len(folded[y]) for y in near]) - common)]
+            yield np.full(len(near), x), ids[near]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "i", "j"], ignore_index=True)
+        marks = rows[["key", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        found = [p for a, b in zip(cuts, cuts[1:], strict=False) for p in pairs(rows.iloc[a:b], marks[a][1] == marks[a][2])]
+        a, b = (np.concatenate([p[k] for p in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return grid.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return grid.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +248,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     labels = components(links)
     for turn in (1, 2):
         placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        rest = cut(placed.join(torn, "key", "left_semi").select("key", "id", "component"))
+        # a key's two members have met their centre already
+        torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("key")
+        rest = cut(placed.join(torn, "key", "left_semi").select("key", "slot", "id", "component"))
         if rest.isEmpty():
             break
-        fresh = star_pairs(rest, turn) if turn == 1 else block_pairs(rest.join(signatures, "id"))
+        fresh = star_pairs(rest, turn) if turn == 1 else block_pairs(rest.join(signatures, "id").join(sets.select("id", "long", "folded"), "id"), percent)
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
         more = cut(confirm(fresh, sets, percent))
         if not more.isEmpty():
@@ -235,11 +270,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest id.
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
-    Of rows that are equal in id and text, one stays.
+    Rows that share an id stay if one of them would; of rows equal in id and
+    text one stays; rows with a null id all stay.
     """
-    kept = near_duplicates(docs, key=key, **options).where("kept").select(F.col(key).alias(free_name(docs, "kept_id"))).distinct()
-    mine = kept.columns[0]
-    survivors = docs.join(kept, F.col(key).eqNullSafe(F.col(mine)), "left_semi")
-    return survivors
+    kept = near_duplicates(docs, key=key, **options).where("kept").select(key).distinct()
+    text = free_name(docs, "text_key")
+    survivors = docs.join(kept, key, "left_semi").withColumn(text, F.xxhash64(F.col(options.get("text_col", "text"))))
+    return survivors.dropDuplicates([key, text]).drop(text).unionByName(docs.where(F.col(key).isNull()))

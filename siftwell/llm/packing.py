@@ -21,6 +21,7 @@ sequence; of the input only the key column and the text are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -36,7 +37,8 @@ from pyspark.sql import types as T
 from .common import cut
 from .words import word_keys
 
-_CACHE = 1 << 20
+#: Words kept between calls, and words given to the tokenizer at once: both bound a task's memory.
+_CACHE, _AT_ONCE = 1 << 18, 4096
 
 
 class WordTokenizer:
@@ -53,7 +55,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.start, self.flat, self.used = [0], [], 0
+        self.start, self.flat = array("q", [0]), array("I")
 
     def encode(self, texts) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids as uint32) of every row."""
@@ -63,16 +65,15 @@ class WordTokenizer:
             keys, first, inverse = np.unique(words.key, return_index=True, return_inverse=True)
             places = [self.place.get(k, -1) for k in keys.tolist()]
             new = [i for i, p in enumerate(places) if p < 0]
-            if new:
-                raw = words.data.tobytes()
-                coded = self.encoder.encode_batch([raw[words.start[j] : words.end[j]].decode() for j in first[new].tolist()], add_special_tokens=False)
-                for i, code in zip(new, coded, strict=True):
+            for a in range(0, len(new), _AT_ONCE):
+                some = new[a : a + _AT_ONCE]
+                coded = self.encoder.encode_batch_fast([words.data[words.start[j] : words.end[j]].tobytes().decode() for j in first[some].tolist()], add_special_tokens=False)
+                for i, code in zip(some, coded, strict=True):
                     places[i] = self.place[int(keys[i])] = len(self.start) - 1
-                    self.flat.append(np.array(code.ids, np.uint32))
-                    self.used += len(code.ids)
-                    self.start.append(self.used)
-                self.flat = [np.concatenate(self.flat)]
-            table = self.flat[0] if self.flat else np.zeros(0, np.uint32)
+                    ids = code.ids
+                    self.flat.extend(ids)
+                    self.start.append(len(self.flat))
+            table = np.array(self.flat, np.uint32)
             starts, place = np.array(self.start), np.array(places, np.int64)
             begin, length = starts[place][inverse], (starts[place + 1] - starts[place])[inverse] if len(place) else np.zeros(0, np.int64)
             total = np.concatenate([[0], np.cumsum(length)])

@@ -1,6 +1,400 @@
-"""All registered queries of the format library, with their SQL counterparts."""
+"""All registered queries of the format library, with their SQL counterparts.
+
+Each query composes the column functions with ordinary DataFrame operations over
+whole tables; its SQL counterpart derives the same rows from the tables without
+any of the formats, or from their fixed values.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import tempfile
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import cron, geojson, logfmt, mime
+from siftwell.functions.strict_json import strict_json
+from siftwell.sources import jsonl
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its own name, with its SQL counterpart."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors can see: under ``spark.checkpoint.dir``, else a temporary one (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwell-")
+    return f"{base.rstrip('/')}/{name}-{tempfile.mktemp(prefix='', dir='').strip('/')}"
+
+
+def choose(number, options: list, otherwise=None):
+    """The option whose place is ``number``."""
+    cases = reduce(lambda c, i: c.when(number == i, F.lit(options[i])), range(1, len(options)), F.when(number == 0, F.lit(options[0])))
+    return cases if otherwise is None else cases.otherwise(otherwise)
+
+
+def sql_cases(number: str, options: list) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {quoted(x)}" for i, x in enumerate(options)) + " END"
+
+
+# ---- logfmt
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit(" type="), F.col("event_type"), F.lit(' value="'), F.col("value").cast("string"), F.lit('" user='), F.col("user_id").cast("string"), F.lit(" live"))
+    return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
+@query("""
+    SELECT event_id, p.pos AS pos, p.k AS key, p.v AS value FROM (
+      SELECT event_id, unnest([
+        {'pos': 0, 'k': 'id', 'v': event_id::VARCHAR}, {'pos': 1, 'k': 'type', 'v': event_type},
+        {'pos': 2, 'k': 'user', 'v': user_id::VARCHAR}, {'pos': 3, 'k': 'live', 'v': ''}]) AS p FROM events)
+""")
+def logfmt_pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit(" type="), F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"), F.lit(" live"))
+    lines = table(spark, sf_dir, "events").select("event_id", logfmt.logfmt_parse(line).alias("p"))
+    return lines.select("event_id", F.posexplode("p.pairs").alias("pos", "pair")).select("event_id", "pos", "pair.key", "pair.value")
+
+
+@query("SELECT event_type AS type, count(*) AS n, sum(user_id)::BIGINT AS users, max(value) AS top FROM events GROUP BY 1")
+def logfmt_map_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = event_lines(spark, sf_dir).select(logfmt.logfmt_map("line").alias("m")).select("m.fields")
+    typed = fields.select(F.col("fields")["type"].alias("type"), F.col("fields")["user"].try_cast("bigint").alias("user"), F.col("fields")["value"].try_cast("double").alias("value"))
+    return typed.groupBy("type").agg(F.count("*").alias("n"), F.sum("user").alias("users"), F.max("value").alias("top"))
+
+
+@query("SELECT doc_id, text AS value FROM documents")
+def logfmt_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")], F.col("text"))
+    line = F.concat(F.lit('m="'), escaped, F.lit('"'))
+    return table(spark, sf_dir, "documents").select("doc_id", logfmt.logfmt_map(line)["fields"]["m"].alias("value"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS k FROM orders")
+def logfmt_dup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit('k="'), F.col("o_orderpriority"), F.lit('" k='), F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", logfmt.logfmt_map(line)["fields"]["k"].alias("k"))
+
+
+_LOG_LINES = ["a=1", "a=b=c", 'é="open', 'm="x\\']
+_LOG_AT = [None, 3, 8, 5]
+_LOG_SAYS = [None, "expected key", "unterminated quoted string", "unterminated escape sequence"]
+
+
+@query(f"SELECT event_id, event_id % 4 = 0 AS ok, {sql_cases('event_id % 4', _LOG_AT)}::INT AS position, {sql_cases('event_id % 4', _LOG_SAYS)} AS message FROM events")
+def logfmt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = choose(F.col("event_id") % 4, _LOG_LINES)
+    return table(spark, sf_dir, "events").select("event_id", logfmt.logfmt_parse(line).alias("p")).select("event_id", "p.ok", "p.error.position", "p.error.message")
+
+
+@query()
+def logfmt_wild_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "documents").select("doc_id", logfmt.logfmt_parse("text").alias("p"))
+    return parsed.select("doc_id", "p.ok", F.size("p.pairs").alias("n_pairs"), F.col("p.error.position").alias("position"), logfmt.logfmt_error_text(F.col("p.error")).alias("error"))
+
+
+# ---- file types
+
+#: (hex head, type) of every signature and of some conflicts between them.
+HEADS = [
+    ("FFD8FFE0", "Jpeg"), ("89504E470D0A1A0A", "Png"), ("474946383961", "Gif"), ("52494646000000005745425056503820", "WebP"), ("255044462D", "Pdf"), ("0061736D01000000", "Wasm"),
+    ("7F454C4602", "Elf"), ("4D5A9000", "PeExe"), ("1F8B08", "Gzip"), ("504B030414", "Zip"), ("53514C69746520666F726D6174203300", "Sqlite"), ("664C6143", "Flac"), ("4F67675300", "Ogg"),
+    ("49443303", "Mp3"), ("FFFB90", "Mp3"), ("FFF3", "Mp3"), ("1A45DFA3004282847765626D", "WebM"), ("1A45DFA3", "Mkv"), ("1A45DFA34282886D6174726F736B61", "Mkv"), ("1A45DFA34282847878787842828477656 26D".replace(" ", ""), "WebM"),
+    ("00000018667479706D703432", "Mp4"), ("0000001866747970", "Mp4"), ("000000186674797068656963", "Heic"), ("00000018667479706D696631", "Heif"), ("000000186674797061766966", "Avif"), ("000000186674797071742020", "QuickTime"),
+    ("000000186674797033677035", "ThreeGp"), ("000001006674797068656963", "Heic"), ("52494646000000005741564566", "Wav"), ("5249464600000000415649204C", "Avi"), ("52494646000000004D4D4D4D", None),
+    ("424D36", "Bmp"), ("0000010001", "Ico"), ("49492A0008", "Tiff"), ("4D4D002A", "Tiff"), ("68656C6C6F", None), ("", None),
+    ("424D" + "00" * 255 + "7573746172", "Tar"), ("4D5A" + "00" * 255 + "7573746172", "PeExe"),
+]
+_KIND_SQL = f"(SELECT event_id, {sql_cases(f'event_id % {len(HEADS)}', [k for _, k in HEADS])} AS kind FROM events)"
+_TYPES_SQL = "(VALUES " + ", ".join(f"('{k}', '{m}', '{e}')" for k, m, e, _ in mime.TYPES) + ") AS t(kind, mime, extension)"
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.unhex(choose(F.col("event_id") % len(HEADS), [h for h, _ in HEADS])).alias("content"))
+
+
+@query(f"SELECT event_id, e.kind AS kind, t.mime AS mime FROM {_KIND_SQL} e LEFT JOIN {_TYPES_SQL} ON e.kind = t.kind")
+def mime_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heads(spark, sf_dir).select("event_id", mime.mime_detect("content").alias("kind")).withColumn("mime", mime.mime_string("kind"))
+
+
+@query(f"SELECT t.mime AS mime, count(*) AS n FROM {_KIND_SQL} e LEFT JOIN {_TYPES_SQL} ON e.kind = t.kind GROUP BY 1")
+def mime_magic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mime_magic(spark, sf_dir).groupBy("mime").agg(F.count("*").alias("n"))
+
+
+#: Every accepted extension, in both letter cases, and some that are none.
+EXTENSIONS = [(x, t[0]) for t in mime.TYPES for x in t[3].split()] + [(t[3].split()[0].upper(), t[0]) for t in mime.TYPES] + [("txt", None), ("", None), ("mKv", None)]
+_EXT_SQL = f"(SELECT p_partkey, {sql_cases(f'p_partkey % {len(EXTENSIONS)}', [k for _, k in EXTENSIONS])} AS kind FROM part)"
+
+
+@query(f"SELECT p_partkey, p.kind AS kind, t.mime AS mime, t.extension AS extension FROM {_EXT_SQL} p LEFT JOIN {_TYPES_SQL} ON p.kind = t.kind")
+def mime_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("file."), choose(F.col("p_partkey") % len(EXTENSIONS), [x for x, _ in EXTENSIONS]))
+    kinds = table(spark, sf_dir, "part").select("p_partkey", mime.mime_by_extension(F.substring_index(name, ".", -1)).alias("kind"))
+    return kinds.select("p_partkey", "kind", mime.mime_string("kind").alias("mime"), mime.mime_extension("kind").alias("extension"))
+
+
+@query("SELECT count(*) AS pages, 0::BIGINT AS by_bytes, 0::BIGINT AS by_extension FROM pages")
+def mime_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.agg(F.count("*").alias("pages"), F.count(mime.mime_detect(F.encode("html", "UTF-8"))).alias("by_bytes"), F.count(mime.mime_by_extension(F.regexp_extract("url", r"\.(html)(?:[?#]|$)", 1))).alias("by_extension"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}', '{e}', true)" for k, m, e, _ in mime.TYPES) + ") AS t(kind, mime, extension, round_trip)")
+def mime_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mime.mime_types(spark).select("kind", "mime", "extension", (mime.mime_by_extension("extension") == F.col("kind")).alias("round_trip"))
+
+
+# ---- cron
+
+_ID = F.col("event_id")
+
+
+def events_with(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", *[c.alias(n) for n, c in columns.items()])
+
+
+def words_of(*parts):
+    return F.concat_ws(" ", *[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id % 60)::VARCHAR END AS seconds, (event_id % 60)::VARCHAR AS minutes, (event_id % 24)::VARCHAR AS hours,
+      '*' AS dom, '1-6/2' AS month, (event_id % 7)::VARCHAR AS dow FROM events
+""")
+def cron_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.when(_ID % 2 == 0, F.concat((_ID % 60).cast("string"), F.lit(" "))).otherwise(""), words_of(F.lpad((_ID % 60).cast("string"), 3, "0"), _ID % 24, "*", "1-6/2", _ID % 7))
+    return events_with(spark, sf_dir, p=cron.cron_fields(text)).select("event_id", "p.*")
+
+
+#: (schedule, text) for every rule of the description.
+DESCRIBED = [
+    ("* * * * *", "Every minute"), ("*/5 * * * *", "Every 5 minutes"), ("0 * * * *", "Every hour"), ("0 9 * * 1", "Every Monday at 9:00 AM"), ("0 12 * * 7", "Every Sunday at 12:00 PM"),
+    ("0 9 1 * *", "At 9:00 AM on the 1st of every month"), ("5 0 12 * *", "At 12:05 AM on the 12th of every month"), ("0 23 31 12 *", "At 11:00 PM on December 31st"), ("0 14 * * *", "Every day at 2:00 PM"),
+    ("05 9-17 * * 1-5", "At 5 past 9-17 on * of * (1-5)"), ("30 0 9 * * *", "Every day at 9:00 AM"), ("0 9 * * 8", "Every unknown at 9:00 AM"), ("0 25 2 200 *", "At 13:00 PM on unknown 2nd"), ("x", None),
+]
+
+
+@query(f"SELECT event_id, {sql_cases(f'event_id % {len(DESCRIBED)}', [t for _, t in DESCRIBED])} AS said FROM events")
+def cron_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, said=cron.cron_describe(choose(_ID % len(DESCRIBED), [s for s, _ in DESCRIBED]))).drop("ts")
+
+
+@query("""
+    SELECT event_id, CASE WHEN t > date_trunc('minute', ts) THEN t ELSE t + INTERVAL 1 DAY END AS next FROM (
+      SELECT event_id, ts, date_trunc('day', ts) + to_minutes((event_id % 24) * 60 + event_id % 60) AS t FROM events)
+""")
+def cron_next_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of(_ID % 60, _ID % 24, "*", "*", "*"), "ts")).drop("ts")
+
+
+def _days_sql(fires: str, at: str) -> str:
+    return f"""
+    SELECT event_id, min(t) AS next FROM (
+      SELECT event_id, ts, date_trunc('day', ts) + to_days(i::INT) + {at} AS t, (date_trunc('day', ts) + to_days(i::INT))::DATE AS d
+      FROM events, range(0, 40) AS r(i)) WHERE t > date_trunc('minute', ts) AND ({fires}) GROUP BY 1"""
+
+
+@query(_days_sql("dayofweek(d) = (event_id % 8) % 7", "INTERVAL 6 HOUR"))
+def cron_next_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("0", "6", "*", "*", _ID % 8), "ts")).drop("ts")
+
+
+@query(_days_sql("day(d) = event_id % 28 + 1 OR dayofweek(d) = 5", "INTERVAL 30 MINUTE"))
+def cron_next_monthly_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("30", "0", _ID % 28 + 1, "*", "5"), "ts")).drop("ts")
+
+
+@query("""
+    SELECT event_id, min(t) AS next FROM (
+      SELECT event_id, date_trunc('minute', ts) + to_minutes(i::INT) AS t FROM events, range(1, 1500) AS r(i))
+    WHERE minute(t) % 20 = 0 AND hour(t) % 2 = 1 AND hour(t) >= 3 GROUP BY 1
+""")
+def cron_next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, next=cron.cron_next_after(F.lit("*/20 3-5/2 * * *"), "ts")).drop("ts")
+
+
+#: (schedule, position, field, expected, found)
+FAULTS = [
+    ("* * *", 0, "minutes", "5 or 6 whitespace-separated fields", None), ("x * * * *", 0, "minutes", "digit", "x"), ("0 9-5 * * *", 2, "hours", "ascending range (start <= end)", "-"),
+    ("*/0 * * * *", 2, "minutes", "non-zero step value", "0"), ("300 * * * *", 0, "minutes", "number 0-255", None), ("0\t9 * * *", 1, "hours", "digit", "\t"), ("0 9 * * 1,", 10, "day-of-week", "digit", None), ("0 9 * * 1abc", None, None, None, None),
+]
+
+
+@query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(FAULTS)}', [f[i] for f in FAULTS])} AS {n}" for i, n in enumerate(("schedule", "position", "field", "expected", "found"))) + ", event_id % 8 = 7 AS ok FROM events")
+def cron_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schedule = choose(_ID % len(FAULTS), [f[0] for f in FAULTS])
+    parsed = events_with(spark, sf_dir, schedule=schedule).withColumn("p", cron.cron_parse("schedule"))
+    return parsed.select("event_id", F.when(~F.col("p.ok"), F.col("schedule")).otherwise(F.col("schedule")).alias("schedule"), "p.error.position", "p.error.field", "p.error.expected", "p.error.found", "p.ok")
+
+
+@query("""
+    SELECT e.event_type AS type, count(*) AS schedules, sum(len(range(0, 60, (event_id % 14 + 1)::INT)) * 12)::BIGINT AS fires FROM events e GROUP BY 1
+""")
+def cron_fire_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fires a day of each event's schedule, by event type."""
+    fields = cron.cron_fields(F.concat(F.lit("*/"), (_ID % 14 + 1).cast("string"), F.lit(" 12-20/1 * * *")))
+    fires = F.size(cron.cron_expand(fields["minutes"], 0, 59)) * F.size(cron.cron_expand(fields["hours"], 0, 23))
+    return table(spark, sf_dir, "events").select("event_type", fires.cast("long").alias("fires")).groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("schedules"), F.sum("fires").alias("fires"))
+
+
+# ---- JSON Lines
+
+
+@query("SELECT event_type AS type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
+def jsonl_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = jsonl.parse_line("props")["value"]
+    rows = table(spark, sf_dir, "events").select("event_type", F.try_variant_get(value, "$.k", "bigint").alias("k"))
+    return rows.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 10 < 2 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 10 < 2 THEN 'Json' END AS kind
+    FROM events WHERE event_id % 10 <> 2
+""")
+def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.when(_ID % 10 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(_ID % 10 == 1, F.concat("props", F.lit(" junk"))).when(_ID % 10 == 2, F.lit(" \t　")).otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(line).alias("p")).where(F.col("p").isNotNull())
+    return rows.select("event_id", F.try_variant_get("p.value", "$.k", "bigint").alias("k"), F.col("p.error.kind").alias("kind"))
+
+
+@query("SELECT p_partkey::BIGINT AS line, p_partkey AS part, CASE WHEN p_partkey % 7 = 0 THEN 'Json' END AS kind FROM part WHERE p_partkey % 5 <> 0 AND p_partkey > 0 ORDER BY 1")
+def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines in key order (keys are 1, 2, ...), every fifth blank, every seventh broken; numbers must equal keys."""
+    path, key = scratch(spark, "lines"), F.col("p_partkey")
+    text = F.when(key % 5 == 0, "").when(key % 7 == 0, F.concat(F.lit('{"part":'), key.cast("string"))).otherwise(F.concat(F.lit('{"part":'), key.cast("string"), F.lit("}")))
+    table(spark, sf_dir, "part").where(key > 0).select(key, text.alias("value")).orderBy("p_partkey").select("value").coalesce(1).write.option("lineSep", "\n").text(path)
+    rows = jsonl.read_jsonl(spark, path)
+    return rows.select("line", F.coalesce(F.try_variant_get("value", "$.part", "bigint"), F.col("line")).alias("part"), F.col("error.kind").alias("kind"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "orders")
+    jsonl.write_jsonl(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
+    value = F.col("value")
+    return jsonl.read_jsonl(spark, path).select(
+        F.variant_get(value, "$.o_orderkey", "bigint").alias("o_orderkey"), F.variant_get(value, "$.o_custkey", "bigint").alias("o_custkey"),
+        F.variant_get(value, "$.o_orderstatus", "string").alias("o_orderstatus"), F.variant_get(value, "$.o_totalprice", "double").alias("o_totalprice"),
+    )
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks survive one line of JSON each."""
+    line = jsonl.to_line(F.struct("conv_id", "turn", "role", "text"))
+    value = strict_json(line)
+    return table(spark, sf_dir, "conversations").select(*[F.variant_get(value, f"$.{n}", t).alias(n) for n, t in (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string"))])
+
+
+# ---- GeoJSON
+
+
+def lon(key: str):
+    return F.col(key) % 360 - 180 + F.lit(0.5)
+
+
+def lat(key: str):
+    return F.col(key) % 180 - 90 + F.lit(0.25)
+
+
+def pair(x, y):
+    return F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
+
+
+_LON, _LAT = "(c_custkey % 360 - 180 + 0.5)::DOUBLE", "(c_custkey % 180 - 90 + 0.25)::DOUBLE"
+
+
+@query(f"SELECT c_custkey, true AS ok, {_LON} AS longitude, {_LAT} AS latitude, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS altitude FROM customer")
+def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altitude = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(","), F.col("c_acctbal").cast("string"))).otherwise("")
+    text = F.concat(F.lit('{"type":"Point","coordinates":['), lon("c_custkey").cast("string"), F.lit(","), lat("c_custkey").cast("string"), altitude, F.lit("]}"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    return rows.select("c_custkey", "g.ok", geojson.point_position(F.col("g.value")).alias("p")).select("c_custkey", "ok", "p.*")
+
+
+@query("""
+    SELECT s_suppkey, NOT (s_suppkey % 3 = 0 OR s_suppkey % 5 = 0) AS ok, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN 'InvalidRing' END AS kind,
+      CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN '.coordinates[0]' END AS path,
+      CASE WHEN s_suppkey % 5 = 0 THEN 'ring must have at least 4 positions, got 3' WHEN s_suppkey % 3 = 0 THEN 'polygon ring is not closed (first position != last position)' END AS message
+    FROM supplier
+""")
+def geo_validate_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, x = F.col("s_suppkey"), F.col("s_suppkey") % 90
+    last = F.when(key % 3 == 0, pair(x, x + 5)).otherwise(pair(x, x))
+    ring = F.when(key % 5 == 0, F.concat_ws(",", pair(x, x), pair(x + 1, x), pair(x, x))).otherwise(F.concat_ws(",", pair(x, x), pair(x + 1, x), pair(x + 1, x + 1), last))
+    text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", geojson.geo_parse(text).alias("g")).select("s_suppkey", "g.ok", "g.error.kind", "g.error.path", "g.error.message")
+
+
+def nation_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One FeatureCollection for each nation, its customers as features."""
+    key = F.col("c_custkey").cast("string")
+    feature = F.concat(F.lit('{"type":"Feature","id":'), key, F.lit(',"geometry":{"type":"Point","coordinates":'), pair(lon("c_custkey"), lat("c_custkey")), F.lit('},"properties":{"name":"'), F.col("c_name"), F.lit('"},"seg":"'), F.col("c_mktsegment"), F.lit('"}'))
+    grouped = table(spark, sf_dir, "customer").select("c_nationkey", feature.alias("f")).groupBy("c_nationkey").agg(F.collect_list("f").alias("fs"))
+    return grouped.select("c_nationkey", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")).alias("doc"))
+
+
+@query(f"SELECT c_nationkey, c_custkey, c_name AS name, c_mktsegment AS segment, {_LON} AS longitude, {_LAT} AS latitude FROM customer")
+def geo_features_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = geojson.geo_features(nation_collections(spark, sf_dir), "doc")
+    at = geojson.point_position(F.col("geometry"))
+    return rows.select("c_nationkey", F.variant_get("id", "$", "bigint").alias("c_custkey"), F.variant_get("properties", "$.name", "string").alias("name"), F.variant_get(F.col("foreign")["seg"], "$", "string").alias("segment"), at["longitude"].alias("longitude"), at["latitude"].alias("latitude"))
+
+
+@query("SELECT c_custkey, 2 AS n_numbers, c_custkey::DOUBLE AS west, c_acctbal AS south, '{\"extra\":{\"k\":' || c_custkey || '}}' AS foreign_members FROM customer")
+def geo_bbox_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit('{"type":"Feature","geometry":null,"properties":null,"bbox":['), key, F.lit(',"skip",'), F.col("c_acctbal").cast("string"), F.lit('],"extra":{"k":'), key, F.lit("}}"))
+    rows = geojson.geo_features(table(spark, sf_dir, "customer").select("c_custkey", text.alias("doc")), "doc")
+    return rows.select("c_custkey", F.size("bbox").alias("n_numbers"), F.get("bbox", F.lit(0)).alias("west"), F.get("bbox", F.lit(1)).alias("south"), F.to_json("foreign").alias("foreign_members"))
+
+
+@query("SELECT c_nationkey, true AS same, count(*) AS n_features FROM customer GROUP BY 1")
+def geo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nation_collections(spark, sf_dir).select("c_nationkey", geojson.geo_parse("doc")["value"].alias("v"))
+    again = rows.withColumn("text", geojson.geo_to_json(F.col("v"))).withColumn("w", geojson.geo_parse("text")["value"])
+    return again.select("c_nationkey", (geojson.geo_to_json(F.col("w")) == F.col("text")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
+
+
+#: (document, kind, path, message)
+GEO_FAULTS = [
+    ('{"type":"Point","coordinates":[1,2]}', None, None, None),
+    ("not json", "Json", "", "not a JSON document"),
+    ('{"a":1}', "InvalidType", ".type", "missing or non-string 'type' field"),
+    ('{"type":"Blob"}', "InvalidType", ".type", "unknown geometry type 'Blob'"),
+    ('{"type":"FeatureCollection"}', "InvalidType", ".features", "FeatureCollection missing 'features' array"),
+    ('{"type":"FeatureCollection","features":[{"type":"Point"}]}', "InvalidType", "features[0].type", "expected 'Feature', got Some(String(\"Point\"))"),
+    ('{"type":"Point"}', "MalformedCoordinates", ".coordinates", "missing 'coordinates' field"),
+    ('{"type":"Point","coordinates":[1]}', "MalformedCoordinates", ".coordinates", "position must have 2 or 3 elements, got 1"),
+    ('{"type":"LineString","coordinates":[[1,2],[3,"x"]]}', "MalformedCoordinates", ".coordinates[1]", "coordinate must be a number"),
+    ('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2,3,4]}}', "MalformedCoordinates", ".geometry.coordinates", "position must have 2 or 3 elements, got 4"),
+    ('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"MultiPoint","coordinates":7}]}', "MalformedCoordinates", ".geometries[1].coordinates", "expected array of positions"),
+    ('{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[9,9]]]]}', "InvalidRing", ".coordinates[0][0]", "polygon ring is not closed (first position != last position)"),
+]
+
+
+@query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(GEO_FAULTS)}', [f[i] for f in GEO_FAULTS])} AS {n}" for i, n in ((1, "kind"), (2, "path"), (3, "message"))) + f", event_id % {len(GEO_FAULTS)} = 0 AS ok FROM events")
+def geo_error_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = choose(_ID % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
+    return table(spark, sf_dir, "events").select("event_id", geojson.geo_parse(doc).alias("g")).select("event_id", "g.error.kind", "g.error.path", "g.error.message", "g.ok")
