@@ -1,7 +1,7 @@
 """Strict GeoJSON: validation with structural error paths, features, round trips.
 
 Documents are checked by SQL expressions over VARIANT; collections of geometries
-are unrolled ``NESTING`` deep.  Documents that fail, and those nested deeper, go
+are opened ``NESTING`` deep.  Documents that fail, and those nested deeper, go
 to an Arrow UDF that walks the document and names the first fault, or finds none.
 Null gives null; a faulty document gives ``ok = false`` and an error.
 """
@@ -54,10 +54,14 @@ def _text_type(value: Column) -> Column:
     return F.when(json_type(member) == "STRING", F.try_variant_get(value, "$.type", "string"))
 
 
-def geometry_ok(geometry: Column, nesting: int = NESTING) -> Column:
-    """Whether a VARIANT is a valid geometry; null where only the walk can tell."""
+def _simple_ok(geometry: Column) -> Column:
+    """Whether a VARIANT is a valid geometry that is no collection.
 
-    def simple(kind: str) -> Column:
+    Here and below no inner lambda uses a variable of an outer one: Spark would
+    not recognise the expression again where an Arrow UDF depends on it.
+    """
+
+    def simple(geometry: Column, kind: str) -> Column:
         depth = DEPTH[kind]
 
         def check(c: Column) -> Column:
@@ -66,32 +70,40 @@ def geometry_ok(geometry: Column, nesting: int = NESTING) -> Column:
 
         return F.coalesce(let(_coordinates(geometry, depth), check), F.lit(False))
 
-    kind = _text_type(geometry)
-    result = F.when(kind == "Point", simple("Point"))
-    for k in list(DEPTH)[1:]:
-        result = result.when(kind == k, simple(k))
-    members = F.try_variant_get(geometry, "$.geometries", "array<variant>")
-    if nesting:
-        inside = F.when(members.isNull(), F.lit(False)).otherwise(F.forall(members, lambda g: geometry_ok(g, nesting - 1)))
-    else:
-        inside = F.lit(None).cast("boolean")
-    return result.when(kind == "GeometryCollection", inside).otherwise(F.lit(False))
+    def of_kind(x: Column) -> Column:
+        result = F.when(x["kind"] == "Point", simple(x["geometry"], "Point"))
+        for k in list(DEPTH)[1:]:
+            result = result.when(x["kind"] == k, simple(x["geometry"], k))
+        return F.coalesce(result, F.lit(False))
 
+    return let(F.struct(_text_type(geometry).alias("kind"), geometry.alias("geometry")), of_kind)
 
-def feature_ok(feature: Column) -> Column:
-    geometry = F.variant_get(feature, "$.geometry", "variant")
-    empty = geometry.isNull() | F.is_variant_null(geometry)
-    return F.coalesce(_text_type(feature) == "Feature", F.lit(False)) & F.when(empty, F.lit(True)).otherwise(geometry_ok(geometry))
+
+def _members(geometry: Column) -> Column:
+    """The members of a collection (a null where it has no list of them), else the geometry alone."""
+    listed = F.coalesce(F.try_variant_get(geometry, "$.geometries", "array<variant>"), F.array(F.lit(None).cast("variant")))
+    return F.when(_text_type(geometry) == "GeometryCollection", listed).otherwise(F.array(geometry))
 
 
 def _document_ok(value: Column) -> Column:
-    kind, features = _text_type(value), F.try_variant_get(value, "$.features", "array<variant>")
-    return (
-        F.when(kind.isNull(), F.lit(False))
-        .when(kind == "FeatureCollection", F.when(features.isNull(), F.lit(False)).otherwise(F.forall(features, feature_ok)))
-        .when(kind == "Feature", feature_ok(value))
-        .otherwise(geometry_ok(value))
-    )
+    """Whether a document is valid; false where only the walk can tell."""
+
+    def geometry_of(feature: Column) -> Column:
+        return F.variant_get(feature, "$.geometry", "variant")
+
+    def checked(x: Column) -> Column:
+        kind, value = x["kind"], x["value"]
+        features = F.when(kind == "FeatureCollection", F.try_variant_get(value, "$.features", "array<variant>")).when(kind == "Feature", F.array(value))
+        present = F.filter(features, lambda f: geometry_of(f).isNotNull() & ~F.is_variant_null(geometry_of(f)))
+        collected = kind.isin("FeatureCollection", "Feature")
+        geometries = F.when(collected, F.transform(present, geometry_of)).otherwise(F.array(value))
+        # each pass opens one level of collections, so every geometry is checked by one copy of the rules
+        for _ in range(NESTING):
+            geometries = F.flatten(F.transform(geometries, _members))
+        named = F.when(collected, F.forall(features, lambda f: F.coalesce(_text_type(f) == "Feature", F.lit(False)))).otherwise(F.lit(True))
+        return F.coalesce(kind.isNotNull() & named & F.forall(geometries, _simple_ok), F.lit(False))
+
+    return let(F.struct(_text_type(value).alias("kind"), value.alias("value")), checked)
 
 
 # ---- the walk, for rejected documents only
@@ -226,19 +238,21 @@ def _locate(rejected: pd.Series) -> pd.DataFrame:
 def geo_parse(text: Column | str) -> Column:
     """Struct (ok, root_kind, value, error); value is null where the document is faulty."""
     c = as_column(text)
-    value = strict_json(c)
-    accepted = F.coalesce(F.when(value.isNotNull(), _document_ok(value)), F.lit(False))
-    fault = _locate(F.when(~accepted, c))
 
-    def result(x: Column) -> Column:
-        ok = x["accepted"] | (x["value"].isNotNull() & x["fault"]["kind"].isNull())
-        kind = _text_type(x["value"])
+    def check(v: Column) -> Column:
+        kind = _text_type(v)
         root = F.when(kind.isin("Feature", "FeatureCollection"), kind).otherwise("Geometry")
-        # what Spark's parser refuses and the walk accepts is still no document that can be used
-        error = F.when(~ok, F.coalesce(F.when(x["fault"]["kind"].isNotNull(), x["fault"]), F.struct(F.lit("Json").alias("kind"), F.lit("").alias("path"), F.lit("not a JSON document").alias("message"))))
-        return F.struct(ok.alias("ok"), F.when(ok, root).alias("root_kind"), F.when(ok, x["value"]).alias("value"), error.alias("error"))
+        document = F.when(v.isNotNull(), F.struct(root.alias("root_kind"), v.alias("value")))
+        return F.struct(F.coalesce(F.when(v.isNotNull(), _document_ok(v)), F.lit(False)).alias("accepted"), document.alias("document"))
 
-    return F.when(c.isNotNull(), let(F.struct(accepted.alias("accepted"), value.alias("value"), fault.alias("fault")), result))
+    checked = let(strict_json(c), check)
+    fault = _locate(F.when(~checked["accepted"], c))
+    # an accepted document has no fault, as the walk is not asked
+    document = F.when(fault["kind"].isNull(), checked["document"])
+    # what Spark's parser refuses and the walk accepts is still no document that can be used
+    unread = F.struct(F.lit("Json").alias("kind"), F.lit("").alias("path"), F.lit("not a JSON document").alias("message"))
+    error = F.when(fault["kind"].isNotNull(), fault).when(document.isNull(), unread)
+    return F.when(c.isNotNull(), F.struct(document.isNotNull().alias("ok"), document["root_kind"].alias("root_kind"), document["value"].alias("value"), error.alias("error")))
 
 
 def geo_error_text(error: Column) -> Column:
@@ -297,8 +311,8 @@ def geo_features(df: DataFrame, text_col: str) -> DataFrame:
 # ---- writing
 
 
-def geometry_json(geometry: Column, nesting: int = NESTING) -> Column:
-    """Canonical text of a valid geometry: type and coordinates (as floats), other members dropped."""
+def geometry_json(geometry: Column, nesting: int = 1) -> Column:
+    """Canonical text of a valid geometry: type and coordinates (as floats), other members dropped; null where collections are nested deeper."""
     kind = _text_type(geometry)
     text = lambda k: F.concat(F.lit(f'{{"type":"{k}","coordinates":'), F.to_json(_coordinates(geometry, DEPTH[k])), F.lit("}"))
     result = F.when(kind == "Point", text("Point"))
@@ -327,12 +341,54 @@ def feature_json(feature: Column) -> Column:
     )
 
 
+def _number_text(x) -> str:
+    return repr(float(x))
+
+
+def _geometry_text(g: dict) -> str:
+    if g["type"] == "GeometryCollection":
+        return '{"type":"GeometryCollection","geometries":[' + ",".join(map(_geometry_text, g["geometries"])) + "]}"
+    shown = lambda c: "[" + ",".join(map(shown, c)) + "]" if isinstance(c, list) else _number_text(c)
+    return f'{{"type":"{g["type"]}","coordinates":{shown(g["coordinates"])}}}'
+
+
+def _compact(x) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def _document_text(doc: dict) -> str:
+    """What ``geo_to_json`` gives, for documents nested too deep for it."""
+    if doc["type"] not in ("Feature", "FeatureCollection"):
+        return _geometry_text(doc)
+    if doc["type"] == "FeatureCollection":
+        head, known = '"features":[' + ",".join(map(_document_text, doc["features"])) + "]", ("type", "features", "bbox")
+    else:
+        g = doc.get("geometry")
+        head = '"geometry":' + ("null" if g is None else _geometry_text(g)) + ',"properties":' + _compact(doc.get("properties"))
+        head += ',"id":' + _compact(doc["id"]) if "id" in doc else ""
+        known = ("type", "geometry", "properties", "id", "bbox")
+    box = ',"bbox":[' + ",".join(_number_text(x) for x in doc["bbox"] if _is_number(x)) + "]" if isinstance(doc.get("bbox"), list) else ""
+    return f'{{"type":"{doc["type"]}",{head}{box}' + "".join(f",{_compact(k)}:{_compact(doc[k])}" for k in sorted(doc) if k not in known) + "}"
+
+
+@F.pandas_udf(T.StringType())
+def _deep_text(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda x: None if x is None else _document_text(json.loads(x))).astype(object)
+
+
 def geo_to_json(value: Column) -> Column:
-    """Canonical text of a valid document (the ``value`` of ``geo_parse``); null where it is nested deeper than ``NESTING``."""
-    features = F.transform(F.try_variant_get(value, "$.features", "array<variant>"), feature_json)
-    kind = _text_type(value)
-    return (
-        F.when(kind == "FeatureCollection", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]"), _extras(value, "FeatureCollection"), F.lit("}")))
-        .when(kind == "Feature", feature_json(value))
-        .otherwise(geometry_json(value))
-    )
+    """Canonical text of a valid document (the ``value`` of ``geo_parse``); those nested too deep for SQL go to an Arrow UDF."""
+
+    def written(x: Column) -> Column:
+        kind, value = x["kind"], x["value"]
+        features = F.when(kind == "FeatureCollection", F.try_variant_get(value, "$.features", "array<variant>")).when(kind == "Feature", F.array(value))
+        texts = F.transform(features, feature_json)
+        whole = F.when(F.forall(texts, lambda t: t.isNotNull()), F.array_join(texts, ","))
+        return (
+            F.when(kind == "FeatureCollection", F.concat(F.lit('{"type":"FeatureCollection","features":['), whole, F.lit("]"), _extras(value, "FeatureCollection"), F.lit("}")))
+            .when(kind == "Feature", whole)
+            .otherwise(geometry_json(value))
+        )
+
+    text = let(F.struct(_text_type(value).alias("kind"), value.alias("value")), written)
+    return F.coalesce(text, _deep_text(F.when(text.isNull(), F.to_json(value))))
