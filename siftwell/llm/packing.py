@@ -20,10 +20,11 @@ sequence; of the input only the key column and the text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -38,47 +39,72 @@ from .common import cut
 from .words import word_keys
 
 #: Words kept between calls, and words given to the tokenizer at once: both bound a task's memory.
-_CACHE, _AT_ONCE = 1 << 18, 4096
+_CACHE, _AT_ONCE = 1 << 19, 1 << 14
+
+
+def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places ``begin`` to ``begin + length`` of every span, one span after the other."""
+    total = np.cumsum(length)
+    return np.repeat(begin - (total - length), length) + np.arange(total[-1] if len(total) else 0)
 
 
 class WordTokenizer:
     """Token ids of whole texts, each distinct white-space word being encoded once.
 
-    Right for tokenizers that drop white space and never merge across it.
+    Right for tokenizers that drop white space and never merge across it.  Words
+    met before are kept as sorted keys beside one flat array of ids.
     """
 
     def __init__(self, spec: str):
+        # Spark runs one task a core already: more threads in a task only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(spec)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.flat = array("q", [0]), array("I")
+        self.keys, self.begin, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words, keys: np.ndarray, first: np.ndarray) -> None:
+        """Encode the words at ``first``, whose keys are new."""
+        lengths, ids = [], []
+        for a in range(0, len(first), _AT_ONCE):
+            at = first[a : a + _AT_ONCE]
+            size = words.end[at] - words.start[at]
+            # the words, one a line: no word holds a line break
+            raw = np.append(words.data, np.uint8(10))[spans(words.start[at], size + 1)]
+            raw[np.cumsum(size + 1) - 1] = 10
+            coded = self.encoder.encode_batch_fast(raw[:-1].tobytes().decode().split("\n"), add_special_tokens=False)
+            lists = [c.ids for c in coded]
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths[-1].sum())))
+        length = np.concatenate(lengths)
+        begin = np.cumsum(length) - length + len(self.flat)
+        self.flat = np.concatenate([self.flat, *ids])
+        order = np.argsort(keys := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.begin, self.length = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.length, length])[order]
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Place of every key among the words met before; -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
     def encode(self, texts) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids as uint32) of every row."""
         for words in word_keys(texts):
-            if len(self.place) > _CACHE:
+            if len(self.keys) > _CACHE:
                 self.forget()
             keys, first, inverse = np.unique(words.key, return_index=True, return_inverse=True)
-            places = [self.place.get(k, -1) for k in keys.tolist()]
-            new = [i for i, p in enumerate(places) if p < 0]
-            for a in range(0, len(new), _AT_ONCE):
-                some = new[a : a + _AT_ONCE]
-                coded = self.encoder.encode_batch_fast([words.data[words.start[j] : words.end[j]].tobytes().decode() for j in first[some].tolist()], add_special_tokens=False)
-                for i, code in zip(some, coded, strict=True):
-                    places[i] = self.place[int(keys[i])] = len(self.start) - 1
-                    ids = code.ids
-                    self.flat.extend(ids)
-                    self.start.append(len(self.flat))
-            table = np.array(self.flat, np.uint32)
-            starts, place = np.array(self.start), np.array(places, np.int64)
-            begin, length = starts[place][inverse], (starts[place + 1] - starts[place])[inverse] if len(place) else np.zeros(0, np.int64)
-            total = np.concatenate([[0], np.cumsum(length)])
-            ids = table[np.repeat(begin - total[:-1], length) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
-            cuts = total[words.bounds()]
+            new = np.flatnonzero(self.known(keys) < 0)
+            if len(new):
+                self.learn(words, keys[new], first[new])
+            place = self.known(keys)
+            length = self.length[place][inverse]
+            ids = self.flat[spans(self.begin[place][inverse], length)]
+            cuts = np.concatenate([[0], np.cumsum(length)])[words.bounds()]
             for k in range(words.last - words.first):
                 yield words.first + k, ids[cuts[k] : cuts[k + 1]]
 
