@@ -372,8 +372,11 @@ def geo_bbox_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, true AS same, count(*) AS n_features FROM customer GROUP BY 1")
 def geo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nation_collections(spark, sf_dir).select("c_nationkey", geojson.geo_parse("doc")["value"].alias("v"))
-    again = rows.withColumn("text", geojson.geo_to_json(F.col("v"))).withColumn("w", geojson.geo_parse("text")["value"])
+    """Documents parsed, written as text, read and parsed again; the second text must equal the first."""
+    path = scratch(spark, "geojson")
+    first = nation_collections(spark, sf_dir).select("c_nationkey", geojson.geo_parse("doc")["value"].alias("v"))
+    first.select("c_nationkey", geojson.geo_to_json(F.col("v")).alias("text")).write.parquet(path)
+    again = spark.read.parquet(path).select("c_nationkey", "text", geojson.geo_parse("text")["value"].alias("w"))
     return again.select("c_nationkey", (geojson.geo_to_json(F.col("w")) == F.col("text")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
 
 
