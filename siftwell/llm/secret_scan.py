@@ -189,6 +189,8 @@ def build_postings(offsets: np.ndarray, data: np.ndarray, wanted: np.ndarray, ch
     if not grams:
         return {}
     pairs = np.unique(np.concatenate(grams) << 32 | np.concatenate(rows))
+    if not len(pairs):
+        return {}
     keys, first = np.unique(pairs >> 32, return_index=True)
     return dict(zip(keys.tolist(), np.split(pairs & 0xFFFFFFFF, first[1:]), strict=True))
 
