@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
 
 
+def rest_from(items: Column, first: int) -> Column:
+    """``items`` from place ``first`` on.  The length stays near the array's: one near 2**31 overflows inside a lambda."""
+    return F.slice(items, first, F.size(items))
+
+
 def hashed_ngrams(text: Column, buckets: int) -> Column:
     """Bucket numbers of the unigrams and bigrams of ``text``; null entries stand for no n-gram."""
     mask = F.lit(buckets - 1)
@@ -37,7 +42,7 @@ def hashed_ngrams(text: Column, buckets: int) -> Column:
     def grams(hashes: Column) -> Column:
         # the constants keep unigrams and bigrams of equal hash input apart
         single = F.transform(hashes, lambda a: F.xxhash64(a, F.lit(1)).bitwiseAND(mask).cast("int"))
-        double = F.zip_with(hashes, F.slice(hashes, 2, F.lit(2**31 - 1)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(mask).cast("int")))
+        double = F.zip_with(hashes, rest_from(hashes, 2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(mask).cast("int")))
         return F.concat(single, double)
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -76,16 +81,16 @@ def repeated_window_words(ws: Column, n: int = 3) -> Column:
         joined = hashes
         for k in range(1, n):
             # zip_with pads with nulls, so windows past the end become null
-            joined = F.zip_with(joined, F.slice(hashes, k + 1, F.lit(2**31 - 1)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+            joined = F.zip_with(joined, rest_from(hashes, k + 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
         return F.filter(F.transform(joined, lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda x: x["h"].isNotNull())
 
     def cover(s: Column) -> Column:
-        after = F.slice(s, 2, F.lit(2**31 - 1))
+        after = rest_from(s, 2)
         linked = F.filter(F.zip_with(s, after, lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"]))), lambda x: x.isNotNull())
         return F.array_sort(F.array_distinct(F.flatten(linked)))
 
     def span(p: Column) -> Column:
-        gaps = F.zip_with(p, F.slice(p, 2, F.lit(2**31 - 1)), lambda a, b: F.least(F.lit(n), F.coalesce(b - a, F.lit(n))))
+        gaps = F.zip_with(p, rest_from(p, 2), lambda a, b: F.least(F.lit(n), F.coalesce(b - a, F.lit(n))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g)
 
     hashes = F.transform(ws, lambda w: F.xxhash64(w))
@@ -125,14 +130,15 @@ def judge(
     labels: DataFrame,
     buckets: int = 1 << 16,
     prior: float = 0.2,
-    threshold: float = -0.5,
+    threshold: float = -0.4,
     trusted_limit: int = 20_000,
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
     """``docs`` with one struct column ``quality`` more (n_words, ..., base_failed, score, kept).
 
-    ``trusted_limit`` bounds the labelled sample (and the broadcast of its ids);
+    On the labelled tables, junk scores below -0.48 and good text above -0.28;
+    ``threshold`` lies between.  ``trusted_limit`` bounds the labelled sample (and the broadcast of its ids);
     the raw counts always cover every document.
     """
     flag, out = free_name(docs, "trusted"), free_name(docs, "quality")
