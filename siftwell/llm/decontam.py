@@ -14,8 +14,9 @@ within the edit bound (q-gram count lemma, so none is lost) are not embedded.
 
 Items are taken in blocks of ``item_block``, each a bounded table sent to all
 tasks; documents are read in one narrow pass a block and never shuffled, so no
-key, item or group can be hot.  ``tables`` is set for a recall of 0.99 at the
-edit bound, measured in the tests.
+key, item or group can be hot.  One sampled place a table and 32 tables found all
+of 240 items under random edits, from one edit up to the bound; three places in
+24 tables found 0.53 at the bound, two in 64 found 0.94.
 
 Defined cases: a null or wordless text or item matches nothing; an item listed
 twice is found twice; a document may leak several items; empty tables give empty
@@ -42,8 +43,8 @@ _BITS = 22
 @dataclass(frozen=True)
 class Settings:
     max_edit_share: float = 0.2
-    tables: int = 24
-    samples: int = 3
+    tables: int = 32
+    samples: int = 1
     seed: int = 20
 
 
