@@ -167,7 +167,8 @@ def mime_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- cron
 
-_ID = F.col("event_id")
+def event_id():
+    return F.col("event_id")
 
 
 def events_with(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
@@ -183,7 +184,7 @@ def words_of(*parts):
       '*' AS dom, '1-6/2' AS month, (event_id % 7)::VARCHAR AS dow FROM events
 """)
 def cron_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.when(_ID % 2 == 0, F.concat((_ID % 60).cast("string"), F.lit(" "))).otherwise(""), words_of(F.lpad((_ID % 60).cast("string"), 3, "0"), _ID % 24, "*", "1-6/2", _ID % 7))
+    text = F.concat(F.when(event_id() % 2 == 0, F.concat((event_id() % 60).cast("string"), F.lit(" "))).otherwise(""), words_of(F.lpad((event_id() % 60).cast("string"), 3, "0"), event_id() % 24, "*", "1-6/2", event_id() % 7))
     return events_with(spark, sf_dir, p=cron.cron_fields(text)).select("event_id", "p.*")
 
 
@@ -197,7 +198,7 @@ DESCRIBED = [
 
 @query(f"SELECT event_id, {sql_cases(f'event_id % {len(DESCRIBED)}', [t for _, t in DESCRIBED])} AS said FROM events")
 def cron_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_with(spark, sf_dir, said=cron.cron_describe(choose(_ID % len(DESCRIBED), [s for s, _ in DESCRIBED]))).drop("ts")
+    return events_with(spark, sf_dir, said=cron.cron_describe(choose(event_id() % len(DESCRIBED), [s for s, _ in DESCRIBED]))).drop("ts")
 
 
 @query("""
@@ -205,7 +206,7 @@ def cron_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT event_id, ts, date_trunc('day', ts) + to_minutes((event_id % 24) * 60 + event_id % 60) AS t FROM events)
 """)
 def cron_next_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of(_ID % 60, _ID % 24, "*", "*", "*"), "ts")).drop("ts")
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of(event_id() % 60, event_id() % 24, "*", "*", "*"), "ts")).drop("ts")
 
 
 def _days_sql(fires: str, at: str) -> str:
@@ -217,12 +218,12 @@ def _days_sql(fires: str, at: str) -> str:
 
 @query(_days_sql("dayofweek(d) = (event_id % 8) % 7", "INTERVAL 6 HOUR"))
 def cron_next_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("0", "6", "*", "*", _ID % 8), "ts")).drop("ts")
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("0", "6", "*", "*", event_id() % 8), "ts")).drop("ts")
 
 
 @query(_days_sql("day(d) = event_id % 28 + 1 OR dayofweek(d) = 5", "INTERVAL 30 MINUTE"))
 def cron_next_monthly_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("30", "0", _ID % 28 + 1, "*", "5"), "ts")).drop("ts")
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of("30", "0", event_id() % 28 + 1, "*", "5"), "ts")).drop("ts")
 
 
 @query("""
@@ -243,7 +244,7 @@ FAULTS = [
 
 @query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(FAULTS)}', [f[i] for f in FAULTS])} AS {n}" for i, n in enumerate(("schedule", "position", "field", "expected", "found"))) + ", event_id % 8 = 7 AS ok FROM events")
 def cron_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schedule = choose(_ID % len(FAULTS), [f[0] for f in FAULTS])
+    schedule = choose(event_id() % len(FAULTS), [f[0] for f in FAULTS])
     parsed = events_with(spark, sf_dir, schedule=schedule).withColumn("p", cron.cron_parse("schedule"))
     return parsed.select("event_id", F.when(~F.col("p.ok"), F.col("schedule")).otherwise(F.col("schedule")).alias("schedule"), "p.error.position", "p.error.field", "p.error.expected", "p.error.found", "p.ok")
 
@@ -253,7 +254,7 @@ def cron_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def cron_fire_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fires a day of each event's schedule, by event type."""
-    fields = cron.cron_fields(F.concat(F.lit("*/"), (_ID % 14 + 1).cast("string"), F.lit(" 12-20/1 * * *")))
+    fields = cron.cron_fields(F.concat(F.lit("*/"), (event_id() % 14 + 1).cast("string"), F.lit(" 12-20/1 * * *")))
     fires = F.size(cron.cron_expand(fields["minutes"], 0, 59)) * F.size(cron.cron_expand(fields["hours"], 0, 23))
     return table(spark, sf_dir, "events").select("event_type", fires.cast("long").alias("fires")).groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("schedules"), F.sum("fires").alias("fires"))
 
@@ -273,7 +274,7 @@ def jsonl_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events WHERE event_id % 10 <> 2
 """)
 def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(_ID % 10 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(_ID % 10 == 1, F.concat("props", F.lit(" junk"))).when(_ID % 10 == 2, F.lit(" \t　")).otherwise(F.col("props"))
+    line = F.when(event_id() % 10 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(event_id() % 10 == 1, F.concat("props", F.lit(" junk"))).when(event_id() % 10 == 2, F.lit(" \t　")).otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(line).alias("p")).where(F.col("p").isNotNull())
     return rows.select("event_id", F.try_variant_get("p.value", "$.k", "bigint").alias("k"), F.col("p.error.kind").alias("kind"))
 
@@ -399,5 +400,5 @@ GEO_FAULTS = [
 
 @query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(GEO_FAULTS)}', [f[i] for f in GEO_FAULTS])} AS {n}" for i, n in ((1, "kind"), (2, "path"), (3, "message"))) + f", event_id % {len(GEO_FAULTS)} = 0 AS ok FROM events")
 def geo_error_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = choose(_ID % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
+    doc = choose(event_id() % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
     return table(spark, sf_dir, "events").select("event_id", geojson.geo_parse(doc).alias("g")).select("event_id", "g.error.kind", "g.error.path", "g.error.message", "g.ok")
