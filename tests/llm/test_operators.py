@@ -1,0 +1,286 @@
+"""The ten operators and the pipeline against brute force, on small whole tables and on odd rows."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftwell.llm import decontam, katz, near_dup, packing, pii, quality, queries, secret_scan, sharding, suffix_dedup, url_filter
+from siftwell.llm.common import table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+
+
+def rows_of(df):
+    return {r[0]: r.asDict() for r in df.collect()}
+
+
+# ---- each query against brute force over the whole table
+
+
+def test_op1_base_columns(spark, sf_dir, texts):
+    found = rows_of(queries.op1_quality(spark, sf_dir))
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        words, seen, dup = WORD.findall(t), set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        covered = {p + k for p, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+        row, failed = found[i], len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), failed)
+        assert not (failed and row["kept"])
+    assert any(r["kept"] for r in found.values())
+
+
+def test_op2_law_and_slots(spark, sf_dir, texts):
+    rows, slots = queries.op2_sharding(spark, sf_dir).collect(), defaultdict(list)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert r["grown_shard"] in (r["shard"], 16)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(slots) <= set(range(16))
+
+
+def test_op3_parts_and_rules(spark, sf_dir):
+    urls = {r["page_id"]: r["url"] for r in table(spark, sf_dir, "pages").select("page_id", "url").collect()}
+    for i, r in rows_of(queries.op3_url_filter(spark, sf_dir)).items():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", urls[i] or "")
+        host, path = (m[1].translate(UPPER), m[2]) if m else ("", "")
+        fits = [(len(x), x, v) for v, x in queries.URL_RULES for h, _, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        best = max(fits, default=(0, None, None))
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best[1])
+        assert r["verdict"] == (best[2] or ("block" if r["block_probability"] >= 0.5 else "allow"))
+
+
+def test_op3_model_separates_its_labels(spark):
+    rows = url_filter.judge_urls(url_filter.labelled_urls(spark), url_filter.labelled_urls(spark), []).collect()
+    assert sum((r["url_filter"]["verdict"] == "block") == bool(r["label"]) for r in rows) >= 0.95 * len(rows)
+
+
+def test_op4_keeps_type_distinctness_and_coreference(spark):
+    text = "Mr John Smith and Mrs Anna Smith wrote to a.b@mail.org, A.B@mail.org, c@mail.org; call +44 20 7946 0958 or +44-20-7946-0958; 4111 1111 1111 1111; 10.1.2.3"
+    docs = spark.createDataFrame([(1, text), (2, "Mail c@mail.org now"), (3, None), (4, "nothing here"), (5, "")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace_pii(docs, key="k").collect()}
+    assert (out[3]["text"], out[4]["text"], out[5]["text"]) == (None, "nothing here", "")
+    new, mails = out[1]["text"], re.findall(r"\S+@[\w.-]+\w", out[1]["text"])
+    assert mails[0].lower() == mails[1].lower() != mails[2] and mails[2] in out[2]["text"]
+    assert not any(x in new for x in ("John", "Anna", "Smith", "mail.org", "7946", "4111 1111", "10.1.2.3"))
+    phones = re.findall(r"\+4[\d -]+\d", new)  # the plus and the first digit stay
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "-" in phones[1]
+    names = re.search(r"Mr (\S+) (\S+) and Mrs (\S+) (\S+) wrote", new)
+    assert names[2] == names[4] and names[1] in pii.NAMES["male", "Latin"] and names[3] in pii.NAMES["female", "Latin"]
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
+    assert pii.replace_pii(docs, key="k").where("doc_id = 1").first()["text"] == new
+    assert pii.replace_pii(docs, key="other").where("doc_id = 1").first()["text"] != new
+
+
+def words_of(n, start):
+    return [f"w{start + i}x" for i in range(n)]
+
+
+def test_op5_finds_shared_passages_alone(spark):
+    passage = words_of(70, 5000)
+    rows = [(1, words_of(90, 0) + passage + words_of(40, 200)), (2, words_of(33, 300) + passage), (3, words_of(120, 400)), (4, words_of(30, 0) + words_of(60, 700))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(5, None), (6, "")], "doc_id long, text string")
+    found = sorted(map(tuple, suffix_dedup.repeated_spans(docs, min_words=50).select("doc_id", "start", "end", "first_id").collect()))
+    assert found == [(1, 90, 160, 1), (2, 33, 103, 1)]
+    cleaned = rows_of(suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, min_words=50)))
+    assert cleaned[2]["text"] == " ".join(words_of(33, 300)) and cleaned[1]["text"] == docs.where("doc_id = 1").first()["text"]
+
+
+def test_op6_base_scores(spark, sf_dir, texts):
+    tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    found = rows_of(queries.op6_katz(spark, sf_dir))
+    assert found.keys() == texts.keys()
+    for i, ws in tokens.items():
+        r = found[i]
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+    # the model is better than the unigram one on texts it has not seen
+    assert sum(r["score"] for r in found.values() if r["held_out"]) > sum(r["base_score"] for r in found.values() if r["held_out"])
+
+
+def jaccard_components(texts, n, percent):
+    sets = {}
+    for i, t in texts.items():
+        ws = WORD.findall(t.translate(UPPER))
+        sets[i] = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} if len(ws) >= n else {tuple(ws)} if ws else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_op7_components(spark, sf_dir, texts):
+    found = rows_of(queries.op7_near_dup(spark, sf_dir))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == jaccard_components(texts, 4, 80)
+    assert all(r["kept"] == (r["component_id"] == i) for i, r in found.items())
+
+
+def test_op8_recall_up_to_the_bound_and_no_others(spark, sf_dir):
+    rng = random.Random(5)
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    docs, want = [], set()
+    for share in (0, 0.25, 0.5, 1):
+        for i, text in items:
+            ws = WORD.findall(text)
+            for _ in range(int(share * int(0.2 * len(ws)))):
+                k, change = rng.randrange(len(ws)), rng.randrange(3)
+                ws[k : k + (change > 0)] = [[f"new{rng.random()}"], [f"new{rng.random()}"], []][change]
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(words_of(40, 100 * len(docs)) + ws + words_of(40, 50 + 100 * len(docs)))))
+    clean = len(docs)
+    docs += [(clean + k, " ".join(words_of(200, 900_000 + 300 * k))) for k in range(20)] + [(clean + 50, None), (clean + 51, "")]
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table(spark, sf_dir, "benchmark"))
+    pairs = {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]}
+    assert len(want & pairs) >= 0.99 * len(want)
+    assert not any(i >= clean for i, _ in pairs)
+
+
+def test_op9_round_trip_and_bins(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(queries.tokenizer_path())
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs, queries.tokenizer_path(), with_ids=True)
+    rows, bins, whole = packing.pack(pieces).collect(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        whole[r["doc_id"]].append((r["piece"], r["start"], r["ids"], r["ids_crc32"]))
+    for i, t in texts.items():
+        parts = sorted(whole[i])
+        ids = [x for p in parts for x in p[2]]
+        assert ids == [*encoder.encode(t, add_special_tokens=False).ids, 1]
+        assert [p[1] for p in parts] == list(range(0, len(ids), 4096))
+        assert all(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in p[2])) == p[3] for p in parts)
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= math.ceil(sum(r["length"] for r in rows) / 4096) + 2
+
+
+def test_op10_base_spans(spark, sf_dir, texts):
+    import hashlib
+
+    assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, r in rows_of(queries.op10_secrets(spark, sf_dir)).items():
+        t = texts[i]
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        counts = Counter(s[2] for s in spans)
+        line = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (counts["assign"], counts["access"], counts["hex"])
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_op10_trigram_queries_are_necessary():
+    assert secret_scan.trigram_query("[0-9a-f]+") is None
+    assert secret_scan.query_trigrams(secret_scan.trigram_query("AKIA[A-Z0-9]+")) == {0x616B69, 0x6B6961}
+
+
+# ---- odd rows: nulls, empty and long texts, repeated rows, clashing columns, empty tables
+
+CLASHING = "trusted quality grams weights surface bucket sharding pii given text_key leaks secrets url_filter key id uid n label_id".split()
+
+
+def odd_docs(spark, empty=False):
+    long_text = " ".join(words_of(30_000, 0))
+    rows = [(1, None), (None, "a null id"), (2, ""), (3, " \t\n"), (4, long_text), (5, long_text), (6, "same text"), (6, "same text"), (7, "é ☕ " * 60)]
+    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string")
+    return docs.withColumns({c: F.lit(1) for c in CLASHING})
+
+
+OPERATORS = {
+    "op1": lambda s, d: quality.judge(d, s.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")),
+    "op2": lambda s, d: sharding.shuffle_shards(d),
+    "op3": lambda s, d: url_filter.judge_urls(d.withColumn("url", F.col("text")), url_filter.labelled_urls(s), queries.URL_RULES),
+    "op4": lambda s, d: pii.replace_pii(d, key="k"),
+    "op6": lambda s, d: katz.score(d, F.lit(False)),
+    "op7": lambda s, d: near_dup.near_duplicates(d),
+    "op8": lambda s, d: decontam.find_leaks(d, s.createDataFrame([(1, None), (2, ""), (3, "x y z"), (3, "x y z")], "item_id long, text string")),
+    "op10": lambda s, d: secret_scan.scan(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_give_a_row_each(name, spark):
+    assert len(OPERATORS[name](spark, odd_docs(spark)).collect()) == 9
+    assert OPERATORS[name](spark, odd_docs(spark, empty=True)).collect() == []
+
+
+def test_odd_rows_of_spans_and_packing(spark):
+    found = suffix_dedup.repeated_spans(odd_docs(spark)).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == {(4, 0, 30_000), (5, 0, 30_000)}
+    assert suffix_dedup.repeated_spans(odd_docs(spark, empty=True)).collect() == []
+    pack = lambda d: packing.pack(packing.token_pieces(d, queries.tokenizer_path())).collect()
+    assert len({(r["doc_id"], r["uid"]) for r in pack(odd_docs(spark)) if r["piece"] == 0}) == 9
+    assert pack(odd_docs(spark, empty=True)) == []
+
+
+def test_near_duplicates_link_copies_and_no_empty_texts(spark):
+    found = near_dup.near_duplicates(odd_docs(spark)).collect()
+    by = defaultdict(set)
+    for r in found:
+        by[r["doc_id"]].add((r["component_id"], r["kept"]))
+    assert by[5] == {(4, False)} and by[1] == {(1, True)} and by[2] == {(2, True)} and by[None] == {(None, True)}
+    assert sorted(r["doc_id"] or 0 for r in near_dup.keep_one(odd_docs(spark)).collect()) == [0, 1, 2, 3, 4, 6, 7]
+
+
+# ---- the pipeline
+
+
+def test_pipeline_stages(spark, sf_dir, texts):
+    import corpus_pipeline
+
+    docs, columns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "documents").columns
+    ids, labels = set(texts), {r["doc_id"]: r for r in table(spark, sf_dir, "labels").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        left = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert docs.columns == columns and left <= ids, name
+        if name == "near duplicates":
+            groups = jaccard_components({i: texts[i] for i in ids}, 5, 80)
+            assert left == {i for i, (_, c) in groups.items() if i == c}
+        if name == "pii surrogates":
+            assert left == ids
+        ids = left
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == ids
+    good = [i for i in texts if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0 and len(WORD.findall(texts[i])) >= 50]
+    judged = rows_of(queries.op1_quality(spark, sf_dir))
+    assert sum(judged[i]["kept"] or judged[i]["base_failed"] for i in good) >= 0.9 * len(good)
