@@ -3,20 +3,18 @@
 Of all word suffixes only those at minimiser positions are kept: of any
 ``min_words`` consecutive words, the place of the smallest hashed ``k``-gram is
 kept, so equal passages keep equal places.  Suffixes whose ``k``-gram occurs in
-no other document are dropped.  The rest are sorted by their right context and,
-a second time, by their left context, across all tasks by range; each suffix is
-compared with its neighbours and the match extended to the left and to the right.
-A match of at least ``min_words`` words with another document marks a span;
-overlapping spans of a document are merged.
+no other document are dropped.  In the suffix array of the windows' starts, the
+windows that two documents share are the runs with ``min_words`` words in common;
+a run is gathered by the hash of these words, so nothing that stands between two
+copies in a sort order can part them.  Each run has one owner, the smallest id
+that holds the window.  Overlapping windows of a document with the same owner
+are merged to a span; spans of different owners stay apart.
 
-Suffixes with equal contexts are folded into one row before sorting, and ranges
-are cut anywhere, so a passage that a third of all documents share lands in no
-one task.  What crosses the network is the kept places and, of repeated places
-only, 16-bit codes of the words around them.
+Windows of one kept place travel as one list, and equal lists are folded into one
+row before anything is gathered, so copies of a document cost one list.
 
-A passage is missed only if in both orders suffixes with a shorter match stand
-between all its occurrences at every kept place in it.  Word codes have 16 bits,
-so a span's end is one word too far with a chance of 2**-16.
+A passage is found whole and wherever it stands, but for 64-bit hashes that
+clash, with a chance of about 2**-64 a pair of windows.
 
 Defined cases: a null text is empty; texts under ``min_words`` words have no
 span; rows equal in key and text are one document; an empty table gives an empty
@@ -28,22 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import U, windows, word_keys
+from .words import U, mix, windows, word_keys
 
 
-def anchors(words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, k-gram) of every minimiser of the windows of ``min_words`` words."""
+def anchors(words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, place of its minimiser, k-gram there) of every window of ``min_words`` words."""
     wide = min_words - k + 1
     at, key = windows(words, k)
     if not len(at):
-        return at, key
+        return at, at, key
     # k-grams are laid out by place so that a window is a slice; the low bits carry the place
     grams = np.full(len(words.key), np.iinfo(U).max, U)
     grams[at] = key
@@ -58,19 +54,7 @@ def anchors(words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.arange(max(0, len(words.key) - min_words + 1))
     first = first[words.row[first] == words.row[first + min_words - 1]]
     place = first + ((least[first] - first.astype(U)) & low).astype(np.int64)
-    place = np.unique(place)
-    return place, grams[place]
-
-
-def codes(keys: np.ndarray) -> np.ndarray:
-    """16-bit word codes, never 0."""
-    return ((keys >> U(48)) % U(65535) + U(1)).astype(">u2")
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row of ``a`` and ``b``; code 0 is past the end."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    return first, place, grams[place]
 
 
 def _anchor_rows(base: DataFrame, k: int, min_words: int) -> DataFrame:
@@ -78,7 +62,9 @@ def _anchor_rows(base: DataFrame, k: int, min_words: int) -> DataFrame:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             for words in word_keys(batch.column("text"), lower=False):
-                place, gram = anchors(words, k, min_words)
+                _, place, gram = anchors(words, k, min_words)
+                place, one = np.unique(place, return_index=True)
+                gram = gram[one]
                 row = words.row[place]
                 pos = place - words.bounds()[row - words.first]
                 yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(gram.view(np.int64)), pa.array(pos, pa.int32())], names=["uid", "gram", "pos"])
@@ -86,120 +72,72 @@ def _anchor_rows(base: DataFrame, k: int, min_words: int) -> DataFrame:
     return base.select("uid", "text").mapInArrow(run, "uid long, gram long, pos int")
 
 
-def _contexts(listed: DataFrame, min_words: int) -> DataFrame:
-    """(uid, pos, cid, before, after, n_before, n_after) of the listed places (uid, text, places)."""
-    reach = min_words + 14
+def _lists(listed: DataFrame, k: int, min_words: int) -> DataFrame:
+    """(uid, start, cid, hashes): windows of ``min_words`` words from word ``start`` on, one after another, whose minimiser is one of ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, places = batch.column("uid").to_numpy(), batch.column("places")
+            owner, offsets = places.flatten().to_numpy(), places.offsets.to_numpy()
             for words in word_keys(batch.column("text"), lower=False):
-                code, cuts = codes(words.key), words.bounds()
-                out = []
-                for r in range(words.first, words.last):
-                    low, high = cuts[r - words.first], cuts[r - words.first + 1]
-                    pos = np.sort(places[r].values.to_numpy())
-                    own = np.concatenate([np.zeros(min_words, ">u2"), code[low:high], np.zeros(reach, ">u2")])
-                    take = pos[:, None] + min_words
-                    after = own[take + np.arange(reach)]
-                    before = own[take - 1 - np.arange(min_words - 1)]
-                    out.append((np.full(len(pos), uid[r]), pos, before, after))
-                if not out:
+                first, place, _ = anchors(words, k, min_words)
+                if not len(first):
+                    continue
+                cuts = words.bounds()
+                held = np.zeros(len(words.key), bool)
+                counts = np.diff(offsets[words.first : words.last + 1])
+                held[owner[offsets[words.first] : offsets[words.last]] + np.repeat(cuts[:-1], counts)] = True
+                at, key = windows(words, min_words)  # the same windows as ``first``
+                keep = held[place]
+                at, key, place = at[keep], key[keep], place[keep]
+                if not len(at):
                     continue
-                uids, pos, before, after = (np.concatenate(x) for x in zip(*out, strict=True))
-                flat = np.concatenate([before, after], axis=1)
+                begin = np.flatnonzero(np.r_[True, (np.diff(place) != 0) | (np.diff(at) != 1)])
+                size = np.diff(np.append(begin, len(at)))
                 with np.errstate(over="ignore"):
-                    weight = np.cumprod(np.full(flat.shape[1], 0xD6E8FEB86659FD93, U))
-                    cid = (flat.astype(U) * weight).sum(axis=1).view(np.int64)
-                pack = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(pos, pa.int32()), pa.array(cid), pack(before), pack(after)], names=["uid", "pos", "cid", "before", "after"])
-
-    return listed.mapInArrow(run, "uid long, pos int, cid long, before binary, after binary")
-
-
-_FOUND = "cid long, l int, r int, other long, edge int, before binary, after binary, low long, high long"
-
+                    step = (np.arange(len(at)) - np.repeat(begin, size)).astype(U)
+                    cid = mix(np.add.reduceat(mix(key + step * U(0xD6E8FEB86659FD93)), begin))
+                row = words.row[at[begin]]
+                hashes = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(at[begin] - cuts[row - words.first], pa.int32()), pa.array(cid.view(np.int64)), hashes], names=["uid", "start", "cid", "hashes"])
 
-def _compare(rows: pd.DataFrame, min_words: int) -> pd.DataFrame:
-    """Matches of neighbouring ``rows`` (cid, before, after, low, high) of at least ``min_words`` words, from both sides."""
-    if len(rows) < 2:
-        return pd.DataFrame({"cid": [], "l": [], "r": [], "other": []})
-    matrix = lambda c: np.frombuffer(b"".join(rows[c]), ">u2").reshape(len(rows), -1)
-    left, right = matrix("before"), matrix("after")
-    le, ri = shared(left[:-1], left[1:]), shared(right[:-1], right[1:])
-    cid, low, high = rows["cid"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy()
-    apart = ~((low[:-1] == low[1:]) & (high[:-1] == high[1:]) & (low[:-1] == high[:-1]))
-    i = np.flatnonzero((le + ri >= min_words) & apart)
-    return pd.DataFrame({"cid": np.r_[cid[i], cid[i + 1]], "l": np.r_[le[i], le[i]], "r": np.r_[ri[i], ri[i]], "other": np.r_[low[i + 1], low[i]]})
-
-
-def _neighbours(contexts: DataFrame, order: list[str], min_words: int) -> DataFrame:
-    """(cid, l, r, other) of neighbours when all contexts are sorted by ``order``."""
-    columns = ["cid", "before", "after", "low", "high"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last = TaskContext.get().partitionId(), None
-        for rows in frames:
-            if not len(rows):
-                continue
-            if last is None:
-                yield rows.iloc[:1].assign(edge=2 * part)
-            joined = rows if last is None else pd.concat([last, rows])
-            yield _compare(joined, min_words)
-            last = rows.iloc[-1:]
-        if last is not None:
-            yield last.assign(edge=2 * part + 1)
-
-    def pad(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in run(frames):
-            yield f.reindex(columns=["cid", "l", "r", "other", "edge", "before", "after", "low", "high"]).astype({c: "Int64" for c in ("cid", "l", "r", "other", "edge", "low", "high")})
-
-    ordered = contexts.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(ordered.mapInPandas(pad, _FOUND))
-    # the first and last row of each range meet here: two rows a task
-    edges = found.where(F.col("edge").isNotNull()).select(*columns, "edge")
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("edge")
-        ends, starts = rows[rows["edge"] % 2 == 1].iloc[:-1], rows[rows["edge"] % 2 == 0].iloc[1:]
-        return pd.concat([_compare(pd.concat([ends.iloc[i : i + 1], starts.iloc[i : i + 1]]), min_words) for i in range(len(starts))] or [_compare(rows[:0], min_words)])
-
-    met = edges.groupBy(F.lit(0).alias("all")).applyInPandas(meet, "cid long, l int, r int, other long")
-    return found.where(F.col("edge").isNull()).select("cid", "l", "r", "other").unionByName(met)
+    return listed.mapInArrow(run, "uid long, start int, cid long, hashes array<long>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, start, end, n_words, first_id): merged spans of words that another document holds too.
 
-    ``first_id`` is the smallest id seen among the documents that share the span.
+    ``first_id`` is the smallest id of all documents that hold the windows of the span.
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     places = cut(_anchor_rows(base, k, min_words))
     busy = places.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("gram")
     listed = places.join(busy, "gram", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("places"))
-    once = base.join(listed, "uid").select("uid", "text", "places")
-    occurrences = cut(_contexts(once, min_words))
-    contexts = cut(occurrences.groupBy("cid").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.min("uid").alias("low"), F.max("uid").alias("high")))
-
-    found = _neighbours(contexts, ["after", "before"], min_words).unionByName(_neighbours(contexts, ["before", "after"], min_words))
-    # contexts that several documents share match over their whole length: two bytes a word, zero past the ends
-    length = lambda c: F.length(F.regexp_replace(F.hex(c), "^((?:....)*?)(?:0000)*$", "$1")) / 4
-    whole = contexts.where("low < high").select("cid", length("before").cast("int").alias("l"), length("after").cast("int").alias("r"), F.col("low").alias("other"))
-    found = found.unionByName(whole.where(F.col("l") + F.col("r") >= min_words)).groupBy("cid").agg(F.collect_set(F.struct("l", "r")).alias("spans"), F.min("other").alias("other"))
-
-    spans = occurrences.select("uid", "pos", "cid").join(found, "cid")
-    spans = spans.select("uid", "other", F.explode(F.transform("spans", lambda s: F.struct((F.col("pos") - s["l"]).alias("a"), (F.col("pos") + s["r"]).alias("b")))).alias("s"))
-    per_doc = spans.groupBy("uid").agg(F.array_sort(F.collect_set("s")).alias("spans"), F.min("other").alias("other"))
+    ids = base.groupBy("uid").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    once = ids.join(listed, "uid")
+    occurrences = cut(_lists(once.select("uid", "text", "places"), k, min_words))
+    names = cut(once.select("uid", "id"))
+
+    contexts = cut(occurrences.join(names, "uid").groupBy("cid").agg(F.first("hashes").alias("hashes"), F.min("uid").alias("low"), F.max("uid").alias("high"), F.min("id").alias("owner")))
+    held = contexts.select("cid", "low", "high", "owner", F.posexplode("hashes").alias("j", "hash"))
+    runs = held.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("owner").alias("owner")).where("low < high").select("hash", "owner")
+    owned = held.select("cid", "j", "hash").join(runs, "hash").groupBy("cid", "owner").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    # windows in a row with the same owner are one piece
+    starts = F.filter("js", lambda j: ~F.array_contains("js", j - 1))
+    ends = F.filter("js", lambda j: ~F.array_contains("js", j + 1))
+    pieces = owned.select("cid", "owner", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + min_words).alias("b"))).alias("pieces"))
+
+    spans = occurrences.select("uid", "start", "cid").join(pieces, "cid")
+    spans = spans.select("uid", "owner", F.explode(F.transform("pieces", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))).alias("s"))
+    per_doc = spans.groupBy("uid", "owner").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
     def merge(acc, s):
         last = F.element_at(acc, -1)
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
         return F.when((F.size(acc) > 0) & (s["a"] <= F.try_element_at(acc, F.lit(-1))["b"]), grown).otherwise(F.concat(acc, F.array(s)))
 
-    merged = per_doc.select("uid", "other", F.explode(F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), merge)).alias("s"))
-    ids = base.select("uid", "id").distinct()
-    named = merged.join(ids, "uid").join(ids.select(F.col("uid").alias("other"), F.col("id").alias("other_id")), "other", "left")
-    return named.select(F.col("id").alias(key), F.col("s.a").alias("start"), F.col("s.b").alias("end"), (F.col("s.b") - F.col("s.a")).alias("n_words"), F.least("id", "other_id").alias("first_id"))
+    merged = per_doc.select("uid", "owner", F.explode(F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), merge)).alias("s"))
+    return merged.join(names, "uid").select(F.col("id").alias(key), F.col("s.a").alias("start"), F.col("s.b").alias("end"), (F.col("s.b") - F.col("s.a")).alias("n_words"), F.col("owner").alias("first_id"))
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,6 +105,37 @@ def test_op5_finds_shared_passages_alone(spark):
     assert cleaned[2]["text"] == " ".join(words_of(33, 300)) and cleaned[1]["text"] == docs.where("doc_id = 1").first()["text"]
 
 
+def brute_spans(texts, n=50):
+    """{(id, word): smallest id of the documents that hold a window over it}, over all shared windows."""
+    held = defaultdict(set)
+    for i, ws in texts.items():
+        for p in range(len(ws) - n + 1):
+            held[tuple(ws[p : p + n])].add(i)
+    return {(i, p + k, min(own)) for i, ws in texts.items() for p in range(len(ws) - n + 1) if len(own := held[tuple(ws[p : p + n])]) > 1 for k in range(n)}
+
+
+def spans_of(spark, rows):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    found = suffix_dedup.repeated_spans(docs, min_words=50).cache()
+    return docs, found, {(r["doc_id"], p, r["first_id"]) for r in found.collect() for p in range(r["start"], r["end"])}
+
+
+def test_op5_leaves_one_copy_of_each_passage(spark):
+    rng, rows = random.Random(3), {}
+    passages = {k: words_of(60, 10_000 + 100 * k) for k in range(40)}
+    holders = {k: rng.sample(range(30), 2 + k % 3) for k in passages}
+    for i in range(30):
+        rows[i] = words_of(20, 100_000 + 1000 * i)
+        for k in passages:
+            if i in holders[k]:
+                rows[i] += passages[k] + words_of(20, 100_100 + 1000 * i + 20 * k)
+    docs, found, words = spans_of(spark, rows)
+    assert words == brute_spans(rows)
+    cleaned = [r["text"] for r in suffix_dedup.cut_spans(docs, found).collect()]
+    assert all(sum(" ".join(p) in t for t in cleaned) == 1 for p in passages.values())
+    assert all(sum(t.split().count(w) for t in cleaned) == 1 for p in passages.values() for w in p)
+
+
 def test_op6_base_scores(spark, sf_dir, texts):
     tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
