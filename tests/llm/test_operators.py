@@ -136,6 +136,19 @@ def test_op5_leaves_one_copy_of_each_passage(spark):
     assert all(sum(t.split().count(w) for t in cleaned) == 1 for p in passages.values() for w in p)
 
 
+def test_op5_recall_among_shorter_matches_and_own_repeats(spark):
+    rng, rows = random.Random(4), {}
+    lines = [words_of(60, 10_000 + 100 * k) for k in range(10)]
+    fresh = lambda n: [f"z{rng.random()}" for _ in range(n)]
+    for i in range(300):
+        p, a = lines[i % 10], rng.randrange(5, 56)
+        rows[i] = fresh(30) + (p if i < 20 else p[:a] + fresh(20) + p[a:]) + fresh(30)
+    own = words_of(55, 50_000)
+    rows[300], rows[301] = fresh(10) + (own + fresh(3)) * 6, fresh(5) + own + fresh(60)
+    found, want = spans_of(spark, rows)[2], brute_spans(rows)
+    assert len(found & want) == len(want) and found == want
+
+
 def test_op6_base_scores(spark, sf_dir, texts):
     tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
