@@ -165,6 +165,49 @@ def test_op6_base_scores(spark, sf_dir, texts):
     assert sum(r["score"] for r in found.values() if r["held_out"]) > sum(r["base_score"] for r in found.values() if r["held_out"])
 
 
+def brute_katz(train, k=5):
+    """(unigram chance, chance after a context) of Katz bigrams over the token lists ``train``, with no bound on the words."""
+    one, two = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    total = sum(one.values())
+
+    def ratios(counts):
+        n = Counter(counts.values())
+        return [1, *katz.discounts([n[r] for r in range(1, k + 2)])[1:]]
+
+    d1, d2 = ratios(one), ratios(two)
+    chance = {w: (d1[c] if c <= k else 1) * c / total for w, c in one.items()}
+    unseen = 1 - sum(chance.values())
+    count, kept, lower = Counter(), Counter(), Counter()
+    for (a, w), c in two.items():
+        count[a] += c
+        kept[a] += (d2[c] if c <= k else 1) * c
+        lower[a] += chance[w]
+
+    def after(a, w):
+        c, n, low = two[a, w], count[a], chance.get(w, unseen)
+        if not n:
+            return low
+        scale = 1 if kept[a] < n * (1 - 1e-12) else n / (n + 1)
+        return scale * (d2[c] if c <= k else 1) * c / n if c else (1 - scale * kept[a] / n) / (1 - lower[a]) * low
+
+    return chance, after
+
+
+def test_op6_counts_bigrams_of_rare_words_too(spark):
+    rng = random.Random(9)
+    common = [f"c{rng.randrange(50)}" for _ in range(3000)]
+    texts = {i: [x for j in range(i * 20_000, (i + 1) * 20_000) for x in (common[j % 3000], f"r{j - (j % 8 == 1)}", f"s{j % 70_000}")] for i in range(14)}
+    texts |= {14: ["r5", "s5", "c1", "r77", "c3", "new", "r9", "s9"], 15: ["r400", "r401"], 16: []}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id long, text string")
+    tokens = {i: [*ws, "\n"] for i, ws in texts.items()}
+    chance, after = brute_katz([ws for i, ws in tokens.items() if i < 14])
+    assert len(chance) > 1 << 18
+    want = {i: sum(math.log10(after(a, w)) for a, w in zip([None, *ws], ws, strict=False)) for i, ws in tokens.items()}
+    found = katz.score(docs, F.col("doc_id") >= 14, bucket_tokens=1 << 16).collect()
+    assert {r["doc_id"]: r["score"] for r in found} == pytest.approx(want, rel=1e-9)
+    assert sum(after("r5", w) for w in chance) + after("r5", "new") == pytest.approx(1)
+
+
 def jaccard_components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
