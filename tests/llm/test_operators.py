@@ -73,6 +73,24 @@ def test_op3_model_separates_its_labels(spark):
     assert sum((r["url_filter"]["verdict"] == "block") == bool(r["label"]) for r in rows) >= 0.95 * len(rows)
 
 
+#: Hosts of the test pages that are to be blocked; none is in the training table.
+BAD_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def test_op3_blocks_hosts_held_out_of_training(spark, sf_dir):
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "pages").select("url").distinct()
+    known = {r["url"].split("/")[2].split(".example.")[0].split(".")[-1] for r in url_filter.labelled_urls(spark).collect()}
+    judged = [(r["url_filter"]["host"], r["url_filter"]["verdict"]) for r in url_filter.judge_urls(pages, url_filter.labelled_urls(spark), []).collect()]
+    names = [(h.split(".example.")[0].split(".")[-1], v) for h, v in judged if ".example." in h]
+    assert not {n for n, _ in names} & known
+    bad, clean = ([v == "block" for n, v in names if (n in BAD_HOSTS) == kind] for kind in (True, False))
+    print(f"caught {sum(bad)} of {len(bad)}, clean blocked {sum(clean)} of {len(clean)}")
+    for host in BAD_HOSTS:
+        verdicts = [v for n, v in names if n == host]
+        assert verdicts.count("block") >= 0.9 * len(verdicts), host
+    assert sum(bad) >= 0.95 * len(bad) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_op4_keeps_type_distinctness_and_coreference(spark):
     text = "Mr John Smith and Mrs Anna Smith wrote to a.b@mail.org, A.B@mail.org, c@mail.org; call +44 20 7946 0958 or +44-20-7946-0958; 4111 1111 1111 1111; 10.1.2.3"
     docs = spark.createDataFrame([(1, text), (2, "Mail c@mail.org now"), (3, None), (4, "nothing here"), (5, "")], "doc_id long, text string")
