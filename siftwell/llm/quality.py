@@ -1,18 +1,28 @@
-"""Quality rules: hashed n-gram log-likelihood ratio, plus fixed surface rules.
+"""Quality rules: hashed n-gram log-likelihood ratios, plus fixed surface rules.
 
 Two multinomials over ``buckets`` hashed word unigrams and bigrams are
 estimated, one from trusted (target) documents and one from the raw corpus.  A
 document's score is the mean log ratio of its n-grams under the two, so it does
 not depend on length; documents scoring below ``threshold`` are rejected.
 
-Only SQL functions are used.  Counting pre-aggregates to at most ``buckets``
-rows per task; scoring reads the weights as one scalar-subquery array of
-``buckets`` doubles, so no document is shuffled and no key can be hot.
+A mean hides a few bad words in long prose, so a second ratio of the same kind
+looks at the strongest n-grams alone: the rate of a hashed word stem (its first
+``STEM`` letters) among labelled toxic documents over its rate among all
+documents, each counted once a document.  A document's ``toxic_score`` is the
+ratio of its second strongest stem, or of its ``words / 300``-th in longer texts,
+so length is normalised by rank; documents at ``toxic_threshold`` or above are
+rejected.
+
+Only SQL functions are used.  Counting pre-aggregates to at most
+``2 * buckets + 1`` rows per task; scoring reads the weights as one
+scalar-subquery array of that many doubles, so no document is shuffled and no key
+can be hot.
 
 Defined cases: a null text counts as empty; a text without n-grams scores 0.0
 and falls to the surface rules; repeated rows are judged alike; an empty table
-gives an empty result; with no trusted document every score is 0.0.  Columns of
-the input are all kept, and working columns never clash with them.
+gives an empty result; with no trusted document every score is 0.0, and with no
+toxic one every toxic score is 0.0 or less; an id labelled both ways counts for
+both.  Columns of the input are all kept, and working columns never clash with them.
 """
 
 from __future__ import annotations
@@ -25,6 +35,9 @@ from .common import SPACE, free_name
 #: Words and runs of symbols: junk differs from prose mostly in its symbols and its letter case.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 
+#: Letters of a word that its stem keeps, so that inflected forms share a bucket.
+STEM = 5
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
@@ -36,7 +49,10 @@ def rest_from(items: Column, first: int) -> Column:
 
 
 def hashed_ngrams(text: Column, buckets: int) -> Column:
-    """Bucket numbers of the unigrams and bigrams of ``text``; null entries stand for no n-gram."""
+    """Struct (grams, stems) of ``text``: buckets of its unigrams and bigrams, from 0, and of its word stems, from ``buckets``.
+
+    Of ``grams`` one null entry, where the last word has no successor, stands for no n-gram.
+    """
     mask = F.lit(buckets - 1)
 
     def grams(hashes: Column) -> Column:
@@ -45,28 +61,49 @@ def hashed_ngrams(text: Column, buckets: int) -> Column:
         double = F.zip_with(hashes, rest_from(hashes, 2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(mask).cast("int")))
         return F.concat(single, double)
 
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return bound(F.transform(tokens, lambda t: F.xxhash64(t)), grams)
+    def both(tokens: Column) -> Column:
+        # letter case tells junk from prose, so only the stems' letters are folded
+        stems = F.transform(tokens, lambda t: (F.xxhash64(F.lower(F.substring(t, 1, STEM))).bitwiseAND(mask) + buckets).cast("int"))
+        return F.struct(bound(F.transform(tokens, lambda t: F.xxhash64(t)), grams).alias("grams"), stems.alias("stems"))
+
+    return bound(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), both)
 
 
-def ngram_weights(docs: DataFrame, trusted: Column, buckets: int, prior: float) -> DataFrame:
-    """One row, ``weights``: log p_target - log p_raw of each bucket.
+def ngram_weights(docs: DataFrame, buckets: int, prior: float, toxic_prior: float) -> DataFrame:
+    """One row, ``weights``: log p_target - log p_raw of each n-gram bucket, then the log ratio of rates of each stem bucket.
 
-    The target multinomial is mixed with the raw one, ``prior`` parts of it to one
-    part of target, so an n-gram the trusted set lacks costs the same bounded
-    amount, log(prior / (1 + prior)), whatever the size of the corpus.
+    ``docs``: text, target, toxic (0 or 1).  The target multinomial is mixed with
+    the raw one, ``prior`` parts of it to one part of target, so an n-gram the
+    trusted set lacks costs the same bounded amount, log(prior / (1 + prior)),
+    whatever the size of the corpus.  ``toxic_prior`` is added to both rates of
+    a stem, so neither does a rare stem's ratio grow with the corpus.
     """
-    grams = docs.select(trusted.cast("long").alias("target"), F.explode(hashed_ngrams(F.col("text"), buckets)).alias("bucket"))
+    g = hashed_ngrams(F.col("text"), buckets)
+    # the last bucket counts documents
+    grams = docs.select("target", "toxic", F.explode(bound(g, lambda x: F.concat(x["grams"], F.array_distinct(x["stems"]), F.array(F.lit(2 * buckets))))).alias("bucket"))
     grams = grams.where(F.col("bucket").isNotNull()).withColumn("raw", F.lit(1).cast("long"))
     # every bucket gets a row, so that the sorted list below is indexed by bucket
-    slots = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
-    counts = grams.unionByName(slots).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    # collect_list holds ``buckets`` entries, whatever the corpus
-    model = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("listed"))
+    zero = F.lit(0).cast("long")
+    slots = docs.sparkSession.range(2 * buckets + 1).select(F.col("id").cast("int").alias("bucket"), zero.alias("raw"), zero.alias("target"), zero.alias("toxic"))
+    counts = grams.unionByName(slots).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "toxic")])
+    word, doc = F.col("bucket") < buckets, F.col("bucket") == 2 * buckets
+    # collect_list holds ``2 * buckets + 1`` entries, whatever the corpus
+    model = counts.agg(
+        F.sum(F.when(word, F.col("raw"))).alias("n_raw"),
+        F.sum(F.when(word, F.col("target"))).alias("n_target"),
+        F.sum(F.when(doc, F.col("raw"))).alias("n_docs"),
+        F.sum(F.when(doc, F.col("toxic"))).alias("n_toxic"),
+        F.array_sort(F.collect_list(F.struct("bucket", "raw", "target", "toxic"))).alias("listed"),
+    )
 
     def weight(e: Column) -> Column:
         ratio = F.coalesce(e["target"] / F.nullif("n_target", F.lit(0)) / (e["raw"] / F.col("n_raw")), F.lit(1.0))
-        return F.when(e["raw"] > 0, F.log((ratio + prior) / (1 + prior))).otherwise(F.lit(0.0))
+        toxic = F.coalesce(e["toxic"] / F.nullif("n_toxic", F.lit(0)), F.lit(0.0))
+        return (
+            F.when(e["raw"] == 0, F.lit(0.0))
+            .when(e["bucket"] < buckets, F.log((ratio + prior) / (1 + prior)))
+            .otherwise(F.log((toxic + toxic_prior) / (e["raw"] / F.col("n_docs") + toxic_prior)))
+        )
 
     return model.select(F.transform("listed", weight).alias("weights"))
 
@@ -119,10 +156,16 @@ def surface_stats(text: Column) -> Column:
     )
 
 
-def trusted_sample(labels: DataFrame, limit: int) -> DataFrame:
-    """Ids of at most ``limit`` trusted documents, chosen by hash: the bounded sample the target is fitted on."""
-    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def labelled_sample(labels: DataFrame, limit: int) -> DataFrame:
+    """(label_id, target, toxic): at most ``limit`` trusted and as many toxic documents, chosen by hash."""
+
+    def some(condition: Column, flag: str) -> DataFrame:
+        ids = labels.where(condition & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        return ids.select("doc_id", *[F.lit(int(c == flag)).cast("long").alias(c) for c in ("target", "toxic")])
+
+    good = F.col("quality") == 1
+    both = some(good & (F.col("toxic") == 0), "target").unionByName(some(good & (F.col("toxic") == 1), "toxic"))
+    return both.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("target").alias("target"), F.max("toxic").alias("toxic"))
 
 
 def judge(
@@ -131,46 +174,52 @@ def judge(
     buckets: int = 1 << 16,
     prior: float = 0.2,
     threshold: float = -0.4,
-    trusted_limit: int = 20_000,
+    toxic_prior: float = 0.02,
+    toxic_threshold: float = 0.75,
+    label_limit: int = 20_000,
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
-    """``docs`` with one struct column ``quality`` more (n_words, ..., base_failed, score, kept).
+    """``docs`` with one struct column ``quality`` more (n_words, ..., base_failed, score, toxic_score, kept).
 
     On the labelled tables, junk scores below -0.48 and good text above -0.28;
-    ``threshold`` lies between.  ``trusted_limit`` bounds the labelled sample (and the broadcast of its ids);
-    the raw counts always cover every document.
+    ``threshold`` lies between.  ``label_limit`` bounds each labelled sample (and
+    the broadcast of its ids); the raw counts always cover every document.
     """
-    flag, out = free_name(docs, "trusted"), free_name(docs, "quality")
-    ids = trusted_sample(labels, trusted_limit).select(F.col("doc_id").alias("label_id"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias(flag))
-    weights = ngram_weights(marked, F.col(flag), buckets, prior).scalar()
-
-    grams, w, s = free_name(docs, "grams"), free_name(docs, "weights"), free_name(docs, "surface")
-    score = F.aggregate(
-        F.col(grams),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-        lambda acc, g: F.struct(
-            (acc["sum"] + F.coalesce(F.get(F.col(w), g), F.lit(0.0))).alias("sum"), (acc["n"] + g.isNotNull().cast("long")).alias("n")
-        ),
-        lambda acc: F.when(acc["n"] > 0, acc["sum"] / acc["n"]).otherwise(F.lit(0.0)),
-    )
-    staged = docs.withColumn(grams, hashed_ngrams(F.col("text"), buckets)).withColumn(w, weights)
-    staged = staged.withColumn(grams, score).withColumn(s, surface_stats(F.col("text")))
-    failed = (F.col(f"{s}.w.n_words") < min_words) | (100 * F.col(f"{s}.w.n_repeat_words") > max_repeat_percent * F.col(f"{s}.w.n_words"))
-    return staged.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(
-            F.col(f"{s}.w.n_words").alias("n_words"),
-            F.col(f"{s}.word_chars").alias("word_chars"),
-            F.col(f"{s}.n_symbols").alias("n_symbols"),
-            F.col(f"{s}.n_dup_lines").alias("n_dup_lines"),
-            F.col(f"{s}.w.n_repeat_words").alias("n_repeat_words"),
+    out = free_name(docs, "quality")
+    marked = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, label_limit)), F.col("doc_id") == F.col("label_id"), "left")
+    marked = marked.select("text", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("target", "toxic")])
+    weights = ngram_weights(marked, buckets, prior, toxic_prior).scalar()
+
+    w = free_name(docs, "weights")
+    of = lambda bucket: F.coalesce(F.get(F.col(w), bucket), F.lit(0.0))
+
+    def scores(g: Column) -> Column:
+        n = F.size(g["grams"]) - 1
+        mean = F.when(n > 0, F.aggregate(g["grams"], F.lit(0.0), lambda acc, x: acc + of(x)) / n).otherwise(F.lit(0.0))
+        rank = F.greatest(F.lit(2), F.ceil(F.size(g["stems"]) / 300).cast("int"))
+        # only positive ratios are sorted: there are few
+        strong = F.sort_array(F.filter(F.transform(g["stems"], of), lambda x: x > 0), asc=False)
+        return F.struct(mean.alias("score"), bound(strong, lambda s: F.coalesce(F.get(s, rank - 1), F.lit(0.0))).alias("toxic_score"))
+
+    def verdict(x: Column) -> Column:
+        s, m = x["surface"], x["model"]
+        failed = (s["w"]["n_words"] < min_words) | (100 * s["w"]["n_repeat_words"] > max_repeat_percent * s["w"]["n_words"])
+        return F.struct(
+            s["w"]["n_words"].alias("n_words"),
+            s["word_chars"].alias("word_chars"),
+            s["n_symbols"].alias("n_symbols"),
+            s["n_dup_lines"].alias("n_dup_lines"),
+            s["w"]["n_repeat_words"].alias("n_repeat_words"),
             failed.alias("base_failed"),
-            F.col(grams).alias("score"),
-            (~failed & (F.col(grams) >= threshold)).alias("kept"),
-        ).alias(out),
-    )
+            m["score"].alias("score"),
+            m["toxic_score"].alias("toxic_score"),
+            (~failed & (m["score"] >= threshold) & (m["toxic_score"] < toxic_threshold)).alias("kept"),
+        )
+
+    # one bound expression, so a filter on the verdict evaluates its parts once
+    found = F.struct(surface_stats(F.col("text")).alias("surface"), bound(hashed_ngrams(F.col("text"), buckets), scores).alias("model"))
+    return docs.withColumn(w, weights).select(*[F.col(f"`{c}`") for c in docs.columns], bound(found, verdict).alias(out))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
