@@ -3,22 +3,27 @@
 Entities (e-mail addresses, IPv4 addresses, payment card numbers, social
 security numbers, phone numbers, and names after a courtesy title) are found in
 whole texts.  Every distinct entity of the corpus gets one surrogate, drawn by a
-keyed hash: names keep gender (from the title) and script, numbers keep their
-length and punctuation (cards also their check sum and first digit), addresses
-keep their shape and top-level domain.  So equal entities stay equal wherever
-they occur, under any punctuation.
+keyed hash: names keep gender (from the title), script and about their length,
+numbers keep their length and punctuation (cards also their check sum and first
+digit), addresses keep their shape and top-level domain, and e-mail addresses of
+one domain share its surrogate.  So equal entities stay equal wherever they
+occur, under any punctuation.  A name that a text holds after a title is replaced
+at its bare mentions in that text too, as it is written there or in capitals.
 
 Collision checks keep different entities different: a drawn surrogate that
 equals a real entity of the corpus, one already given, or one drawn by another
 entity in the same round is drawn again, from a wider space in later rounds,
-until every entity has its own.
+until every entity has its own.  Given names, surnames and both genders share
+one space, so no surrogate of a name is a real name of any kind.
 
 Only SQL functions are used.  Only documents with an entity take part in
 shuffles; equal texts are resolved once, so groups of copies cost one row, and
 entity joins have one row per entity on one side, so Spark can split a hot one.
+The patterns repeat groups possessively, so no text is long enough to recurse in.
 
 Defined cases: a null text stays null; a text without entities is unchanged; an
-empty table gives an empty result; input columns are kept.
+empty table gives an empty result; a bare name that a text holds as two kinds
+gets the surrogate of the first; input columns are kept.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: (kind, pattern), in order of precedence at one place; each becomes one capturing group.
 KINDS = [
-    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++"),
     ("ip", rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)"),
     ("card", r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"),
@@ -55,18 +60,16 @@ NAMED = r"Mr|Ms|Herr|Frau|Señor|Monsieur|Madame|Господин|Госпожа
 #: A cheap test that every text with an entity passes.
 HINT = rf"[@0-9]|{NAMED}"
 
-#: Given names and surname parts that surrogates are drawn from.  Fixed values.
-NAMES = {
-    ("male", "Latin"): "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karl Leon Martin Noah Oscar Paul Robert Simon Thomas Victor".split(),
-    ("female", "Latin"): "Alice Bella Clara Diana Emma Flora Greta Hanna Irene Julia Klara Laura Maria Nora Olivia Paula Rosa Sofia Teresa Vera".split(),
-    ("surname", "Latin"): "Abel Barlow Castell Dorn Ebner Farrow Garland Harlow Ibarra Jansen Keller Lorenz Merton Norden Orwin Parish Quint Rowan Salter Tolland".split(),
-    ("male", "Cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Илья Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
-    ("female", "Cyrillic"): "Алиса Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Рита".split(),
-    ("surname", "Cyrillic"): "Абрам Белк Волк Гром Дубр Ершов Жар Зимин Ильин Крыл Лебед Мороз Носк Орл Петр Рыбак".split(),
-    ("male", "Greek"): "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Θάνος Κώστας Λουκάς Μάριος Νίκος".split(),
-    ("female", "Greek"): "Άννα Βάσω Γεωργία Δάφνη Ελένη Ζωή Ηρώ Κατερίνα Μαρία Νίκη".split(),
-    ("surname", "Greek"): "Αγγέλου Βλάχος Γαλάνης Δούκας Ζήσης Θεοδώρου Ιωάννου Καλογήρου Λάμπρου Μάνος".split(),
+#: What may be a bare mention of a name.
+MENTION = r"(?<![\p{L}\p{N}])\p{Lu}(?:[\p{Ll}\p{M}]{1,40}|[\p{Lu}\p{M}]{1,40})(?![\p{L}\p{N}])"
+
+#: Sixteen consonants and sixteen vowels of each script, and the endings of each kind of name.  Fixed values.
+SOUNDS = {
+    "Latin": ("bcdfghjklmnprstv", "aeioaeiuaeioaeiu", {"male": "n", "female": "na", "surname": "r"}),
+    "Cyrillic": ("бвгджзклмнпрстфх", "аеиоаеиуаеиоаеиу", {"male": "н", "female": "на", "surname": "ков"}),
+    "Greek": ("βγδζθκλμνξπρστφχ", "αειοαειοαειοαειο", {"male": "νος", "female": "να", "surname": "ρης"}),
 }
+NAME_KINDS = ("male", "female", "surname")
 LETTERS = {"Latin": "abcdefghijklmnop", "Cyrillic": "абвгдежзиклмнопр", "Greek": "αβγδεζηθικλμνξοπ"}
 
 
@@ -118,10 +121,20 @@ def entities(text: Column) -> Column:
     return F.transform(matches, one)
 
 
-def draw(kind: Column, canon: Column, turn: int, key: str) -> Column:
-    """The keyed surrogate (canonical form) of an entity in round ``turn``; later rounds draw from wider spaces."""
-    mark = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(turn))), 256)
-    more = F.sha2(F.concat(F.lit(key), mark), 256)
+def space_of(kind: Column) -> Column:
+    """Kinds of one space never share a surrogate."""
+    return F.when(kind.isin(*NAME_KINDS), "name").otherwise(kind)
+
+
+def keyed_hash(kind: Column, canon: Column, turn: int, key: str) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(turn))), 256)
+
+
+def draw(kind: Column, canon: Column, host: Column, mark: Column, more: Column, turn: int) -> Column:
+    """The keyed surrogate (canonical form) of an entity in round ``turn``; later rounds draw from wider spaces.
+
+    ``host``: the surrogate of an e-mail address's domain; ``mark``, ``more``: two keyed hashes in hexadecimal.
+    """
 
     def number(k: int) -> Column:  # 9 decimal digits from 15 hex digits
         part = F.substring(F.concat(mark, more), 1 + 15 * k, 15)
@@ -141,30 +154,36 @@ def draw(kind: Column, canon: Column, turn: int, key: str) -> Column:
     ip = F.concat_ws(".", *[octet(k) for k in range(4)]) if turn < 8 else F.concat(F.lit("2001:db8::"), F.substring(mark, 1, 4 + turn))
 
     script = script_of(canon)
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     letters = F.coalesce(*[F.when(script == s, F.translate(F.concat(mark, more), "0123456789abcdef", a)) for s, a in LETTERS.items()])
     at = lambda s, i: s.substr(i % 64 + 1, F.lit(1))
 
-    def shaped(c: Column, i: Column) -> Column:
-        return F.when(c.rlike(r"^\p{L}$"), at(letters, i)).when(c.rlike(r"^\p{N}$"), at(random_digits, i % 36)).otherwise(c)
+    def shaped(x: Column) -> Column:
+        one = lambda c, i: F.when(c.rlike(r"^\p{L}$"), at(x["letters"], i)).when(c.rlike(r"^\p{N}$"), at(x["digits"], i % 36)).otherwise(c)
+        return F.array_join(F.transform(x["chars"], one), "")
 
+    local = F.substring_index(canon, "@", 1)
     chars = F.filter(F.split(F.rpad(local, F.greatest(F.length(local), F.lit(6 + turn)).cast("int"), "x"), ""), lambda c: c != "")
-    host = F.concat(F.lit("mail"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), 1, 6), F.lit(".example."), F.substring_index(domain, ".", -1))
-    email = F.concat(F.array_join(F.transform(chars, shaped), ""), F.lit("@"), host)
+    email = F.concat(bound(F.struct(letters.alias("letters"), random_digits.alias("digits"), chars.alias("chars")), shaped), F.lit("@"), host)
+
+    def syllables(script: str, count: Column) -> Column:
+        consonants, vowels, _ = SOUNDS[script]
+        sounds = lambda marks, alphabet: F.translate(marks, "0123456789abcdef", alphabet)
+        both = F.struct(sounds(mark, consonants).alias("c"), sounds(more, vowels).alias("v"))
+        return bound(both, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(at(x["c"], i), at(x["v"], i))), ""))
 
     def name() -> Column:
-        # a compound of turn + 1 names, so each round's space is a name list times larger
         picks = []
-        for (k, s), listed in NAMES.items():
-            parts = [F.get(F.array(*map(F.lit, listed)), (F.conv(F.substring(F.concat(mark, more), 1 + 4 * (j % 30), 4), 16, 10).cast("int") % len(listed))) for j in range(turn + 1)]
-            joined = F.concat_ws("-", *parts)
-            if (k, s) == ("surname", "Cyrillic"):
-                joined = F.concat(joined, F.when(canon.endswith("а"), "ова").otherwise("ов"))
-            picks.append(F.when((kind == k) & (script == s), joined))
+        for s, (_, _, endings) in SOUNDS.items():
+            for k, ending in endings.items():
+                # a syllable more in each round: its space is some hundred times larger
+                count = F.greatest(F.lit(2), ((F.length(canon) - len(ending) + 1) / 2).cast("int")) + turn
+                end = F.when(canon.endswith("а"), "кова").otherwise("ков") if (k, s) == ("surname", "Cyrillic") else F.lit(ending)
+                picks.append(F.when((kind == k) & (script == s), F.concat(F.initcap(syllables(s, count)), end)))
         return F.coalesce(*picks)
 
     return (
-        F.when(kind == "email", email)
+        F.when(kind == "domain", F.concat(syllables("Latin", F.lit(4 + turn)), F.lit(".example."), F.substring_index(canon, ".", -1)))
+        .when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "phone", phone)
@@ -174,16 +193,20 @@ def draw(kind: Column, canon: Column, turn: int, key: str) -> Column:
 
 
 def assign(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, surrogate) of every distinct (kind, canon) in ``found``, all surrogates distinct and none a real entity."""
-    real = cut(found.select("kind", "canon").distinct())
+    """(kind, canon, surrogate) of every distinct (kind, canon, host) in ``found``, all surrogates distinct and none a real entity."""
+    real = cut(found.select("kind", "canon", "host").distinct())
     pending, given, turn = real, [], 0
-    folded = real.select("kind", F.lower("canon").alias("form"))
+    space = space_of(F.col("kind")).alias("space")
+    folded = real.select(space, F.lower("canon").alias("form"))
     while True:
-        drawn = pending.withColumn("surrogate", draw(F.col("kind"), F.col("canon"), turn, key)).withColumn("form", F.lower("surrogate"))
-        free = drawn.join(folded, ["kind", "form"], "left_anti")
+        hashed = pending.withColumn("mark", keyed_hash(F.col("kind"), F.col("canon"), turn, key)).withColumn("more", F.sha2(F.concat(F.lit(key), "mark"), 256))
+        drawn = hashed.withColumn("surrogate", draw(*[F.col(c) for c in ("kind", "canon", "host", "mark", "more")], turn)).drop("mark", "more")
+        drawn = drawn.withColumns({"form": F.lower("surrogate"), "space": space})
+        free = drawn.join(folded, ["space", "form"], "left_anti")
         for old in given:
-            free = free.join(old.select("kind", "form"), ["kind", "form"], "left_anti")
-        won = cut(free.groupBy("kind", "form").agg(F.min(F.struct("canon", "surrogate")).alias("w")).select("kind", "form", "w.canon", "w.surrogate"))
+            free = free.join(old.select("space", "form"), ["space", "form"], "left_anti")
+        won = free.groupBy("space", "form").agg(F.min(F.struct("kind", "canon", "surrogate")).alias("w"))
+        won = cut(won.select("space", "form", "w.kind", "w.canon", "w.surrogate"))
         given.append(won)
         pending = cut(pending.join(won, ["kind", "canon"], "left_anti"))
         if pending.isEmpty():
@@ -209,10 +232,21 @@ def render(kind: Column, raw: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("card", "phone", "ssn"), bound(_digits(surrogate), fill)).otherwise(surrogate)
 
 
+def with_mentions(part: Column, names: Column) -> Column:
+    """``part`` with every bare mention of one of ``names``, (lowered name, surrogate), replaced."""
+
+    def one(word: Column) -> Column:
+        place = F.array_position(F.transform(names, lambda x: x["canon"]), F.lower(word))
+        return F.when(place > 0, bound(F.get(names, (place - 1).cast("int"))["shown"], lambda x: F.when(word == F.upper(word), F.upper(x)).otherwise(x))).otherwise(word)
+
+    words = F.transform(F.regexp_extract_all(part, F.lit(MENTION), F.lit(0)), one)
+    return F.array_join(F.zip_with(F.split(part, MENTION, -1), words, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+
+
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with replaced texts and a column ``pii`` more: array of (kind, surrogate) in order of place.
 
-    ``key`` is the secret that surrogates depend on.
+    ``key`` is the secret that surrogates depend on.  Bare mentions are replaced but not listed.
     """
     out, mark, tag = free_name(docs, "pii"), free_name(docs, "text_key"), free_name(docs, "given")
     text = F.col(f"`{text_col}`")
@@ -224,13 +258,23 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     matches = hits.groupBy(mark).agg(F.first(text).alias("text")).select(mark, F.posexplode(entities(F.col("text"))).alias("pos", "e")).select(mark, "pos", "e.*")
     matches = cut(matches)
-    given = assign(matches.where(F.col("canon").isNotNull()), key)
+    real = matches.where(F.col("canon").isNotNull())
+    domain = F.when(F.col("kind") == "email", F.substring_index("canon", "@", -1)).alias("domain")
+    hosts = assign(real.where(F.col("kind") == "email").select(F.lit("domain").alias("kind"), domain.alias("canon"), F.lit(None).cast("string").alias("host")), key)
+    hosts = hosts.select(F.col("canon").alias("domain"), F.col("surrogate").alias("host"))
+    given = assign(real.select("kind", "canon", domain).distinct().join(hosts, "domain", "left"), key)
     named = matches.join(given, ["kind", "canon"], "left")
     shown = F.coalesce(render(F.col("kind"), F.col("raw"), F.col("surrogate")), F.col("raw"))
-    lists = named.groupBy(mark).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown"), F.col("surrogate").isNotNull().alias("real"), "kind"))).alias(tag))
+    lists = named.groupBy(mark).agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown"), F.col("surrogate").isNotNull().alias("real"), "kind", "canon"))).alias(tag))
 
     joined = hits.join(lists, mark)
-    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col(tag), lambda part, g: F.concat(part, F.coalesce(g["shown"], F.lit(""))))
+    names = F.array_distinct(F.transform(F.filter(F.col(tag), lambda g: g["real"] & g["kind"].isin(*NAME_KINDS)), lambda g: F.struct(g["canon"], g["shown"])))
+
+    def rebuilt(ns: Column) -> Column:
+        parts = F.split(text, ENTITY, -1)
+        parts = F.when(F.size(ns) > 0, F.transform(parts, lambda p: with_mentions(p, ns))).otherwise(parts)
+        return F.array_join(F.zip_with(parts, F.col(tag), lambda part, g: F.concat(part, F.coalesce(g["shown"], F.lit("")))), "")
+
     given_list = F.transform(F.filter(F.col(tag), lambda g: g["real"]), lambda g: F.struct(g["kind"].alias("kind"), g["shown"].alias("surrogate")))
-    changed = joined.select(*[F.array_join(pieces, "").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], given_list.alias(out))
+    changed = joined.select(*[bound(names, rebuilt).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], given_list.alias(out))
     return rest.unionByName(changed)

@@ -40,7 +40,8 @@ STEM = 5
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return bound(trimmed, lambda t: F.when(t != "", F.split(t, f"{SPACE}+")).otherwise(F.array().cast("array<string>")))
 
 
 def rest_from(items: Column, first: int) -> Column:
@@ -49,42 +50,40 @@ def rest_from(items: Column, first: int) -> Column:
 
 
 def hashed_ngrams(text: Column, buckets: int) -> Column:
-    """Struct (grams, stems) of ``text``: buckets of its unigrams and bigrams, from 0, and of its word stems, from ``buckets``.
-
-    Of ``grams`` one null entry, where the last word has no successor, stands for no n-gram.
-    """
+    """Struct (grams, stems) of ``text``: buckets of its unigrams and bigrams, the last word's with the end included, and of its word stems."""
     mask = F.lit(buckets - 1)
 
     def grams(hashes: Column) -> Column:
-        # the constants keep unigrams and bigrams of equal hash input apart
-        single = F.transform(hashes, lambda a: F.xxhash64(a, F.lit(1)).bitwiseAND(mask).cast("int"))
-        double = F.zip_with(hashes, rest_from(hashes, 2), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(mask).cast("int")))
-        return F.concat(single, double)
+        single = F.transform(hashes, lambda a: a.bitwiseAND(mask))
+        # zip_with pads with null, which the hash passes over
+        return F.concat(single, F.zip_with(hashes, rest_from(hashes, 2), lambda a, b: F.xxhash64(a, b).bitwiseAND(mask)))
 
     def both(tokens: Column) -> Column:
         # letter case tells junk from prose, so only the stems' letters are folded
-        stems = F.transform(tokens, lambda t: (F.xxhash64(F.lower(F.substring(t, 1, STEM))).bitwiseAND(mask) + buckets).cast("int"))
+        stems = F.transform(tokens, lambda t: F.xxhash64(F.lower(F.substring(t, 1, STEM))).bitwiseAND(mask))
         return F.struct(bound(F.transform(tokens, lambda t: F.xxhash64(t)), grams).alias("grams"), stems.alias("stems"))
 
     return bound(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), both)
 
 
-def ngram_weights(docs: DataFrame, buckets: int, prior: float, toxic_prior: float) -> DataFrame:
+def ngram_weights(docs: DataFrame, buckets: int, prior: float, toxic_prior: float, toxic_count: float) -> DataFrame:
     """One row, ``weights``: log p_target - log p_raw of each n-gram bucket, then the log ratio of rates of each stem bucket.
 
     ``docs``: text, target, toxic (0 or 1).  The target multinomial is mixed with
     the raw one, ``prior`` parts of it to one part of target, so an n-gram the
     trusted set lacks costs the same bounded amount, log(prior / (1 + prior)),
-    whatever the size of the corpus.  ``toxic_prior`` is added to both rates of
-    a stem, so neither does a rare stem's ratio grow with the corpus.
+    whatever the size of the corpus.  ``toxic_prior`` and ``toxic_count`` labelled
+    documents are added to both rates of a stem, so neither does a rare stem's
+    ratio grow with the corpus, nor does chance decide where labels are few.
     """
     g = hashed_ngrams(F.col("text"), buckets)
     # the last bucket counts documents
-    grams = docs.select("target", "toxic", F.explode(bound(g, lambda x: F.concat(x["grams"], F.array_distinct(x["stems"]), F.array(F.lit(2 * buckets))))).alias("bucket"))
-    grams = grams.where(F.col("bucket").isNotNull()).withColumn("raw", F.lit(1).cast("long"))
+    stems = lambda x: F.transform(F.array_distinct(x["stems"]), lambda s: s + buckets)
+    listed = bound(g, lambda x: F.concat(x["grams"], stems(x), F.array(F.lit(2 * buckets).cast("long"))))
+    grams = docs.select("target", "toxic", F.explode(listed).alias("bucket")).withColumn("raw", F.lit(1).cast("long"))
     # every bucket gets a row, so that the sorted list below is indexed by bucket
     zero = F.lit(0).cast("long")
-    slots = docs.sparkSession.range(2 * buckets + 1).select(F.col("id").cast("int").alias("bucket"), zero.alias("raw"), zero.alias("target"), zero.alias("toxic"))
+    slots = docs.sparkSession.range(2 * buckets + 1).select(F.col("id").alias("bucket"), zero.alias("raw"), zero.alias("target"), zero.alias("toxic"))
     counts = grams.unionByName(slots).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "toxic")])
     word, doc = F.col("bucket") < buckets, F.col("bucket") == 2 * buckets
     # collect_list holds ``2 * buckets + 1`` entries, whatever the corpus
@@ -98,11 +97,12 @@ def ngram_weights(docs: DataFrame, buckets: int, prior: float, toxic_prior: floa
 
     def weight(e: Column) -> Column:
         ratio = F.coalesce(e["target"] / F.nullif("n_target", F.lit(0)) / (e["raw"] / F.col("n_raw")), F.lit(1.0))
-        toxic = F.coalesce(e["toxic"] / F.nullif("n_toxic", F.lit(0)), F.lit(0.0))
+        # numbers of toxic documents: those with the stem, and those expected of as many documents of the corpus
+        expected, added = e["raw"] / F.col("n_docs") * F.col("n_toxic"), toxic_prior * F.col("n_toxic") + toxic_count
         return (
             F.when(e["raw"] == 0, F.lit(0.0))
             .when(e["bucket"] < buckets, F.log((ratio + prior) / (1 + prior)))
-            .otherwise(F.log((toxic + toxic_prior) / (e["raw"] / F.col("n_docs") + toxic_prior)))
+            .otherwise(F.log((e["toxic"] + added) / (expected + added)))
         )
 
     return model.select(F.transform("listed", weight).alias("weights"))
@@ -114,12 +114,15 @@ def repeated_window_words(ws: Column, n: int = 3) -> Column:
     Windows are sorted by hash with their positions; equal neighbours give the
     positions whose windows repeat, and gaps between those give the cover.
     """
-    def keyed(hashes: Column) -> Column:
-        joined = hashes
+    def joined(hashes: Column) -> Column:
+        found = hashes
         for k in range(1, n):
-            # zip_with pads with nulls, so windows past the end become null
-            joined = F.zip_with(joined, rest_from(hashes, k + 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        return F.filter(F.transform(joined, lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda x: x["h"].isNotNull())
+            found = F.zip_with(found, rest_from(hashes, k + 1), lambda a, b: F.xxhash64(a, b))
+        # zip_with pads with nulls: windows past the end are cut off
+        return F.slice(found, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+
+    def keyed(windows: Column) -> Column:
+        return F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
 
     def cover(s: Column) -> Column:
         after = rest_from(s, 2)
@@ -131,7 +134,9 @@ def repeated_window_words(ws: Column, n: int = 3) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, g: acc + g)
 
     hashes = F.transform(ws, lambda w: F.xxhash64(w))
-    return bound(bound(F.sort_array(bound(hashes, keyed)), cover), span)
+    repeats = lambda hs: bound(bound(F.sort_array(keyed(hs)), cover), span)
+    # the sort is dear, and most texts repeat no window
+    return bound(bound(hashes, joined), lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(repeats(hs)))
 
 
 def bound(value: Column, body) -> Column:
@@ -144,13 +149,14 @@ def surface_stats(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
 
     def stats(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_window_words(ws).alias("n_repeat_words"))
+        return F.struct(
+            F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), repeated_window_words(ws).alias("n_repeat_words")
+        )
 
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = bound(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
     return F.struct(
         bound(words(text), stats).alias("w"),
-        F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         dup.alias("n_dup_lines"),
     )
@@ -174,8 +180,9 @@ def judge(
     buckets: int = 1 << 16,
     prior: float = 0.2,
     threshold: float = -0.4,
-    toxic_prior: float = 0.02,
-    toxic_threshold: float = 0.75,
+    toxic_prior: float = 0.015,
+    toxic_count: float = 3.0,
+    toxic_threshold: float = 0.65,
     label_limit: int = 20_000,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -189,17 +196,17 @@ def judge(
     out = free_name(docs, "quality")
     marked = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, label_limit)), F.col("doc_id") == F.col("label_id"), "left")
     marked = marked.select("text", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("target", "toxic")])
-    weights = ngram_weights(marked, buckets, prior, toxic_prior).scalar()
+    weights = ngram_weights(marked, buckets, prior, toxic_prior, toxic_count).scalar()
 
     w = free_name(docs, "weights")
-    of = lambda bucket: F.coalesce(F.get(F.col(w), bucket), F.lit(0.0))
+    of = lambda bucket: F.col(w)[bucket]
 
     def scores(g: Column) -> Column:
-        n = F.size(g["grams"]) - 1
+        n = F.size(g["grams"])
         mean = F.when(n > 0, F.aggregate(g["grams"], F.lit(0.0), lambda acc, x: acc + of(x)) / n).otherwise(F.lit(0.0))
         rank = F.greatest(F.lit(2), F.ceil(F.size(g["stems"]) / 300).cast("int"))
         # only positive ratios are sorted: there are few
-        strong = F.sort_array(F.filter(F.transform(g["stems"], of), lambda x: x > 0), asc=False)
+        strong = F.sort_array(F.filter(F.transform(g["stems"], lambda x: of(x + buckets)), lambda x: x > 0), asc=False)
         return F.struct(mean.alias("score"), bound(strong, lambda s: F.coalesce(F.get(s, rank - 1), F.lit(0.0))).alias("toxic_score"))
 
     def verdict(x: Column) -> Column:
@@ -207,7 +214,7 @@ def judge(
         failed = (s["w"]["n_words"] < min_words) | (100 * s["w"]["n_repeat_words"] > max_repeat_percent * s["w"]["n_words"])
         return F.struct(
             s["w"]["n_words"].alias("n_words"),
-            s["word_chars"].alias("word_chars"),
+            s["w"]["word_chars"].alias("word_chars"),
             s["n_symbols"].alias("n_symbols"),
             s["n_dup_lines"].alias("n_dup_lines"),
             s["w"]["n_repeat_words"].alias("n_repeat_words"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, katz, near_dup, packing, pii, quality, secret_scan, sharding, suffix_dedup, url_filter
-from .common import table
+from .common import scratch_dir, table
 
 #: Rules of the URL query, fixed by its contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -23,16 +23,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shuffled = sharding.shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
-    s = "sharding"
-    return shuffled.select(
+    path = scratch_dir(spark)
+    sharding.write_shards(sharding.shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16), path)
+    return spark.read.schema("doc_id long, text string, size long, grown_shard int, slot long, shard int").parquet(path).select(
         "doc_id",
-        F.col(f"{s}.size").alias("size"),
+        "size",
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col(f"{s}.shard").alias("shard"),
-        F.col(f"{s}.slot").alias("slot"),
-        F.col(f"{s}.grown_shard").alias("grown_shard"),
+        "shard",
+        "slot",
+        "grown_shard",
     )
 
 
