@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftwell-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block alone."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends there."""
+    """Write ``df`` to the shared scratch folder and read it back: lineage ends there.
+
+    What was shuffled for it is removed once it is written, as nothing will ask for it again.
+    """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
