@@ -6,7 +6,8 @@ one bin-packing problem, solved by a grouping genetic algorithm whose
 individuals are whole assignments.  A crossover injects well-filled bins of one
 parent into another, drops the bins that hold the same pieces, and places the
 displaced pieces by best fit.  The islands of a block evolve in separate tasks
-and pass their elite to the next island between epochs.  The emptiest bin of
+and pass their elite to the next island between epochs; an island whose first
+individual, by best fit, is already at the lower bound has nothing to evolve.  The emptiest bin of
 every block is opened again and packed at the next level with those of the
 other blocks, until one block is left, so no block wastes a bin of its own.
 
@@ -206,7 +207,10 @@ def fitness(placed: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int,
 
 
 def evolve(sizes: np.ndarray, capacity: int, seed: int, elite: list[np.ndarray], population: int, generations: int) -> np.ndarray:
-    """The best assignment of one island after some generations; stops at the lower bound."""
+    """The best assignment of one island after some generations; stops at the lower bound.
+
+    Each child takes the place of the worst individual, or of its own equal in fitness, so the island keeps its variety.
+    """
     rng, least = np.random.default_rng(seed), -int(-(-sizes.sum() // capacity))
     score = lambda x: fitness(x, sizes, capacity)
     group = [*elite] or [best_fit(np.argsort(-sizes, kind="stable"), sizes, capacity)]
@@ -216,8 +220,13 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, elite: list[np.ndarray],
         group.sort(key=score, reverse=True)
         if score(group[0])[0] >= least or len(group) < 2:
             break
-        a, b = rng.choice(len(group), 2, replace=False)
-        group[-1] = crossover(group[a], group[b], sizes, capacity, rng)
+        # parents by tournament: the list is sorted, so the smaller place is the fitter
+        a, b = (int(rng.integers(len(group), size=2).min()) for _ in range(2))
+        if a == b:
+            b = (a + 1) % len(group)
+        child = crossover(group[a], group[b], sizes, capacity, rng)
+        same = [i for i, x in enumerate(group) if score(x) == score(child)]
+        group[same[0] if same else -1] = child
     return max(group, key=score)
 
 
@@ -258,7 +267,7 @@ def pack_blocks(pieces: DataFrame, capacity: int, blocks: int, islands: int, epo
     return dealt.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(place, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, seed: int = 17) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, block_items: int = 8192, islands: int = 4, epochs: int = 3, population: int = 8, generations: int = 24, seed: int = 17) -> DataFrame:
     """``pieces`` (uid long, length long, any others) with ``sequence_id`` and ``offset`` more."""
     level, rest, done = 0, cut(pieces), []
     columns = [F.col(f"`{c}`") for c in pieces.columns]

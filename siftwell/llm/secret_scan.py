@@ -11,7 +11,8 @@ every text of the shard.
 Shards are independent, so the scan is one narrow pass: nothing is shuffled or
 collected, and no document, key or group can be hot.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows get
+Defined cases: a null text counts as empty and has no spans; a byte that is not
+of UTF-8 counts as one code point that no rule names; repeated rows get
 the same spans; an empty table gives an empty result; input columns are kept.
 """
 
@@ -238,7 +239,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, tex
                     a, b = offsets[row], offsets[row + 1]
                     if a == b:
                         continue
-                    text = data[a:b].tobytes().decode()
+                    text = data[a:b].tobytes().decode(errors="replace")
                     for m in pattern.finditer(text):
                         if m.end(rule.group) - m.start(rule.group) >= rule.min_chars:
                             found.setdefault(int(row), []).append((m.start(), place, m.end(), rule.kind))

@@ -30,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .words import U, mix, windows, word_keys
 
+#: A gram is hot where it holds more than one in so many of the places.
+HOT = 1000
+
 
 def anchors(words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, place of its minimiser, k-gram there) of every window of ``min_words`` words."""
@@ -111,8 +114,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str =
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     places = cut(_anchor_rows(base, k, min_words))
-    busy = places.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("gram")
-    listed = places.join(busy, "gram", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("places"))
+    busy = cut(places.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "n"))
+    rows = busy.agg(F.sum("n")).first()[0] or 0
+    # at most HOT grams can hold more than one in HOT of the rows: these are sent to the places, not the places to one task
+    hot = F.broadcast(busy.where(F.col("n") * HOT > rows).select("gram"))
+    cold = places.join(hot, "gram", "left_anti").join(busy.where(F.col("n") * HOT <= rows), "gram", "left_semi")
+    kept = places.join(hot, "gram", "left_semi").unionByName(cold)
+    listed = kept.groupBy("uid").agg(F.collect_set("pos").alias("places"))
     ids = base.groupBy("uid").agg(F.min("id").alias("id"), F.min("text").alias("text"))
     once = ids.join(listed, "uid")
     occurrences = cut(_lists(once.select("uid", "text", "places"), k, min_words))
@@ -142,8 +150,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str =
 
 def cut_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words of ``spans`` in every document but the span's first; white space around them is joined by one space."""
-    drop = spans.where(F.col(key) != F.col("first_id")).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("cuts__"))
-    ws = F.split(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
-    kept = F.filter(ws, lambda w, i: ~F.exists("cuts__", lambda c: (i >= c["start"]) & (i < c["end"])))
+    cuts = free_name(docs, "cuts")
+    drop = spans.where(F.col(key) != F.col("first_id")).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    ws = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
+    kept = F.filter(ws, lambda w, i: ~F.exists(cuts, lambda c: (i >= c["start"]) & (i < c["end"])))
     joined = docs.join(drop, key, "left")
-    return joined.select(*[F.when(F.col("cuts__").isNull(), F.col(c)).otherwise(F.array_join(kept, " ")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.when(F.col(cuts).isNull(), F.col(f"`{c}`")).otherwise(F.array_join(kept, " ")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
