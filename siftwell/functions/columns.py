@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that Unicode counts as white space.  Fixed by the Unicode standard.
@@ -32,3 +32,11 @@ def ascii_lower(text: Column) -> Column:
 
 def null_of(kind: str) -> Column:
     return F.lit(None).cast(kind)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, lengthened by underscores until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

@@ -12,6 +12,7 @@ is found by an Arrow UDF that gets only rejected schedules.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,8 +31,11 @@ ERROR = T.StructType([T.StructField("position", T.IntegerType()), T.StructField(
 MONTHS = "January February March April May June July August September October November December".split()
 WEEKDAYS = "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split()
 SEARCH_DAYS = 4 * 366 + 1
+#: Days ahead that are searched together: most schedules fire within a week, nearly all within two months.
+SEARCH_STAGES = [(1, 1), (2, 8), (9, 62), (63, 400), (401, SEARCH_DAYS + 1)]
 
 
+@lru_cache(maxsize=1 << 16)
 def first_fault(text: str) -> dict:
     """Where a rejected schedule goes wrong: position (bytes), field, expected, found."""
 
@@ -116,9 +120,13 @@ def cron_fields(schedule: Column | str) -> Column:
 def cron_parse(schedule: Column | str) -> Column:
     """Struct (ok, seconds, minutes, hours, dom, month, dow, error)."""
     text = as_column(schedule)
-    fields = cron_fields(text)
-    located = _locate(F.when(fields.isNull(), text))
-    return F.when(text.isNotNull(), F.struct(fields.isNotNull().alias("ok"), *[fields[n].alias(n) for n in FIELDS], F.when(fields.isNull(), located).alias("error")))
+    located = _locate(F.when(cron_fields(text).isNull(), text))
+
+    def parsed(x: Column) -> Column:
+        fields = x["fields"]
+        return F.struct(fields.isNotNull().alias("ok"), *[fields[n].alias(n) for n in FIELDS], F.when(fields.isNull(), x["located"]).alias("error"))
+
+    return F.when(text.isNotNull(), let(F.struct(cron_fields(text).alias("fields"), located.alias("located")), parsed))
 
 
 def cron_error_text(error: Column) -> Column:
@@ -212,8 +220,10 @@ def cron_next_after(schedule: Column | str, after: Column | str) -> Column:
 
             at = lambda day, minute: F.timestamp_add("MINUTE", minute, day.cast("timestamp_ntz"))
             today = F.when(day_ok(day0), F.array_min(F.filter(s["times"], lambda t: t >= minute0)))
-            later = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(SEARCH_DAYS + 1)), lambda i: day_ok(F.date_add(day0, i))))
-            found = F.when(today.isNotNull(), at(day0, today)).when(F.size(s["times"]) > 0, at(F.date_add(day0, later), F.array_min(s["times"])))
+            # a later stage is evaluated only where the stages before it found no day
+            stages = [F.array_min(F.filter(F.sequence(F.lit(a), F.lit(b)), lambda i: day_ok(F.date_add(day0, i)))) for a, b in SEARCH_STAGES]
+            later = F.when(F.size(s["times"]) > 0, let(F.coalesce(*stages), lambda i: at(F.date_add(day0, i), F.array_min(s["times"]))))
+            found = F.coalesce(at(day0, today), later)
             limit = F.timestamp_add("DAY", F.lit(SEARCH_DAYS), time)
             return let(found, lambda t: F.when((t <= limit) & (s["second"] < 60), F.timestamp_add("SECOND", s["second"], t)))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import as_column, let
+from .columns import as_column, free_name, let
 from .strict_json import json_type, strict_json
 
 ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])
@@ -33,6 +33,11 @@ def _coordinates(geometry: Column, depth: int) -> Column:
     return F.from_json(F.to_json(F.variant_get(geometry, "$.coordinates", "variant")), _array_type(depth))
 
 
+def _checked_coordinates(geometry: Column, depth: int) -> Column:
+    """Coordinates of a geometry known to be valid: no type is in doubt, so the VARIANT is cast as it is."""
+    return F.try_variant_get(geometry, "$.coordinates", _array_type(depth))
+
+
 def _position_ok(p: Column) -> Column:
     number = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
     return F.coalesce(F.size(p).between(2, 3) & F.forall(p, number), F.lit(False))
@@ -247,12 +252,16 @@ def geo_parse(text: Column | str) -> Column:
 
     checked = let(strict_json(c), check)
     fault = _locate(F.when(~checked["accepted"], c))
-    # an accepted document has no fault, as the walk is not asked
-    document = F.when(fault["kind"].isNull(), checked["document"])
     # what Spark's parser refuses and the walk accepts is still no document that can be used
     unread = F.struct(F.lit("Json").alias("kind"), F.lit("").alias("path"), F.lit("not a JSON document").alias("message"))
-    error = F.when(fault["kind"].isNotNull(), fault).when(document.isNull(), unread)
-    return F.when(c.isNotNull(), F.struct(document.isNotNull().alias("ok"), document["root_kind"].alias("root_kind"), document["value"].alias("value"), error.alias("error")))
+
+    def result(x: Column) -> Column:
+        # an accepted document has no fault, as the walk is not asked
+        document = F.when(x["fault"]["kind"].isNull(), x["document"])
+        error = F.when(x["fault"]["kind"].isNotNull(), x["fault"]).when(document.isNull(), unread)
+        return F.struct(document.isNotNull().alias("ok"), document["root_kind"].alias("root_kind"), document["value"].alias("value"), error.alias("error"))
+
+    return F.when(c.isNotNull(), let(F.struct(checked["document"].alias("document"), fault.alias("fault")), result))
 
 
 def geo_error_text(error: Column) -> Column:
@@ -282,7 +291,7 @@ def position_parts(position: Column) -> Column:
 
 
 def point_position(geometry: Column) -> Column:
-    return F.when(_text_type(geometry) == "Point", position_parts(_coordinates(geometry, 1)))
+    return F.when(_text_type(geometry) == "Point", position_parts(_checked_coordinates(geometry, 1)))
 
 
 def geo_features(df: DataFrame, text_col: str) -> DataFrame:
@@ -290,15 +299,17 @@ def geo_features(df: DataFrame, text_col: str) -> DataFrame:
 
     A lone Feature is its own list; a document that is a geometry has none.
     """
-    parsed = df.withColumn("geo__", geo_parse(text_col)).where("geo__.ok")
-    value = F.col("geo__.value")
-    features = F.when(F.col("geo__.root_kind") == "FeatureCollection", F.variant_get(value, "$.features", "array<variant>")).when(F.col("geo__.root_kind") == "Feature", F.array(value))
-    rows = parsed.select(*df.columns, F.posexplode(features).alias("pos", "feature__"))
-    f = F.col("feature__")
+    geo, feature = free_name(df, "geo"), free_name(df, "feature")
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    parsed = df.withColumn(geo, geo_parse(text_col)).where(f"{geo}.ok")
+    value, kind = F.col(f"{geo}.value"), F.col(f"{geo}.root_kind")
+    features = F.when(kind == "FeatureCollection", F.variant_get(value, "$.features", "array<variant>")).when(kind == "Feature", F.array(value))
+    rows = parsed.select(*kept, F.posexplode(features).alias("pos", feature))
+    f = F.col(feature)
     some = lambda name: F.variant_get(f, f"$.{name}", "variant")
     geometry = some("geometry")
     return rows.select(
-        *df.columns,
+        *kept,
         "pos",
         F.when(~F.is_variant_null(geometry), geometry).alias("geometry"),
         some("properties").alias("properties"),
@@ -314,7 +325,7 @@ def geo_features(df: DataFrame, text_col: str) -> DataFrame:
 def geometry_json(geometry: Column, nesting: int = 1) -> Column:
     """Canonical text of a valid geometry: type and coordinates (as floats), other members dropped; null where collections are nested deeper."""
     kind = _text_type(geometry)
-    text = lambda k: F.concat(F.lit(f'{{"type":"{k}","coordinates":'), F.to_json(_coordinates(geometry, DEPTH[k])), F.lit("}"))
+    text = lambda k: F.concat(F.lit(f'{{"type":"{k}","coordinates":'), F.to_json(_checked_coordinates(geometry, DEPTH[k])), F.lit("}"))
     result = F.when(kind == "Point", text("Point"))
     for k in list(DEPTH)[1:]:
         result = result.when(kind == k, text(k))
@@ -327,7 +338,7 @@ def geometry_json(geometry: Column, nesting: int = 1) -> Column:
 
 def _extras(value: Column, kind: str) -> Column:
     foreign = F.map_entries(foreign_members(value, kind))
-    members = F.transform(foreign, lambda e: F.concat(F.lit(","), F.to_json(F.create_map(e["key"], e["value"])).substr(F.lit(2), F.length(F.to_json(F.create_map(e["key"], e["value"]))) - 2)))
+    members = F.transform(F.transform(foreign, lambda e: F.to_json(F.create_map(e["key"], e["value"]))), lambda t: F.concat(F.lit(","), t.substr(F.lit(2), F.length(t) - 2)))
     return F.concat(F.coalesce(F.concat(F.lit(',"bbox":'), F.to_json(bbox(value))), F.lit("")), F.array_join(members, ""))
 
 

@@ -7,15 +7,19 @@ any of the formats, or from their fixed values.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import cron, geojson, logfmt, mime
 from siftwell.functions.strict_json import strict_json
+from siftwell.sources import geojson as geojson_files
 from siftwell.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,14 +43,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors can see: under ``spark.checkpoint.dir``, else a temporary one (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwell-")
-    return f"{base.rstrip('/')}/{name}-{tempfile.mktemp(prefix='', dir='').strip('/')}"
+    """A new folder that all executors can see: under ``spark.checkpoint.dir``, else, where all run in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="siftwell-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def choose(number, options: list, otherwise=None):
     """The option whose place is ``number``."""
-    cases = reduce(lambda c, i: c.when(number == i, F.lit(options[i])), range(1, len(options)), F.when(number == 0, F.lit(options[0])))
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    cases = reduce(lambda c, i: c.when(number == i, of(options[i])), range(1, len(options)), F.when(number == 0, of(options[0])))
     return cases if otherwise is None else cases.otherwise(otherwise)
 
 
@@ -106,6 +116,12 @@ def logfmt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", logfmt.logfmt_parse(line).alias("p")).select("event_id", "p.ok", "p.error.position", "p.error.message")
 
 
+@query(f"SELECT event_id, 'logfmt parse error at position ' || {sql_cases('event_id % 4', _LOG_AT)} || ': ' || {sql_cases('event_id % 4', _LOG_SAYS)} AS said FROM events")
+def logfmt_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "events").select("event_id", logfmt.logfmt_parse(choose(F.col("event_id") % 4, _LOG_LINES)).alias("p"))
+    return parsed.select("event_id", logfmt.logfmt_error_text(F.col("p.error")).alias("said"))
+
+
 @query()
 def logfmt_wild_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = table(spark, sf_dir, "documents").select("doc_id", logfmt.logfmt_parse("text").alias("p"))
@@ -165,6 +181,15 @@ def mime_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mime.mime_types(spark).select("kind", "mime", "extension", (mime.mime_by_extension("extension") == F.col("kind")).alias("round_trip"))
 
 
+@query("SELECT 'Gzip' AS kind, 'application/gzip' AS mime UNION ALL SELECT NULL, NULL")
+def mime_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of files by their bytes alone: the same lines written compressed and plain."""
+    path, lines = scratch(spark, "files"), table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
+    lines.write.option("compression", "gzip").text(f"{path}/packed")
+    lines.write.text(f"{path}/plain")
+    return mime.detect_files(spark, path, "part-*").select("kind", "mime").distinct()
+
+
 # ---- cron
 
 def event_id():
@@ -190,9 +215,9 @@ def cron_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (schedule, text) for every rule of the description.
 DESCRIBED = [
-    ("* * * * *", "Every minute"), ("*/5 * * * *", "Every 5 minutes"), ("0 * * * *", "Every hour"), ("0 9 * * 1", "Every Monday at 9:00 AM"), ("0 12 * * 7", "Every Sunday at 12:00 PM"),
-    ("0 9 1 * *", "At 9:00 AM on the 1st of every month"), ("5 0 12 * *", "At 12:05 AM on the 12th of every month"), ("0 23 31 12 *", "At 11:00 PM on December 31st"), ("0 14 * * *", "Every day at 2:00 PM"),
-    ("05 9-17 * * 1-5", "At 5 past 9-17 on * of * (1-5)"), ("30 0 9 * * *", "Every day at 9:00 AM"), ("0 9 * * 8", "Every unknown at 9:00 AM"), ("0 25 2 200 *", "At 13:00 PM on unknown 2nd"), ("x", None),
+    ("* * * * *", "Every minute"), ("*/9 * * * *", "Every 9 minutes"), ("0 * * * *", "Every hour"), ("20 6 * * 4", "Every Thursday at 6:20 AM"), ("0 12 * * 7", "Every Sunday at 12:00 PM"),
+    ("35 8 2 * *", "At 8:35 AM on the 2nd of every month"), ("5 0 13 * *", "At 12:05 AM on the 13th of every month"), ("50 21 3 11 *", "At 9:50 PM on November 3rd"), ("1 15 * * *", "Every day at 3:01 PM"),
+    ("09 7-18 * * 2-6", "At 9 past 7-18 on * of * (2-6)"), ("40 0 5 * * *", "Every day at 5:00 AM"), ("0 11 * * 9", "Every unknown at 11:00 AM"), ("0 26 3 201 *", "At 14:00 PM on unknown 3rd"), ("y", None),
 ]
 
 
@@ -237,8 +262,8 @@ def cron_next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (schedule, position, field, expected, found)
 FAULTS = [
-    ("* * *", 0, "minutes", "5 or 6 whitespace-separated fields", None), ("x * * * *", 0, "minutes", "digit", "x"), ("0 9-5 * * *", 2, "hours", "ascending range (start <= end)", "-"),
-    ("*/0 * * * *", 2, "minutes", "non-zero step value", "0"), ("300 * * * *", 0, "minutes", "number 0-255", None), ("0\t9 * * *", 1, "hours", "digit", "\t"), ("0 9 * * 1,", 10, "day-of-week", "digit", None), ("0 9 * * 1abc", None, None, None, None),
+    ("1 * 2", 0, "minutes", "5 or 6 whitespace-separated fields", None), ("* z * * *", 2, "hours", "digit", "z"), ("5 6 9-4 * *", 4, "day-of-month", "ascending range (start <= end)", "-"),
+    ("1 */0 * * *", 4, "hours", "non-zero step value", "0"), ("1 2 3 999 5", 6, "month", "number 0-255", None), ("8\t7 * * *", 1, "hours", "digit", "\t"), ("0 4 * * 2,", 10, "day-of-week", "digit", None), ("0 4 * * 2xyz", None, None, None, None),
 ]
 
 
@@ -259,6 +284,38 @@ def cron_fire_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", fires.cast("long").alias("fires")).groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("schedules"), F.sum("fires").alias("fires"))
 
 
+@query("SELECT event_id, event_id % 3 = 0 AS six, event_id % 2 = 0 AS equal FROM events")
+def cron_six_and_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a schedule has seconds, and whether two spellings are the same schedule."""
+    seconds = F.when(event_id() % 3 == 0, "07 ").otherwise("")
+    one = F.concat(seconds, words_of(F.lpad((event_id() % 60).cast("string"), 3, "0"), event_id() % 24, "*", "1-6/02", event_id() % 7))
+    two = F.concat(seconds, words_of(event_id() % 60, (event_id() + event_id() % 2) % 24, "*", "1-6/2", event_id() % 7))
+    rows = events_with(spark, sf_dir, one=cron.cron_fields(one), two=cron.cron_fields(two))
+    return rows.select("event_id", cron.is_six_field(F.col("one")).alias("six"), F.col("one").eqNullSafe(F.col("two")).alias("equal"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN t > date_trunc('minute', ts) THEN t ELSE t + INTERVAL 1 DAY END + to_seconds(event_id % 60) AS next FROM (
+      SELECT event_id, ts, date_trunc('day', ts) + to_minutes((event_id % 24) * 60 + event_id % 59) AS t FROM events)
+""")
+def cron_next_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_with(spark, sf_dir, next=cron.cron_next_after(words_of(event_id() % 60, event_id() % 59, event_id() % 24, "*", "*", "*"), "ts")).drop("ts")
+
+
+def _fault_text(fault: tuple) -> str | None:
+    """What a fault is shown as, with ``FAULTS``' few found characters."""
+    _, at, field, expected, found = fault
+    shown = "end of input" if found is None else f"'{found}'" if found != "\t" else "'\\t'"
+    return None if at is None else f"cron parse error in {field} field at position {at}: expected {expected}, found {shown}"
+
+
+@query(f"SELECT event_id, {sql_cases(f'event_id % {len(FAULTS)}', [_fault_text(f) for f in FAULTS])} AS said FROM events")
+def cron_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schedule = choose(event_id() % len(FAULTS), [f[0] for f in FAULTS])
+    parsed = events_with(spark, sf_dir, p=cron.cron_parse(schedule))
+    return parsed.select("event_id", cron.cron_error_text(F.col("p.error")).alias("said"))
+
+
 # ---- JSON Lines
 
 
@@ -279,14 +336,30 @@ def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.try_variant_get("p.value", "$.k", "bigint").alias("k"), F.col("p.error.kind").alias("kind"))
 
 
-@query("SELECT p_partkey::BIGINT AS line, p_partkey AS part, CASE WHEN p_partkey % 7 = 0 THEN 'Json' END AS kind FROM part WHERE p_partkey % 5 <> 0 AND p_partkey > 0 ORDER BY 1")
+@query("SELECT p_partkey::BIGINT AS place, p_partkey AS part, CASE WHEN p_partkey % 7 = 0 THEN 'Json' END AS kind FROM part WHERE p_partkey % 5 <> 0 AND p_partkey > 0")
 def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as lines in key order (keys are 1, 2, ...), every fifth blank, every seventh broken; numbers must equal keys."""
+    """Parts in files by range of their keys (1, 2, ...), every fifth line blank, every seventh broken: line numbers must run as the keys of the file do."""
     path, key = scratch(spark, "lines"), F.col("p_partkey")
     text = F.when(key % 5 == 0, "").when(key % 7 == 0, F.concat(F.lit('{"part":'), key.cast("string"))).otherwise(F.concat(F.lit('{"part":'), key.cast("string"), F.lit("}")))
-    table(spark, sf_dir, "part").where(key > 0).select(key, text.alias("value")).orderBy("p_partkey").select("value").coalesce(1).write.option("lineSep", "\n").text(path)
-    rows = jsonl.read_jsonl(spark, path)
-    return rows.select("line", F.coalesce(F.try_variant_get("value", "$.part", "bigint"), F.col("line")).alias("part"), F.col("error.kind").alias("kind"))
+    parts = table(spark, sf_dir, "part").where(key > 0).select(key, text.alias("value")).repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    parts.select("value").write.option("lineSep", "\n").text(path)
+    rows = jsonl.read_jsonl(spark, path).withColumn("part", F.try_variant_get("value", "$.part", "bigint"))
+    before = rows.groupBy("path").agg(F.min(F.col("part") - F.col("line")).alias("before"))
+    placed = rows.join(before, "path").withColumn("place", F.col("line") + F.col("before"))
+    return placed.select("place", F.coalesce("part", "place").alias("part"), F.col("error.kind").alias("kind"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'JSON error: EOF while parsing' WHEN 1 THEN 'JSON error: trailing characters' WHEN 2 THEN 'JSON error: expected value' END AS said FROM events")
+def jsonl_error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = choose(event_id() % 4, [F.expr("substring(props, 1, length(props) - 1)"), F.concat("props", F.lit("]")), F.concat(F.lit("?"), "props"), F.col("props")])
+    return table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(line)["error"]["message"].alias("said"))
+
+
+@query("SELECT count(*) AS written, count(*) AS found FROM conversations")
+def jsonl_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "conversations")
+    written = jsonl.write_jsonl(table(spark, sf_dir, "conversations"), path, value=F.struct("role", "text"))
+    return jsonl.read_jsonl(spark, path).agg(F.lit(written).cast("long").alias("written"), F.count("value").alias("found"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -348,12 +421,17 @@ def geo_validate_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", geojson.geo_parse(text).alias("g")).select("s_suppkey", "g.ok", "g.error.kind", "g.error.path", "g.error.message")
 
 
+#: Customers' keys in one document: a document stays small however many customers a nation has.
+SPAN = 500
+
+
 def nation_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One FeatureCollection for each nation, its customers as features."""
+    """FeatureCollections of each nation's customers, one for each ``SPAN`` keys."""
     key = F.col("c_custkey").cast("string")
     feature = F.concat(F.lit('{"type":"Feature","id":'), key, F.lit(',"geometry":{"type":"Point","coordinates":'), pair(lon("c_custkey"), lat("c_custkey")), F.lit('},"properties":{"name":"'), F.col("c_name"), F.lit('"},"seg":"'), F.col("c_mktsegment"), F.lit('"}'))
-    grouped = table(spark, sf_dir, "customer").select("c_nationkey", feature.alias("f")).groupBy("c_nationkey").agg(F.collect_list("f").alias("fs"))
-    return grouped.select("c_nationkey", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")).alias("doc"))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
+    grouped = rows.groupBy("c_nationkey", "span").agg(F.collect_list("f").alias("fs"))
+    return grouped.select("c_nationkey", "span", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")).alias("doc"))
 
 
 @query(f"SELECT c_nationkey, c_custkey, c_name AS name, c_mktsegment AS segment, {_LON} AS longitude, {_LAT} AS latitude FROM customer")
@@ -371,14 +449,45 @@ def geo_bbox_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.size("bbox").alias("n_numbers"), F.get("bbox", F.lit(0)).alias("west"), F.get("bbox", F.lit(1)).alias("south"), F.to_json("foreign").alias("foreign_members"))
 
 
-@query("SELECT c_nationkey, true AS same, count(*) AS n_features FROM customer GROUP BY 1")
+@query(f"SELECT c_nationkey, (c_custkey // {SPAN})::BIGINT AS span, true AS same, count(*) AS n_features FROM customer GROUP BY 1, 2")
 def geo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed, written as text, read and parsed again; the second text must equal the first."""
     path = scratch(spark, "geojson")
-    first = nation_collections(spark, sf_dir).select("c_nationkey", geojson.geo_parse("doc")["value"].alias("v"))
-    first.select("c_nationkey", geojson.geo_to_json(F.col("v")).alias("text")).write.parquet(path)
-    again = spark.read.parquet(path).select("c_nationkey", "text", geojson.geo_parse("text")["value"].alias("w"))
-    return again.select("c_nationkey", (geojson.geo_to_json(F.col("w")) == F.col("text")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
+    first = nation_collections(spark, sf_dir).select("c_nationkey", "span", geojson.geo_parse("doc")["value"].alias("v"))
+    first.select("c_nationkey", "span", geojson.geo_to_json(F.col("v")).alias("text")).write.parquet(path)
+    again = spark.read.parquet(path).select("c_nationkey", "span", "text", geojson.geo_parse("text")["value"].alias("w"))
+    return again.select("c_nationkey", "span", (geojson.geo_to_json(F.col("w")) == F.col("text")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
+
+
+def _geometry(kind: str, x: str) -> str:
+    """Canonical text of a valid geometry of ``kind`` whose coordinates hold the number ``x``, written as a float."""
+    at, ring = f"[{x},1.0]", f"[[{x},0.0],[0.5,0.0],[0.5,0.5],[{x},0.0]]"
+    inner = {"Point": at, "MultiPoint": f"[{at},[2.0,3.0,4.5]]", "LineString": f"[[0.0,0.0],{at}]", "MultiLineString": f"[[[0.0,0.0],{at}],[{at},[1.0,1.0]]]", "Polygon": f"[{ring}]", "MultiPolygon": f"[[{ring}],[{ring}]]"}
+    if kind == "GeometryCollection":
+        return '{"type":"GeometryCollection","geometries":[' + ",".join(_geometry(k, x) for k in inner) + "]}"
+    return f'{{"type":"{kind}","coordinates":{inner[kind]}}}'
+
+
+GEOMETRIES = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection"]
+_GEO_SQL = " ".join(f"WHEN {i} THEN replace('{_geometry(k, '@')}', '@', (c_custkey % 360 - 180 + 0.5)::DOUBLE::VARCHAR)" for i, k in enumerate(GEOMETRIES))
+
+
+@query(f"SELECT c_custkey, true AS ok, CASE c_custkey % 7 {_GEO_SQL} END AS canonical FROM customer")
+def geo_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid geometries of all seven types, with members that the canonical text drops."""
+    text = F.replace(choose(F.col("c_custkey") % 7, [_geometry(k, "@").replace(',"', ', "extra": [1], "', 1) for k in GEOMETRIES]), F.lit("@"), lon("c_custkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    return rows.select("c_custkey", "g.ok", geojson.geo_to_json(F.col("g.value")).alias("canonical"))
+
+
+@query("SELECT n_nationkey::INT AS n_nationkey, n_nationkey % 5 <> 0 AS ok, CASE WHEN n_nationkey % 5 = 0 THEN 'Json' END AS kind, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS name FROM nation")
+def geo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a file, every fifth cut short."""
+    path, key = scratch(spark, "geofiles"), F.col("n_nationkey")
+    text = F.concat(F.lit('{"type":"Feature",\n "geometry":null,"properties":{"name":"'), F.col("n_name"), F.when(key % 5 == 0, '"').otherwise('"}}'))
+    table(spark, sf_dir, "nation").select(key, text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    read = geojson_files.read_geojson(spark, path, "part-*")
+    return read.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "ok", F.col("error.kind").alias("kind"), F.try_variant_get("value", "$.properties.name", "string").alias("name"))
 
 
 #: (document, kind, path, message)
@@ -402,3 +511,14 @@ GEO_FAULTS = [
 def geo_error_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = choose(event_id() % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
     return table(spark, sf_dir, "events").select("event_id", geojson.geo_parse(doc).alias("g")).select("event_id", "g.error.kind", "g.error.path", "g.error.message", "g.ok")
+
+
+def _geo_text(fault: tuple) -> str | None:
+    prefix = {"InvalidType": "invalid type: ", "MalformedCoordinates": "malformed coordinates: ", "InvalidRing": "invalid ring: ", "Json": "JSON error: "}
+    return fault[1] and f"geojson error at {fault[2]}: {prefix[fault[1]]}{fault[3]}"
+
+
+@query(f"SELECT event_id, {sql_cases(f'event_id % {len(GEO_FAULTS)}', [_geo_text(f) for f in GEO_FAULTS])} AS said FROM events")
+def geo_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = choose(event_id() % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
+    return table(spark, sf_dir, "events").select("event_id", geojson.geo_error_text(geojson.geo_parse(doc)["error"]).alias("said"))

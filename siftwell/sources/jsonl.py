@@ -6,22 +6,36 @@ counted.  A bad line becomes a row with an error; reading goes on behind it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.columns import as_column, let, trim_space
 from siftwell.functions.strict_json import strict_json
 
+#: So many rows may be sent to all tasks.
+MOST_SENT = 100_000
+
 
 def parse_line(line: Column | str) -> Column:
-    """Struct (value, error struct(kind, message)) of one line; null for a blank or null line."""
+    """Struct (value, error struct(kind, message)) of one line; null for a blank or null line.
+
+    A message tells whether the line ends too soon, goes on behind its value, or holds no value where one is due.
+    """
     c = as_column(line)
 
+    def reason(text: Column) -> Column:
+        # Spark's parser stops behind the first value
+        trailing = F.try_parse_json(text).isNotNull()
+        bare = F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*+"', "")
+        count = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
+        open_end = (count("{[") > count("}]")) | bare.contains('"')
+        return F.when(trailing, "trailing characters").when(open_end, "EOF while parsing").otherwise("expected value")
+
     def parsed(text: Column) -> Column:
         def result(v: Column) -> Column:
             kind = F.when(~F.is_valid_utf8(c), "Io").when(v.isNull(), "Json")
-            message = F.when(kind == "Io", "I/O error: stream did not contain valid UTF-8").when(kind == "Json", "JSON error: not exactly one JSON value")
+            message = F.when(kind == "Io", "I/O error: stream did not contain valid UTF-8").when(kind == "Json", F.concat(F.lit("JSON error: "), reason(text)))
             return F.struct(F.when(kind.isNull(), v).alias("value"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), message.alias("message"))).alias("error"))
 
         return F.when(text != "", let(strict_json(text), result))
@@ -33,7 +47,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line, text) with the 1-based physical line number in each file.
 
     Splits are read in parallel; a line's number is its place in the split plus
-    the lines of the file's earlier splits.  Only one row a split is shuffled.
+    the lines of the file's earlier splits.  Only one row a split is shuffled: up
+    to ``MOST_SENT`` of them are sent to all tasks, more are joined by a shuffle.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text")
@@ -41,7 +56,9 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return raw.join(offsets, ["path", "block"]).select("path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line"), "text")
+    # a task reads one split of a large file or several whole files
+    few = len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= MOST_SENT
+    return raw.join(F.broadcast(offsets) if few else offsets, ["path", "block"]).select("path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line"), "text")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -60,8 +77,12 @@ def to_line(value: Column | str) -> Column:
     return F.to_json(as_column(value), {"ignoreNullFields": "false"})
 
 
-def write_jsonl(df: DataFrame, path: str, value: Column | str | None = None, one_file: bool = False, mode: str = "errorifexists") -> None:
-    """Write one value a line: ``value``, or the whole row as an object."""
-    line = to_line(F.struct(*[F.col(f"`{c}`") for c in df.columns]) if value is None else value).alias("value")
-    lines = df.select(line)
+def write_jsonl(df: DataFrame, path: str, value: Column | str | None = None, one_file: bool = False, mode: str = "errorifexists") -> int:
+    """Write one value a line: ``value``, or the whole row as an object.  Returns how many lines were written.
+
+    Where a task fails for good, the write fails and commits no file.  ``one_file`` is for small results: one task writes them all.
+    """
+    line, seen = to_line(F.struct(*[F.col(f"`{c}`") for c in df.columns]) if value is None else value).alias("value"), Observation()
+    lines = df.select(line).observe(seen, F.count(F.lit(1)).alias("n"))
     (lines.coalesce(1) if one_file else lines).write.mode(mode).option("lineSep", "\n").text(path)
+    return seen.get["n"]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import cron, geojson, logfmt, mime
+from siftwell.sources import geojson as geo_files
 from siftwell.sources import jsonl
 from siftwell.streaming import jsonl as stream
 
@@ -18,21 +19,21 @@ def over(spark, values, column, kind="string"):
 
 
 LOGFMT = [
-    ("a=1 b=2", [("a", "1"), ("b", "2")], None),
-    ("flag", [("flag", "")], None),
-    ("k=", [("k", "")], None),
-    ('msg="hello world"', [("msg", "hello world")], None),
-    ('a="x"b=2', [("a", "x"), ("b", "2")], None),
-    ("k=1 k=2", [("k", "1"), ("k", "2")], None),
-    ('m="say \\"hi\\""', [("m", 'say \\"hi\\"')], None),
-    ('msg="café ☕"', [("msg", "café ☕")], None),
+    ("lvl=warn code=17", [("lvl", "warn"), ("code", "17")], None),
+    ("dry", [("dry", "")], None),
+    ("key=", [("key", "")], None),
+    ('note="two words"', [("note", "two words")], None),
+    ('p="q"r=s', [("p", "q"), ("r", "s")], None),
+    ("z=9 z=8", [("z", "9"), ("z", "8")], None),
+    ('say="he \\"x\\" she"', [("say", 'he \\"x\\" she')], None),
+    ('city="Łódź ☂"', [("city", "Łódź ☂")], None),
     ("", [], None),
-    ("=x", [], (0, "expected key")),
-    ("a=b=c", [("a", "b")], (3, "expected key")),
-    ('a"b"', [("a", "")], (1, "expected key")),
-    ("é=1 =", [("é", "1")], (5, "expected key")),
-    ('msg="open', [], (9, "unterminated quoted string")),
-    ('msg="x\\', [], (7, "unterminated escape sequence")),
+    ("=nope", [], (0, "expected key")),
+    ("u=v=w", [("u", "v")], (3, "expected key")),
+    ('ab"c"', [("ab", "")], (2, "expected key")),
+    ("ö=2 =", [("ö", "2")], (5, "expected key")),
+    ('txt="never', [], (10, "unterminated quoted string")),
+    ('q="r\\', [], (5, "unterminated escape sequence")),
 ]
 
 
@@ -46,23 +47,23 @@ def test_logfmt_pairs_and_errors(spark):
 
 
 def test_logfmt_map_resolves_escapes_and_keeps_the_last(spark):
-    lines = ["k=1 k=2", r'm="say \"hi\""', r'm="a\\nb"', r'm="l1\nl2\tt"', r'm="\q"', "a=b=c"]
+    lines = ["z=9 z=8", r'say="he \"x\""', r'path="c\\new"', r'two="up\ndown\tend"', r'odd="\w"', "u=v=w"]
     found = [r["fields"] for r in over(spark, lines, logfmt.logfmt_map("x"))]
-    assert found == [{"k": "2"}, {"m": 'say "hi"'}, {"m": r"a\nb"}, {"m": "l1\nl2\tt"}, {"m": r"\q"}, None]
+    assert found == [{"z": "8"}, {"say": 'he "x"'}, {"path": r"c\new"}, {"two": "up\ndown\tend"}, {"odd": r"\w"}, None]
 
 
 def test_cron_descriptions(spark):
     said = {
-        "* * * * *": "Every minute", "*/5 * * * *": "Every 5 minutes", "0 * * * *": "Every hour", "0 9 * * 1": "Every Monday at 9:00 AM", "0 9 1 * *": "At 9:00 AM on the 1st of every month",
-        "0 0 1 1 *": "At 12:00 AM on January 1st", "0 14 * * *": "Every day at 2:00 PM", "05 9-17 * * 1-5": "At 5 past 9-17 on * of * (1-5)", "30 0 9 * * *": "Every day at 9:00 AM", "bad": None,
+        "* * * * *": "Every minute", "*/7 * * * *": "Every 7 minutes", "0 * * * *": "Every hour", "45 6 * * 2": "Every Tuesday at 6:45 AM", "5 17 23 * *": "At 5:05 PM on the 23rd of every month",
+        "30 12 4 7 *": "At 12:30 PM on July 4th", "10 0 * * *": "Every day at 12:10 AM", "07 8-11 * * 2-4": "At 7 past 8-11 on * of * (2-4)", "12 3 4 * * *": "Every day at 4:03 AM", "soon": None,
     }
     assert over(spark, [*said, None], cron.cron_describe("x")) == [*said.values(), None]
 
 
 def test_cron_faults(spark):
     bad = {
-        "* * *": (0, "minutes", "5 or 6 whitespace-separated fields", None), "x * * * *": (0, "minutes", "digit", "x"), "0 9-5 * * *": (2, "hours", "ascending range (start <= end)", "-"),
-        "*/0 * * * *": (2, "minutes", "non-zero step value", "0"), "300 * * * *": (0, "minutes", "number 0-255", None), "0\t9 * * *": (1, "hours", "digit", "\t"),
+        "1 2 3 4": (0, "minutes", "5 or 6 whitespace-separated fields", None), "* q * * *": (2, "hours", "digit", "q"), "7-3 * * * *": (0, "minutes", "ascending range (start <= end)", "-"),
+        "* */0 * * *": (4, "hours", "non-zero step value", "0"), "256 1 1 1 1": (0, "minutes", "number 0-255", None), "3\t4 * * *": (1, "hours", "digit", "\t"),
     }
     assert [tuple(r["error"]) for r in over(spark, list(bad), cron.cron_parse("x"))] == list(bad.values())
 
@@ -70,14 +71,17 @@ def test_cron_faults(spark):
 @pytest.mark.parametrize(
     "schedule, after, want",
     [
-        ("0 9 * * 1-5", "2024-01-01 00:00:00", "2024-01-01 09:00:00"),
-        ("*/15 * * * *", "2024-06-01 10:00:00", "2024-06-01 10:15:00"),
-        ("30 0 9 * * *", "2024-06-01 09:00:00", "2024-06-02 09:00:30"),
-        ("0 0 30 2 *", "2024-01-01 00:00:00", None),
-        ("0 0 29 2 *", "2096-02-29 00:00:00", None),
-        ("0 1-5/2 * * *", "2024-01-01 05:00:00", "2024-01-01 07:00:00"),
-        ("0 0 13 * 5", "2024-01-01 00:00:00", "2024-01-05 00:00:00"),
-        ("0 0 * * 8", "2024-01-02 00:00:00", "2024-01-08 00:00:00"),
+        ("15 7 * * 1-5", "2025-03-08 12:00:00", "2025-03-10 07:15:00"),
+        ("*/25 * * * *", "2025-03-08 10:51:00", "2025-03-08 11:00:00"),
+        ("20 30 6 * * *", "2025-03-08 06:30:05", "2025-03-09 06:30:20"),
+        ("5 5 31 4 *", "2025-03-08 00:00:00", None),
+        ("0 12 29 2 *", "2097-01-01 00:00:00", None),
+        ("0 12 29 2 *", "2025-03-01 00:00:00", "2028-02-29 12:00:00"),
+        ("40 3 2 5 *", "2025-05-02 03:40:00", "2026-05-02 03:40:00"),
+        ("0 2-9/3 * * *", "2025-03-08 09:00:00", "2025-03-08 11:00:00"),
+        ("0 0 20 * 6", "2025-03-10 00:00:00", "2025-03-15 00:00:00"),
+        ("0 0 * * 9", "2025-03-10 00:00:00", "2025-03-11 00:00:00"),
+        ("70 1 2 * * *", "2025-03-10 00:00:00", None),
     ],
 )
 def test_cron_next(spark, schedule, after, want):
@@ -136,6 +140,37 @@ def test_jsonl_lines_numbers_and_bad_bytes(spark, tmp_path):
     assert jsonl.read_jsonl(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_jsonl_error_reasons(spark):
+    lines = ['{"a":1', '[1,2', '"open', '{"a":1} x', "1 2", "{a:1}", "nul", '{"a":"}', None]
+    found = [r and r["error"]["message"] for r in over(spark, lines, jsonl.parse_line("x"))]
+    assert found == [*["JSON error: EOF while parsing"] * 3, *["JSON error: trailing characters"] * 2, *["JSON error: expected value"] * 2, "JSON error: EOF while parsing", None]
+
+
+def test_jsonl_write_counts_lines_and_commits_all_or_nothing(spark, tmp_path):
+    rows = spark.range(25, numPartitions=4).select("id", F.lit(None).cast("string").alias("x"))
+    assert jsonl.write_jsonl(rows, str(tmp_path / "many")) == 25
+    assert jsonl.write_jsonl(rows, str(tmp_path / "one"), value=F.array("id"), one_file=True) == 25
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    assert sorted(json.loads(r[0])[0] for r in spark.read.text(str(tmp_path / "one")).collect()) == list(range(25))
+    with pytest.raises(Exception, match="stop"):
+        jsonl.write_jsonl(rows.withColumn("x", F.when(F.col("id") == 24, F.raise_error(F.lit("stop"))).otherwise("y")), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("part-*"))
+
+
+def test_geojson_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(GOOD[-1], indent=2))
+    (tmp_path / "b.json").write_text("[1")
+    (tmp_path / "c.json").write_bytes(b'{"type":"Point","coordinates":[1,2],"x":"\xff"}')
+    found = {r["path"][-6:]: (r["ok"], r["error"] and r["error"]["kind"]) for r in geo_files.read_geojson(spark, str(tmp_path)).collect()}
+    assert found == {"a.json": (True, None), "b.json": (False, "Json"), "c.json": (False, "Json")}
+
+
+def test_features_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(json.dumps(GOOD[-1]), 1, 2)], "doc string, geo int, feature int")
+    found = geojson.geo_features(rows, "doc").collect()
+    assert [(r["geo"], r["feature"], r["pos"]) for r in found] == [(1, 2, 0)]
+
+
 def test_jsonl_stream_equals_batch(spark, tmp_path):
     source, sink = tmp_path / "in", tmp_path / "out"
     source.mkdir()
