@@ -190,14 +190,29 @@ def block_pairs(members: DataFrame, percent: int, block: int = 1024, task_rows:
     """Pairs of each key's members in different components that longer signatures and folded sets let pass.
 
     ``members``: key, slot, id, component, signature, long, folded.  A key's members are
-    dealt into blocks by hash; each pair of blocks is a group of bounded size,
-    and groups are gathered into tasks of about ``task_rows`` rows.  A pair that
-    meets under several keys is given under the first alone.
+    parted into classes of set size so wide that similar sets lie in the same or in
+    neighbouring ones, and a class is dealt into blocks by hash; each two blocks of
+    one class or of neighbouring ones are a group of bounded size, and groups are
+    gathered into tasks of about ``task_rows`` rows.  A pair that meets under several
+    keys is given under the first alone.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    grid = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = cut(grid.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "slot", "id", "component", "signature", "long", "folded"))
+    width = F.log(F.lit(100 / percent))
+    classed = members.withColumn("class", F.floor(F.log(F.greatest(F.octet_length("folded") / 2, F.lit(1))) / width - F.lit(1e-9)))
+    sizes = classed.groupBy("key", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    below, above = (sizes.select("key", (F.col("class") + step).alias("class"), F.col("blocks").alias(name)) for step, name in ((1, "below"), (-1, "above")))
+    around = sizes.join(below, ["key", "class"], "left").join(above, ["key", "class"], "left")
+    own = classed.join(around, ["key", "class"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda low, across, i, j, left, right: F.struct(low.alias("class"), F.lit(across).alias("across"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    at, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    places = F.concat(
+        F.transform(numbers("blocks"), lambda x: group(F.col("class"), False, F.least(at, x), F.greatest(at, x), at <= x, at >= x)),
+        F.transform(numbers("above"), lambda x: group(F.col("class"), True, at, x, yes, no)),
+        F.transform(numbers("below"), lambda x: group(F.col("class") - 1, True, x, at, no, yes)),
+    )
+    marks = ["key", "class", "across", "i", "j"]
+    grid = own.select("key", "slot", "id", "component", "signature", "long", "folded", F.explode(places).alias("g"))
+    grid = cut(grid.select("key", "g.*", "slot", "id", "component", "signature", "long", "folded"))
     tasks, most = max(1, -(-grid.count() // task_rows)), long_distance(percent)
 
     def first_slot(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -206,8 +221,8 @@ def block_pairs(members: DataFrame, percent: int, block: int = 1024, task_rows:
         return (lone >= CHUNK_SIZE - 1).reshape(len(many), CHUNKS * CHUNK_SIZE).argmax(axis=1)
 
     def pairs(group: pd.DataFrame, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = group if same else group[group["own"] == group["i"]]
-        right = group if same else group[group["own"] == group["j"]]
+        left = group if same else group[group["left"]]
+        right = group if same else group[group["right"]]
         slot, ids, comps = group["slot"].iloc[0], right["id"].to_numpy(), right["component"].to_numpy()
         unpack = lambda side, c, kind: np.frombuffer(b"".join(side[c]), kind).reshape(len(side), -1)
         folded, table = [np.frombuffer(x, "<u2") for x in right["folded"]], np.zeros(1 << 16, bool)
@@ -226,14 +241,14 @@ def block_pairs(members: DataFrame, percent: int, block: int = 1024, task_rows:
             yield np.full(len(near), x), ids[near]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "i", "j"], ignore_index=True)
-        marks = rows[["key", "i", "j"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-        found = [p for a, b in zip(cuts, cuts[1:], strict=False) for p in pairs(rows.iloc[a:b], marks[a][1] == marks[a][2])]
+        rows = rows.sort_values(marks, ignore_index=True)
+        of = rows[marks].to_numpy(dtype=np.int64)
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        found = [p for a, b in zip(cuts, cuts[1:], strict=False) for p in pairs(rows.iloc[a:b], not of[a][2] and of[a][3] == of[a][4])]
         a, b = (np.concatenate([p[k] for p in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return grid.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(run, "a long, b long").distinct()
+    return grid.groupBy(F.pmod(F.xxhash64(*marks), F.lit(tasks))).applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:

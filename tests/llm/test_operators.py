@@ -420,6 +420,23 @@ def test_op7_takes_lower_similarities_and_refuses_what_it_cannot_hold(spark):
     assert near_dup.long_distance(80) == 90 < near_dup.long_distance(70)
 
 
+def test_op7_compares_the_members_of_large_keys_in_blocks(spark, monkeypatch):
+    """Unrelated texts around one common passage, and a few near copies of different lengths among them."""
+    from functools import partial
+
+    called, whole = [], near_dup.block_pairs
+    monkeypatch.setattr(near_dup, "block_pairs", lambda members, percent: called.append(1) or partial(whole, block=8, task_rows=200)(members, percent))
+    rng, docs, line = random.Random(11), [], [f"line{k}" for k in range(40)]
+    for i in range(150):
+        own = [f"d{i}w{k}" for k in range(rng.randrange(8, 40))]
+        docs.append((len(docs), " ".join(own + line)))
+        if i % 5 == 0:
+            docs.append((len(docs), " ".join(own + line + [f"more{i}"] * rng.randrange(1, 6))))
+    found = rows_of(near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4, percent=80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == jaccard_components(dict(docs), 4, 80)
+    assert called
+
+
 def test_op8_recall_up_to_the_bound_and_no_others(spark, sf_dir):
     rng = random.Random(5)
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
