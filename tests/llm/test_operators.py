@@ -675,3 +675,24 @@ def test_pipeline_stages(spark, sf_dir, texts):
     good = [i for i in texts if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0 and len(WORD.findall(texts[i])) >= 50]
     judged = rows_of(queries.op1_quality(spark, sf_dir))
     assert sum(judged[i]["kept"] or judged[i]["base_failed"] for i in good) >= 0.9 * len(good)
+
+
+@pytest.mark.parametrize("stage", ["quality rules", "near duplicates", "decontamination", "pii surrogates", "best-fit packing"])
+def test_pipeline_stages_take_odd_rows(stage, spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows, ties and clashing names; then an empty table."""
+    import corpus_pipeline
+
+    run, docs = dict(corpus_pipeline.STAGES)[stage], odd_docs(spark)
+    good = " ".join(f"plain word{k} of prose" for k in range(60))
+    docs = docs.unionByName(spark.createDataFrame([(20, good), (21, good), (21, good)], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASHING})).withColumn("n_chars", F.length("text").cast("long"))
+    kept = run(spark, docs, sf_dir)
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    if stage != "best-fit packing":
+        assert kept.columns == docs.columns
+    if stage == "quality rules":
+        assert ids.keys() <= {4, 5, 7, 20, 21} and ids[20] == ids[21] / 2
+    elif stage == "near duplicates":
+        assert ids == Counter([1, None, 2, 3, 4, 6, 7, 20])
+    else:
+        assert set(ids) == {1, None, 2, 3, 4, 5, 6, 7, 20, 21} and ids[21] == 2
+    assert run(spark, docs.limit(0), sf_dir).collect() == []
