@@ -2,6 +2,13 @@
 
 Each stage works on all that its predecessor kept; ``run`` writes every stage as
 Parquet and reads it again, so a stage never depends on another's lineage.
+
+Defined cases, for every stage: a null text counts as empty, so quality rules
+reject it, near duplicates and decontamination keep it, and it is packed as the
+end token alone; a document with a null id is judged by its text and never
+removed as a copy; of rows equal in id and text near duplicates keep one, and
+rows that share an id are each judged by their own text; other columns of any
+name pass through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
