@@ -114,7 +114,7 @@ def cron_fields(schedule: Column | str) -> Column:
         plain = F.transform(fields, lambda f: F.regexp_replace(f, "(?<![0-9])0+(?=[0-9])", ""))
         return F.when(small & steps & rising, let(plain, lambda p: F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(FIELDS)])))
 
-    return F.when(raw.isNotNull(), let(raw, checked))
+    return let(raw, lambda r: F.when(r.isNotNull(), checked(r)))
 
 
 def cron_parse(schedule: Column | str) -> Column:
