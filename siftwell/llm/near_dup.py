@@ -129,14 +129,25 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "key long, slot byte, id long")
 
 
-def member_sets(docs: DataFrame, n: int) -> DataFrame:
+def member_sets(docs: DataFrame, n: int, flush: int = 8 << 20) -> DataFrame:
     """(id, members, long, folded): the set of every row of ``docs`` (id, text) as packed sorted keys, its longer signature, and 16 bits of each key."""
 
+    def packed(batch: pa.RecordBatch, rows: list, out: list) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *columns], names=["id", "members", "long", "folded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id")
+            rows, out, size = [], [], 0
             for row, s in shingle_sets(batch.column("text"), n):
-                yield pa.RecordBatch.from_arrays([ids.slice(row, 1), pa.array([s.tobytes()], pa.binary()), pa.array([long_signature(s).tobytes()], pa.binary()), pa.array([(s >> U(48)).astype("<u2").tobytes()], pa.binary())], names=["id", "members", "long", "folded"])
+                rows.append(row)
+                out.append((s.tobytes(), long_signature(s).tobytes(), (s >> U(48)).astype("<u2").tobytes()))
+                size += s.nbytes
+                if size > flush:
+                    yield packed(batch, rows, out)
+                    rows, out, size = [], [], 0
+            if rows:
+                yield packed(batch, rows, out)
 
     return docs.mapInArrow(run, "id long, members binary, long binary, folded binary")
 

@@ -375,6 +375,14 @@ def test_op6_counts_bigrams_of_rare_words_too(spark):
     assert sum(after("r5", w) for w in chance) + after("r5", "new") == pytest.approx(1)
 
 
+def test_op6_query_against_brute_force_over_all_documents(spark, sf_dir, texts):
+    tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    _, after = brute_katz([ws for i, ws in tokens.items() if not held[i]])
+    want = {i: sum(math.log10(after(a, w)) for a, w in zip([None, *ws], ws, strict=False)) for i, ws in tokens.items()}
+    assert {i: r["score"] for i, r in rows_of(queries.op6_katz(spark, sf_dir)).items()} == pytest.approx(want, rel=1e-9)
+
+
 def jaccard_components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
