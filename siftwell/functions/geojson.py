@@ -402,4 +402,6 @@ def geo_to_json(value: Column) -> Column:
         )
 
     text = let(F.struct(_text_type(value).alias("kind"), value.alias("value")), written)
-    return F.coalesce(text, _deep_text(F.when(text.isNull(), F.to_json(value))))
+    # a document nested too deep names two collections; to look for them is cheaper than to write it twice
+    raw = F.to_json(value)
+    return F.coalesce(text, _deep_text(F.when(raw.rlike('(?s)"GeometryCollection".*"GeometryCollection"'), raw)))
