@@ -233,7 +233,7 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, elite: list[np.ndarray],
 def pack_blocks(pieces: DataFrame, capacity: int, blocks: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
     """``pieces`` (uid, length, ...) with block, bin, offset and ``worst`` (in the block's emptiest bin) more."""
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("uid")), F.lit(blocks)).cast("int"))
-    state_schema = "block int, island int, best binary"
+    state_schema = "block int, island int, best binary, done boolean"
 
     def step(epoch: int):
         def run(key, items: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
@@ -241,16 +241,25 @@ def pack_blocks(pieces: DataFrame, capacity: int, blocks: int, islands: int, epo
             sizes = items.sort_values("uid")["length"].to_numpy(np.int64)
             elite = [np.frombuffer(x, np.int32) for x in states["best"]]
             best = evolve(sizes, capacity, hash((seed, int(block), int(island), epoch)) % 2**32, elite, population, generations)
-            return pd.DataFrame({"block": [block], "island": [island], "best": [best.astype(np.int32).tobytes()]})
+            done = len(np.unique(best)) <= -(-int(sizes.sum()) // capacity)
+            return pd.DataFrame({"block": [block], "island": [island], "best": [best.astype(np.int32).tobytes()], "done": [done]})
 
         return run
 
     copies = dealt.select("block", "uid", "length").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    states = pieces.sparkSession.createDataFrame([], state_schema)
+    states, finished = pieces.sparkSession.createDataFrame([], state_schema), []
     for epoch in range(epochs):
         # each island keeps its elite and gets that of the island before it
         arrived = states.unionByName(states.withColumn("island", (F.col("island") + 1) % islands)) if epoch else states
-        states = copies.groupBy("block", "island").cogroup(arrived.groupBy("block", "island")).applyInPandas(step(epoch), state_schema)
+        evolved = cut(copies.groupBy("block", "island").cogroup(arrived.groupBy("block", "island")).applyInPandas(step(epoch), state_schema))
+        # blocks at the lower bound have nothing left to evolve
+        open_blocks = evolved.groupBy("block").agg(F.max("done").alias("any")).where(~F.col("any")).select("block")
+        states = evolved.join(open_blocks, "block", "left_semi")
+        finished.append(evolved.join(open_blocks, "block", "left_anti") if epoch < epochs - 1 else evolved)
+        if open_blocks.isEmpty():
+            break
+        copies = copies.join(open_blocks, "block", "left_semi")
+    states = reduce(DataFrame.unionByName, finished)
     names = [*pieces.columns, "block", "bin", "offset", "worst"]
     schema = T.StructType([*dealt.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("worst", T.BooleanType())])
 
