@@ -114,11 +114,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str =
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     places = cut(_anchor_rows(base, k, min_words))
-    busy = cut(places.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "n"))
-    rows = busy.agg(F.sum("n")).first()[0] or 0
+    # one aggregation serves both sides: it is already dealt by gram where the cold places meet it
+    busy = places.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count("*").alias("n")).where("low < high")
+    rows = places.count()
     # at most HOT grams can hold more than one in HOT of the rows: these are sent to the places, not the places to one task
     hot = F.broadcast(busy.where(F.col("n") * HOT > rows).select("gram"))
-    cold = places.join(hot, "gram", "left_anti").join(busy.where(F.col("n") * HOT <= rows), "gram", "left_semi")
+    cold = places.join(hot, "gram", "left_anti").join(busy.where(F.col("n") * HOT <= rows).select("gram"), "gram", "left_semi")
     kept = places.join(hot, "gram", "left_semi").unionByName(cold)
     listed = kept.groupBy("uid").agg(F.collect_set("pos").alias("places"))
     ids = base.groupBy("uid").agg(F.min("id").alias("id"), F.min("text").alias("text"))
