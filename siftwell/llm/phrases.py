@@ -360,7 +360,7 @@ def collocations(
     key: str | None = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    shard_words: int = 1 << 21,
+    shard_words: int = 1 << 19,
     filter_bits: int = 1 << 28,
 ) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
