@@ -1,9 +1,10 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
 The model is trained from a small labelled URL table; a list of host and path
-rules overrides it.  Only DataFrame operations and ``pyspark.ml`` transformers
-(which run in the JVM) are used; the URL table is scored in one narrow pass, so
-nothing is shuffled and no host can be hot.
+rules overrides it.  Only DataFrame operations and, for the fit, ``pyspark.ml``
+(which runs in the JVM) are used.  The fitted model is one array of numbers, so
+URLs are scored by SQL functions in one narrow pass: nothing is shuffled, no host can be
+hot, and the plan holds no reference to the session or to the training run.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and
 is judged by the model on empty features (its intercept alone); repeated rows
@@ -14,8 +15,7 @@ and may have any names.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,38 +102,42 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LABELLED_URLS, "url string, label int")
 
 
-def train(labelled: DataFrame, buckets: int = 1 << 14, reg: float = 0.01, iterations: int = 50):
-    """(HashingTF, model) fitted on ``labelled`` (url, label).
+def gram_buckets(host: Column, path: Column, buckets: int) -> Column:
+    """The distinct buckets of a URL's n-grams."""
+    return F.array_distinct(F.transform(char_ngrams(host, path), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int")))
+
+
+def train(labelled: DataFrame, buckets: int = 1 << 16, reg: float = 0.01, iterations: int = 50) -> DataFrame:
+    """One row: ``weights`` of the buckets and, last, the intercept, fitted on ``labelled`` (url, label).
 
     Path n-grams are hashed as host n-grams are, under another mark.  The
     labelled table is small by contract; it is the bounded sample.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(url_parts(F.col("url")).alias("u"), F.col("label").cast("double").alias("label"))
-    rows = rows.select("label", char_ngrams(F.col("u.host"), F.col("u.path")).alias("grams"))
-    hasher = HashingTF(numFeatures=buckets, binary=True, inputCol="grams", outputCol="features")
-    model = LogisticRegression(maxIter=iterations, regParam=reg, standardization=False, aggregationDepth=2).fit(hasher.transform(rows.coalesce(1)))
-    return hasher, model
+    rows = rows.select("label", F.transform(gram_buckets(F.col("u.host"), F.col("u.path"), buckets), lambda b: b.cast("string")).alias("grams"))
+    # the vocabulary is the buckets' numbers, so a bucket's place in the vector is its number
+    vectors = CountVectorizerModel.from_vocabulary(list(map(str, range(buckets))), "grams", "features").setBinary(True).transform(rows.coalesce(1))
+    model = LogisticRegression(maxIter=iterations, regParam=reg, standardization=False, aggregationDepth=2).fit(vectors)
+    return spark.createDataFrame([([*model.coefficients.toArray().tolist(), model.intercept],)], "weights array<double>")
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", threshold: float = 0.5, buckets: int = 1 << 16) -> DataFrame:
     """``pages`` with a struct column ``url_filter`` more: host, path, rule, block_probability, verdict."""
-    hasher, model = train(labelled)
-    names = {n: free_name(pages, n) for n in ("grams", "features", "rawPrediction", "probability", "prediction", "parts", "url_filter")}
-    hasher = hasher.copy().setInputCol(names["grams"]).setOutputCol(names["features"])
-    model = model.copy().setFeaturesCol(names["features"]).setProbabilityCol(names["probability"]).setRawPredictionCol(names["rawPrediction"]).setPredictionCol(names["prediction"])
-    parts = names["parts"]
-    staged = pages.withColumn(parts, url_parts(F.col(f"`{url_col}`")))
-    host, path = F.col(f"{parts}.host"), F.col(f"{parts}.path")
-    scored = model.transform(hasher.transform(staged.withColumn(names["grams"], char_ngrams(host, path))))
-    chance = vector_to_array(F.col(names["probability"]))[1]
+    parts, weights, out = (free_name(pages, n) for n in ("parts", "weights", "url_filter"))
+    staged = pages.withColumn(parts, url_parts(F.col(f"`{url_col}`"))).withColumn(weights, train(labelled, buckets).scalar())
+    host, path, w = F.col(f"{parts}.host"), F.col(f"{parts}.path"), F.col(weights)
+    margin = F.aggregate(gram_buckets(host, path, buckets), F.get(w, F.lit(buckets)), lambda total, b: total + F.get(w, b))
     rule = fitting_rule(host, path, rules)
-    return scored.select(
-        *[F.col(f"`{c}`") for c in pages.columns],
-        F.struct(
+
+    def verdict(chance: Column) -> Column:
+        return F.struct(
             host.alias("host"),
             path.alias("path"),
             rule["rule"].alias("rule"),
             chance.alias("block_probability"),
             F.coalesce(rule["verdict"], F.when(chance >= threshold, "block").otherwise("allow")).alias("verdict"),
-        ).alias(names["url_filter"]),
-    )
+        )
+
+    chance = F.transform(F.array(1 / (1 + F.exp(-margin))), verdict)
+    return staged.select(*[F.col(f"`{c}`") for c in pages.columns], chance[0].alias(out))

@@ -136,7 +136,7 @@ def test_op3_parts_and_rules(spark, sf_dir):
         fits = [(len(x), x, v) for v, x in queries.URL_RULES for h, _, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         best = max(fits, default=(0, None, None))
         assert (r["host"], r["path"], r["rule"]) == (host, path, best[1])
-        assert r["verdict"] == (best[2] or ("block" if r["block_probability"] >= 0.5 else "allow"))
+        assert best[2] in (None, r["verdict"])
 
 
 def test_op3_model_separates_its_labels(spark):
@@ -162,6 +162,45 @@ def test_op3_blocks_hosts_held_out_of_training(spark, sf_dir):
     assert sum(bad) >= 0.95 * len(bad) and sum(clean) <= 0.02 * len(clean)
 
 
+#: A third list, in neither the training table nor the test pages.
+OTHER_BAD = "casino-palace mega-slots betting-club adult-films xxx-videos porn-stars pills-store viagra-express spam-server ads-network free-jackpot poker-bonus payday-cash replica-shop".split()
+OTHER_GOOD = "county-archive choir-news history-circle bread-recipes cycling-club bird-atlas lake-weather music-school night-trains stone-bridge poetry-week science-hall village-school wool-market".split()
+
+
+def test_op3_on_hosts_of_a_third_word_list(spark):
+    rows = [(f"https://{sub}{n}.example.{top}/{lang}/{k}", kind) for kind, ns in ((1, OTHER_BAD), (0, OTHER_GOOD)) for n in ns for k, (sub, top, lang) in enumerate([("", "com", "en"), ("www.", "net", "fr"), ("shop.", "org", "de")])]
+    pages = spark.createDataFrame(rows, "url string, bad int")
+    judged = url_filter.judge_urls(pages, url_filter.labelled_urls(spark), []).collect()
+    caught = [r["url_filter"]["verdict"] == "block" for r in judged if r["bad"]]
+    wrong = [r["url_filter"]["verdict"] == "block" for r in judged if not r["bad"]]
+    print(f"caught {sum(caught)} of {len(caught)}, wrongly blocked {sum(wrong)} of {len(wrong)}")
+    # measured blind: the list was written before its first run, and nothing was fitted to it since
+    assert sum(caught) >= 0.6 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
+
+
+def test_op3_after_an_observation_in_the_same_session(spark, sf_dir, tmp_path):
+    from siftwell.sources import jsonl
+
+    jsonl.write_jsonl(spark.range(5), str(tmp_path / "lines"))
+    queries.op3_url_filter(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    assert queries.op3_url_filter(spark, sf_dir).count() == table(spark, sf_dir, "pages").count()
+
+
+def test_op3_probability_is_that_of_the_fitted_model(spark, sf_dir):
+    import xxhash
+
+    weights = url_filter.train(url_filter.labelled_urls(spark)).first()["weights"]
+    n = len(weights) - 1
+    urls = {r["page_id"]: r["url"] for r in table(spark, sf_dir, "pages").select("page_id", "url").collect()}
+    for i, r in rows_of(queries.op3_url_filter(spark, sf_dir)).items():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", urls[i] or "")
+        grams = {mark + t[k : k + size] for mark, part in (("h", m[1].translate(UPPER) if m else ""), ("p", m[2] if m else "")) for t in [f"^{part}$"] for size in (3, 4) for k in range(len(t) - size + 1)}
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        total = weights[n] + sum(weights[b] for b in {signed(xxhash.xxh64_intdigest(g.encode(), seed=42)) % n for g in grams})
+        want = 1 / (1 + math.exp(-total))
+        assert r["verdict"] == ("block" if want >= 0.5 else "allow") or r["rule"]
+
+
 def test_op4_keeps_type_distinctness_and_coreference(spark):
     text = "Mr John Smith and Mrs Anna Smith wrote to a.b@mail.org, A.B@mail.org, c@mail.org; call +44 20 7946 0958 or +44-20-7946-0958; 4111 1111 1111 1111; 10.1.2.3"
     docs = spark.createDataFrame([(1, text), (2, "Mail c@mail.org now"), (3, None), (4, "nothing here"), (5, "")], "doc_id long, text string")
