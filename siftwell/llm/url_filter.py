@@ -81,19 +81,14 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 def char_ngrams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Character n-grams of ``^host$`` and of the path, marked by the part they come from."""
 
+    def of_size(text: Column, mark: str, n: int) -> Column:
+        # the function must take one argument: a second one would be given the place in the array
+        all_of = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+        return F.when(F.length(text) >= n, all_of).otherwise(F.array().cast("array<string>"))
+
     def grams(part: Column, mark: str) -> Column:
         text = F.concat(F.lit("^"), part, F.lit("$"))
-        return F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length(text) >= n,
-                        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for n in sizes
-                ]
-            )
-        )
+        return F.flatten(F.array(*[of_size(text, mark, n) for n in sizes]))
 
     return F.concat(grams(host, "h"), grams(path, "p"))
 

@@ -174,8 +174,8 @@ def test_op3_on_hosts_of_a_third_word_list(spark):
     caught = [r["url_filter"]["verdict"] == "block" for r in judged if r["bad"]]
     wrong = [r["url_filter"]["verdict"] == "block" for r in judged if not r["bad"]]
     print(f"caught {sum(caught)} of {len(caught)}, wrongly blocked {sum(wrong)} of {len(wrong)}")
-    # measured blind: the list was written before its first run, and nothing was fitted to it since
-    assert sum(caught) >= 0.6 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
+    # the list was written before its first run, and no parameter was fitted to it since
+    assert sum(caught) >= 0.8 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
 
 
 def test_op3_after_an_observation_in_the_same_session(spark, sf_dir, tmp_path):
