@@ -7,8 +7,8 @@ values of some chunk (pigeonhole), so each chunk is indexed under every way of
 leaving ``errors`` of its values out: all pairs under that distance meet under
 some key.  Links are then confirmed on the full sets.
 
-Equal sets are first folded into one class, kept by its smallest id, so a group
-of exact copies counts as one row.  Under a key, members are first linked to one
+Equal sets are first folded into one class with a number of its own, so a group
+of exact copies counts as one row and rows that share an id never share a class by it.  Under a key, members are first linked to one
 centre, a different one in a second round; only keys of three or more members
 that are still in several components are then compared pairwise, in blocks of
 bounded size: by a longer signature of ``LONG`` values, of which a pair at the
@@ -86,25 +86,25 @@ def long_signature(shingles: np.ndarray) -> np.ndarray:
     return (min_hashes(shingles, LONG) >> U(56)).astype(np.uint8)
 
 
-SKETCH = "n_shingles long, set_a long, set_b long, signature binary"
+SKETCH = "doc long, body long, n_shingles long, set_a long, set_b long, signature binary"
 
 
-def sketch(docs: DataFrame, n: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_shingles, set_a, set_b, signature) of every row; (set_a, set_b) is a 128-bit key of the set."""
-    schema = T.StructType([docs.schema[key], *T._parse_datatype_string(SKETCH).fields])
+def sketch(docs: DataFrame, n: int) -> DataFrame:
+    """(doc, body, n_shingles, set_a, set_b, signature) of every row of ``docs`` (doc, body, text); (set_a, set_b) is a 128-bit key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, s in shingle_sets(batch.column(text_col), n):
+            for _, s in shingle_sets(batch.column("text"), n):
                 with np.errstate(over="ignore"):
                     a, b = int(s.sum().astype(np.int64)), int(mix(s ^ U(0x5851F42D4C957F2D)).sum().astype(np.int64))
                 out.append((len(s), a, b, signature(s).tobytes() if len(s) else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
+            arrays = [batch.column("doc"), batch.column("body"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "body", "n_shingles", "set_a", "set_b", "signature"])
 
-    return docs.select(key, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, SKETCH)
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -262,23 +262,27 @@ def block_pairs(members: DataFrame, percent: int, block: int = 1024, task_rows:
     return grid.groupBy(F.pmod(F.xxhash64(*marks), F.lit(tasks))).applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row of ``docs``; keys are whole numbers.
+def _bodies(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(doc, body, text): with the id, ``body`` tells a row's text, so rows that share an id are told apart."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
 
-    A pair at similarity s meets under no key with a chance of (1 - 4 s^3 + 3 s^4) ** CHUNKS: about 1e-6 at 0.8 and
-    1e-4 at 0.7, the least that is taken.
-    """
+
+def judged(docs: DataFrame, shingle: int, percent: int, key: str, text_col: str) -> DataFrame:
+    """(doc, body, n_shingles, first) of every row: ``first`` (doc, body) is the smallest of all rows that can be reached."""
     if percent < 70 or not isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType)):
         raise ValueError("near duplicates need a similarity of 70 percent or more and keys that are whole numbers")
-    rows = cut(sketch(docs, shingle, key, text_col))
-    full = rows.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = cut(full.groupBy("set_a", "set_b").agg(F.min(key).alias("id"), F.min("signature").alias("signature")))
+    bodies = _bodies(docs, key, text_col)
+    rows = cut(sketch(bodies, shingle))
+    full = rows.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull())
+    folded = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "body")).alias("first"), F.min("signature").alias("signature"))
+    classes = cut(folded.withColumn("id", F.monotonically_increasing_id()))
     keys = chunk_keys(classes)
     busy = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(keys.join(busy, "key"))
-    signatures = classes.groupBy("id").agg(F.min("signature").alias("signature"))
-    wanted = members.select("id").distinct()
-    sets = cut(member_sets(docs.select(F.col(key).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), shingle))
+    signatures = classes.select("id", "signature")
+    wanted = members.select("id").distinct().join(classes.select("id", "first.*"), "id")
+    sets = cut(member_sets(bodies.join(wanted, ["doc", "body"]).select("id", "text"), shingle))
 
     tried = cut(star_pairs(members, 0))
     links = cut(confirm(tried, sets, percent))
@@ -299,20 +303,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         else:
             tried = tried.union(fresh)
 
-    # classes of one set are linked through their smallest id, so labels of classes are labels of rows
-    label = classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
+    # a component is known by the smallest row of its classes; only linked classes are looked at
+    linked = labels.join(classes.select("id", "first"), "id")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    named = linked.join(least, "component").select("id", "least")
+    label = classes.join(named, "id", "left").select("set_a", "set_b", F.coalesce("least", "first").alias("least"))
     found = rows.join(label, ["set_a", "set_b"], "left")
-    found = found.withColumn("component_id", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component_id")), F.col(key)))
-    return found.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+    first = F.when((F.col("n_shingles") > 0) & F.col("doc").isNotNull(), F.col("least"))
+    return found.select("doc", "body", "n_shingles", F.coalesce(first, F.struct("doc", "body")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row of ``docs``; keys are whole numbers.
+
+    A pair at similarity s meets under no key with a chance of (1 - 4 s^3 + 3 s^4) ** CHUNKS: about 1e-6 at 0.8 and
+    1e-4 at 0.7, the least that is taken.
+    """
+    found, kind = judged(docs, shingle, percent, key, text_col), docs.schema[key].dataType
+    kept = F.coalesce(F.col("doc") == F.col("first.doc"), F.lit(True)).alias("kept")
+    return found.select(F.col("doc").cast(kind).alias(key), "n_shingles", F.col("first.doc").cast(kind).alias("component_id"), kept)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id, and of these of one text.
 
-    Rows that share an id stay if one of them would; of rows equal in id and
-    text one stays; rows with a null id all stay.
+    Rows that share an id stay or go by their own texts; of rows equal in id and text one stays; rows with a null id all stay.
     """
-    kept = near_duplicates(docs, key=key, **options).where("kept").select(key).distinct()
-    text = free_name(docs, "text_key")
-    survivors = docs.join(kept, key, "left_semi").withColumn(text, F.xxhash64(F.col(options.get("text_col", "text"))))
-    return survivors.dropDuplicates([key, text]).drop(text).unionByName(docs.where(F.col(key).isNull()))
+    found = judged(docs, shingle, percent, key, text_col)
+    kept = found.where((F.col("doc") == F.col("first.doc")) & (F.col("body") == F.col("first.body"))).select("doc", "body").distinct()
+    doc, body = free_name(docs, "near_doc"), free_name(docs, "near_body")
+    marked = docs.withColumn(doc, F.col(f"`{key}`").cast("long")).withColumn(body, F.xxhash64(F.col(f"`{text_col}`")))
+    survivors = marked.join(kept.select(F.col("doc").alias(doc), F.col("body").alias(body)), [doc, body], "left_semi")
+    return survivors.dropDuplicates([doc, body]).drop(doc, body).unionByName(docs.where(F.col(f"`{key}`").isNull()))

@@ -47,7 +47,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=50)
+    return spans.select("doc_id", "start", "end", "n_words", "first_id")
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

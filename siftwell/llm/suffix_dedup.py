@@ -108,9 +108,10 @@ def _lists(listed: DataFrame, k: int, min_words: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, start, end, n_words, first_id): merged spans of words that another document holds too.
+    """(key, start, end, n_words, first_id, row_key, first_row): merged spans of words that another document holds too.
 
-    ``first_id`` is the smallest id of all documents that hold the windows of the span.
+    ``first_id`` is the smallest id of all documents that hold the windows of the span.  Rows that share an id are told
+    apart by ``row_key``, a hash of id and text; ``first_row`` is that of the owner, whose copy stays.
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     places = cut(_anchor_rows(base, k, min_words))
@@ -127,7 +128,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str =
     occurrences = cut(_lists(once.select("uid", "text", "places"), k, min_words))
     names = cut(once.select("uid", "id"))
 
-    contexts = cut(occurrences.join(names, "uid").groupBy("cid").agg(F.first("hashes").alias("hashes"), F.min("uid").alias("low"), F.max("uid").alias("high"), F.min("id").alias("owner")))
+    contexts = cut(occurrences.join(names, "uid").groupBy("cid").agg(F.first("hashes").alias("hashes"), F.min("uid").alias("low"), F.max("uid").alias("high"), F.min(F.struct("id", "uid")).alias("owner")))
     held = contexts.select("cid", "low", "high", "owner", F.posexplode("hashes").alias("j", "hash"))
     runs = held.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("owner").alias("owner")).where("low < high").select("hash", "owner")
     owned = held.select("cid", "j", "hash").join(runs, "hash").groupBy("cid", "owner").agg(F.array_sort(F.collect_set("j")).alias("js"))
@@ -146,14 +147,22 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 12, key: str =
         return F.when((F.size(acc) > 0) & (s["a"] <= F.try_element_at(acc, F.lit(-1))["b"]), grown).otherwise(F.concat(acc, F.array(s)))
 
     merged = per_doc.select("uid", "owner", F.explode(F.aggregate("spans", F.array().cast("array<struct<a:int,b:int>>"), merge)).alias("s"))
-    return merged.join(names, "uid").select(F.col("id").alias(key), F.col("s.a").alias("start"), F.col("s.b").alias("end"), (F.col("s.b") - F.col("s.a")).alias("n_words"), F.col("owner").alias("first_id"))
+    return merged.join(names, "uid").select(
+        F.col("id").alias(key),
+        F.col("s.a").alias("start"),
+        F.col("s.b").alias("end"),
+        (F.col("s.b") - F.col("s.a")).alias("n_words"),
+        F.col("owner.id").alias("first_id"),
+        F.col("uid").alias("row_key"),
+        F.col("owner.uid").alias("first_row"),
+    )
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words of ``spans`` in every document but the span's first; white space around them is joined by one space."""
-    cuts = free_name(docs, "cuts")
-    drop = spans.where(F.col(key) != F.col("first_id")).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    cuts, row = free_name(docs, "cuts"), free_name(docs, "row_key")
+    drop = spans.where("row_key <> first_row").groupBy(F.col("row_key").alias(row)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
     ws = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
     kept = F.filter(ws, lambda w, i: ~F.exists(cuts, lambda c: (i >= c["start"]) & (i < c["end"])))
-    joined = docs.join(drop, key, "left")
+    joined = docs.withColumn(row, F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).join(drop, row, "left")
     return joined.select(*[F.when(F.col(cuts).isNull(), F.col(f"`{c}`")).otherwise(F.array_join(kept, " ")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -484,6 +484,27 @@ def test_op7_compares_the_members_of_large_keys_in_blocks(spark, monkeypatch):
     assert called
 
 
+def test_op7_rows_that_share_an_id_go_by_their_own_texts(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = a[:-1] + ["other"]
+    rows = [(3, near), (5, a), (5, b), (7, [*b, "more"]), (8, a), (9, []), (9, ["x"]), (9, ["x"])]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows] + [(None, " ".join(a))], "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dup.near_duplicates(docs, shingle=4).collect())
+    assert found == sorted([(0, 57, 0, True), (3, 57, 3, True), (5, 57, 3, False), (5, 57, 5, True), (7, 58, 5, False), (8, 57, 3, False), (9, 0, 9, True), (9, 1, 9, True), (9, 1, 9, True)])
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in near_dup.keep_one(docs, shingle=4).collect())
+    assert left == sorted([(0, " ".join(a)), (3, " ".join(near)), (5, " ".join(b)), (9, ""), (9, "x")])
+
+
+def test_op5_rows_that_share_an_id_lose_their_own_words_alone(spark):
+    a, b = words_of(60, 0), words_of(70, 1000)
+    rows = [(3, a), (5, words_of(5, 5000) + a), (5, b), (5, words_of(80, 2000)), (7, b)]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")
+    spans = suffix_dedup.repeated_spans(docs, min_words=50).cache()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["first_id"]) for r in spans.collect()) == [(3, 0, 60, 3), (5, 0, 70, 5), (5, 5, 65, 3), (7, 0, 70, 5)]
+    cleaned = sorted((r["doc_id"], r["text"]) for r in suffix_dedup.cut_spans(docs, spans).collect())
+    assert cleaned == sorted([(3, " ".join(a)), (5, " ".join(words_of(5, 5000))), (5, " ".join(b)), (5, " ".join(words_of(80, 2000))), (7, "")])
+
+
 def test_op8_recall_up_to_the_bound_and_no_others(spark, sf_dir):
     rng = random.Random(5)
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
