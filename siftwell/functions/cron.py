@@ -52,10 +52,11 @@ def first_fault(text: str) -> dict:
         digits = re.compile("[0-9]*").match(text, at).group()
         if not digits:
             return 0, fault(at, field, "digit", text[at : at + 1] or None)
-        if int(digits) > 255:
+        kept = digits.lstrip("0")
+        if len(kept) > 3 or int(kept or 0) > 255:
             return 0, fault(at, field, "number 0-255", None)
         at += len(digits)
-        return int(digits), None
+        return int(kept or 0), None
 
     for field in FIELDS[6 - count :]:
         at += len(re.compile(" *").match(text, at).group())
@@ -96,13 +97,16 @@ def _locate(rejected: pd.Series) -> pd.DataFrame:
 
 def cron_fields(schedule: Column | str) -> Column:
     """Struct of the six canonical fields (no leading zeros; seconds null with five fields), or null where the schedule is rejected."""
-    text = as_column(schedule)
+    text, mark = as_column(schedule), "\x01"
     count = F.size(F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda p: p != ""))
 
     def pick(pattern: str, first: int) -> Column:
-        return F.array(*[F.regexp_extract(text, pattern, i - first + 1) if i >= first else null_of("string") for i in range(6)])
+        """The fields in one pass: a text that fits is rewritten behind a mark, another stays as it is."""
+        fields = F.regexp_replace(text, pattern + ".*$", mark + " ".join(f"${i}" for i in range(1, 7 - first)))
+        whole = F.split(F.substring(fields, 2, 1 << 30), " ")
+        return F.when(fields.startswith(mark), F.concat(F.array(null_of("string")), whole) if first else whole)
 
-    raw = F.when((count == 5) & text.rlike(_FIVE), pick(_FIVE, 1)).when((count == 6) & text.rlike(_SIX), pick(_SIX, 0))
+    raw = F.when((count == 5) & ~text.startswith(mark), pick(_FIVE, 1)).when((count == 6) & ~text.startswith(mark), pick(_SIX, 0))
 
     def checked(fields: Column) -> Column:
         joined = F.array_join(fields, " ")
@@ -120,19 +124,31 @@ def cron_fields(schedule: Column | str) -> Column:
 def cron_parse(schedule: Column | str) -> Column:
     """Struct (ok, seconds, minutes, hours, dom, month, dow, error)."""
     text = as_column(schedule)
-    located = _locate(F.when(cron_fields(text).isNull(), text))
+    fields = cron_fields(text)
+    located = _locate(F.when(fields.isNull(), text))
 
     def parsed(x: Column) -> Column:
         fields = x["fields"]
         return F.struct(fields.isNotNull().alias("ok"), *[fields[n].alias(n) for n in FIELDS], F.when(fields.isNull(), x["located"]).alias("error"))
 
-    return F.when(text.isNotNull(), let(F.struct(cron_fields(text).alias("fields"), located.alias("located")), parsed))
+    return F.when(text.isNotNull(), let(F.struct(fields.alias("fields"), located.alias("located")), parsed))
+
+
+def quoted_char(c: Column) -> Column:
+    """A character in single quotes: some by letter escapes, those that cannot be seen (controls, separators, marks) by their number."""
+    named = {"\t": r"\t", "\n": r"\n", "\r": r"\r", "\0": r"\0", "'": r"\'", "\\": r"\\"}
+    shown = F.when(c.rlike(r"^[\p{C}\p{Z}\p{Mn}\p{Me}\u200C&&[^ ]]$"), F.concat(F.lit(r"\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c)
+    for plain, escape in named.items():
+        shown = F.when(c == plain, escape).otherwise(shown)
+    return F.concat(F.lit("'"), shown, F.lit("'"))
 
 
 def cron_error_text(error: Column) -> Column:
-    quoted = F.when(error["found"] == "\t", r"\t").when(error["found"] == "\n", r"\n").when(error["found"] == "\r", r"\r").when(error["found"] == "'", r"\'").when(error["found"] == "\\", r"\\").otherwise(error["found"])
-    found = F.coalesce(F.concat(F.lit("found '"), quoted, F.lit("'")), F.lit("found end of input"))
-    return F.concat(F.lit("cron parse error in "), error["field"], F.lit(" field at position "), error["position"].cast("string"), F.lit(": expected "), error["expected"], F.lit(", "), found)
+    def said(e: Column) -> Column:
+        found = F.coalesce(F.concat(F.lit("found "), quoted_char(e["found"])), F.lit("found end of input"))
+        return F.concat(F.lit("cron parse error in "), e["field"], F.lit(" field at position "), e["position"].cast("string"), F.lit(": expected "), e["expected"], F.lit(", "), found)
+
+    return let(error, said)
 
 
 def is_six_field(fields: Column) -> Column:

@@ -1,8 +1,11 @@
 """Strict GeoJSON: validation with structural error paths, features, round trips.
 
 Documents are checked by SQL expressions over VARIANT; collections of geometries
-are opened ``NESTING`` deep.  Documents that fail, and those nested deeper, go
-to an Arrow UDF that walks the document and names the first fault, or finds none.
+are opened level by level, as deep as JSON may nest.  Documents that fail go to an
+Arrow UDF that walks them along a list of what is still to do, so no nesting
+exhausts a stack, and names the first fault.  JSON itself is that of
+``json_scan``: the last of equal keys wins, and numbers beyond a double or texts nested over
+127 levels are faults of kind ``Json`` with their place.
 Null gives null; a faulty document gives ``ok = false`` and an error.
 """
 
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import as_column, free_name, let
+from .json_scan import MOST_NESTED, doubtful, scan
 from .strict_json import json_type, strict_json
 
 ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])
-NESTING = 3
+#: A collection takes two levels of JSON, its object and its list.
+NESTING = MOST_NESTED // 2 + 1
 EPSILON = 2.220446049250313e-16
 #: Depth of the coordinate arrays of each geometry.
 DEPTH = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
@@ -90,6 +95,11 @@ def _members(geometry: Column) -> Column:
     return F.when(_text_type(geometry) == "GeometryCollection", listed).otherwise(F.array(geometry))
 
 
+def _work_list(geometries: Column) -> Column:
+    """Struct (geometries, more): whether some of them are collections, still to be opened."""
+    return let(geometries, lambda gs: F.struct(gs.alias("geometries"), F.coalesce(F.exists(gs, lambda g: F.coalesce(_text_type(g) == "GeometryCollection", F.lit(False))), F.lit(False)).alias("more")))
+
+
 def _document_ok(value: Column) -> Column:
     """Whether a document is valid; false where only the walk can tell."""
 
@@ -102,9 +112,9 @@ def _document_ok(value: Column) -> Column:
         present = F.filter(features, lambda f: geometry_of(f).isNotNull() & ~F.is_variant_null(geometry_of(f)))
         collected = kind.isin("FeatureCollection", "Feature")
         geometries = F.when(collected, F.transform(present, geometry_of)).otherwise(F.array(value))
-        # each pass opens one level of collections, so every geometry is checked by one copy of the rules
-        for _ in range(NESTING):
-            geometries = F.flatten(F.transform(geometries, _members))
+        # each step opens one level of collections, while there are any, so every geometry is checked by one copy of the rules
+        opened = F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), _work_list(geometries), lambda todo, _: F.when(todo["more"], _work_list(F.flatten(F.transform(todo["geometries"], _members)))).otherwise(todo))
+        geometries = opened["geometries"]
         named = F.when(collected, F.forall(features, lambda f: F.coalesce(_text_type(f) == "Feature", F.lit(False)))).otherwise(F.lit(True))
         return F.coalesce(kind.isNotNull() & named & F.forall(geometries, _simple_ok), F.lit(False))
 
@@ -157,13 +167,21 @@ def _member(value, name: str):
 
 
 def _walk_geometry(g, path: str) -> None:
+    todo = [(g, path)]
+    while todo:
+        g, path = todo.pop()
+        if members := _walk_one(g, path):
+            # what comes first in the text is taken first
+            todo += [(inner, f"{path}.geometries[{i}]") for i, inner in reversed(list(enumerate(members)))]
+
+
+def _walk_one(g, path: str) -> list | None:
+    """Checks one geometry; the members of a collection are left to the caller."""
     kind = _member(g, "type")
     if not isinstance(kind, str):
         raise _Fault("InvalidType", f"{path}.type", "geometry missing 'type' field")
     if kind == "GeometryCollection":
-        for i, inner in enumerate(_need_array(g.get("geometries"), "InvalidType", f"{path}.geometries", "GeometryCollection missing 'geometries' array")):
-            _walk_geometry(inner, f"{path}.geometries[{i}]")
-        return
+        return _need_array(g.get("geometries"), "InvalidType", f"{path}.geometries", "GeometryCollection missing 'geometries' array")
     if kind not in DEPTH:
         raise _Fault("InvalidType", f"{path}.type", f"unknown geometry type '{kind}'")
     at = f"{path}.coordinates"
@@ -183,6 +201,7 @@ def _walk_geometry(g, path: str) -> None:
     else:
         for i, polygon in enumerate(_need_array(c, "MalformedCoordinates", at, "expected array of polygons")):
             _walk_rings(polygon, f"{at}[{i}]", "polygon must be an array of rings")
+    return None
 
 
 def _shown(value) -> str:
@@ -208,16 +227,8 @@ def _walk_feature(f, path: str) -> None:
         _walk_geometry(f["geometry"], f"{path}.geometry")
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def first_fault(text: str) -> dict | None:
-    """The first fault of a document in reading order, or None."""
-    try:
-        value = json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return {"kind": "Json", "path": "", "message": "not a JSON document"}
+def first_fault(value) -> dict | None:
+    """The first fault of a parsed document in reading order, or None."""
     try:
         kind = _member(value, "type")
         if not isinstance(kind, str):
@@ -234,39 +245,60 @@ def first_fault(text: str) -> dict | None:
     return None
 
 
-@F.pandas_udf(ERROR)
-def _locate(rejected: pd.Series) -> pd.DataFrame:
-    none = dict.fromkeys(("kind", "path", "message"))
-    return pd.DataFrame([none if x is None else first_fault(x) or none for x in rejected], columns=list(none))
+#: ``text`` is the document as exact JSON, where Spark's parser could not be trusted with it.
+_LOCATED = T.StructType([*ERROR.fields, T.StructField("text", T.StringType())])
+
+
+def _examine(text: str, doubted: bool) -> dict:
+    none = dict.fromkeys(_LOCATED.names)
+    if doubted:
+        found = scan(text)
+        if found["reason"]:
+            return none | {"kind": "Json", "path": "", "message": f"{found['reason']} at line {found['line']} column {found['column']}"}
+        text = found["text"]
+    return none | {"text": text if doubted else None} | (first_fault(json.loads(text)) or {})
+
+
+@F.pandas_udf(_LOCATED)
+def _locate(texts: pd.Series, doubted: pd.Series) -> pd.DataFrame:
+    none = dict.fromkeys(_LOCATED.names)
+    return pd.DataFrame([none if x is None else _examine(x, bool(d)) for x, d in zip(texts, doubted, strict=True)], columns=_LOCATED.names)
 
 
 def geo_parse(text: Column | str) -> Column:
     """Struct (ok, root_kind, value, error); value is null where the document is faulty."""
     c = as_column(text)
 
-    def check(v: Column) -> Column:
+    def document(v: Column) -> Column:
         kind = _text_type(v)
         root = F.when(kind.isin("Feature", "FeatureCollection"), kind).otherwise("Geometry")
-        document = F.when(v.isNotNull(), F.struct(root.alias("root_kind"), v.alias("value")))
-        return F.struct(F.coalesce(F.when(v.isNotNull(), _document_ok(v)), F.lit(False)).alias("accepted"), document.alias("document"))
+        return F.when(v.isNotNull(), F.struct(root.alias("root_kind"), v.alias("value")))
+
+    def check(v: Column) -> Column:
+        doubted = doubtful(c, v)
+        accepted = F.when(~doubted, _document_ok(v)).otherwise(F.lit(False))
+        return F.struct(accepted.alias("accepted"), doubted.alias("doubted"), document(v).alias("document"))
 
     checked = let(strict_json(c), check)
-    fault = _locate(F.when(~checked["accepted"], c))
-    # what Spark's parser refuses and the walk accepts is still no document that can be used
-    unread = F.struct(F.lit("Json").alias("kind"), F.lit("").alias("path"), F.lit("not a JSON document").alias("message"))
+    fault = _locate(F.when(~checked["accepted"], c), checked["doubted"])
 
     def result(x: Column) -> Column:
-        # an accepted document has no fault, as the walk is not asked
-        document = F.when(x["fault"]["kind"].isNull(), x["document"])
-        error = F.when(x["fault"]["kind"].isNotNull(), x["fault"]).when(document.isNull(), unread)
-        return F.struct(document.isNotNull().alias("ok"), document["root_kind"].alias("root_kind"), document["value"].alias("value"), error.alias("error"))
+        fault = x["fault"]
+        # an accepted document has no fault, as it is not looked at again
+        whole = F.when(fault["text"].isNotNull(), let(F.try_parse_json(fault["text"]), document)).otherwise(x["document"])
+        kept = F.when(fault["kind"].isNull(), whole)
+        error = F.when(fault["kind"].isNotNull(), F.struct(*[fault[n].alias(n) for n in ERROR.names]))
+        return let(F.struct(kept.alias("d"), error.alias("e")), lambda y: F.struct(y["d"].isNotNull().alias("ok"), y["d"]["root_kind"].alias("root_kind"), y["d"]["value"].alias("value"), y["e"].alias("error")))
 
     return F.when(c.isNotNull(), let(F.struct(checked["document"].alias("document"), fault.alias("fault")), result))
 
 
 def geo_error_text(error: Column) -> Column:
-    prefix = F.when(error["kind"] == "InvalidType", "invalid type: ").when(error["kind"] == "MalformedCoordinates", "malformed coordinates: ").when(error["kind"] == "InvalidRing", "invalid ring: ").otherwise("JSON error: ")
-    return F.concat(F.lit("geojson error at "), error["path"], F.lit(": "), prefix, error["message"])
+    def said(e: Column) -> Column:
+        prefix = F.when(e["kind"] == "InvalidType", "invalid type: ").when(e["kind"] == "MalformedCoordinates", "malformed coordinates: ").when(e["kind"] == "InvalidRing", "invalid ring: ").otherwise("JSON error: ")
+        return F.concat(F.lit("geojson error at "), e["path"], F.lit(": "), prefix, e["message"])
+
+    return let(error, said)
 
 
 # ---- parts of valid documents

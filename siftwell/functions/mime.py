@@ -120,9 +120,3 @@ def mime_extension(kind: Column | str) -> Column:
 def mime_types(spark: SparkSession) -> DataFrame:
     """The closed dimension of 28 types: kind, mime, extension, accepted."""
     return spark.createDataFrame([(a, b, c, d.split()) for a, b, c, d in TYPES], "kind string, mime string, extension string, accepted array<string>")
-
-
-def detect_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, kind, mime) of every file under ``path`` by its bytes; the extension is not looked at."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", mime_detect("content").alias("kind")).withColumn("mime", mime_string("kind"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import cron, geojson, logfmt, mime
 from siftwell.functions.strict_json import strict_json
 from siftwell.sources import geojson as geojson_files
-from siftwell.sources import jsonl
+from siftwell.sources import file_types, jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,7 +187,7 @@ def mime_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, lines = scratch(spark, "files"), table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))
     lines.write.option("compression", "gzip").text(f"{path}/packed")
     lines.write.text(f"{path}/plain")
-    return mime.detect_files(spark, path, "part-*").select("kind", "mime").distinct()
+    return file_types.detect_files(spark, path, "part-*").select("kind", "mime").distinct()
 
 
 # ---- cron
@@ -349,10 +349,60 @@ def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("place", F.coalesce("part", "place").alias("part"), F.col("error.kind").alias("kind"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'JSON error: EOF while parsing' WHEN 1 THEN 'JSON error: trailing characters' WHEN 2 THEN 'JSON error: expected value' END AS said FROM events")
+#: Edits of an event's object, {"k": n}, and what the reader says of them: SQL of the line, of the place (its byte, from 1) and the reason.
+#: A fault behind the number is found where the number ends, so its place moves with the number's length.
+LINE_EDITS = [
+    ("props", "NULL::INT", None),
+    ("substr(props, 1, 1)", "1", "EOF while parsing an object"),
+    ("substr(props, 1, 3)", "3", "EOF while parsing a string"),
+    ("substr(props, 1, 5)", "5", "EOF while parsing a value"),
+    ("'[' || props", "length(props) + 1", "EOF while parsing a list"),
+    ("props || ']'", "length(props) + 1", "trailing characters"),
+    ("'?' || props", "1", "expected value"),
+    ("'{k' || substr(props, 3)", "2", "key must be a string"),
+    ("substr(props, 1, 4) || ' ' || substr(props, 6)", "7", "expected `:`"),
+    ("substr(props, 1, length(props) - 1) || ']'", "length(props)", "expected `,` or `}`"),
+    ("'[' || props || ' 1]'", "length(props) + 3", "expected `,` or `]`"),
+    ("substr(props, 1, length(props) - 1) || ',}'", "length(props) + 1", "trailing comma"),
+    ("'[tru, ' || props || ']'", "5", "expected ident"),
+    ("'[01, ' || props || ']'", "3", "invalid number"),
+    ("'[-1e400, ' || props || ']'", "7", "number out of range"),
+    ("'[\"\\\\q\", ' || props || ']'", "4", "invalid escape"),
+    ("'[\"\\\\udc00\", ' || props || ']'", "8", "lone leading surrogate in hex escape"),
+    ("'[\"\\\\ud800\", ' || props || ']'", "9", "unexpected end of hex escape"),
+    ("repeat('[', 127) || props || repeat(']', 127)", "128", "recursion limit exceeded"),
+    ("repeat('[', 126) || props || repeat(']', 126)", "NULL", None),
+]
+
+
+def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, k, line): every event's object, changed by its number."""
+    # in Spark's SQL a backslash in a text is written twice, and numbers have one kind of cast
+    edits = [F.expr(line) for line, _, _ in LINE_EDITS]
+    k = F.regexp_extract("props", r"(-?\d+)", 1).cast("bigint")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), choose(event_id() % len(LINE_EDITS), edits).alias("line"))
+
+
+_PLACE_SQL = f"CASE event_id % {len(LINE_EDITS)} " + " ".join(f"WHEN {i} THEN {at}" for i, (_, at, _) in enumerate(LINE_EDITS)) + " END"
+_REASON_SQL = sql_cases(f"event_id % {len(LINE_EDITS)}", [r for _, _, r in LINE_EDITS])
+
+
+@query(f"SELECT event_id, {_PLACE_SQL}::INT AS place, 'JSON error: ' || {_REASON_SQL} || ' at line 1 column ' || ({_PLACE_SQL}) AS said FROM events")
 def jsonl_error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = choose(event_id() % 4, [F.expr("substring(props, 1, length(props) - 1)"), F.concat("props", F.lit("]")), F.concat(F.lit("?"), "props"), F.col("props")])
-    return table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(line)["error"]["message"].alias("said"))
+    """Reason and place of the first fault of a line."""
+    rows = edited_lines(spark, sf_dir).select("event_id", jsonl.parse_line("line")["error"].alias("e"))
+    return rows.select("event_id", F.col("e.column").alias("place"), F.col("e.message").alias("said"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + event_id % 3 AS k, event_id % 2 AS inner_k, event_id % 3 + 1 AS n FROM events")
+def json_last_key_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with a key up to three times, the value of the last counting, at the top and inside; the session's settings are as they come."""
+    k = F.regexp_extract("props", r"(-?\d+)", 1).cast("bigint")
+    more = F.array_join(F.transform(F.sequence(F.lit(0), event_id() % 3), lambda i: F.concat(F.lit('"k": '), (k + i).cast("string"))), ", ")
+    inner = F.concat(F.lit('"in": [{"\\u006b": 7, "k": '), (event_id() % 2).cast("string"), F.lit("}]"))
+    n = F.concat(F.lit('"n": '), (event_id() % 3 + 1).cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(F.concat(F.lit("{"), inner, F.lit(", "), more, F.lit(", "), n, F.lit("}")))["value"].alias("v"))
+    return rows.select("event_id", *[F.variant_get("v", path, "bigint").alias(name) for path, name in (("$.k", "k"), ("$.in[0].k", "inner_k"), ("$.n", "n"))])
 
 
 @query("SELECT count(*) AS written, count(*) AS found FROM conversations")
@@ -449,6 +499,24 @@ def geo_bbox_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.size("bbox").alias("n_numbers"), F.get("bbox", F.lit(0)).alias("west"), F.get("bbox", F.lit(1)).alias("south"), F.to_json("foreign").alias("foreign_members"))
 
 
+#: How deep collections may stand in each other: a point takes two levels of JSON, a collection two more.
+DEEPEST = 62
+
+
+@query(f"""
+    SELECT s_suppkey, s_suppkey % 70 <= {DEEPEST} AS ok, CASE WHEN s_suppkey % 70 > {DEEPEST} THEN 'Json' WHEN s_suppkey % 4 = 0 THEN 'MalformedCoordinates' END AS kind,
+      CASE WHEN s_suppkey % 70 > {DEEPEST} THEN '' WHEN s_suppkey % 4 = 0 THEN repeat('.geometries[1]', (s_suppkey % 70)::INT) || '.coordinates' END AS path
+    FROM supplier
+""".replace(f"s_suppkey % 70 <= {DEEPEST} AS ok", f"s_suppkey % 70 <= {DEEPEST} AND s_suppkey % 4 <> 0 AS ok"))
+def geo_deep_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections in collections up to 69 deep, some with a faulty point at the bottom."""
+    depth = (F.col("s_suppkey") % 70).cast("int")
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), F.when(F.col("s_suppkey") % 4 == 0, "1").otherwise("1,2"), F.lit("]}"))
+    text = F.concat(F.repeat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[0,0]},'), depth), point, F.repeat(F.lit("]}"), depth))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", geojson.geo_parse(text).alias("g"))
+    return rows.select("s_suppkey", "g.ok", "g.error.kind", "g.error.path")
+
+
 @query(f"SELECT c_nationkey, (c_custkey // {SPAN})::BIGINT AS span, true AS same, count(*) AS n_features FROM customer GROUP BY 1, 2")
 def geo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed, written as text, read and parsed again; the second text must equal the first."""
@@ -493,7 +561,8 @@ def geo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: (document, kind, path, message)
 GEO_FAULTS = [
     ('{"type":"Point","coordinates":[1,2]}', None, None, None),
-    ("not json", "Json", "", "not a JSON document"),
+    ("not json", "Json", "", "expected ident at line 1 column 2"),
+    ('{"type":"Point","coordinates":[1e400,0]}', "Json", "", "number out of range at line 1 column 36"),
     ('{"a":1}', "InvalidType", ".type", "missing or non-string 'type' field"),
     ('{"type":"Blob"}', "InvalidType", ".type", "unknown geometry type 'Blob'"),
     ('{"type":"FeatureCollection"}', "InvalidType", ".features", "FeatureCollection missing 'features' array"),

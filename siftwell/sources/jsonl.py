@@ -11,63 +11,69 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.columns import as_column, let, trim_space
-from siftwell.functions.strict_json import strict_json
+from siftwell.functions.json_scan import exact_json, fault_text
 
 #: So many rows may be sent to all tasks.
 MOST_SENT = 100_000
 
 
 def parse_line(line: Column | str) -> Column:
-    """Struct (value, error struct(kind, message)) of one line; null for a blank or null line.
+    """Struct (value, error struct(kind, message, column)) of one line; null for a blank or null line.
 
-    A message tells whether the line ends too soon, goes on behind its value, or holds no value where one is due.
+    The last of equal keys wins.  A message gives the reason of the first fault and its place: the column counts bytes of the
+    line without the white space around it, from 1.
     """
     c = as_column(line)
+    trimmed = F.when(F.is_valid_utf8(c), trim_space(c))
+    found = exact_json(F.when(trimmed != "", trimmed))
 
-    def reason(text: Column) -> Column:
-        # Spark's parser stops behind the first value
-        trailing = F.try_parse_json(text).isNotNull()
-        bare = F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*+"', "")
-        count = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
-        open_end = (count("{[") > count("}]")) | bare.contains('"')
-        return F.when(trailing, "trailing characters").when(open_end, "EOF while parsing").otherwise("expected value")
+    def parsed(x: Column) -> Column:
+        fault = x["found"]["error"]
+        kind = F.when(~x["text"], "Io").when(fault.isNotNull(), "Json")
+        message = F.when(kind == "Io", "I/O error: stream did not contain valid UTF-8").when(kind == "Json", F.concat(F.lit("JSON error: "), fault_text(fault)))
+        error = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), message.alias("message"), fault["column"].alias("column")))
+        return F.when(x["due"], F.struct(x["found"]["value"].alias("value"), error.alias("error")))
 
-    def parsed(text: Column) -> Column:
-        def result(v: Column) -> Column:
-            kind = F.when(~F.is_valid_utf8(c), "Io").when(v.isNull(), "Json")
-            message = F.when(kind == "Io", "I/O error: stream did not contain valid UTF-8").when(kind == "Json", F.concat(F.lit("JSON error: "), reason(text)))
-            return F.struct(F.when(kind.isNull(), v).alias("value"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), message.alias("message"))).alias("error"))
+    utf8 = F.is_valid_utf8(c)
+    return let(F.struct(utf8.alias("text"), (~utf8 | (trimmed != "")).alias("due"), found.alias("found")), parsed)
 
-        return F.when(text != "", let(strict_json(text), result))
 
-    return F.when(c.isNotNull(), let(trim_space(c), parsed))
+def number_lines(raw: DataFrame, few: bool) -> DataFrame:
+    """(path, line, text) of rows (path, block, row, text), where ``row`` grows along each block.
+
+    A line's number is its place in the block plus the lines of the file's earlier blocks.  Only one row a
+    block is shuffled; ``few`` tells whether these can be sent to all tasks.
+    """
+    splits = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return raw.join(F.broadcast(offsets) if few else offsets, ["path", "block"]).select("path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line"), "text")
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line, text) with the 1-based physical line number in each file.
 
-    Splits are read in parallel; a line's number is its place in the split plus
-    the lines of the file's earlier splits.  Only one row a split is shuffled: up
-    to ``MOST_SENT`` of them are sent to all tasks, more are joined by a shuffle.
+    Splits are read in parallel.  Up to ``MOST_SENT`` numbers of lines are sent to all tasks, more are joined by a shuffle.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text")
     )
-    splits = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # a task reads one split of a large file or several whole files
-    few = len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= MOST_SENT
-    return raw.join(F.broadcast(offsets) if few else offsets, ["path", "block"]).select("path", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line"), "text")
+    return number_lines(raw, len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= MOST_SENT)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line, value VARIANT, error struct(line, kind, message)) of every line that is not blank."""
-    rows = numbered_lines(spark, path).withColumn("p", parse_line("text")).where(F.col("p").isNotNull())
-    error = F.when(F.col("p.error").isNotNull(), F.struct(F.col("line"), F.col("p.error.kind").alias("kind"), F.col("p.error.message").alias("message")))
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(path, line, value VARIANT, error struct(line, kind, message, column)) of lines (path, line, text) that are not blank."""
+    rows = lines.withColumn("p", parse_line("text")).where(F.col("p").isNotNull())
+    error = F.when(F.col("p.error").isNotNull(), F.struct(F.col("line"), F.col("p.error.kind").alias("kind"), F.col("p.error.message").alias("message"), F.col("p.error.column").alias("column")))
     return rows.select("path", "line", F.col("p.value").alias("value"), error.alias("error"))
 
 
+def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, line, value VARIANT, error struct(line, kind, message, column)) of every line that is not blank."""
+    return parsed_lines(numbered_lines(spark, path))
+
+
 def error_text(error: Column) -> Column:
     return F.concat(F.lit("jsonl error on line "), error["line"].cast("string"), F.lit(": "), error["message"])
 
