@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import cron, geojson, logfmt, mime
 from siftwell.functions.strict_json import strict_json
+from siftwell.plans import cron_cases
 from siftwell.sources import geojson as geojson_files
 from siftwell.sources import file_types, jsonl
 
@@ -213,17 +214,10 @@ def cron_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_with(spark, sf_dir, p=cron.cron_fields(text)).select("event_id", "p.*")
 
 
-#: (schedule, text) for every rule of the description.
-DESCRIBED = [
-    ("* * * * *", "Every minute"), ("*/9 * * * *", "Every 9 minutes"), ("0 * * * *", "Every hour"), ("20 6 * * 4", "Every Thursday at 6:20 AM"), ("0 12 * * 7", "Every Sunday at 12:00 PM"),
-    ("35 8 2 * *", "At 8:35 AM on the 2nd of every month"), ("5 0 13 * *", "At 12:05 AM on the 13th of every month"), ("50 21 3 11 *", "At 9:50 PM on November 3rd"), ("1 15 * * *", "Every day at 3:01 PM"),
-    ("09 7-18 * * 2-6", "At 9 past 7-18 on * of * (2-6)"), ("40 0 5 * * *", "Every day at 5:00 AM"), ("0 11 * * 9", "Every unknown at 11:00 AM"), ("0 26 3 201 *", "At 14:00 PM on unknown 3rd"), ("y", None),
-]
-
-
-@query(f"SELECT event_id, {sql_cases(f'event_id % {len(DESCRIBED)}', [t for _, t in DESCRIBED])} AS said FROM events")
+@query(f"SELECT event_id, {cron_cases.described_sql(1, spark=False)} AS said FROM events")
 def cron_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_with(spark, sf_dir, said=cron.cron_describe(choose(event_id() % len(DESCRIBED), [s for s, _ in DESCRIBED]))).drop("ts")
+    schedules = table(spark, sf_dir, "events").select("event_id", F.expr(cron_cases.described_sql(0, spark=True)).alias("schedule"))
+    return schedules.select("event_id", cron.cron_describe("schedule").alias("said"))
 
 
 @query("""
@@ -260,18 +254,13 @@ def cron_next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_with(spark, sf_dir, next=cron.cron_next_after(F.lit("*/20 3-5/2 * * *"), "ts")).drop("ts")
 
 
-#: (schedule, position, field, expected, found)
-FAULTS = [
-    ("1 * 2", 0, "minutes", "5 or 6 whitespace-separated fields", None), ("* z * * *", 2, "hours", "digit", "z"), ("5 6 9-4 * *", 4, "day-of-month", "ascending range (start <= end)", "-"),
-    ("1 */0 * * *", 4, "hours", "non-zero step value", "0"), ("1 2 3 999 5", 6, "month", "number 0-255", None), ("8\t7 * * *", 1, "hours", "digit", "\t"), ("0 4 * * 2,", 10, "day-of-week", "digit", None), ("0 4 * * 2xyz", None, None, None, None),
-]
+def faulty_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", cron.cron_parse(F.expr(cron_cases.faulty_sql())).alias("p"))
 
 
-@query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(FAULTS)}', [f[i] for f in FAULTS])} AS {n}" for i, n in enumerate(("schedule", "position", "field", "expected", "found"))) + ", event_id % 8 = 7 AS ok FROM events")
+@query("SELECT event_id, NOT bad AS ok, " + ", ".join(f"CASE WHEN bad THEN {c} END{t} AS {c}" for c, t in (("position", "::INT"), ("field", ""), ("expected", ""), ("found", ""))) + f" FROM {cron_cases.FAULT_ROWS}")
 def cron_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schedule = choose(event_id() % len(FAULTS), [f[0] for f in FAULTS])
-    parsed = events_with(spark, sf_dir, schedule=schedule).withColumn("p", cron.cron_parse("schedule"))
-    return parsed.select("event_id", F.when(~F.col("p.ok"), F.col("schedule")).otherwise(F.col("schedule")).alias("schedule"), "p.error.position", "p.error.field", "p.error.expected", "p.error.found", "p.ok")
+    return faulty_schedules(spark, sf_dir).select("event_id", "p.ok", "p.error.position", "p.error.field", "p.error.expected", "p.error.found")
 
 
 @query("""
@@ -302,18 +291,16 @@ def cron_next_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_with(spark, sf_dir, next=cron.cron_next_after(words_of(event_id() % 60, event_id() % 59, event_id() % 24, "*", "*", "*"), "ts")).drop("ts")
 
 
-def _fault_text(fault: tuple) -> str | None:
-    """What a fault is shown as, with ``FAULTS``' few found characters."""
-    _, at, field, expected, found = fault
-    shown = "end of input" if found is None else f"'{found}'" if found != "\t" else "'\\t'"
-    return None if at is None else f"cron parse error in {field} field at position {at}: expected {expected}, found {shown}"
+@query(f"SELECT event_id, CASE WHEN bad THEN 'cron parse error in ' || field || ' field at position ' || position || ': expected ' || expected || ', found ' || coalesce(shown, 'end of input') END AS said FROM {cron_cases.FAULT_ROWS}")
+def cron_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faulty_schedules(spark, sf_dir).select("event_id", cron.cron_error_text(F.col("p.error")).alias("said"))
 
 
-@query(f"SELECT event_id, {sql_cases(f'event_id % {len(FAULTS)}', [_fault_text(f) for f in FAULTS])} AS said FROM events")
-def cron_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schedule = choose(event_id() % len(FAULTS), [f[0] for f in FAULTS])
-    parsed = events_with(spark, sf_dir, p=cron.cron_parse(schedule))
-    return parsed.select("event_id", cron.cron_error_text(F.col("p.error")).alias("said"))
+@query("SELECT event_id, CASE WHEN event_id % 9 NOT IN (5, 6) THEN 'cron parse error in minutes field at position 0: expected 5 or 6 whitespace-separated fields, found end of input' END AS said FROM events")
+def cron_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules of no field to eight."""
+    text = F.array_join(F.slice(F.lit(list("12345678")), F.lit(1), (event_id() % 9).cast("int")), " ")
+    return table(spark, sf_dir, "events").select("event_id", cron.cron_parse(text).alias("p")).select("event_id", cron.cron_error_text(F.col("p.error")).alias("said"))
 
 
 # ---- JSON Lines

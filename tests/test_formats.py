@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions import cron, geojson, logfmt, mime
+from siftwell.functions import cron, geojson, mime
 from siftwell.sources import geojson as geo_files
 from siftwell.sources import jsonl
 from siftwell.streaming import jsonl as stream
@@ -18,56 +18,6 @@ def over(spark, values, column, kind="string"):
     return [r[1] for r in rows.select("i", column.alias("r")).orderBy("i").collect()]
 
 
-LOGFMT = [
-    ("lvl=warn code=17", [("lvl", "warn"), ("code", "17")], None),
-    ("dry", [("dry", "")], None),
-    ("key=", [("key", "")], None),
-    ('note="two words"', [("note", "two words")], None),
-    ('p="q"r=s', [("p", "q"), ("r", "s")], None),
-    ("z=9 z=8", [("z", "9"), ("z", "8")], None),
-    ('say="he \\"x\\" she"', [("say", 'he \\"x\\" she')], None),
-    ('city="Łódź ☂"', [("city", "Łódź ☂")], None),
-    ("", [], None),
-    ("=nope", [], (0, "expected key")),
-    ("u=v=w", [("u", "v")], (3, "expected key")),
-    ('ab"c"', [("ab", "")], (2, "expected key")),
-    ("ö=2 =", [("ö", "2")], (5, "expected key")),
-    ('txt="never', [], (10, "unterminated quoted string")),
-    ('q="r\\', [], (5, "unterminated escape sequence")),
-]
-
-
-def test_logfmt_pairs_and_errors(spark):
-    found = over(spark, [x for x, _, _ in LOGFMT] + [None], logfmt.logfmt_parse("x"))
-    assert found[-1] is None
-    for (line, pairs, error), row in zip(LOGFMT, found, strict=False):
-        assert [tuple(p) for p in row["pairs"]] == pairs, line
-        assert (row["error"] and tuple(row["error"])) == error, line
-        assert row["ok"] == (error is None)
-
-
-def test_logfmt_map_resolves_escapes_and_keeps_the_last(spark):
-    lines = ["z=9 z=8", r'say="he \"x\""', r'path="c\\new"', r'two="up\ndown\tend"', r'odd="\w"', "u=v=w"]
-    found = [r["fields"] for r in over(spark, lines, logfmt.logfmt_map("x"))]
-    assert found == [{"z": "8"}, {"say": 'he "x"'}, {"path": r"c\new"}, {"two": "up\ndown\tend"}, {"odd": r"\w"}, None]
-
-
-def test_cron_descriptions(spark):
-    said = {
-        "* * * * *": "Every minute", "*/7 * * * *": "Every 7 minutes", "0 * * * *": "Every hour", "45 6 * * 2": "Every Tuesday at 6:45 AM", "5 17 23 * *": "At 5:05 PM on the 23rd of every month",
-        "30 12 4 7 *": "At 12:30 PM on July 4th", "10 0 * * *": "Every day at 12:10 AM", "07 8-11 * * 2-4": "At 7 past 8-11 on * of * (2-4)", "12 3 4 * * *": "Every day at 4:03 AM", "soon": None,
-    }
-    assert over(spark, [*said, None], cron.cron_describe("x")) == [*said.values(), None]
-
-
-def test_cron_faults(spark):
-    bad = {
-        "1 2 3 4": (0, "minutes", "5 or 6 whitespace-separated fields", None), "* q * * *": (2, "hours", "digit", "q"), "7-3 * * * *": (0, "minutes", "ascending range (start <= end)", "-"),
-        "* */0 * * *": (4, "hours", "non-zero step value", "0"), "256 1 1 1 1": (0, "minutes", "number 0-255", None), "3\t4 * * *": (1, "hours", "digit", "\t"),
-    }
-    assert [tuple(r["error"]) for r in over(spark, list(bad), cron.cron_parse("x"))] == list(bad.values())
-
-
 @pytest.mark.parametrize(
     "schedule, after, want",
     [
@@ -140,12 +90,6 @@ def test_jsonl_lines_numbers_and_bad_bytes(spark, tmp_path):
     assert jsonl.read_jsonl(spark, str(tmp_path / "b")).count() == 0
 
 
-def test_jsonl_error_reasons(spark):
-    lines = ['{"a":1', '[1,2', '"open', '{"a":1} x', "1 2", "{a:1}", "nul", '{"a":"}', None]
-    found = [r and r["error"]["message"] for r in over(spark, lines, jsonl.parse_line("x"))]
-    assert found == [*["JSON error: EOF while parsing"] * 3, *["JSON error: trailing characters"] * 2, *["JSON error: expected value"] * 2, "JSON error: EOF while parsing", None]
-
-
 def test_jsonl_write_counts_lines_and_commits_all_or_nothing(spark, tmp_path):
     rows = spark.range(25, numPartitions=4).select("id", F.lit(None).cast("string").alias("x"))
     assert jsonl.write_jsonl(rows, str(tmp_path / "many")) == 25
