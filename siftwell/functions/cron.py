@@ -31,8 +31,8 @@ ERROR = T.StructType([T.StructField("position", T.IntegerType()), T.StructField(
 MONTHS = "January February March April May June July August September October November December".split()
 WEEKDAYS = "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split()
 SEARCH_DAYS = 4 * 366 + 1
-#: Days ahead that are searched together: most schedules fire within a week, nearly all within two months.
-SEARCH_STAGES = [(1, 1), (2, 8), (9, 62), (63, 400), (401, SEARCH_DAYS + 1)]
+#: Months that the days of a search can lie in.
+SEARCH_MONTHS = SEARCH_DAYS // 28
 
 
 @lru_cache(maxsize=1 << 16)
@@ -202,46 +202,124 @@ def cron_expand(field: Column, low: int, high: int) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(field, ","), values))))
 
 
+# ---- sets of values as bits of a 64-bit number
+
+
+def _bit(i: Column | int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(i) if isinstance(i, int) else i)
+
+
+def _up(x: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", x, n)
+
+
+def _down(x: Column, n: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, n)
+
+
+def lowest(mask: Column) -> Column:
+    """Number of the lowest bit of a mask that is not 0."""
+    return F.bit_count(mask.bitwiseAND(-mask) - 1)
+
+
+def every(step: int) -> int:
+    """Bits 0, step, 2 * step, ... below 63."""
+    return sum(1 << i for i in range(0, 63, step))
+
+
+def cron_mask(field: Column, low: int, high: int, week: bool = False) -> Column:
+    """The values of a canonical field up to ``high`` (under 63) as bits; for days of the ``week``, those of all values, modulo 7."""
+    strides = F.lit([every(k) for k in range(1, 64)])
+    full = (2 << high) - (1 << low)
+
+    def of_item(x: Column) -> Column:
+        # from ``first`` on by steps, or from ``first`` to ``last``
+        stepped = F.when(x["first"] > high, F.lit(0).cast("long")).otherwise(_up(F.get(strides, F.least(x["step"], F.lit(63)) - 1), x["first"]).bitwiseAND(F.lit(full)))
+        last = F.least(x["last"], F.lit(high))
+        run = F.when(x["first"] > last, F.lit(0).cast("long")).otherwise(_bit(last + 1) - _bit(x["first"]))
+        if week:
+            whole = _up(_bit(F.least(x["last"] - x["first"], F.lit(6)) + 1) - 1, x["first"] % 7)
+            run = F.when(x["first"] <= x["last"], whole).otherwise(F.lit(0).cast("long"))
+        return F.when(x["step"].isNotNull(), stepped).otherwise(run)
+
+    def add(mask: Column, item: Column) -> Column:
+        base, slash = F.substring_index(item, "/", 1), item.contains("/")
+        first = F.when(base == "*", low).otherwise(F.substring_index(base, "-", 1).try_cast("int"))
+        last = F.when(base == "*", high).otherwise(F.substring_index(base, "-", -1).try_cast("int"))
+        step = F.when(slash, F.substring_index(item, "/", -1).try_cast("int"))
+        return mask.bitwiseOR(let(F.struct(first.alias("first"), last.alias("last"), step.alias("step")), of_item))
+
+    plain = F.when(field == "*", F.lit(full)).otherwise(F.aggregate(F.split(field, ","), F.lit(0).cast("long"), add))
+    return let(plain, lambda m: m.bitwiseOR(_down(m, F.lit(7))).bitwiseAND(F.lit(127))) if week else plain
+
+
 def cron_next_after(schedule: Column | str, after: Column | str) -> Column:
     """The first firing time in a minute after that of ``after`` (TIMESTAMP_NTZ, read as UTC), or null.
 
     At most 1465 days ahead.  With seconds, the smallest one of the schedule is
     taken; one over 59 has no such time, so the result is null.
+
+    Minutes, hours, days, months and weekdays are bit masks.  A month's firing days are one mask: the days of the month, and the
+    weekdays' bits repeated and shifted to the weekday of its first, cut to its length.  The next value is the lowest
+    bit left when those before are shifted out, so no list of times or days is made.
     """
     time = as_column(after)
 
     def of_fields(f: Column) -> Column:
-        minutes = F.filter(cron_expand(f["minutes"], 0, 59), lambda x: x < 60)
-        hours = F.filter(cron_expand(f["hours"], 0, 23), lambda x: x < 24)
-        times = F.array_sort(F.flatten(F.transform(hours, lambda h: F.transform(minutes, lambda m: h * 60 + m))))
         sets = F.struct(
-            times.alias("times"),
-            cron_expand(f["dom"], 1, 31).alias("dom"),
-            cron_expand(f["month"], 1, 12).alias("month"),
-            F.transform(cron_expand(f["dow"], 0, 7), lambda d: d % 7).alias("dow"),
-            F.coalesce(F.array_min(cron_expand(f["seconds"], 0, 59)), F.lit(0)).alias("second"),
+            cron_mask(f["minutes"], 0, 59).alias("minutes"),
+            cron_mask(f["hours"], 0, 23).alias("hours"),
+            # bit 0 is the first day, and the first month
+            _down(cron_mask(f["dom"], 1, 31), F.lit(1)).alias("dom"),
+            _down(cron_mask(f["month"], 1, 12), F.lit(1)).alias("months"),
+            # six weeks of weekdays, so that any first weekday can be shifted to
+            (cron_mask(f["dow"], 0, 7, week=True) * F.lit(sum(1 << 7 * k for k in range(6)))).alias("weeks"),
+            (f["dom"] == "*").alias("any_dom"),
+            (f["dow"] == "*").alias("any_dow"),
+            F.when(f["seconds"].isNull(), F.lit(0)).otherwise(F.array_min(cron_expand(f["seconds"], 0, 59))).alias("second"),
+            (F.date_trunc("minute", time) + F.expr("interval 1 minute")).alias("start"),
         )
-        any_dom, any_dow = f["dom"] == "*", f["dow"] == "*"
 
         def search(s: Column) -> Column:
-            start = F.date_trunc("minute", time) + F.expr("interval 1 minute")
-            day0 = start.cast("date")
-            minute0 = F.hour(start) * 60 + F.minute(start)
-
-            def day_ok(day: Column) -> Column:
-                by_dom = F.array_contains(s["dom"], F.dayofmonth(day))
-                by_dow = F.array_contains(s["dow"], F.dayofweek(day) - 1)
-                rule = F.when(any_dom & any_dow, F.lit(True)).when(any_dow, by_dom).when(any_dom, by_dow).otherwise(by_dom | by_dow)
-                return F.array_contains(s["month"], F.month(day)) & rule
-
-            at = lambda day, minute: F.timestamp_add("MINUTE", minute, day.cast("timestamp_ntz"))
-            today = F.when(day_ok(day0), F.array_min(F.filter(s["times"], lambda t: t >= minute0)))
-            # a later stage is evaluated only where the stages before it found no day
-            stages = [F.array_min(F.filter(F.sequence(F.lit(a), F.lit(b)), lambda i: day_ok(F.date_add(day0, i)))) for a, b in SEARCH_STAGES]
-            later = F.when(F.size(s["times"]) > 0, let(F.coalesce(*stages), lambda i: at(F.date_add(day0, i), F.array_min(s["times"]))))
-            found = F.coalesce(at(day0, today), later)
+            start = s["start"]
+            month0 = F.year(start) * 12 + F.month(start) - 1
+
+            def days_of(month: Column) -> Column:
+                """Firing days of a month, which is counted from year 0."""
+                first = F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+
+                def mask(d: Column) -> Column:
+                    by_dow = _down(s["weeks"], F.dayofweek(d) - 1)
+                    rule = F.when(s["any_dom"] & s["any_dow"], F.lit(-1).cast("long")).when(s["any_dow"], s["dom"]).when(s["any_dom"], by_dow).otherwise(s["dom"].bitwiseOR(by_dow))
+                    return rule.bitwiseAND(_bit(F.dayofmonth(F.last_day(d))) - 1)
+
+                fires = _down(s["months"], (month % 12).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+                return F.when(fires, let(first, mask)).otherwise(F.lit(0).cast("long"))
+
+            at = lambda month, day, hour, minute: F.make_timestamp_ntz(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), day, hour, minute, F.lit(0).cast("decimal(16,6)"))
+            hour0, minute0, today = F.hour(start), F.minute(start), F.dayofmonth(start) - 1
+
+            def this_month(days: Column) -> Column:
+                minutes_left = F.when(_down(s["hours"], hour0).bitwiseAND(F.lit(1).cast("long")) == 1, _down(s["minutes"], minute0)).otherwise(F.lit(0).cast("long"))
+                hours_left = _down(s["hours"], hour0 + 1)
+                now = _down(days, today).bitwiseAND(F.lit(1).cast("long")) == 1
+                later_days = _down(days, today + 1)
+                return (
+                    F.when(now & (minutes_left != 0), at(month0, today + 1, hour0, minute0 + lowest(minutes_left)))
+                    .when(now & (hours_left != 0), at(month0, today + 1, hour0 + 1 + lowest(hours_left), lowest(s["minutes"])))
+                    .when(later_days != 0, at(month0, today + 2 + lowest(later_days), lowest(s["hours"]), lowest(s["minutes"])))
+                )
+
+            def in_month(i: Column) -> Column:
+                return let(F.struct((month0 + i).alias("month"), days_of(month0 + i).alias("days")), lambda m: at(m["month"], lowest(m["days"]) + 1, lowest(s["hours"]), lowest(s["minutes"])))
+
+            # the next month is tried first, for most schedules fire in it; those after it only where it does not
+            next_month = F.when(days_of(month0 + 1) != 0, in_month(F.lit(1)))
+            further = F.array_min(F.filter(F.sequence(F.lit(2), F.lit(SEARCH_MONTHS)), lambda i: days_of(month0 + i) != 0))
+            found = F.coalesce(let(days_of(month0), this_month), next_month, let(further, lambda i: F.when(i.isNotNull(), in_month(i))))
             limit = F.timestamp_add("DAY", F.lit(SEARCH_DAYS), time)
-            return let(found, lambda t: F.when((t <= limit) & (s["second"] < 60), F.timestamp_add("SECOND", s["second"], t)))
+            timed = (s["minutes"] != 0) & (s["hours"] != 0) & (s["second"] < 60)
+            return F.when(timed, let(found, lambda t: F.when(t <= limit, F.timestamp_add("SECOND", s["second"], t))))
 
         return let(sets, search)
 
