@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .columns import as_column, free_name, let
 from .json_scan import MOST_NESTED, doubtful, scan
+from .numbers import number_text, number_text_of, plain_numbers
 from .strict_json import json_type, strict_json
 
 ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])
@@ -384,14 +385,10 @@ def feature_json(feature: Column) -> Column:
     )
 
 
-def _number_text(x) -> str:
-    return repr(float(x))
-
-
 def _geometry_text(g: dict) -> str:
     if g["type"] == "GeometryCollection":
         return '{"type":"GeometryCollection","geometries":[' + ",".join(map(_geometry_text, g["geometries"])) + "]}"
-    shown = lambda c: "[" + ",".join(map(shown, c)) + "]" if isinstance(c, list) else _number_text(c)
+    shown = lambda c: "[" + ",".join(map(shown, c)) + "]" if isinstance(c, list) else number_text_of(c)
     return f'{{"type":"{g["type"]}","coordinates":{shown(g["coordinates"])}}}'
 
 
@@ -410,7 +407,7 @@ def _document_text(doc: dict) -> str:
         head = '"geometry":' + ("null" if g is None else _geometry_text(g)) + ',"properties":' + _compact(doc.get("properties"))
         head += ',"id":' + _compact(doc["id"]) if "id" in doc else ""
         known = ("type", "geometry", "properties", "id", "bbox")
-    box = ',"bbox":[' + ",".join(_number_text(x) for x in doc["bbox"] if _is_number(x)) + "]" if isinstance(doc.get("bbox"), list) else ""
+    box = ',"bbox":[' + ",".join(number_text_of(x) for x in doc["bbox"] if _is_number(x)) + "]" if isinstance(doc.get("bbox"), list) else ""
     return f'{{"type":"{doc["type"]}",{head}{box}' + "".join(f",{_compact(k)}:{_compact(doc[k])}" for k in sorted(doc) if k not in known) + "}"
 
 
@@ -436,4 +433,24 @@ def geo_to_json(value: Column) -> Column:
     text = let(F.struct(_text_type(value).alias("kind"), value.alias("value")), written)
     # a document nested too deep names two collections; to look for them is cheaper than to write it twice
     raw = F.to_json(value)
-    return F.coalesce(text, _deep_text(F.when(raw.rlike('(?s)"GeometryCollection".*"GeometryCollection"'), raw)))
+    return plain_numbers(F.coalesce(text, _deep_text(F.when(raw.rlike('(?s)"GeometryCollection".*"GeometryCollection"'), raw))))
+
+
+# ---- comparing
+
+
+def canonical_key(value: Column) -> Column:
+    """Struct (text, hash) of a VARIANT: a normal form by which parsed values can be compared, joined and grouped, which VARIANT itself cannot be.
+
+    Keys of objects are in order; numbers that are equal have one text, whether they were written as whole numbers,
+    decimals or with an exponent.  ``hash`` is SHA-256 of the text.
+    """
+    number = r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?$"
+    pieces = F.regexp_extract_all(F.to_json(value), F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|[^"0-9-]++|.'), F.lit(0))
+
+    def normal(p: Column) -> Column:
+        # a whole number that a double holds is written as one, so that 1, 1.0 and 1e0 are one number; a longer one keeps its digits
+        exact = p.rlike("[.eE]") | (F.length(p) <= 15)
+        return F.when(p.rlike(number), F.when(exact, number_text(F.when(p.cast("double") == 0, F.lit(0.0)).otherwise(p.cast("double")))).otherwise(p)).otherwise(p)
+
+    return let(F.array_join(F.transform(pieces, normal), ""), lambda t: F.struct(t.alias("text"), F.sha2(t, 256).alias("hash")))

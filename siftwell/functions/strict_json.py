@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from .columns import as_column
 
 
+def _signed_zeros(text: Column) -> Column:
+    """``-0`` and ``-0.0`` outside of strings with an exponent, by which Spark reads them as doubles; as decimals they lose their sign."""
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+.0-9eE]++|[^"0-9eE+.-]++|.'), F.lit(0))
+    zero = F.transform(pieces, lambda p: F.when(p.rlike(r"^-0(?:\.0+)?$"), F.lit("-0e0")).otherwise(p))
+    return F.when(text.rlike(r"(?:^|[\[,:\s])-0(?:\.0+)?(?:$|[\s,\]}])"), F.array_join(zero, "")).otherwise(text)
+
+
 def strict_json(text: Column | str) -> Column:
     """The value as VARIANT, or null where ``text`` is not exactly one JSON value.
 
     Spark's parser stops after the first value, so the text is parsed inside an
-    array and inside an object: only one whole value fits both.
+    array and inside an object: only one whole value fits both.  A zero keeps its sign.
     """
-    c = as_column(text)
+    c = _signed_zeros(as_column(text))
     boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     one = F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions import cron, geojson, logfmt, mime
@@ -506,12 +507,60 @@ def geo_deep_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_nationkey, (c_custkey // {SPAN})::BIGINT AS span, true AS same, count(*) AS n_features FROM customer GROUP BY 1, 2")
 def geo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents parsed, written as text, read and parsed again; the second text must equal the first."""
+    """Documents parsed, written as text, read and parsed again: the values must be equal, not the texts alone."""
     path = scratch(spark, "geojson")
     first = nation_collections(spark, sf_dir).select("c_nationkey", "span", geojson.geo_parse("doc")["value"].alias("v"))
-    first.select("c_nationkey", "span", geojson.geo_to_json(F.col("v")).alias("text")).write.parquet(path)
-    again = spark.read.parquet(path).select("c_nationkey", "span", "text", geojson.geo_parse("text")["value"].alias("w"))
-    return again.select("c_nationkey", "span", (geojson.geo_to_json(F.col("w")) == F.col("text")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
+    first.select("c_nationkey", "span", geojson.canonical_key(F.col("v"))["hash"].alias("before"), geojson.geo_to_json(F.col("v")).alias("text")).write.parquet(path)
+    again = spark.read.parquet(path).select("c_nationkey", "span", "before", geojson.geo_parse("text")["value"].alias("w"))
+    return again.select("c_nationkey", "span", (geojson.canonical_key(F.col("w"))["hash"] == F.col("before")).alias("same"), F.size(F.variant_get("w", "$.features", "array<variant>")).cast("long").alias("n_features"))
+
+
+@query("""
+    SELECT c_nationkey, c_custkey % 7 AS shape, count(*) AS n, count(*) AS spellings FROM customer GROUP BY 1, 2
+""".replace("count(*) AS spellings", "least(count(*), 3) AS spellings"))
+def geo_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by value: three spellings of one feature, which differ in key order, blanks and the writing of numbers, are one."""
+    x = (F.col("c_custkey") % 7 + 1).cast("string")
+    nation = F.col("c_nationkey").cast("string")
+    spelled = choose(
+        F.row_number().over(W.partitionBy("c_nationkey", F.col("c_custkey") % 7).orderBy("c_custkey")) % 3,
+        [
+            F.concat(F.lit('{"type":"Feature","properties":{"a":1,"n":'), nation, F.lit('},"geometry":{"type":"Point","coordinates":['), x, F.lit("000000,0.5]}}")),
+            F.concat(F.lit('{"geometry": {"coordinates": ['), x, F.lit('e6, 5e-1], "type": "Point"}, "properties": {"n": '), nation, F.lit('.0, "a": 1}, "type": "Feature"}')),
+            F.concat(F.lit('{"type":"Point","properties":{"n":'), nation, F.lit(',"a":1.00},"type":"Feature","geometry":{"type":"Point","coordinates":['), x, F.lit('.0E+6,0.50]}}')),
+        ],
+    )
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("shape"), spelled.alias("doc")).select("c_nationkey", "shape", "doc", geojson.canonical_key(geojson.geo_parse("doc")["value"])["hash"].alias("same"))
+    return rows.groupBy("same").agg(F.min("c_nationkey").alias("c_nationkey"), F.min("shape").alias("shape"), F.count("*").alias("n"), F.countDistinct("doc").alias("spellings")).drop("same")
+
+
+#: Powers of ten that numbers of the query below are scaled by, and how these are written.
+_POWERS = [-7, -5, -4, -1, 0, 3, 7, 15, 16, 21]
+
+
+def _scaled_sql(power: int) -> str:
+    """Text of (k % 9 + 1) * 10 ** power and of (k % 9 + 1).25 * 10 ** power, two numbers without rounding."""
+    d = "(c_custkey % 9 + 1)"
+    if power > 15:
+        return f"{d} || 'e{power},' || {d} || '.25e{power}'"
+    if power >= 0:
+        return f"{d} || '{'0' * power}.0,' || {d} || " + (f"'{'25' if not power else '2.5' if power == 1 else '25' + '0' * (power - 2) + '.0'}'" if power > 1 else "'.25'")
+    if power > -6:
+        return f"'0.{'0' * (-power - 1)}' || {d} || ',0.{'0' * (-power - 1)}' || {d} || '25'"
+    return f"{d} || 'e{power},' || {d} || '.25e{power}'"
+
+
+_SCALED_SQL = f"CASE c_custkey % {len(_POWERS)} " + " ".join(f"WHEN {i} THEN {_scaled_sql(p)}" for i, p in enumerate(_POWERS)) + " END"
+
+
+@query(f"SELECT c_custkey, repeat('{{\"type\":\"GeometryCollection\",\"geometries\":[', (c_custkey % 4)::INT) || '{{\"type\":\"Point\",\"coordinates\":[' || {_SCALED_SQL} || ']}}' || repeat(']}}', (c_custkey % 4)::INT) AS canonical FROM customer")
+def geo_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large and small coordinates in collections of every depth from none to three: one text at each depth."""
+    d, depth = (F.col("c_custkey") % 9 + 1).cast("string"), (F.col("c_custkey") % 4).cast("int")
+    power = choose(F.col("c_custkey") % len(_POWERS), [str(p) for p in _POWERS])
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), d, F.lit("e"), power, F.lit(","), d, F.lit(".25e"), power, F.lit("]}"))
+    text = F.concat(F.repeat(F.lit('{"type":"GeometryCollection","geometries":['), depth), point, F.repeat(F.lit("]}"), depth))
+    return table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_to_json(geojson.geo_parse(text)["value"]).alias("canonical"))
 
 
 def _geometry(kind: str, x: str) -> str:
