@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.functions import cron, geojson, logfmt, mime
+from siftwell.functions import cron, geojson, logfmt, mime, sql
 from siftwell.functions.strict_json import strict_json
 from siftwell.plans import cron_cases
 from siftwell.sources import geojson as geojson_files
@@ -28,13 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(counterpart: str | None = None):
     """Register a function as a query under its own name, with its SQL counterpart."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if counterpart:
+            ORACLE_SQL[f.__name__] = counterpart
         return f
 
     return add
@@ -172,15 +172,21 @@ def mime_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("p_partkey", "kind", mime.mime_string("kind").alias("mime"), mime.mime_extension("kind").alias("extension"))
 
 
-@query("SELECT count(*) AS pages, 0::BIGINT AS by_bytes, 0::BIGINT AS by_extension FROM pages")
+@query(f"SELECT t.mime AS mime, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM (SELECT html, {sql_cases(f'page_id % {len(HEADS)}', [k for _, k in HEADS])} AS kind FROM pages) p LEFT JOIN {_TYPES_SQL} ON p.kind = t.kind GROUP BY 1")
 def mime_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.agg(F.count("*").alias("pages"), F.count(mime.mime_detect(F.encode("html", "UTF-8"))).alias("by_bytes"), F.count(mime.mime_by_extension(F.regexp_extract("url", r"\.(html)(?:[?#]|$)", 1))).alias("by_extension"))
+    """Types of pages whose bytes stand behind a head of some type, or of none."""
+    head = F.unhex(choose(F.col("page_id") % len(HEADS), [h for h, _ in HEADS]))
+    pages = table(spark, sf_dir, "pages").select("html", F.concat(head, F.encode("html", "UTF-8")).alias("content"))
+    return pages.groupBy(mime.mime_string(mime.mime_detect("content")).alias("mime")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}', '{e}', true)" for k, m, e, _ in mime.TYPES) + ") AS t(kind, mime, extension, round_trip)")
+@query(f"SELECT t.kind AS kind, t.mime AS mime, t.extension AS extension, true AS round_trip, count(p.kind) AS parts FROM {_TYPES_SQL} LEFT JOIN {_EXT_SQL} p ON p.kind = t.kind GROUP BY 1, 2, 3")
 def mime_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mime.mime_types(spark).select("kind", "mime", "extension", (mime.mime_by_extension("extension") == F.col("kind")).alias("round_trip"))
+    """The dimension of all types, with the number of parts whose file name is of each."""
+    name = F.concat(F.lit("file."), choose(F.col("p_partkey") % len(EXTENSIONS), [x for x, _ in EXTENSIONS]))
+    parts = table(spark, sf_dir, "part").groupBy(mime.mime_by_extension(F.substring_index(name, ".", -1)).alias("kind")).agg(F.count("*").alias("parts"))
+    joined = mime.mime_types(spark).join(parts, "kind", "left")
+    return joined.select("kind", "mime", "extension", (mime.mime_by_extension("extension") == F.col("kind")).alias("round_trip"), F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 @query("SELECT 'Gzip' AS kind, 'application/gzip' AS mime UNION ALL SELECT NULL, NULL")
@@ -192,6 +198,94 @@ def mime_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_types.detect_files(spark, path, "part-*").select("kind", "mime").distinct()
 
 
+#: Edits of an event's object, {"k": n}, and what the reader says of them: SQL of the line, of the place (its byte, from 1) and the reason.
+#: A fault behind the number is found where the number ends, so its place moves with the number's length.
+LINE_EDITS = [
+    ("props", "NULL::INT", None),
+    ("substr(props, 1, 1)", "1", "EOF while parsing an object"),
+    ("substr(props, 1, 3)", "3", "EOF while parsing a string"),
+    ("substr(props, 1, 5)", "5", "EOF while parsing a value"),
+    ("'[' || props", "length(props) + 1", "EOF while parsing a list"),
+    ("props || ']'", "length(props) + 1", "trailing characters"),
+    ("'?' || props", "1", "expected value"),
+    ("'{k' || substr(props, 3)", "2", "key must be a string"),
+    ("substr(props, 1, 4) || ' ' || substr(props, 6)", "7", "expected `:`"),
+    ("substr(props, 1, length(props) - 1) || ']'", "length(props)", "expected `,` or `}`"),
+    ("'[' || props || ' 1]'", "length(props) + 3", "expected `,` or `]`"),
+    ("substr(props, 1, length(props) - 1) || ',}'", "length(props) + 1", "trailing comma"),
+    ("'[tru, ' || props || ']'", "5", "expected ident"),
+    ("'[01, ' || props || ']'", "3", "invalid number"),
+    ("'[-1e400, ' || props || ']'", "7", "number out of range"),
+    ("'[\"\\\\q\", ' || props || ']'", "4", "invalid escape"),
+    ("'[\"\\\\udc00\", ' || props || ']'", "8", "lone leading surrogate in hex escape"),
+    ("'[\"\\\\ud800\", ' || props || ']'", "9", "unexpected end of hex escape"),
+    ("repeat('[', 127) || props || repeat(']', 127)", "128", "recursion limit exceeded"),
+    ("repeat('[', 126) || props || repeat(']', 126)", "NULL", None),
+]
+
+
+def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, k, line): every event's object, changed by its number."""
+    # in Spark's SQL a backslash in a text is written twice, and numbers have one kind of cast
+    edits = [F.expr(line) for line, _, _ in LINE_EDITS]
+    k = F.regexp_extract("props", r"(-?\d+)", 1).cast("bigint")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), choose(F.col("event_id") % len(LINE_EDITS), edits).alias("line"))
+
+
+_PLACE_SQL = f"CASE event_id % {len(LINE_EDITS)} " + " ".join(f"WHEN {i} THEN {at}" for i, (_, at, _) in enumerate(LINE_EDITS)) + " END"
+_REASON_SQL = sql_cases(f"event_id % {len(LINE_EDITS)}", [r for _, _, r in LINE_EDITS])
+
+
+# ---- SQL text alone
+
+
+def sql_session(spark: SparkSession) -> SparkSession:
+    sql.register(spark)
+    return spark
+
+
+@query("""
+    SELECT event_id, p.pos AS pos, p.k AS key, p.v AS value FROM (
+      SELECT event_id, unnest([{'pos': 0, 'k': 'id', 'v': event_id::VARCHAR}, {'pos': 1, 'k': 'type', 'v': event_type}, {'pos': 2, 'k': 'live', 'v': ''}]) AS p FROM events)
+""")
+def sql_logfmt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_session(spark).sql(f"""
+        SELECT event_id, p.* FROM (SELECT event_id, 'id=' || event_id || ' type="' || event_type || '" live' AS line FROM parquet.`{sf_dir}/events.parquet`), LATERAL logfmt_pairs(line) p""")
+
+
+@query("SELECT event_type AS type, count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS good, sum(user_id) FILTER (event_id % 4 <> 0)::BIGINT AS users FROM events GROUP BY 1")
+def sql_logfmt_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of equal keys; every fourth line is malformed."""
+    return sql_session(spark).sql(f"""
+        SELECT event_type AS type, count(*) AS n, count(logfmt_value(line, 'user')) AS good, sum(CAST(logfmt_value(line, 'user') AS BIGINT)) AS users
+        FROM (SELECT event_id, event_type, 'user=0 user=' || user_id || CASE WHEN event_id % 4 = 0 THEN '=' ELSE '' END AS line FROM parquet.`{sf_dir}/events.parquet`) GROUP BY event_type""")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS type, CASE WHEN event_id % 5 <> 0 THEN '\"' || user_id || '\"' END AS \"user\" FROM events")
+def sql_logfmt_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function whose columns follow from its argument."""
+    return sql_session(spark).sql(f"""
+        SELECT event_id, c.* FROM (SELECT event_id, 'type=' || event_type || r' user="\\"' || user_id || CASE WHEN event_id % 5 = 0 THEN '' ELSE r'\\""' END AS line FROM parquet.`{sf_dir}/events.parquet`), LATERAL logfmt_columns(line, 'type, user') c""")
+
+
+@query(f"SELECT e.kind AS kind, count(*) AS n FROM {_KIND_SQL} e GROUP BY 1")
+def sql_mime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads(sql_session(spark), sf_dir).createOrReplaceTempView("siftwell_heads")
+    return spark.sql("SELECT mime_of_bytes(content) AS kind, count(*) AS n FROM siftwell_heads GROUP BY 1")
+
+
+@query(f"SELECT p_partkey, p.kind AS kind FROM {_EXT_SQL} p")
+def sql_mime_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = sql_cases(f"p_partkey % {len(EXTENSIONS)}", [x for x, _ in EXTENSIONS])
+    return sql_session(spark).sql(f"SELECT p_partkey, mime_of_extension({cases}) AS kind FROM parquet.`{sf_dir}/part.parquet`")
+
+
+@query(f"SELECT CASE WHEN {_REASON_SQL} IS NULL THEN 'none' ELSE {_REASON_SQL} END AS reason, count(*) AS n, sum({_PLACE_SQL})::BIGINT AS places FROM events GROUP BY 1")
+def sql_json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited_lines(sql_session(spark), sf_dir).createOrReplaceTempView("siftwell_lines")
+    return spark.sql("SELECT coalesce(f.reason, 'none') AS reason, count(*) AS n, sum(f.column) AS places FROM (SELECT json_fault(line) AS f FROM siftwell_lines) GROUP BY 1")
+
+
 # ---- cron
 
 def event_id():
@@ -337,44 +431,6 @@ def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("place", F.coalesce("part", "place").alias("part"), F.col("error.kind").alias("kind"))
 
 
-#: Edits of an event's object, {"k": n}, and what the reader says of them: SQL of the line, of the place (its byte, from 1) and the reason.
-#: A fault behind the number is found where the number ends, so its place moves with the number's length.
-LINE_EDITS = [
-    ("props", "NULL::INT", None),
-    ("substr(props, 1, 1)", "1", "EOF while parsing an object"),
-    ("substr(props, 1, 3)", "3", "EOF while parsing a string"),
-    ("substr(props, 1, 5)", "5", "EOF while parsing a value"),
-    ("'[' || props", "length(props) + 1", "EOF while parsing a list"),
-    ("props || ']'", "length(props) + 1", "trailing characters"),
-    ("'?' || props", "1", "expected value"),
-    ("'{k' || substr(props, 3)", "2", "key must be a string"),
-    ("substr(props, 1, 4) || ' ' || substr(props, 6)", "7", "expected `:`"),
-    ("substr(props, 1, length(props) - 1) || ']'", "length(props)", "expected `,` or `}`"),
-    ("'[' || props || ' 1]'", "length(props) + 3", "expected `,` or `]`"),
-    ("substr(props, 1, length(props) - 1) || ',}'", "length(props) + 1", "trailing comma"),
-    ("'[tru, ' || props || ']'", "5", "expected ident"),
-    ("'[01, ' || props || ']'", "3", "invalid number"),
-    ("'[-1e400, ' || props || ']'", "7", "number out of range"),
-    ("'[\"\\\\q\", ' || props || ']'", "4", "invalid escape"),
-    ("'[\"\\\\udc00\", ' || props || ']'", "8", "lone leading surrogate in hex escape"),
-    ("'[\"\\\\ud800\", ' || props || ']'", "9", "unexpected end of hex escape"),
-    ("repeat('[', 127) || props || repeat(']', 127)", "128", "recursion limit exceeded"),
-    ("repeat('[', 126) || props || repeat(']', 126)", "NULL", None),
-]
-
-
-def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, k, line): every event's object, changed by its number."""
-    # in Spark's SQL a backslash in a text is written twice, and numbers have one kind of cast
-    edits = [F.expr(line) for line, _, _ in LINE_EDITS]
-    k = F.regexp_extract("props", r"(-?\d+)", 1).cast("bigint")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), choose(event_id() % len(LINE_EDITS), edits).alias("line"))
-
-
-_PLACE_SQL = f"CASE event_id % {len(LINE_EDITS)} " + " ".join(f"WHEN {i} THEN {at}" for i, (_, at, _) in enumerate(LINE_EDITS)) + " END"
-_REASON_SQL = sql_cases(f"event_id % {len(LINE_EDITS)}", [r for _, _, r in LINE_EDITS])
-
-
 @query(f"SELECT event_id, {_PLACE_SQL}::INT AS place, 'JSON error: ' || {_REASON_SQL} || ' at line 1 column ' || ({_PLACE_SQL}) AS said FROM events")
 def jsonl_error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reason and place of the first fault of a line."""

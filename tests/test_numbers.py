@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import geojson, numbers
 from siftwell.functions.strict_json import strict_json
 
-FIXED = [(1e7, "10000000.0"), (1e-4, "0.0001"), (1e21, "1e21"), (-0.0, "-0.0"), (5e-324, "5e-324"), (0.0, "0.0"), (1e16, "1e16"), (1e15, "1000000000000000.0"), (1e-5, "0.00001"), (1e-6, "1e-6"), (-2.5e-7, "-2.5e-7"), (123.25, "123.25"), (1.7976931348623157e308, "1.7976931348623157e308"), (2.98023223876953125e-8, "2.980232238769531e-8")]
+FIXED = [(1e7, "10000000.0"), (1e-4, "0.0001"), (1e21, "1e21"), (-0.0, "-0.0"), (5e-324, "5e-324"), (0.0, "0.0"), (1e16, "1e16"), (1e15, "1000000000000000.0"), (1e-5, "0.00001"), (1e-6, "1e-6"), (-2.5e-7, "-2.5e-7"), (123.25, "123.25"), (1.7976931348623157e308, "1.7976931348623157e308"), (2.98023223876953125e-8, "2.9802322387695312e-8")]
 
 
 def doubles(n, seed=7):
