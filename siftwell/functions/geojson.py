@@ -275,13 +275,14 @@ def geo_parse(text: Column | str) -> Column:
         root = F.when(kind.isin("Feature", "FeatureCollection"), kind).otherwise("Geometry")
         return F.when(v.isNotNull(), F.struct(root.alias("root_kind"), v.alias("value")))
 
-    def check(v: Column) -> Column:
-        doubted = doubtful(c, v)
-        accepted = F.when(~doubted, _document_ok(v)).otherwise(F.lit(False))
-        return F.struct(accepted.alias("accepted"), doubted.alias("doubted"), document(v).alias("document"))
+    def check(x: Column) -> Column:
+        doubted = doubtful(x["raw"], x["value"])
+        accepted = F.when(~doubted, _document_ok(x["value"])).otherwise(F.lit(False))
+        return F.struct(accepted.alias("accepted"), doubted.alias("doubted"), document(x["value"]).alias("document"), x["raw"].alias("raw"))
 
-    checked = let(strict_json(c), check)
-    fault = _locate(F.when(~checked["accepted"], c), checked["doubted"])
+    # the text is made once, however it comes about
+    checked = let(let(c, lambda t: F.struct(t.alias("raw"), strict_json(t).alias("value"))), check)
+    fault = _locate(F.when(~checked["accepted"], checked["raw"]), checked["doubted"])
 
     def result(x: Column) -> Column:
         fault = x["fault"]
@@ -432,8 +433,8 @@ def geo_to_json(value: Column) -> Column:
 
     text = let(F.struct(_text_type(value).alias("kind"), value.alias("value")), written)
     # a document nested too deep names two collections; to look for them is cheaper than to write it twice
-    raw = F.to_json(value)
-    return plain_numbers(F.coalesce(text, _deep_text(F.when(raw.rlike('(?s)"GeometryCollection".*"GeometryCollection"'), raw))))
+    deep = let(F.to_json(value), lambda raw: F.when(raw.rlike('(?s)"GeometryCollection".*"GeometryCollection"'), raw))
+    return plain_numbers(F.coalesce(text, _deep_text(deep)))
 
 
 # ---- comparing

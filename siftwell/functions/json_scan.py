@@ -231,15 +231,17 @@ def doubtful(text: Column, value: Column) -> Column:
 def exact_json(text: Column | str) -> Column:
     """Struct (value VARIANT, error struct(line, column, reason)) of a text; both null for a null text."""
     c = as_column(text)
-    found = scanned(F.when(doubtful(c, strict_json(c)), c))
+    # the text and what Spark makes of it, each once; the scan gets the doubtful ones
+    tried = let(let(c, lambda t: F.struct(t.alias("raw"), strict_json(t).alias("value"))), lambda x: F.struct(x["raw"].alias("raw"), x["value"].alias("value"), doubtful(x["raw"], x["value"]).alias("doubted")))
+    found = scanned(F.when(tried["doubted"], tried["raw"]))
 
     def settled(x: Column) -> Column:
         seen = x["scanned"]
-        value = F.when(seen["text"].isNotNull(), F.try_parse_json(seen["text"])).when(seen["reason"].isNull(), strict_json(x["raw"]))
+        value = F.when(seen["text"].isNotNull(), F.try_parse_json(seen["text"])).when(seen["reason"].isNull(), x["value"])
         error = F.when(seen["reason"].isNotNull(), F.struct(seen["line"].alias("line"), seen["column"].alias("column"), seen["reason"].alias("reason")))
         return F.struct(value.alias("value"), error.alias("error"))
 
-    return let(F.struct(c.alias("raw"), found.alias("scanned")), settled)
+    return let(F.struct(tried["value"].alias("value"), found.alias("scanned")), settled)
 
 
 def fault_text(error: Column) -> Column:

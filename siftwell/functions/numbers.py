@@ -71,9 +71,12 @@ def number_text(number: Column | str) -> Column:
 
 def plain_numbers(text: Column | str) -> Column:
     """A JSON text with every number that has an exponent written as ``number_text`` does; strings stay."""
-    c = as_column(text)
-    pieces = F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), lambda p: F.when(p.rlike(_SCIENTIFIC), number_text(p)).otherwise(p))
-    return F.when(c.rlike("[0-9][eE][-+]?[0-9]"), F.array_join(pieces, "")).otherwise(c)
+
+    def rewritten(c: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), lambda p: F.when(p.rlike(_SCIENTIFIC), number_text(p)).otherwise(p))
+        return F.when(c.rlike("[0-9][eE][-+]?[0-9]"), F.array_join(pieces, "")).otherwise(c)
+
+    return let(as_column(text), rewritten)
 
 
 def number_text_of(x: float) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_column
+from .columns import as_column, let
 
 
 def _signed_zeros(text: Column) -> Column:
@@ -21,11 +21,17 @@ def strict_json(text: Column | str) -> Column:
     Spark's parser stops after the first value, so the text is parsed inside an
     array and inside an object: only one whole value fits both.  A zero keeps its sign.
     """
-    c = _signed_zeros(as_column(text))
-    boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    one = F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1
-    return F.when(named.isNotNull() & one, F.variant_get(named, "$.v", "variant"))
+
+    # no inner function uses a variable of an outer one, so the expression stays one that can be recognised
+    def parsed(c: Column) -> Column:
+        boxed, named = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+        return let(F.struct(boxed.alias("boxed"), named.alias("named")), one_value)
+
+    def one_value(x: Column) -> Column:
+        one = F.size(F.try_variant_get(x["boxed"], "$", "array<variant>")) == 1
+        return F.when(x["named"].isNotNull() & one, F.variant_get(x["named"], "$.v", "variant"))
+
+    return let(as_column(text), lambda t: let(_signed_zeros(t), parsed))
 
 
 def json_type(value: Column) -> Column:

@@ -616,7 +616,8 @@ def geo_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     power = choose(F.col("c_custkey") % len(_POWERS), [str(p) for p in _POWERS])
     point = F.concat(F.lit('{"type":"Point","coordinates":['), d, F.lit("e"), power, F.lit(","), d, F.lit(".25e"), power, F.lit("]}"))
     text = F.concat(F.repeat(F.lit('{"type":"GeometryCollection","geometries":['), depth), point, F.repeat(F.lit("]}"), depth))
-    return table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_to_json(geojson.geo_parse(text)["value"]).alias("canonical"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    return rows.select("c_custkey", geojson.geo_to_json(F.col("g.value")).alias("canonical"))
 
 
 def _geometry(kind: str, x: str) -> str:
