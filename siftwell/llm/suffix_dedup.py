@@ -1,14 +1,16 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by suffixes at minimiser positions.
 
 Of all word suffixes only those at minimiser positions are kept: of any
 ``min_words`` consecutive words, the place of the smallest hashed ``k``-gram is
 kept, so equal passages keep equal places.  Suffixes whose ``k``-gram occurs in
-no other document are dropped.  In the suffix array of the windows' starts, the
-windows that two documents share are the runs with ``min_words`` words in common;
-a run is gathered by the hash of these words, so nothing that stands between two
-copies in a sort order can part them.  Each run has one owner, the smallest id
-that holds the window.  Overlapping windows of a document with the same owner
-are merged to a span; spans of different owners stay apart.
+no other document are dropped.
+
+Unlike a sparse suffix array in the strict sense, what is left is not sorted and
+extended from neighbour to neighbour: of each kept place the windows of
+``min_words`` words around it are grouped by their hashes, which gives the same runs of
+equal windows without a group that one task would have to hold.  Each run has one owner,
+the smallest id that holds the window.  Overlapping windows of a document with
+the same owner are merged to a span; spans of different owners stay apart.
 
 Windows of one kept place travel as one list, and equal lists are folded into one
 row before anything is gathered, so copies of a document cost one list.
@@ -17,7 +19,8 @@ A passage is found whole and wherever it stands, but for 64-bit hashes that
 clash, with a chance of about 2**-64 a pair of windows.
 
 Defined cases: a null text is empty; texts under ``min_words`` words have no
-span; rows equal in key and text are one document; an empty table gives an empty
+span; rows equal in key and text are one document, and rows that share a key with
+other texts are documents of their own; a very long text is read in one task; ties for an owner go to the smallest hash; an empty table gives an empty
 result; other input columns are not read.
 """
 
