@@ -97,16 +97,25 @@ def _locate(rejected: pd.Series) -> pd.DataFrame:
 
 def cron_fields(schedule: Column | str) -> Column:
     """Struct of the six canonical fields (no leading zeros; seconds null with five fields), or null where the schedule is rejected."""
-    text, mark = as_column(schedule), "\x01"
-    count = F.size(F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda p: p != ""))
+    mark = "\x01"
 
-    def pick(pattern: str, first: int) -> Column:
+    def pick(text: Column, pattern: str, first: int) -> Column:
         """The fields in one pass: a text that fits is rewritten behind a mark, another stays as it is."""
-        fields = F.regexp_replace(text, pattern + ".*$", mark + " ".join(f"${i}" for i in range(1, 7 - first)))
-        whole = F.split(F.substring(fields, 2, 1 << 30), " ")
-        return F.when(fields.startswith(mark), F.concat(F.array(null_of("string")), whole) if first else whole)
 
-    raw = F.when((count == 5) & ~text.startswith(mark), pick(_FIVE, 1)).when((count == 6) & ~text.startswith(mark), pick(_SIX, 0))
+        def cut(fields: Column) -> Column:
+            whole = F.split(F.substring(fields, 2, 1 << 30), " ")
+            return F.when(fields.startswith(mark), F.concat(F.array(null_of("string")), whole) if first else whole)
+
+        return let(F.regexp_replace(text, pattern + ".*$", mark + " ".join(f"${i}" for i in range(1, 7 - first))), cut)
+
+    def fields_of(x: Column) -> Column:
+        return F.when((x["count"] == 5) & ~x["text"].startswith(mark), pick(x["text"], _FIVE, 1)).when((x["count"] == 6) & ~x["text"].startswith(mark), pick(x["text"], _SIX, 0))
+
+    def counted(text: Column) -> Column:
+        count = F.size(F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda p: p != ""))
+        return F.struct(text.alias("text"), count.alias("count"))
+
+    raw = let(let(as_column(schedule), counted), fields_of)
 
     def checked(fields: Column) -> Column:
         joined = F.array_join(fields, " ")
