@@ -355,6 +355,35 @@ def test_op5_hot_grams_and_clashing_names(spark):
     assert cleaned.columns == ["doc_id", "text", "cuts", "cuts__"] and sum(" ".join(line) in r["text"] for r in cleaned.collect()) == 1
 
 
+def test_op5_runs_that_cross_blocks_and_partitions(spark):
+    """Suffixes that share a k-gram but differ before and after it, in blocks so small that every run is left open somewhere."""
+    rng, rows = random.Random(8), {}
+    core = words_of(14, 10_000)
+    lefts = [words_of(40, 20_000 + 100 * i) for i in range(4)]
+    rights = [words_of(40, 30_000 + 100 * i) for i in range(4)]
+    for i in range(60):
+        a, b = rng.randrange(0, 41), rng.randrange(0, 41)
+        rows[i] = words_of(5, 100_000 + 100 * i) + rng.choice(lefts)[40 - a :] + core + rng.choice(rights)[:b] + words_of(5, 100_050 + 100 * i)
+    want = brute_spans(rows)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many partitions as the session has, however few rows
+    try:
+        for block in (1, 7, 1 << 16):
+            found = suffix_dedup.repeated_spans(docs, min_words=50, block=block).collect()
+            assert {(r["doc_id"], p, r["first_id"]) for r in found for p in range(r["start"], r["end"])} == want and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_op5_control_characters_and_ids_that_are_texts(spark):
+    words = [["a", "a\x01", "a\x02b", "\x1f", "é"][i * i % 5] + str(i) for i in range(60)]
+    rows = {"x": words, "ä": words_of(9, 0) + words, "b": [w + "\x01" for w in words], "Z": words[:49]}
+    docs = spark.createDataFrame([(i, "\n ".join(w)) for i, w in rows.items()], "doc_id string, text string")
+    found = suffix_dedup.repeated_spans(docs, min_words=50).select("doc_id", "start", "end", "first_id").collect()
+    assert sorted(map(tuple, found)) == [("x", 0, 60, "x"), ("ä", 9, 69, "x")]
+
+
 def test_op6_base_scores(spark, sf_dir, texts):
     tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
