@@ -22,7 +22,7 @@ from siftwell.functions import cron, geojson, logfmt, mime, sql
 from siftwell.functions.strict_json import strict_json
 from siftwell.plans import cron_cases
 from siftwell.sources import geojson as geojson_files
-from siftwell.sources import file_types, jsonl
+from siftwell.sources import file_types, geojson_split, jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -651,6 +651,22 @@ def geo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "ok", F.col("error.kind").alias("kind"), F.try_variant_get("value", "$.properties.name", "string").alias("name"))
 
 
+@query(f"SELECT c_nationkey::INT AS c_nationkey, c_custkey, ROW_NUMBER() OVER (PARTITION BY c_nationkey, c_custkey // {SPAN} ORDER BY c_custkey) - 1 AS pos, c_custkey % 7 <> 0 AS ok, CASE WHEN c_custkey % 7 = 0 THEN 'features[' || (pos) || '].geometry.coordinates' END AS path, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 7 <> 0 THEN {_LON} END AS longitude FROM customer")
+def geo_feature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of up to ``SPAN`` features, read in ranges of 4,000 bytes; every seventh feature lacks half of its position, and names hold brackets and quotes."""
+    path, key = scratch(spark, "georanges"), F.col("c_custkey").cast("string")
+    at = F.when(F.col("c_custkey") % 7 == 0, "[1]").otherwise(pair(lon("c_custkey"), lat("c_custkey")))
+    feature = F.concat(F.lit('{"type":"Feature","id":'), key, F.lit(',"geometry":{"type":"Point","coordinates":'), at, F.lit('},\n"properties":{"[":"}\\"]{\\\\","name":"'), F.col("c_name"), F.lit('"}}'))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
+    grouped = rows.groupBy("c_nationkey", "span").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "f")))["f"].alias("fs"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","bbox":[1,2],"features":['), F.array_join("fs", ", "), F.lit('],"more":{"features":[{}]}}'))
+    grouped.select("c_nationkey", "span", text.alias("value")).repartition("c_nationkey", "span").write.partitionBy("c_nationkey", "span").text(path)
+    read = geojson_split.read_features(spark, path, "part-*", 4000)
+    value = lambda place, kind: F.try_variant_get("value", place, kind)
+    known = F.coalesce(value("$.id", "bigint"), F.regexp_extract("text", r'"id":(\d+)', 1).cast("bigint"))
+    return read.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey"), known.alias("c_custkey"), "pos", "ok", F.col("error.path").alias("path"), value("$.properties.name", "string").alias("name"), value("$.geometry.coordinates[0]", "double").alias("longitude"))
+
+
 #: (document, kind, path, message)
 GEO_FAULTS = [
     ('{"type":"Point","coordinates":[1,2]}', None, None, None),
