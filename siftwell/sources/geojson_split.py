@@ -31,8 +31,8 @@ from siftwell.functions.json_scan import exact_json
 
 from .file_heads import read_heads
 
-#: Bytes of a range.
-RANGE = 8 << 20
+#: Bytes of a range, and the most tasks that ranges are dealt to.
+RANGE, TASKS = 8 << 20, 20_000
 _STEP = np.zeros(256, np.int8)
 _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
 _KEY = re.compile(rb'("(?:[^"\\]|\\.)*")[ \t\n\r]*:[ \t\n\r]*$')
@@ -218,15 +218,17 @@ def feature_texts(spark: SparkSession, path: str, glob: str = "*", size: int = R
     """(path, pos, start, text) of every feature of the files under ``path``: its place in the list and its first byte."""
     heads = read_heads(spark, path, glob).where("error IS NULL AND length > 0")
     files = heads.where(F.decode("head", "ISO-8859-1").rlike(r"^[ \t\r\n]*(\{|$)")).select("path", "length")
-    # ranges of one file go to many tasks
-    chunks = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("long"))).alias("idx")).repartition("path", "idx")
+    last = F.floor((F.col("length") - 1) / size).cast("long")
+    # ranges of one file go to many tasks; a stated number, as rows of a few bytes would be gathered in one
+    parts = max(1, min(files.agg(F.sum(last + 1)).first()[0] or 0, TASKS))
+    chunks = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("idx")).repartition(parts, "path", "idx")
     before = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     sides = _summaries(chunks, size).withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
     net = F.when(F.col("inside") == 0, F.col("even")).otherwise(F.col("odd"))
     placed = sides.withColumn("depth", F.coalesce(F.sum(net).over(before), F.lit(0))).select("path", "length", "idx", "inside", "depth")
     # a few rows a range, asked for several times: kept, as each asking would read the files again
     placed = placed.persist()
-    members = _members(placed.repartition("path", "idx"), size).persist()
+    members = _members(placed.repartition(parts, "path", "idx"), size).persist()
 
     # a file of many documents, such as JSON Lines, has no root whose text could be gathered
     single = members.where("kind = 'end'").groupBy("path").agg(F.sum("n").alias("n")).where("n = 1")
@@ -238,7 +240,7 @@ def feature_texts(spark: SparkSession, path: str, glob: str = "*", size: int = R
     closed = members.where("kind = 'close'").join(opened, "path").where("at > open").groupBy("path", "open").agg(F.min("at").alias("close"))
     counts = members.where("kind = 'elements'").join(closed, "path").where("at > open AND at < close")
     based = counts.select("path", "idx", "open", "close", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return _cut_out(placed.join(based, ["path", "idx"]).repartition("path", "idx"), size)
+    return _cut_out(placed.join(based, ["path", "idx"]).repartition(parts, "path", "idx"), size)
 
 
 def read_features(spark: SparkSession, path: str, glob: str = "*", size: int = RANGE) -> DataFrame:
