@@ -534,6 +534,27 @@ def test_op5_rows_that_share_an_id_lose_their_own_words_alone(spark):
     assert cleaned == sorted([(3, " ".join(a)), (5, " ".join(words_of(5, 5000))), (5, " ".join(b)), (5, " ".join(words_of(80, 2000))), (7, "")])
 
 
+def test_op8_alignment_against_edit_distances_of_every_part():
+    """The alignment of an item within a region, against the plain distance to each part of the region."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(9)
+    for _ in range(300):
+        item = [rng.randrange(4) for _ in range(rng.randrange(1, 8))]
+        region = [rng.randrange(4) for _ in range(rng.randrange(0, 11))]
+        parts = {(a, b): distance(item, region[a:b]) for a in range(len(region) + 1) for b in range(a, len(region) + 1)}
+        found, start, end = decontam.fit_distance(np.array(item, np.uint64), np.array(region, np.uint64))
+        least = min(parts.values())
+        assert found == least == parts[start, end] and end == min(b for (_, b), d in parts.items() if d == least)
+
+
 def test_op8_recall_up_to_the_bound_and_no_others(spark, sf_dir):
     rng = random.Random(5)
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
