@@ -14,14 +14,15 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import as_column, free_name, let
-from .json_scan import MOST_NESTED, doubtful, scan
+from .json_scan import MOST_NESTED, doubtful, scan, struct_array
 from .numbers import number_text, number_text_of, plain_numbers
-from .strict_json import json_type, strict_json
+from .strict_json import json_type, known_json, strict_json
 
 ERROR = T.StructType([T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("message", T.StringType())])
 #: A collection takes two levels of JSON, its object and its list.
@@ -114,7 +115,8 @@ def _document_ok(value: Column) -> Column:
         collected = kind.isin("FeatureCollection", "Feature")
         geometries = F.when(collected, F.transform(present, geometry_of)).otherwise(F.array(value))
         # each step opens one level of collections, while there are any, so every geometry is checked by one copy of the rules
-        opened = F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), _work_list(geometries), lambda todo, _: F.when(todo["more"], _work_list(F.flatten(F.transform(todo["geometries"], _members)))).otherwise(todo))
+        step = lambda todo, _: F.when(todo["more"], _work_list(F.flatten(F.transform(todo["geometries"], _members)))).otherwise(todo)
+        opened = let(_work_list(geometries), lambda w: F.when(w["more"], F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), w, step)).otherwise(w))
         geometries = opened["geometries"]
         named = F.when(collected, F.forall(features, lambda f: F.coalesce(_text_type(f) == "Feature", F.lit(False)))).otherwise(F.lit(True))
         return F.coalesce(kind.isNotNull() & named & F.forall(geometries, _simple_ok), F.lit(False))
@@ -260,10 +262,9 @@ def _examine(text: str, doubted: bool) -> dict:
     return none | {"text": text if doubted else None} | (first_fault(json.loads(text)) or {})
 
 
-@F.pandas_udf(_LOCATED)
-def _locate(texts: pd.Series, doubted: pd.Series) -> pd.DataFrame:
-    none = dict.fromkeys(_LOCATED.names)
-    return pd.DataFrame([none if x is None else _examine(x, bool(d)) for x, d in zip(texts, doubted, strict=True)], columns=_LOCATED.names)
+@F.arrow_udf(_LOCATED)
+def _locate(rejected: pa.Array) -> pa.Array:
+    return struct_array([None if x is None else _examine(x["raw"], x["doubted"]) for x in rejected.to_pylist()], dict.fromkeys(_LOCATED.names, pa.string()))
 
 
 def geo_parse(text: Column | str) -> Column:
@@ -275,24 +276,23 @@ def geo_parse(text: Column | str) -> Column:
         root = F.when(kind.isin("Feature", "FeatureCollection"), kind).otherwise("Geometry")
         return F.when(v.isNotNull(), F.struct(root.alias("root_kind"), v.alias("value")))
 
-    def check(x: Column) -> Column:
-        doubted = doubtful(x["raw"], x["value"])
-        accepted = F.when(~doubted, _document_ok(x["value"])).otherwise(F.lit(False))
-        return F.struct(accepted.alias("accepted"), doubted.alias("doubted"), document(x["value"]).alias("document"), x["raw"].alias("raw"))
+    def rejected(x: Column) -> Column:
+        return F.when(x["doubted"] | ~_document_ok(x["value"]), F.struct(x["raw"].alias("raw"), x["doubted"].alias("doubted")))
 
-    # the text is made once, however it comes about
-    checked = let(let(c, lambda t: F.struct(t.alias("raw"), strict_json(t).alias("value"))), check)
-    fault = _locate(F.when(~checked["accepted"], checked["raw"]), checked["doubted"])
+    # Spark evaluates what a UDF reads apart from what reads the UDF's result: the rules stand in the first alone
+    parsed = let(c, lambda t: F.struct(t.alias("raw"), strict_json(t).alias("value")))
+    judged = let(parsed, lambda x: F.struct(x["raw"].alias("raw"), x["value"].alias("value"), doubtful(x["raw"], x["value"]).alias("doubted")))
+    fault = _locate(F.when(c.isNotNull(), let(judged, rejected)))
 
     def result(x: Column) -> Column:
         fault = x["fault"]
         # an accepted document has no fault, as it is not looked at again
-        whole = F.when(fault["text"].isNotNull(), let(F.try_parse_json(fault["text"]), document)).otherwise(x["document"])
-        kept = F.when(fault["kind"].isNull(), whole)
+        whole = F.when(fault["text"].isNotNull(), F.try_parse_json(fault["text"])).otherwise(known_json(x["raw"]))
+        kept = F.when(fault["kind"].isNull(), let(whole, document))
         error = F.when(fault["kind"].isNotNull(), F.struct(*[fault[n].alias(n) for n in ERROR.names]))
         return let(F.struct(kept.alias("d"), error.alias("e")), lambda y: F.struct(y["d"].isNotNull().alias("ok"), y["d"]["root_kind"].alias("root_kind"), y["d"]["value"].alias("value"), y["e"].alias("error")))
 
-    return F.when(c.isNotNull(), let(F.struct(checked["document"].alias("document"), fault.alias("fault")), result))
+    return F.when(c.isNotNull(), let(F.struct(c.alias("raw"), fault.alias("fault")), result))
 
 
 def geo_error_text(error: Column) -> Column:

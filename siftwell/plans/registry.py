@@ -44,6 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *keys) -> DataFrame:
+    """A table dealt by ``keys`` to four tasks a core.
+
+    Spark cuts files by their bytes, so a table of some megabytes is one task or two, however long each of its rows takes.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors can see: under ``spark.checkpoint.dir``, else, where all run in one process, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -229,7 +238,7 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # in Spark's SQL a backslash in a text is written twice, and numbers have one kind of cast
     edits = [F.expr(line) for line, _, _ in LINE_EDITS]
     k = F.regexp_extract("props", r"(-?\d+)", 1).cast("bigint")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), choose(F.col("event_id") % len(LINE_EDITS), edits).alias("line"))
+    return spread(spark, sf_dir, "events", "event_id").select("event_id", k.alias("k"), choose(F.col("event_id") % len(LINE_EDITS), edits).alias("line"))
 
 
 _PLACE_SQL = f"CASE event_id % {len(LINE_EDITS)} " + " ".join(f"WHEN {i} THEN {at}" for i, (_, at, _) in enumerate(LINE_EDITS)) + " END"
@@ -404,7 +413,7 @@ def cron_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
 def jsonl_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = jsonl.parse_line("props")["value"]
-    rows = table(spark, sf_dir, "events").select("event_type", F.try_variant_get(value, "$.k", "bigint").alias("k"))
+    rows = spread(spark, sf_dir, "events", "event_id").select("event_type", F.try_variant_get(value, "$.k", "bigint").alias("k"))
     return rows.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
@@ -414,7 +423,7 @@ def jsonl_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(event_id() % 10 == 0, F.expr("substring(props, 1, length(props) - 1)")).when(event_id() % 10 == 1, F.concat("props", F.lit(" junk"))).when(event_id() % 10 == 2, F.lit(" \t　")).otherwise(F.col("props"))
-    rows = table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(line).alias("p")).where(F.col("p").isNotNull())
+    rows = spread(spark, sf_dir, "events", "event_id").select("event_id", jsonl.parse_line(line).alias("p")).where(F.col("p").isNotNull())
     return rows.select("event_id", F.try_variant_get("p.value", "$.k", "bigint").alias("k"), F.col("p.error.kind").alias("kind"))
 
 
@@ -445,7 +454,7 @@ def json_last_key_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.array_join(F.transform(F.sequence(F.lit(0), event_id() % 3), lambda i: F.concat(F.lit('"k": '), (k + i).cast("string"))), ", ")
     inner = F.concat(F.lit('"in": [{"\\u006b": 7, "k": '), (event_id() % 2).cast("string"), F.lit("}]"))
     n = F.concat(F.lit('"n": '), (event_id() % 3 + 1).cast("string"))
-    rows = table(spark, sf_dir, "events").select("event_id", jsonl.parse_line(F.concat(F.lit("{"), inner, F.lit(", "), more, F.lit(", "), n, F.lit("}")))["value"].alias("v"))
+    rows = spread(spark, sf_dir, "events", "event_id").select("event_id", jsonl.parse_line(F.concat(F.lit("{"), inner, F.lit(", "), more, F.lit(", "), n, F.lit("}")))["value"].alias("v"))
     return rows.select("event_id", *[F.variant_get("v", path, "bigint").alias(name) for path, name in (("$.k", "k"), ("$.in[0].k", "inner_k"), ("$.n", "n"))])
 
 
@@ -459,7 +468,7 @@ def jsonl_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "orders")
-    jsonl.write_jsonl(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
+    jsonl.write_jsonl(spread(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
     value = F.col("value")
     return jsonl.read_jsonl(spark, path).select(
         F.variant_get(value, "$.o_orderkey", "bigint").alias("o_orderkey"), F.variant_get(value, "$.o_custkey", "bigint").alias("o_custkey"),
@@ -497,7 +506,7 @@ _LON, _LAT = "(c_custkey % 360 - 180 + 0.5)::DOUBLE", "(c_custkey % 180 - 90 + 0
 def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     altitude = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(","), F.col("c_acctbal").cast("string"))).otherwise("")
     text = F.concat(F.lit('{"type":"Point","coordinates":['), lon("c_custkey").cast("string"), F.lit(","), lat("c_custkey").cast("string"), altitude, F.lit("]}"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    rows = spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", geojson.geo_parse(text).alias("g"))
     return rows.select("c_custkey", "g.ok", geojson.point_position(F.col("g.value")).alias("p")).select("c_custkey", "ok", "p.*")
 
 
@@ -512,7 +521,7 @@ def geo_validate_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(key % 3 == 0, pair(x, x + 5)).otherwise(pair(x, x))
     ring = F.when(key % 5 == 0, F.concat_ws(",", pair(x, x), pair(x + 1, x), pair(x, x))).otherwise(F.concat_ws(",", pair(x, x), pair(x + 1, x), pair(x + 1, x + 1), last))
     text = F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", geojson.geo_parse(text).alias("g")).select("s_suppkey", "g.ok", "g.error.kind", "g.error.path", "g.error.message")
+    return spread(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", geojson.geo_parse(text).alias("g")).select("s_suppkey", "g.ok", "g.error.kind", "g.error.path", "g.error.message")
 
 
 #: Customers' keys in one document: a document stays small however many customers a nation has.
@@ -523,7 +532,7 @@ def nation_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FeatureCollections of each nation's customers, one for each ``SPAN`` keys."""
     key = F.col("c_custkey").cast("string")
     feature = F.concat(F.lit('{"type":"Feature","id":'), key, F.lit(',"geometry":{"type":"Point","coordinates":'), pair(lon("c_custkey"), lat("c_custkey")), F.lit('},"properties":{"name":"'), F.col("c_name"), F.lit('"},"seg":"'), F.col("c_mktsegment"), F.lit('"}'))
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
+    rows = spread(spark, sf_dir, "customer", "c_nationkey", F.floor(F.col("c_custkey") / SPAN)).select("c_nationkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
     grouped = rows.groupBy("c_nationkey", "span").agg(F.collect_list("f").alias("fs"))
     return grouped.select("c_nationkey", "span", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")).alias("doc"))
 
@@ -539,7 +548,7 @@ def geo_features_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_bbox_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
     text = F.concat(F.lit('{"type":"Feature","geometry":null,"properties":null,"bbox":['), key, F.lit(',"skip",'), F.col("c_acctbal").cast("string"), F.lit('],"extra":{"k":'), key, F.lit("}}"))
-    rows = geojson.geo_features(table(spark, sf_dir, "customer").select("c_custkey", text.alias("doc")), "doc")
+    rows = geojson.geo_features(spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", text.alias("doc")), "doc")
     return rows.select("c_custkey", F.size("bbox").alias("n_numbers"), F.get("bbox", F.lit(0)).alias("west"), F.get("bbox", F.lit(1)).alias("south"), F.to_json("foreign").alias("foreign_members"))
 
 
@@ -557,7 +566,7 @@ def geo_deep_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (F.col("s_suppkey") % 70).cast("int")
     point = F.concat(F.lit('{"type":"Point","coordinates":['), F.when(F.col("s_suppkey") % 4 == 0, "1").otherwise("1,2"), F.lit("]}"))
     text = F.concat(F.repeat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[0,0]},'), depth), point, F.repeat(F.lit("]}"), depth))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", geojson.geo_parse(text).alias("g"))
+    rows = spread(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", geojson.geo_parse(text).alias("g"))
     return rows.select("s_suppkey", "g.ok", "g.error.kind", "g.error.path")
 
 
@@ -586,7 +595,7 @@ def geo_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit('{"type":"Point","properties":{"n":'), nation, F.lit(',"a":1.00},"type":"Feature","geometry":{"type":"Point","coordinates":['), x, F.lit('.0E+6,0.50]}}')),
         ],
     )
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("shape"), spelled.alias("doc")).select("c_nationkey", "shape", "doc", geojson.canonical_key(geojson.geo_parse("doc")["value"])["hash"].alias("same"))
+    rows = spread(spark, sf_dir, "customer", "c_nationkey", F.col("c_custkey") % 7).select("c_nationkey", (F.col("c_custkey") % 7).alias("shape"), spelled.alias("doc")).select("c_nationkey", "shape", "doc", geojson.canonical_key(geojson.geo_parse("doc")["value"])["hash"].alias("same"))
     return rows.groupBy("same").agg(F.min("c_nationkey").alias("c_nationkey"), F.min("shape").alias("shape"), F.count("*").alias("n"), F.countDistinct("doc").alias("spellings")).drop("same")
 
 
@@ -616,7 +625,7 @@ def geo_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     power = choose(F.col("c_custkey") % len(_POWERS), [str(p) for p in _POWERS])
     point = F.concat(F.lit('{"type":"Point","coordinates":['), d, F.lit("e"), power, F.lit(","), d, F.lit(".25e"), power, F.lit("]}"))
     text = F.concat(F.repeat(F.lit('{"type":"GeometryCollection","geometries":['), depth), point, F.repeat(F.lit("]}"), depth))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    rows = spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", geojson.geo_parse(text).alias("g"))
     return rows.select("c_custkey", geojson.geo_to_json(F.col("g.value")).alias("canonical"))
 
 
@@ -637,7 +646,7 @@ _GEO_SQL = " ".join(f"WHEN {i} THEN replace('{_geometry(k, '@')}', '@', (c_custk
 def geo_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid geometries of all seven types, with members that the canonical text drops."""
     text = F.replace(choose(F.col("c_custkey") % 7, [_geometry(k, "@").replace(',"', ', "extra": [1], "', 1) for k in GEOMETRIES]), F.lit("@"), lon("c_custkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", geojson.geo_parse(text).alias("g"))
+    rows = spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", geojson.geo_parse(text).alias("g"))
     return rows.select("c_custkey", "g.ok", geojson.geo_to_json(F.col("g.value")).alias("canonical"))
 
 
@@ -657,10 +666,10 @@ def geo_feature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, key = scratch(spark, "georanges"), F.col("c_custkey").cast("string")
     at = F.when(F.col("c_custkey") % 7 == 0, "[1]").otherwise(pair(lon("c_custkey"), lat("c_custkey")))
     feature = F.concat(F.lit('{"type":"Feature","id":'), key, F.lit(',"geometry":{"type":"Point","coordinates":'), at, F.lit('},\n"properties":{"[":"}\\"]{\\\\","name":"'), F.col("c_name"), F.lit('"}}'))
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
+    rows = spread(spark, sf_dir, "customer", "c_nationkey", F.floor(F.col("c_custkey") / SPAN)).select("c_nationkey", "c_custkey", F.floor(F.col("c_custkey") / SPAN).alias("span"), feature.alias("f"))
     grouped = rows.groupBy("c_nationkey", "span").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "f")))["f"].alias("fs"))
     text = F.concat(F.lit('{"type":"FeatureCollection","bbox":[1,2],"features":['), F.array_join("fs", ", "), F.lit('],"more":{"features":[{}]}}'))
-    grouped.select("c_nationkey", "span", text.alias("value")).repartition("c_nationkey", "span").write.partitionBy("c_nationkey", "span").text(path)
+    grouped.select("c_nationkey", "span", text.alias("value")).write.partitionBy("c_nationkey", "span").text(path)
     read = geojson_split.read_features(spark, path, "part-*", 4000)
     value = lambda place, kind: F.try_variant_get("value", place, kind)
     known = F.coalesce(value("$.id", "bigint"), F.regexp_extract("text", r'"id":(\d+)', 1).cast("bigint"))
@@ -688,7 +697,7 @@ GEO_FAULTS = [
 @query("SELECT event_id, " + ", ".join(f"{sql_cases(f'event_id % {len(GEO_FAULTS)}', [f[i] for f in GEO_FAULTS])} AS {n}" for i, n in ((1, "kind"), (2, "path"), (3, "message"))) + f", event_id % {len(GEO_FAULTS)} = 0 AS ok FROM events")
 def geo_error_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = choose(event_id() % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
-    return table(spark, sf_dir, "events").select("event_id", geojson.geo_parse(doc).alias("g")).select("event_id", "g.error.kind", "g.error.path", "g.error.message", "g.ok")
+    return spread(spark, sf_dir, "events", "event_id").select("event_id", geojson.geo_parse(doc).alias("g")).select("event_id", "g.error.kind", "g.error.path", "g.error.message", "g.ok")
 
 
 def _geo_text(fault: tuple) -> str | None:
@@ -699,4 +708,4 @@ def _geo_text(fault: tuple) -> str | None:
 @query(f"SELECT event_id, {sql_cases(f'event_id % {len(GEO_FAULTS)}', [_geo_text(f) for f in GEO_FAULTS])} AS said FROM events")
 def geo_error_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = choose(event_id() % len(GEO_FAULTS), [f[0] for f in GEO_FAULTS])
-    return table(spark, sf_dir, "events").select("event_id", geojson.geo_error_text(geojson.geo_parse(doc)["error"]).alias("said"))
+    return spread(spark, sf_dir, "events", "event_id").select("event_id", geojson.geo_error_text(geojson.geo_parse(doc)["error"]).alias("said"))
