@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Characters that Unicode counts as white space.  Fixed by the Unicode standard.
 WHITE_SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,7 +24,7 @@ def as_column(value: Column | str) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(_WHITE_CHARACTERS))
 
 
 def ascii_lower(text: Column) -> Column:

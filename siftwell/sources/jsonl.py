@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.functions.columns import as_column, let, trim_space
+from siftwell.functions.columns import WHITE_SPACE, as_column, let, trim_space
 from siftwell.functions.json_scan import exact_json, fault_text
 
 #: So many rows may be sent to all tasks.
@@ -24,18 +24,17 @@ def parse_line(line: Column | str) -> Column:
     line without the white space around it, from 1.
     """
     c = as_column(line)
-    trimmed = F.when(F.is_valid_utf8(c), trim_space(c))
-    found = exact_json(F.when(trimmed != "", trimmed))
+    found = exact_json(let(let(c, lambda t: F.when(F.is_valid_utf8(t), trim_space(t))), lambda t: F.when(t != "", t)))
 
     def parsed(x: Column) -> Column:
         fault = x["found"]["error"]
         kind = F.when(~x["text"], "Io").when(fault.isNotNull(), "Json")
         message = F.when(kind == "Io", "I/O error: stream did not contain valid UTF-8").when(kind == "Json", F.concat(F.lit("JSON error: "), fault_text(fault)))
         error = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), message.alias("message"), fault["column"].alias("column")))
-        return F.when(x["due"], F.struct(x["found"]["value"].alias("value"), error.alias("error")))
+        # a line that is not blank has a value or a fault
+        return F.when(~x["text"] | fault.isNotNull() | x["found"]["value"].isNotNull(), F.struct(x["found"]["value"].alias("value"), error.alias("error")))
 
-    utf8 = F.is_valid_utf8(c)
-    return let(F.struct(utf8.alias("text"), (~utf8 | (trimmed != "")).alias("due"), found.alias("found")), parsed)
+    return let(F.struct(F.is_valid_utf8(c).alias("text"), found.alias("found")), parsed)
 
 
 def number_lines(raw: DataFrame, few: bool) -> DataFrame:
@@ -64,7 +63,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """(path, line, value VARIANT, error struct(line, kind, message, column)) of lines (path, line, text) that are not blank."""
-    rows = lines.withColumn("p", parse_line("text")).where(F.col("p").isNotNull())
+    # blank lines are known by their text: a condition on what is parsed would go below the join of ``number_lines``, to be parsed twice
+    rows = lines.where(~F.is_valid_utf8("text") | F.col("text").rlike(f"[^{WHITE_SPACE}]")).withColumn("p", parse_line("text"))
     error = F.when(F.col("p.error").isNotNull(), F.struct(F.col("line"), F.col("p.error.kind").alias("kind"), F.col("p.error.message").alias("message"), F.col("p.error.column").alias("column")))
     return rows.select("path", "line", F.col("p.value").alias("value"), error.alias("error"))
 

@@ -36,3 +36,10 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     texts = geojson_split.feature_texts(spark, str(tmp_path), size=16)
     assert texts.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r["i"] for r in texts.select(F.get_json_object("text", "$.i").cast("int").alias("i")).collect()) == list(range(60))
+
+
+def test_lines_of_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a").write_text('{"a":1}\n \t　\n\n7\n')
+    rows = jsonl.read_jsonl(spark, str(tmp_path / "a"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["line"] for r in rows.orderBy("line").collect()] == [1, 4]
