@@ -219,8 +219,10 @@ def feature_texts(spark: SparkSession, path: str, glob: str = "*", size: int = R
     heads = read_heads(spark, path, glob).where("error IS NULL AND length > 0")
     files = heads.where(F.decode("head", "ISO-8859-1").rlike(r"^[ \t\r\n]*(\{|$)")).select("path", "length")
     last = F.floor((F.col("length") - 1) / size).cast("long")
-    # ranges of one file go to many tasks; a stated number, as rows of a few bytes would be gathered in one
-    parts = max(1, min(files.agg(F.sum(last + 1)).first()[0] or 0, TASKS))
+    # ranges of one file go to many tasks; a stated number, as rows of a few bytes would be gathered in one.  It follows the bytes,
+    # not the ranges: small files or ranges would each be a task of their own
+    ranges, eights = files.agg(F.sum(last + 1), F.sum(F.col("length")) / RANGE).first()
+    parts = max(1, min(ranges or 0, max(4 * spark.sparkContext.defaultParallelism, int(eights or 0) + 1), TASKS))
     chunks = files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("idx")).repartition(parts, "path", "idx")
     before = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     sides = _summaries(chunks, size).withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
