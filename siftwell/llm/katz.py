@@ -2,10 +2,12 @@
 
 Tokens are lower-cased words and one end token a document.  Unigrams of all
 training tokens are counted exactly and Good-Turing discounted; what the
-discount frees is the chance of the one unseen slot.  Bigrams are counted over
-all words, however rare, by their 64-bit keys.  Back-off weights are the exact
-ones: for each context the freed mass over the lower-order mass of the words
-not seen after it, so the model sums to one after every context.
+discount frees is the chance of the one unseen slot.  Bigrams and, with ``order``
+3, trigrams are counted over all words, however rare, by 64-bit keys.  Back-off
+weights are the exact ones: for each context of one or two words the freed mass
+over the lower-order mass of the words not seen after it, so the model sums to one
+after every context.  One start stands before a document, so its first word has a
+bigram alone.
 
 Counts live in tables partitioned by hash (``order``, ``bucket``).  A bigram lies
 with its second word, whose unigram chance is thus at hand; words frequent enough
@@ -14,12 +16,21 @@ list of these (at most two a bucket) is all of the counts that every task gets.
 Each bucket sends its share of a context's sums, whole numbers, to the context's
 own bucket, where counts and back-off weight of each word lie.
 
+A trigram lies with its last two words, so one exchange of trigrams counts the
+bigrams too, and the chance of its last word after the one before is at hand.
+Each bucket sends its share of the sums of a context of two words to where that
+bigram lies; groups of documents get them by its place there.
+
 Documents are handled in groups of some megabytes.  A group sends its distinct
-bigrams once, as sorted, delta-coded keys; the bucket adds up the training counts
+n-grams once, as sorted, delta-coded keys; the bucket adds up the training counts
 and gives the sums back to the groups.  To score, the groups' words are sent to
 their buckets for their counts and weights, and the tokens of a group meet what is
-known of its words and bigrams.  So every text is scored whole, and a bucket's
-work is bounded by ``bucket_tokens`` whatever words are frequent.
+known of its words and n-grams.  So every text is scored whole.  A bucket holds
+near ``bucket_tokens`` n-grams whatever words are frequent; only the words before
+one very frequent bigram lie together, however many they are.
+
+What is shuffled at once is held down by working through the buckets, and then
+through the contexts of two words and the groups, in shares.
 
 Defined cases: a null or wordless text is the end token alone; a null key counts
 as training; repeated rows are separate documents; an empty training set leaves
@@ -30,6 +41,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,7 +122,9 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def slices(bucket: np.ndarray, buckets: int, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places in it) of each bucket that occurs, places sorted by ``then``."""
-    order = np.lexsort((*then, bucket)) if then else np.argsort(bucket, kind="stable")
+    # small whole numbers are sorted by their digits
+    small = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket
+    order = np.lexsort((*then, small)) if then else np.argsort(small, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)).tolist():
         yield b, order[ends[b] : ends[b + 1]]
@@ -132,16 +146,76 @@ def unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def bigrams(row: np.ndarray, ids: np.ndarray, start) -> np.ndarray:
-    """Context of each token; ``start`` before the first of a row."""
+def coded(values: np.ndarray) -> bytes:
+    """Eight-byte values of which many are equal: the different ones, and the place of each among them."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return _pack(zstandard.compress(distinct.tobytes(), 3), planes(at))
+
+
+def decoded(blob: bytes, kind: str) -> np.ndarray:
+    distinct, at = _unpack(blob)
+    return np.frombuffer(zstandard.decompress(distinct), kind)[unplanes(at)]
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a place differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return new
+
+
+def contexts(row: np.ndarray, ids: np.ndarray, start) -> np.ndarray:
+    """What stands before each token; ``start`` before the first of a row."""
     context = np.empty_like(ids)
     context[1:] = ids[:-1]
-    first = np.ones(len(ids), bool)
-    first[1:] = row[1:] != row[:-1]
-    context[first] = start
+    context[starts(row)] = start
     return context
 
 
+def factors(times: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 factors of the words seen and not seen after contexts that occur ``times``: ``kept`` of that is left by the
+    discounts, and ``lower`` is the lower-order mass of the words seen.
+    """
+    c = np.maximum(times, 1)
+    rest = np.maximum(1.0 - lower, 0.0)  # lower-order mass of the words not seen after the context
+    free = 1.0 - kept / c
+    tight = (free < 1e-12) & (rest > 1e-12)  # nothing was discounted: free one part in count + 1
+    full = rest <= 1e-12  # every word was seen: nothing to free
+    scale = np.where(full, c / np.maximum(kept, 1e-300), np.where(tight, c / (c + 1) / np.maximum(kept / c, 1e-300), 1.0))
+    free = 1.0 - scale * kept / c
+    weight = np.where(full, 0.0, free / np.where(full, 1.0, rest))
+    known = times > 0
+    with np.errstate(divide="ignore"):
+        return np.where(known, np.log10(scale / c), 0.0), np.log10(np.where(known, weight, 1.0))
+
+
+def few_and_rest(context: np.ndarray, contexts: int, sums: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """By context: how many n-grams occur 1..k times and how many of their lower n-grams do (``few``), and how often the others of these occur."""
+    count = lambda keep: np.bincount(context[keep], minlength=contexts).astype("<u4")
+    few = np.array([count(sums == r) for r in range(1, k + 1)] + [count(n == r) for r in range(1, k + 1)])
+    # whole numbers below 2**53 add up exactly
+    return few, np.bincount(context, np.where(n > k, n, 0).astype(float), contexts).astype("<u8")
+
+
+def sums_blob(few: np.ndarray, rest: np.ndarray) -> bytes:
+    return zstandard.compress(few.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def weighted(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``weights @ rows``, one row at a time."""
+    return reduce(lambda done, x: done + x[0] * x[1], zip(weights, rows, strict=True), np.zeros(rows.shape[1]))
+
+
+def add_sums(keys: np.ndarray, parts, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``few`` and ``rest`` of the sorted ``keys``, added up from (keys, blob) parts."""
+    few, rest = np.zeros((2 * k, len(keys)), np.uint32), np.zeros(len(keys), np.int64)
+    for own, blob in parts:
+        at, raw = np.searchsorted(keys, own), zstandard.decompress(blob)
+        few[:, at] += np.frombuffer(raw, "<u4", 2 * k * len(at)).reshape(2 * k, -1)
+        rest[at] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 * k * len(at)).reshape(8, -1).T).view("<i8").ravel()
+    return few, rest
+
+
 def count_unigrams(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,16 +258,31 @@ def _unpack(blob: bytes) -> Iterator[bytes]:
         at += 8 + size
 
 
-def _distinct(own: np.ndarray, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, which bigram each token is) of the distinct bigrams of tokens ``own[ids]``; context and word as places in ``own``."""
-    context = bigrams(row, ids, np.searchsorted(own, START[0]))
-    _, first, inverse = np.unique(pair_keys(own[context], own[ids]), return_index=True, return_inverse=True)
-    return context[first], ids[first], inverse
-
+def _distinct(own: np.ndarray, ids: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(before, context, word, which n-gram each token is) of the distinct n-grams of tokens ``own[ids]``, by word, context and what is before.
 
-def _places(lex: Lexicon, context: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its bigrams): the order in which a group's bigrams travel and come back."""
-    return slices(lex.bucket(context, word), lex.buckets, word)
+    ``before``, ``context`` and ``word`` are places in ``own``.  For bigrams ``before`` is the start.
+    """
+    size, start = len(own), np.searchsorted(own, START[0])
+    context = contexts(row, ids, start)
+    before = contexts(row, context, start) if order > 2 else start
+    two, pair = ids * size + context, None
+    if size**3 >= 1 << 63:  # one very long text
+        two, pair = np.unique(two, return_inverse=True)
+        three, inverse = np.unique(pair * size + before, return_inverse=True)
+        two, before = two[three // size], three % size
+    else:
+        three, inverse = np.unique(two * size + before, return_inverse=True)
+        two, before = three // size, three % size
+    return before, two % size, two // size, inverse
+
+
+def _places(lex: Lexicon, own: np.ndarray, context: np.ndarray, word: np.ndarray, shares: int = 1, share: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its n-grams) of one of the shares of buckets: the order in which a group's n-grams travel and come back."""
+    bucket = lex.bucket(own[context], own[word])
+    mine = np.flatnonzero(bucket % shares == share)
+    for b, o in slices(bucket[mine], lex.buckets):
+        yield b, mine[o]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]):
@@ -205,81 +294,143 @@ def _groups(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for words in word_keys(batch.column("text")):
             row, keys = with_ends(words, words.key)
-            own = np.unique(np.append(keys, START))
-            yield (batch.column("part")[0].as_py() << 32) + seen, batch, words, row - words.first, own, np.searchsorted(own, keys)
+            own, ids = np.unique(np.append(keys, START), return_inverse=True)
+            yield (batch.column("part")[0].as_py() << 32) + seen, batch, words, row - words.first, own, ids[:-1]
             seen += 1
 
 
-def count_bigrams(base: DataFrame, lexicon, k: int) -> DataFrame:
-    """The partitioned bigram table: rows of order 2 hold a bucket's bigrams and training counts
-    (``n``: how many of them have count 1..k+1), rows of order 0 the counts of one group's bigrams, in the group's order.
+def count_ngrams(base: DataFrame, lexicon, k: int, order: int, shares: int, share: int) -> DataFrame:
+    """One share of the partitioned table of n-grams.
+
+    Rows of order 2 hold a bucket's bigrams, the words before them and training counts (``n``: how many bigrams, then how many
+    trigrams, have count 1..k+1).  Rows of order 0 hold for one group, in its order, the places among those of its bigrams that training has
+    (``keys``) and the counts of its n-grams and bigrams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         for chunk, batch, words, row, own, ids in _groups(batches):
-            context, word, inverse = _distinct(own, ids, row)
+            before, context, word, inverse = _distinct(own, ids, row, order)
             train = ~batch.column("held_out").slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False).astype(bool)
-            n = np.bincount(inverse, train[row], len(word)).astype("<u4")
-            context, word, out = own[context], own[word], []
-            for b, o in _places(lex, context, word):
-                known, at = np.unique(context[o], return_inverse=True)
-                out.append((b, _pack(squeeze(word[o]), squeeze(known), planes(at), planes(n[o]))))
-            b, blobs = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+            n, out = np.bincount(inverse, train[row], len(word)).astype("<u4"), []
+            for b, o in _places(lex, own, context, word, shares, share):
+                known, at = np.unique(np.concatenate([context[o], before[o]]), return_inverse=True)
+                out.append((b, _pack(squeeze(own[word[o]]), squeeze(own[known]), planes(at[: len(o)]), planes(at[len(o) :]), planes(n[o]))))
+            if out:
+                b, blobs = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        bucket, words, contexts, counts = int(group["bucket"].iloc[0]), [], [], []
-        for blob in group["blob"]:
-            word, known, at, n = _unpack(blob)
-            words.append(expand(word))
-            contexts.append(expand(known)[unplanes(at)])
-            counts.append(unplanes(n))
+        bucket, parts = int(group["bucket"].iloc[0]), [list(_unpack(blob)) for blob in group["blob"]]
+        small = lambda places: np.concatenate([x.astype(np.int32) for x in places])
+        words, keys = [expand(x[0]) for x in parts], [expand(x[1]) for x in parts]
         cuts = np.cumsum([len(x) for x in words])[:-1]
-        word, context = np.concatenate(words), np.concatenate(contexts)
-        _, first, inverse = np.unique(pair_keys(context, word), return_index=True, return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        out = [(0, bucket, chunk, None, planes(s), []) for chunk, s in zip(group["chunk"], np.split(sums[inverse], cuts), strict=True)]
-        first, sums = first[sums > 0], sums[sums > 0]
-        own, word = np.unique(word[first], return_inverse=True)
-        known, context = np.unique(context[first], return_inverse=True)
-        order = np.lexsort((context, word))
-        keys = _pack(squeeze(own), squeeze(known), planes(np.bincount(word, minlength=len(own))), planes(context[order]))
-        out.append((2, bucket, None, keys, planes(sums[order]), [int((sums == r).sum()) for r in range(1, k + 2)]))
+        own, known = np.unique(np.concatenate([x[starts(x)] for x in words])), np.unique(np.concatenate(keys))
+        word, keys = small(np.searchsorted(own, x) for x in words), [np.searchsorted(known, x) for x in keys]
+        del words
+        context, before = (small(at[unplanes(x[i])] for at, x in zip(keys, parts, strict=True)) for i in (2, 3))
+        counts = small(unplanes(x[4]) for x in parts)
+        del keys, parts
+        # bigrams in the order of word and context, as each group has them
+        two, pair = np.unique(word.astype(np.int64) * len(known) + context, return_inverse=True)
+        del word, context
+        three, triple = np.unique(pair * len(known) + before, return_inverse=True)
+        del before
+        twos, threes = np.bincount(pair, counts).astype(np.int64), np.bincount(triple, counts).astype(np.int64)
+        place, out = np.cumsum(twos > 0) - 1, []
+        for chunk, p, t in zip(group["chunk"], np.split(pair, cuts), np.split(triple, cuts), strict=True):
+            new = p[starts(p)]
+            out.append((0, bucket, chunk, squeeze(place[new[twos[new] > 0]].astype(U)), _pack(planes(threes[t]), planes(twos[new])), []))
+        three, threes = three[threes > 0], threes[threes > 0]
+        spread = np.bincount(three // len(known), minlength=len(two))[twos > 0]
+        two, twos = two[twos > 0], twos[twos > 0]
+        word, context = two // len(known), two % len(known)
+        keys = _pack(squeeze(own), squeeze(known), planes(np.bincount(word, minlength=len(own))), planes(context), planes(spread), planes(three % len(known)))
+        whole = np.repeat(known[context] != START, spread)  # a first word has a bigram alone
+        few = [int((x == r).sum()) for x in (twos, threes[whole]) for r in range(1, k + 2)]
+        out.append((2, bucket, None, keys, _pack(planes(twos), planes(threes)), few))
         return pd.DataFrame(out, columns=["order", "bucket", "chunk", "keys", "counts", "n"]).astype({"chunk": "Int64"})
 
     return base.mapInArrow(run, "bucket int, chunk long, blob binary").groupBy("bucket").applyInPandas(add, TABLE)
 
 
-def context_sums(pairs: DataFrame, lexicon, k: int) -> DataFrame:
-    """(bucket, keys, counts): by context, in the context's own bucket, how many words of one bigram bucket follow it 1..k times,
-    how many of all that follow occur 1..k times themselves, and how often the others of these occur.
+@dataclass
+class Bucket:
+    """The bigrams of a row of order 2, in order of word and context, and the trigrams that end in each."""
+
+    words: np.ndarray
+    known: np.ndarray
+    word: np.ndarray  # place in words
+    context: np.ndarray  # place in known
+    count: np.ndarray
+    pair: np.ndarray  # which bigram a trigram ends in
+    before: np.ndarray  # place in known
+    threes: np.ndarray
+
+    @classmethod
+    def of(cls, keys: bytes, counts: bytes) -> Bucket:
+        own, known, of_word, context, of_pair, before = _unpack(keys)
+        own, of_word, of_pair = expand(own), unplanes(of_word), unplanes(of_pair)
+        twos, threes = map(unplanes, _unpack(counts))
+        return cls(own, expand(known), np.repeat(np.arange(len(own)), of_word), unplanes(context), twos, np.repeat(np.arange(len(of_pair)), of_pair), unplanes(before), threes)
+
+
+def context_sums(pairs: DataFrame, lexicon, k: int, order: int, shares: int = 1, share: int = 0) -> DataFrame:
+    """(bucket, keys, counts): by context of ``order`` - 1 words, where that context lies, how many n-grams of one bucket follow it 1..k times,
+    how many of the lower n-grams of all that follow occur 1..k times themselves, and how often the others of these occur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own, known, spread, context = _unpack(keys)
-                own, known, context, sums = expand(own), expand(known), unplanes(context), unplanes(counts)
-                if not len(own):
-                    continue
-                word = np.repeat(np.arange(len(own)), unplanes(spread))
-                # all bigrams of a word are here, but for those of split words
-                hot = _lookup(lex.hot, lex.counts, own)
-                n = np.where(hot > 0, hot, np.bincount(word, sums, len(own)).astype(np.int64))[word]
-                count = lambda keep, x=None: np.bincount(context[keep], x, len(known)).astype("<u4")  # noqa: B023, E731
-                few = np.array([count(sums == r) for r in range(1, k + 1)] + [count(n == r) for r in range(1, k + 1)])
-                rest = np.where(n > k, n, 0)
-                # whole numbers below 2**53 add up exactly
-                rest = np.bincount(context, rest.astype(float), len(known)).astype("<u8")
-                out = [(b, squeeze(known[o]), zstandard.compress(few[:, o].tobytes() + np.ascontiguousarray(rest[o].view(np.uint8).reshape(-1, 8).T).tobytes(), 3)) for b, o in slices(lex.home(known), lex.buckets)]
-                b, keys, blobs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "keys", "counts"])
+                x = Bucket.of(keys, counts)
+                if order == 2:
+                    # all bigrams of a word are here, but for those of split words
+                    hot = _lookup(lex.hot, lex.counts, x.words)
+                    n = np.where(hot > 0, hot, np.bincount(x.word, x.count, len(x.words)).astype(np.int64))[x.word]
+                    key, context = np.unique(x.known[x.context], return_inverse=True)
+                    home, sums = lex.home(key), x.count
+                else:
+                    mine = (lex.bucket(x.known[x.before], x.known[x.context[x.pair]]) % shares == share) & (x.known[x.context] != START)[x.pair]
+                    pair, sums = x.pair[mine], x.threes[mine]
+                    n = x.count[pair]
+                    at, context = np.unique(x.before[mine] * len(x.known) + x.context[pair], return_inverse=True)
+                    first, second = x.known[at // len(x.known)], x.known[at % len(x.known)]
+                    home, key = lex.bucket(first, second), pair_keys(first, second)
+                few, rest = few_and_rest(context, len(key), sums, n, k)
+                out = [(b, squeeze(key[o]), sums_blob(few[:, o], rest[o])) for b, o in slices(home, lex.buckets, key)]
+                if out:
+                    b, keys, blobs = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "keys", "counts"])
 
     return pairs.select("keys", "counts").mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
+def context_answers(table: DataFrame, sums: DataFrame, d2: np.ndarray, d3: np.ndarray, k: int) -> DataFrame:
+    """Rows of kind 3: for each group and bucket, in the group's order, what the discounts take of each bigram that training has as a context, and
+    the sum of the discounted counts of the bigrams that end the trigrams seen after it.
+    """
+
+    def answer(group, parts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = rows["counts"].notna()
+        x = Bucket.of(*rows.loc[whole, ["keys", "counts"]].iloc[0])
+        keys = pair_keys(x.known[x.context], x.words[x.word])
+        order = np.argsort(keys)
+        few, rest = add_sums(keys[order], ((expand(own), blob) for own, blob in zip(parts["keys"], parts["counts"], strict=True)), k)
+        r = np.arange(1, k + 1)
+        taken, lower = np.zeros(max(len(keys), 1)), np.zeros(max(len(keys), 1))
+        taken[order], lower[order] = weighted((1 - d3[1:]) * r, few[:k]), weighted(d2[1:] * r, few[k:]) + rest
+        out = []
+        for chunk, places in zip(rows.loc[~whole, "chunk"], rows.loc[~whole, "keys"], strict=True):
+            at = expand(places).astype(np.int64)
+            out.append((chunk, group[0], 3, _pack(coded(taken[at]), coded(lower[at]))))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
+
+    rows = table.select("bucket", "chunk", "keys", F.when(F.col("order") == 2, F.col("counts")).alias("counts"))
+    return sums.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(answer, _PART)
+
+
 def word_table(unigrams: DataFrame, sums: DataFrame, lexicon, d: np.ndarray, documents: int, k: int) -> DataFrame:
     """By bucket, each word's count and, as a context, the log10 factors of the words seen and not seen after it."""
     buckets = lexicon.value.buckets
@@ -288,34 +439,21 @@ def word_table(unigrams: DataFrame, sums: DataFrame, lexicon, d: np.ndarray, doc
         lex: Lexicon = lexicon.value
         own, blobs = words["word"].to_numpy(np.int64).view(U), [expand(x) for x in parts["keys"]]
         keys = np.unique(np.concatenate([own, *blobs]))
-        n, few, rest = np.zeros(len(keys), np.int64), np.zeros((2 * k, len(keys)), np.int64), np.zeros(len(keys), np.int64)
+        n = np.zeros(len(keys), np.int64)
         n[np.searchsorted(keys, own)] = words["n"].to_numpy(np.int64)
-        for context, blob in zip(blobs, parts["counts"], strict=True):
-            at, raw = np.searchsorted(keys, context), zstandard.decompress(blob)
-            few[:, at] += np.frombuffer(raw, "<u4", 2 * k * len(at)).reshape(2 * k, -1)
-            rest[at] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 * k * len(at)).reshape(8, -1).T).view("<i8").ravel()
+        few, rest = add_sums(keys, zip(blobs, parts["counts"], strict=True), k)
         r = np.arange(1, k + 1)
-        lower = lex.unigram(r) @ few[k:] + lex.scale / max(lex.total, 1) * rest
+        lower = weighted(lex.unigram(r), few[k:]) + lex.scale / max(lex.total, 1) * rest
         times = np.where(keys == START, documents, np.where(keys == END, 0, n))
-        kept = times - ((1 - d[1:]) * r) @ few[:k]
-        c = np.maximum(times, 1)
-        rest = np.maximum(1.0 - lower, 0.0)  # lower-order mass of the words not seen after the context
-        free = 1.0 - kept / c
-        tight = (free < 1e-12) & (rest > 1e-12)  # nothing was discounted: free one part in count + 1
-        full = rest <= 1e-12  # every word was seen: nothing to free
-        scale = np.where(full, c / np.maximum(kept, 1e-300), np.where(tight, c / (c + 1) / np.maximum(kept / c, 1e-300), 1.0))
-        free = 1.0 - scale * kept / c
-        weight = np.where(full, 0.0, free / np.where(full, 1.0, rest))
-        known = times > 0
-        with np.errstate(divide="ignore"):
-            seen, back = np.where(known, np.log10(scale / c), 0.0), np.log10(np.where(known, weight, 1.0))
+        seen, back = factors(times, times - weighted((1 - d[1:]) * r, few[:k]), lower)
         return pd.DataFrame([(1, group[0], None, squeeze(keys), zstandard.compress(n.astype("<i8").tobytes() + seen.tobytes() + back.tobytes(), 3), [])], columns=["order", "bucket", "chunk", "keys", "counts", "n"]).astype({"chunk": "Int64"})
 
     own = unigrams.withColumn("bucket", F.pmod("word", F.lit(buckets)).cast("int")).groupBy("bucket")
     return own.cogroup(sums.groupBy("bucket")).applyInPandas(finish, TABLE)
 
 
-#: What meets in a group of documents: kind 0 its tokens, kind 1 what is known of the words of one bucket, kind 2 the counts of its bigrams of one bucket.
+#: What meets in a group of documents: kind 0 its tokens, kind 1 what is known of the words of one bucket, kind 2 the counts of its n-grams of one bucket,
+#: kind 3 what is known of its bigrams of one bucket as contexts.
 _PART = "chunk long, bucket int, kind int, blob binary"
 
 
@@ -357,22 +495,25 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, counts[at], 0)
 
 
-def score(docs: DataFrame, held_out, key: str = "doc_id", text_col: str = "text", k: int = 5, bucket_tokens: int = 1 << 20, same_each_time: bool = False) -> DataFrame:
+def score(docs: DataFrame, held_out, key: str = "doc_id", text_col: str = "text", k: int = 5, bucket_tokens: int = 1 << 20, same_each_time: bool = False, order: int = 2, shares: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from rows where ``held_out`` is not true.  ``base_score``
-    is the add-0.1 unigram score; ``score`` the model's log10 probability.
+    is the add-0.1 unigram score; ``score`` the log10 probability by the model of ``order`` 2 or 3.
     ``docs`` is read several times: where it does not give the same rows in the
     same order each time, as a table does (``same_each_time``), it is written first.
+    The buckets are filled in ``shares``, all else is done in twice as many, so that less is shuffled at once.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     # splits of files must not follow the number of executors at hand
     with setting(spark, "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)):
         base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text_col}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-        return cut(_score(base if same_each_time else cut(base), k, bucket_tokens)).withColumnRenamed("key", key)
+        return _score(base if same_each_time else cut(base), k, bucket_tokens, order, shares).withColumnRenamed("key", key)
 
 
-def _score(base: DataFrame, k: int, bucket_tokens: int) -> DataFrame:
+def _score(base: DataFrame, k: int, bucket_tokens: int, order: int, shares: int) -> DataFrame:
     train = base.where(~F.col("held_out"))
     unigrams = cut(count_unigrams(train))
     size = base.agg(F.count("*").alias("docs"), F.count_if(~F.col("held_out")).alias("train"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -380,24 +521,26 @@ def _score(base: DataFrame, k: int, bucket_tokens: int) -> DataFrame:
     lex = build_lexicon(unigrams, k, bucket_tokens, (size["bytes"] or 0) // 6 + size["docs"])
     lexicon = base.sparkSession.sparkContext.broadcast(lex)
     base = base.withColumn("part", F.spark_partition_id())
-    table = cut(count_bigrams(base, lexicon, k))
+    each = lambda shares, step: reduce(DataFrame.unionByName, [cut(step(share)) for share in range(shares)])
+    table = each(shares, lambda share: count_ngrams(base, lexicon, k, order, shares, share))
+    shares *= 2  # the table lies on the disk by now
     pairs, counted = table.where(F.col("order") == 2), table.where(F.col("order") == 0)
-    n = pairs.select(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(k + 1)]).first()
-    d = discounts([int(x or 0) for x in n])
-    words = cut(word_table(unigrams, context_sums(pairs, lexicon, k), lexicon, d, size["train"], k))
+    n = [int(x or 0) for x in pairs.select(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(2 * k + 2)]).first()]
+    d, d3 = discounts(n[: k + 1]), discounts(n[k + 1 :])
+    words = cut(word_table(unigrams, context_sums(pairs, lexicon, k, 2), lexicon, d, size["train"], k))
+    known = counted.select("chunk", "bucket", F.lit(2).alias("kind"), F.col("counts").alias("blob"))
+    if order > 2:
+        known = known.unionByName(each(shares, lambda share: context_answers(table.where(F.col("bucket") % shares == share), context_sums(pairs, lexicon, k, 3, shares, share), d, d3, k)))
 
     def answer(group, requests: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         known, raw = (expand(rows["keys"].iloc[0]), zstandard.decompress(rows["counts"].iloc[0])) if len(rows) else (np.zeros(0, U), b"")
-        n, factors = np.frombuffer(raw, "<i8", len(known)), np.frombuffer(raw, "<f8", offset=8 * len(known)).reshape(2, -1)
+        columns = [np.frombuffer(raw, kind, len(known), 8 * i * len(known)) for i, kind in enumerate(("<i8", "<f8", "<f8"))]
         out = []
         for chunk, blob in zip(requests["chunk"], requests["keys"], strict=True):
             keys = expand(blob)
-            values = _lookup(known, n, keys).astype("<i8").tobytes() + b"".join(_lookup(known, f, keys).astype("<f8").tobytes() for f in factors)
-            out.append((chunk, group[0], 1, _pack(blob, zstandard.compress(values, 3))))
+            out.append((chunk, group[0], 1, _pack(blob, *[coded(_lookup(known, x, keys)) for x in columns])))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
 
-    answers = _requests(base, lexicon).groupBy("bucket").cogroup(words.select("bucket", "keys", "counts").groupBy("bucket")).applyInPandas(answer, _PART)
-    parts = _tokens(base).unionByName(answers).unionByName(counted.select("chunk", "bucket", F.lit(2).alias("kind"), F.col("counts").alias("blob")))
     schema = T.StructType([base.schema["key"], *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
     def total(group: pa.Table) -> pa.Table:
@@ -405,25 +548,46 @@ def _score(base: DataFrame, k: int, bucket_tokens: int) -> DataFrame:
         parts = {}
         for b, kind, blob in zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
             parts.setdefault(kind, {})[b] = blob
-        if not parts.keys() >= {0, 1, 2}:
+        if not parts.keys() >= {0, 1, *range(2, order + 1)}:
             raise ValueError("the documents came in other groups the second time: they are no stable input")
         known, ids = _unpack(parts[0][0])
         known, ids = pa.ipc.open_stream(zstandard.decompress(known)).read_all().combine_chunks(), unplanes(ids)
-        own, values = zip(*((expand(keys), zstandard.decompress(raw)) for keys, raw in map(_unpack, parts[1].values())), strict=True)
-        n = np.concatenate([np.frombuffer(raw, "<i8", len(x)) for x, raw in zip(own, values, strict=True)])
-        factors = np.concatenate([np.frombuffer(raw, "<f8", offset=8 * len(x)).reshape(2, -1) for x, raw in zip(own, values, strict=True)], axis=1)
-        own = np.concatenate(own)
-        order = np.argsort(own)
-        own, n, (seen, back) = own[order], n[order], factors[:, order]
+        own, n, seen, back = map(np.concatenate, zip(*((expand(keys), decoded(n, "<i8"), decoded(seen, "<f8"), decoded(back, "<f8")) for keys, n, seen, back in map(_unpack, parts[1].values())), strict=True))
+        at = np.argsort(own)
+        own, n, seen, back = own[at], n[at], seen[at], back[at]
         rows = len(known)
         row = np.repeat(np.arange(rows), known.column(2).to_numpy())
-        context, word, inverse = _distinct(own, ids, row)
-        c = np.zeros(len(word), np.int64)
-        for b, at in _places(lex, own[context], own[word]):
-            c[at] = unplanes(parts[2][b])
-        p = np.where(c > 0, seen[context] + np.log10(np.maximum(d[np.where(c < len(d), c, 0)] * c, 1e-300)), back[context] + np.log10(lex.unigram(n))[word])
+        _, context, word, inverse = _distinct(own, ids, row, order)
+        c, pair, two, taken, lower, pairs = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), [], [], [], 0
+        for b, at in _places(lex, own, context, word):
+            threes, twos = map(unplanes, _unpack(parts[2][b]))
+            c[at], pair[at] = threes, pairs + np.cumsum(starts(context[at], word[at])) - 1
+            pairs += len(twos)
+            two.append(twos)
+            if order > 2:
+                of = _unpack(parts[3][b])
+                for found, blob in zip((taken, lower), of, strict=True):
+                    found.append(np.zeros(len(twos)))
+                    found[-1][twos > 0] = decoded(blob, "<f8")
+        two = np.concatenate(two)
+        left = lambda d, c: np.log10(np.maximum(d[np.where(c < len(d), c, 0)] * c, 1e-300))
+        p = np.where(two[pair] > 0, seen[context] + left(d, two[pair]), back[context] + np.log10(lex.unigram(n))[word])
+        if order > 2:
+            # the context of a token is the bigram of the token before it
+            before = np.zeros(len(word), np.int64)
+            before[inverse[1:]] = pair[inverse[:-1]]
+            times = two[before]
+            seen3, back3 = factors(times, times - np.concatenate(taken)[before], 10.0 ** seen[context] * np.concatenate(lower)[before])
+            longer = np.where(c > 0, seen3 + left(d3, c), back3 + p)
+            p = np.where((own[context] != START) & (times > 0), longer, p)
         add = lambda x: np.bincount(row, x, rows)
         columns = [*known.columns, pa.array(add(n[ids] > 0).astype(np.int64)), pa.array(np.full(rows, lex.total)), pa.array(add(lex.base(n)[ids])), pa.array(add(p[inverse]))]
         return pa.Table.from_arrays(columns, names=schema.names)
 
-    return parts.groupBy("chunk").applyInArrow(total, schema)
+    def scored(share: int) -> DataFrame:
+        docs = base.where(F.col("part") % shares == share)
+        answers = _requests(docs, lexicon).groupBy("bucket").cogroup(words.select("bucket", "keys", "counts").groupBy("bucket")).applyInPandas(answer, _PART)
+        parts = _tokens(docs).unionByName(answers).unionByName(known.where(F.shiftright("chunk", 32) % shares == share))
+        return parts.groupBy("chunk").applyInArrow(total, schema)
+
+    return each(shares, scored)

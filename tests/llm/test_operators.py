@@ -451,6 +451,52 @@ def test_op6_query_against_brute_force_over_all_documents(spark, sf_dir, texts):
     assert {i: r["score"] for i, r in rows_of(queries.op6_katz(spark, sf_dir)).items()} == pytest.approx(want, rel=1e-9)
 
 
+def brute_katz_trigrams(train, k=5):
+    """Chance after two words of Katz trigrams over the token lists ``train``; a first word has a bigram alone."""
+    _, after = brute_katz(train, k)
+    two = Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    three = Counter(p for ws in train for p in zip([None, *ws], ws, ws[1:], strict=False))
+    n = Counter(three.values())
+    d = [1, *katz.discounts([n[r] for r in range(1, k + 2)])[1:]]
+    kept, lower = Counter(), Counter()
+    for (u, v, w), c in three.items():
+        kept[u, v] += (d[c] if c <= k else 1) * c
+        lower[u, v] += after(v, w)
+
+    def chance(u, v, w):
+        c, n, low = three[u, v, w], two[u, v], after(v, w)
+        if not n:
+            return low
+        scale = 1 if kept[u, v] < n * (1 - 1e-12) else n / (n + 1)
+        return scale * (d[c] if c <= k else 1) * c / n if c else (1 - scale * kept[u, v] / n) / (1 - lower[u, v]) * low
+
+    def score(ws):
+        return math.log10(after(None, ws[0])) + sum(math.log10(chance(*p)) for p in zip([None, *ws], ws, ws[1:], strict=False))
+
+    return chance, score
+
+
+def test_op6_trigrams_against_brute_force_over_all_documents(spark, sf_dir, texts):
+    tokens = {i: [*WORD.findall(t.translate(UPPER)), "\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    _, score = brute_katz_trigrams([ws for i, ws in tokens.items() if not held[i]])
+    assert {i: r["score"] for i, r in rows_of(queries.op6_katz(spark, sf_dir)).items()} == pytest.approx({i: score(ws) for i, ws in tokens.items()}, rel=1e-9)
+
+
+def test_op6_trigrams_of_frequent_words_in_many_buckets_and_shares(spark):
+    rng = random.Random(4)
+    some = ["the", "the", "the", "of", *(f"w{k}" for k in range(60))]
+    texts = {i: [*(rng.choice(some) for _ in range(rng.randrange(80))), f"once{i}", f"twice{min(i, 40) // 2}"][: None if i < 40 else -1] for i in range(120)} | {120: ["new", "the", "of", "new"], 121: []}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id long, text string")
+    tokens = {i: [*ws, "\n"] for i, ws in texts.items()}
+    chance, score = brute_katz_trigrams([ws for i, ws in tokens.items() if i < 110])
+    words = {w for i, ws in tokens.items() if i < 110 for w in ws}
+    assert all(sum(chance(*p, w) for w in words) + chance(*p, "new") == pytest.approx(1) for p in [("the", "the"), (None, "of"), ("w3", "the")])
+    for shares in (1, 3):
+        found = katz.score(docs, F.col("doc_id") >= 110, bucket_tokens=64, order=3, shares=shares).collect()
+        assert {r["doc_id"]: r["score"] for r in found} == pytest.approx({i: score(ws) for i, ws in tokens.items()}, rel=1e-9)
+
+
 def jaccard_components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
