@@ -55,8 +55,8 @@ def hashed_ngrams(text: Column, buckets: int) -> Column:
 
     def grams(hashes: Column) -> Column:
         single = F.transform(hashes, lambda a: a.bitwiseAND(mask))
-        # zip_with pads with null, which the hash passes over
-        return F.concat(single, F.zip_with(hashes, rest_from(hashes, 2), lambda a, b: F.xxhash64(a, b).bitwiseAND(mask)))
+        # past the end is null, which the hash passes over
+        return F.concat(single, F.transform(hashes, lambda a, i: F.xxhash64(a, F.get(hashes, i + 1)).bitwiseAND(mask)))
 
     def both(tokens: Column) -> Column:
         # letter case tells junk from prose, so only the stems' letters are folded
@@ -119,11 +119,9 @@ def repeated_window_words(ws: Column, n: int = 3) -> Column:
     positions whose windows repeat, and gaps between those give the cover.
     """
     def joined(hashes: Column) -> Column:
-        found = hashes
-        for k in range(1, n):
-            found = F.zip_with(found, rest_from(hashes, k + 1), lambda a, b: F.xxhash64(a, b))
-        # zip_with pads with nulls: windows past the end are cut off
-        return F.slice(found, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+        window = lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)])
+        # windows past the end are cut off
+        return F.slice(F.transform(hashes, window), 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
 
     def keyed(windows: Column) -> Column:
         return F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
