@@ -46,6 +46,22 @@ def test_op1_base_columns(spark, sf_dir, texts):
     assert any(r["kept"] for r in found.values())
 
 
+def test_op1_repeated_windows_by_both_ways_of_sorting(spark, monkeypatch):
+    rng, texts = random.Random(11), ["", " ", "a", "a a", "a a a a", "a b c a b c", "x y z " * 40]
+    texts += [" ".join(rng.choice("abcd") for _ in range(rng.randrange(40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2)
+    want = {}
+    for i, t in enumerate(texts):
+        words = t.split()
+        windows = list(zip(words, words[1:], words[2:], strict=False))
+        want[i] = len({p + k for p, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)})
+    # with four places, texts of more than three windows are sorted in full
+    for bits in (quality.PLACE_BITS, 2):
+        monkeypatch.setattr(quality, "PLACE_BITS", bits)
+        found = docs.select("id", quality.bound(quality.words(F.col("text")), lambda ws: quality.repeated_window_words(ws)).alias("n"))
+        assert {r["id"]: r["n"] for r in found.collect()} == want
+
+
 def brute_scores(texts, labels, buckets=1 << 16):
     """{id: (score, toxic score)} by the definitions, with Spark's hash from another library."""
     import struct
