@@ -264,7 +264,10 @@ def _examine(text: str, doubted: bool) -> dict:
 
 @F.arrow_udf(_LOCATED)
 def _locate(rejected: pa.Array) -> pa.Array:
-    return struct_array([None if x is None else _examine(x["raw"], x["doubted"]) for x in rejected.to_pylist()], dict.fromkeys(_LOCATED.names, pa.string()))
+    raw, doubted = (x.to_pylist() for x in rejected.flatten())
+    # equal texts have equal faults: each is looked at once a batch
+    found = {x: _examine(*x) for x in {*zip(raw, doubted, strict=True)} if x[0] is not None}
+    return struct_array([found.get(x) for x in zip(raw, doubted, strict=True)], dict.fromkeys(_LOCATED.names, pa.string()))
 
 
 def geo_parse(text: Column | str) -> Column:

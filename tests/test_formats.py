@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,17 @@ def test_features_keep_columns_of_any_name(spark):
     assert [(r["geo"], r["feature"], r["pos"]) for r in found] == [(1, 2, 0)]
 
 
+def test_equal_rejected_texts_are_looked_at_once_a_batch(monkeypatch):
+    looked, examine = [], geojson._examine
+    monkeypatch.setattr(geojson, "_examine", lambda *x: looked.append(x) or examine(*x))
+    texts = ['{"a":1}', None, "not json", '{"a":1}', "not json", '{"type":"Blob"}', None]
+    rows = pa.array([t and {"raw": t, "doubted": t == "not json"} for t in texts], pa.struct({"raw": pa.string(), "doubted": pa.bool_()}))
+    found = geojson._locate.func(rows).to_pylist()
+    assert len(looked) == len(set(looked)) == 3
+    assert [r["kind"] for r in found] == ["InvalidType", None, "Json", "InvalidType", "Json", "InvalidType", None]
+    assert found[0] == found[3] == {"kind": "InvalidType", "path": ".type", "message": "missing or non-string 'type' field", "text": None}
+
+
 def test_jsonl_stream_equals_batch(spark, tmp_path):
     source, sink = tmp_path / "in", tmp_path / "out"
     source.mkdir()
