@@ -9,6 +9,11 @@ over the lower-order mass of the words not seen after it, so the model sums to o
 after every context.  One start stands before a document, so its first word has a
 bigram alone.
 
+Texts are read twice: first their words meet by hash in buckets, are numbered there
+without gaps and counted; then each group of documents gets the numbers of its words
+and is written as numbers.  All later steps read these, and small numbers travel and
+lie in a fraction of the bytes of hashes.
+
 Counts live in tables partitioned by hash (``order``, ``bucket``).  A bigram lies
 with its second word, whose unigram chance is thus at hand; words frequent enough
 to fill half a bucket are spread over several by a hash of the context, and the
@@ -52,16 +57,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, setting
-from .words import U, mix, word_keys
+from .words import U, by_eights, mix, word_keys
 
-#: Keys of the end token and of the place before a document; no word hash is made this way.
-END = np.array([0xE0E0E0E0E0E0E0E1], U)
-START = np.array([0xD0D0D0D0D0D0D0D1], U)
-_EXACT = 4096
+#: Key of the end token; no word hash is made this way.
+END = U(0xE0E0E0E0E0E0E0E1)
+#: Numbers of the place before a document and of the end token; those of words are larger.
+START, LAST = U(0), U(1)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Sorted uint64 values as compressed differences."""
+    """Sorted uint64 values as compressed differences.  Others are kept as well, in more bytes."""
     return zstandard.compress(np.diff(values, prepend=U(0)).astype("<u8").tobytes(), 1)
 
 
@@ -87,7 +92,7 @@ def discounts(n: list[int]) -> np.ndarray:
 class Lexicon:
     """What every task needs of the unigrams."""
 
-    hot: np.ndarray  # sorted keys of the words that fill half a bucket or more
+    hot: np.ndarray  # sorted numbers of the words that fill half a bucket or more
     counts: np.ndarray
     splits: np.ndarray  # over how many buckets each of them is spread
     discount: np.ndarray
@@ -105,15 +110,18 @@ class Lexicon:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Where a bigram lies."""
-        splits = _lookup(self.hot, self.splits, word).astype(U)
-        part = mix(context) % np.maximum(splits, U(1))
-        return (mix(word + part * U(0xD6E8FEB86659FD93)) % U(self.buckets)).astype(np.int64)
+    def bucket(self, words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where bigrams lie, given as places in ``words``."""
+        splits, bucket = _lookup(self.hot, self.splits, words), home(mix(words), self.buckets)[word]
+        spread = np.flatnonzero((splits > 1)[word])
+        part = mix(words[context[spread]]) % splits[word[spread]].astype(U)
+        bucket[spread] = home(mix(words[word[spread]] + part * U(0xD6E8FEB86659FD93)), self.buckets)
+        return bucket
+
 
-    def home(self, word: np.ndarray) -> np.ndarray:
-        """Where a word lies."""
-        return word.view(np.int64) % self.buckets
+def home(word: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of keys or numbers of words."""
+    return (word % U(buckets)).astype(np.int64)
 
 
 def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -134,16 +142,22 @@ def with_ends(words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the tokens of ``words``: each row's words, then the end token."""
     cuts = words.bounds()[1:]
     rows = np.arange(words.first, words.last)
-    return np.insert(words.row, cuts, rows), np.insert(keys, cuts, END[0])
+    return np.insert(words.row, cuts, rows), np.insert(keys, cuts, END)
 
 
 def planes(ids: np.ndarray) -> bytes:
     """Compressed small numbers: all low bytes, then all next ones, and so on."""
-    return zstandard.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    ids = ids.astype(np.uint32)
+    return zstandard.compress(b"".join((ids >> np.uint32(8 * i)).astype(np.uint8).tobytes() for i in range(4)), 3)
 
 
 def unplanes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    low, *others = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    ids = low.astype(np.int64)
+    for i, plane in enumerate(others, 1):
+        if plane.any():
+            ids |= plane.astype(np.int64) << 8 * i
+    return ids
 
 
 def coded(values: np.ndarray) -> bytes:
@@ -198,7 +212,7 @@ def few_and_rest(context: np.ndarray, contexts: int, sums: np.ndarray, n: np.nda
 
 
 def sums_blob(few: np.ndarray, rest: np.ndarray) -> bytes:
-    return zstandard.compress(few.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    return zstandard.compress(few.tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def weighted(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -216,31 +230,56 @@ def add_sums(keys: np.ndarray, parts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return few, rest
 
 
-def count_unigrams(train: DataFrame) -> DataFrame:
+def number_words(base: DataFrame, buckets: int, k: int, bucket_tokens: int) -> DataFrame:
+    """The words of all documents, counted and numbered by bucket.
+
+    A row with a ``chunk`` holds for one group, in the order of its words' keys, their numbers and training counts.  The row without holds the
+    counts of the bucket's words in the order of their numbers, without the end token; in ``n`` how many words have count 1..k+1, how many have any,
+    and how many tokens that makes; and in ``hot`` and ``times`` numbers and counts of those that fill half a bucket or more.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in word_keys(batch.column("text")):
-                keys, n = np.unique(with_ends(words, words.key)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def build_lexicon(unigrams: DataFrame, k: int, bucket_tokens: int, tokens_hint: int) -> Lexicon:
-    # counts of counts: exact ones up to _EXACT, then by powers of two
-    level = F.when(F.col("n") <= _EXACT, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
-    hist = unigrams.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toPandas()
-    hot = unigrams.where(2 * F.col("n") > bucket_tokens).toPandas()
-    keys, counts = hot["word"].to_numpy(np.int64).view(U), hot["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    total, distinct = int(hist["tokens"].sum()), int(hist["words"].sum())
-    by_count = dict(zip(hist["level"].astype(int), hist["words"].astype(int), strict=True))
-    d = discounts([by_count.get(r, 0) for r in range(1, k + 2)])
-    used = 1.0 - sum((1 - d[r]) * r * by_count.get(r, 0) for r in range(1, k + 1)) / max(total, 1)
+        for chunk, batch, words, row, own, ids in _texts(batches):
+            train = ~batch.column("held_out").slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False).astype(bool)
+            n = np.bincount(ids, train[row], len(own))
+            b, blobs = zip(*[(b, _pack(squeeze(own[o]), planes(n[o]))) for b, o in slices(home(own, buckets), buckets)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        bucket, parts = int(group["bucket"].iloc[0]), [list(_unpack(blob)) for blob in group["blob"]]
+        keys = [expand(x[0]) for x in parts]
+        own = np.unique(np.concatenate(keys))
+        n, places = np.zeros(len(own), np.int64), [np.searchsorted(own, x) for x in keys]
+        for at, x in zip(places, parts, strict=True):
+            n[at] += unplanes(x[1])
+        numbers = (np.arange(len(own), dtype=U) + U(2)) * U(buckets) + U(bucket)
+        numbers[own == END] = LAST
+        out = [(bucket, chunk, squeeze(numbers[at]), coded(n[at]), [], [], []) for chunk, at in zip(group["chunk"], places, strict=True)]
+        hot, few = 2 * n > bucket_tokens, [int((n == r).sum()) for r in range(1, k + 2)]
+        words = zstandard.compress(np.where(own == END, 0, n).astype("<i8").tobytes(), 3)
+        out.append((bucket, None, None, words, [*few, int((n > 0).sum()), int(n.sum())], numbers[hot].astype(np.int64).tolist(), n[hot].tolist()))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "numbers", "counts", "n", "hot", "times"]).astype({"chunk": "Int64"})
+
+    schema = "bucket int, chunk long, numbers binary, counts binary, n array<long>, hot array<long>, times array<long>"
+    return base.mapInArrow(run, "bucket int, chunk long, blob binary").groupBy("bucket").applyInPandas(add, schema)
+
+
+def sums_of(table: DataFrame, places: int) -> list[int]:
+    """Sums of the first ``places`` entries of the lists ``n``."""
+    return [int(x or 0) for x in table.select(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(places)]).first()]
+
+
+def build_lexicon(numbered: DataFrame, k: int, bucket_tokens: int, buckets: int) -> Lexicon:
+    *by_count, distinct, total = sums_of(numbered, k + 3)
+    hot = numbered.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).select("x.hot", "x.times").toPandas()
+    words, counts = hot["hot"].to_numpy(np.int64).astype(U), hot["times"].to_numpy(np.int64)
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    d = discounts(by_count)
+    used = 1.0 - sum((1 - d[r]) * r * by_count[r - 1] for r in range(1, k + 1)) / max(total, 1)
     scale = 1.0 if 1 - used > 1e-12 else total / (total + 1)  # leave something to the unseen slot
     unseen = 1.0 - scale * used if total else 1.0
-    return Lexicon(keys, counts, -(-2 * counts // bucket_tokens), d, scale, total, distinct, unseen, max(1, -(-tokens_hint // bucket_tokens)))
+    return Lexicon(words, counts, -(-2 * counts // bucket_tokens), d, scale, total, distinct, unseen, buckets)
 
 
 TABLE = "order int, bucket int, chunk long, keys binary, counts binary, n array<long>"
@@ -250,6 +289,13 @@ def _pack(*parts: bytes) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Values of ``columns``, row by row, one copied at a time: they are large."""
+    for batch in batches:
+        for values in zip(*map(batch.column, columns), strict=True):
+            yield tuple(x.as_py() for x in values)
+
+
 def _unpack(blob: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(blob):
@@ -263,7 +309,7 @@ def _distinct(own: np.ndarray, ids: np.ndarray, row: np.ndarray, order: int) ->
 
     ``before``, ``context`` and ``word`` are places in ``own``.  For bigrams ``before`` is the start.
     """
-    size, start = len(own), np.searchsorted(own, START[0])
+    size, start = len(own), np.searchsorted(own, START)
     context = contexts(row, ids, start)
     before = contexts(row, context, start) if order > 2 else start
     two, pair = ids * size + context, None
@@ -279,27 +325,79 @@ def _distinct(own: np.ndarray, ids: np.ndarray, row: np.ndarray, order: int) ->
 
 def _places(lex: Lexicon, own: np.ndarray, context: np.ndarray, word: np.ndarray, shares: int = 1, share: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its n-grams) of one of the shares of buckets: the order in which a group's n-grams travel and come back."""
-    bucket = lex.bucket(own[context], own[word])
+    bucket = lex.bucket(own, context, word)
     mine = np.flatnonzero(bucket % shares == share)
     for b, o in slices(bucket[mine], lex.buckets):
         yield b, mine[o]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]):
-    """(chunk, batch, words, row, own, ids) of each group of documents: its number, and its tokens as places in ``own``.
+def _texts(batches: Iterator[pa.RecordBatch]):
+    """(chunk, batch, words, row, own, ids) of each group of documents: its number, and its tokens as places in its sorted keys ``own``.
 
     The number comes from the input's partition and the place there, so it is the same each time the input is read.
     """
     seen = 0
     for batch in batches:
-        for words in word_keys(batch.column("text")):
+        for words in word_keys(batch.column("text"), hashed=by_eights):
             row, keys = with_ends(words, words.key)
-            own, ids = np.unique(np.append(keys, START), return_inverse=True)
-            yield (batch.column("part")[0].as_py() << 32) + seen, batch, words, row - words.first, own, ids[:-1]
+            own, ids = np.unique(keys, return_inverse=True)
+            yield (batch.column("part")[0].as_py() << 32) + seen, batch, words, row - words.first, own, ids
             seen += 1
 
 
-def count_ngrams(base: DataFrame, lexicon, k: int, order: int, shares: int, share: int) -> DataFrame:
+def token_table(base: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, blob): by group of documents their keys and lengths, the sorted numbers of its words and the start, their counts, and its tokens as places among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, batch, words, row, own, ids in _texts(batches):
+            rows = words.last - words.first
+            known = pa.RecordBatch.from_arrays(
+                [batch.column("key").slice(words.first, rows), batch.column("held_out").slice(words.first, rows), pa.array(np.bincount(row, minlength=rows))],
+                names=["key", "held_out", "n_tokens"],
+            )
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, known.schema) as writer:
+                writer.write_batch(known)
+            place = np.empty(len(own), np.int64)  # where the buckets' answers give a word
+            place[np.concatenate([o for _, o in slices(home(own, buckets), buckets)])] = np.arange(len(own))
+            columns = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary()), pa.array([planes(place[ids])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "numbers", "counts"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("bucket")
+        (docs, *numbers), (ids, *counts) = group.column("numbers").to_pylist(), group.column("counts").to_pylist()
+        ids, numbers, n = unplanes(ids), [START.reshape(1), *map(expand, numbers)], [np.zeros(1, "<i8"), *(decoded(x, "<i8") for x in counts)]
+        own, n = np.concatenate(numbers), np.concatenate(n)
+        if group.column("bucket")[0].as_py() != -1 or ids.max() + 2 != len(own):
+            raise ValueError("the documents came in other groups the second time: they are no stable input")
+        order = np.argsort(own)
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        blob = _pack(docs, squeeze(own[order]), coded(n[order]), planes(place[1:][ids]))
+        return pa.Table.from_arrays([group.column("chunk").slice(0, 1), pa.array([blob], pa.binary())], names=["chunk", "blob"])
+
+    answers = numbered.where(F.col("chunk").isNotNull()).select("chunk", "bucket", "numbers", "counts")
+    return base.mapInArrow(run, answers.schema).unionByName(answers).groupBy("chunk").applyInArrow(meet, "chunk long, blob binary")
+
+
+@dataclass
+class Group:
+    """A row of the table of tokens."""
+
+    docs: pa.Table
+    row: np.ndarray  # of each token
+    own: np.ndarray
+    n: np.ndarray  # training counts of ``own``
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, blob: bytes) -> Group:
+        docs, own, n, ids = _unpack(blob)
+        docs = pa.ipc.open_stream(zstandard.decompress(docs)).read_all().combine_chunks()
+        return cls(docs, np.repeat(np.arange(len(docs)), docs.column("n_tokens").to_numpy()), expand(own), decoded(n, "<i8"), unplanes(ids))
+
+
+def count_ngrams(tokens: DataFrame, lexicon, k: int, order: int, shares: int, share: int) -> DataFrame:
     """One share of the partitioned table of n-grams.
 
     Rows of order 2 hold a bucket's bigrams, the words before them and training counts (``n``: how many bigrams, then how many
@@ -309,10 +407,10 @@ def count_ngrams(base: DataFrame, lexicon, k: int, order: int, shares: int, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        for chunk, batch, words, row, own, ids in _groups(batches):
-            before, context, word, inverse = _distinct(own, ids, row, order)
-            train = ~batch.column("held_out").slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False).astype(bool)
-            n, out = np.bincount(inverse, train[row], len(word)).astype("<u4"), []
+        for chunk, blob in _rows(batches, "chunk", "blob"):
+            x = Group.of(blob)
+            own, (before, context, word, inverse) = x.own, _distinct(x.own, x.ids, x.row, order)
+            n, out = np.bincount(inverse, ~x.docs.column("held_out").to_numpy()[x.row], len(word)).astype("<u4"), []
             for b, o in _places(lex, own, context, word, shares, share):
                 known, at = np.unique(np.concatenate([context[o], before[o]]), return_inverse=True)
                 out.append((b, _pack(squeeze(own[word[o]]), squeeze(own[known]), planes(at[: len(o)]), planes(at[len(o) :]), planes(n[o]))))
@@ -351,7 +449,7 @@ def count_ngrams(base: DataFrame, lexicon, k: int, order: int, shares: int, shar
         out.append((2, bucket, None, keys, _pack(planes(twos), planes(threes)), few))
         return pd.DataFrame(out, columns=["order", "bucket", "chunk", "keys", "counts", "n"]).astype({"chunk": "Int64"})
 
-    return base.mapInArrow(run, "bucket int, chunk long, blob binary").groupBy("bucket").applyInPandas(add, TABLE)
+    return tokens.select("chunk", "blob").mapInArrow(run, "bucket int, chunk long, blob binary").groupBy("bucket").applyInPandas(add, TABLE)
 
 
 @dataclass
@@ -382,27 +480,26 @@ def context_sums(pairs: DataFrame, lexicon, k: int, order: int, shares: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = Bucket.of(keys, counts)
-                if order == 2:
-                    # all bigrams of a word are here, but for those of split words
-                    hot = _lookup(lex.hot, lex.counts, x.words)
-                    n = np.where(hot > 0, hot, np.bincount(x.word, x.count, len(x.words)).astype(np.int64))[x.word]
-                    key, context = np.unique(x.known[x.context], return_inverse=True)
-                    home, sums = lex.home(key), x.count
-                else:
-                    mine = (lex.bucket(x.known[x.before], x.known[x.context[x.pair]]) % shares == share) & (x.known[x.context] != START)[x.pair]
-                    pair, sums = x.pair[mine], x.threes[mine]
-                    n = x.count[pair]
-                    at, context = np.unique(x.before[mine] * len(x.known) + x.context[pair], return_inverse=True)
-                    first, second = x.known[at // len(x.known)], x.known[at % len(x.known)]
-                    home, key = lex.bucket(first, second), pair_keys(first, second)
-                few, rest = few_and_rest(context, len(key), sums, n, k)
-                out = [(b, squeeze(key[o]), sums_blob(few[:, o], rest[o])) for b, o in slices(home, lex.buckets, key)]
-                if out:
-                    b, keys, blobs = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "keys", "counts"])
+        for keys, counts in _rows(batches, "keys", "counts"):
+            x = Bucket.of(keys, counts)
+            if order == 2:
+                # all bigrams of a word are here, but for those of split words
+                hot = _lookup(lex.hot, lex.counts, x.words)
+                n = np.where(hot > 0, hot, np.bincount(x.word, x.count, len(x.words)).astype(np.int64))[x.word]
+                key, context = np.unique(x.known[x.context], return_inverse=True)
+                bucket, sums = home(key, lex.buckets), x.count
+            else:
+                mine = (lex.bucket(x.known, x.before, x.context[x.pair]) % shares == share) & (x.known[x.context] != START)[x.pair]
+                pair, sums = x.pair[mine], x.threes[mine]
+                n = x.count[pair]
+                at, context = np.unique(x.before[mine] * len(x.known) + x.context[pair], return_inverse=True)
+                first, second = at // len(x.known), at % len(x.known)
+                bucket, key = lex.bucket(x.known, first, second), pair_keys(x.known[first], x.known[second])
+            few, rest = few_and_rest(context, len(key), sums, n, k)
+            out = [(b, squeeze(key[o]), sums_blob(few[:, o], rest[o])) for b, o in slices(bucket, lex.buckets, key)]
+            if out:
+                b, keys, blobs = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "keys", "counts"])
 
     return pairs.select("keys", "counts").mapInArrow(run, "bucket int, keys binary, counts binary")
 
@@ -431,25 +528,25 @@ def context_answers(table: DataFrame, sums: DataFrame, d2: np.ndarray, d3: np.nd
     return sums.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(answer, _PART)
 
 
-def word_table(unigrams: DataFrame, sums: DataFrame, lexicon, d: np.ndarray, documents: int, k: int) -> DataFrame:
-    """By bucket, each word's count and, as a context, the log10 factors of the words seen and not seen after it."""
-    buckets = lexicon.value.buckets
+def word_table(numbered: DataFrame, sums: DataFrame, lexicon, d: np.ndarray, documents: int, k: int) -> DataFrame:
+    """By bucket, each word's log10 factors, as a context, of the words seen and not seen after it."""
 
     def finish(group, words: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         lex: Lexicon = lexicon.value
-        own, blobs = words["word"].to_numpy(np.int64).view(U), [expand(x) for x in parts["keys"]]
+        counts = np.frombuffer(zstandard.decompress(words["counts"].iloc[0]), "<i8") if len(words) else np.zeros(0, np.int64)
+        own, blobs = (np.arange(len(counts), dtype=U) + U(2)) * U(lex.buckets) + U(group[0]), [expand(x) for x in parts["keys"]]
         keys = np.unique(np.concatenate([own, *blobs]))
         n = np.zeros(len(keys), np.int64)
-        n[np.searchsorted(keys, own)] = words["n"].to_numpy(np.int64)
+        n[np.searchsorted(keys, own)] = counts
         few, rest = add_sums(keys, zip(blobs, parts["counts"], strict=True), k)
         r = np.arange(1, k + 1)
         lower = weighted(lex.unigram(r), few[k:]) + lex.scale / max(lex.total, 1) * rest
-        times = np.where(keys == START, documents, np.where(keys == END, 0, n))
+        times = np.where(keys == START, documents, n)
         seen, back = factors(times, times - weighted((1 - d[1:]) * r, few[:k]), lower)
-        return pd.DataFrame([(1, group[0], None, squeeze(keys), zstandard.compress(n.astype("<i8").tobytes() + seen.tobytes() + back.tobytes(), 3), [])], columns=["order", "bucket", "chunk", "keys", "counts", "n"]).astype({"chunk": "Int64"})
+        return pd.DataFrame([(group[0], squeeze(keys), zstandard.compress(seen.tobytes() + back.tobytes(), 3))], columns=["bucket", "keys", "counts"])
 
-    own = unigrams.withColumn("bucket", F.pmod("word", F.lit(buckets)).cast("int")).groupBy("bucket")
-    return own.cogroup(sums.groupBy("bucket")).applyInPandas(finish, TABLE)
+    words = numbered.where(F.col("chunk").isNull()).select("bucket", "counts")
+    return words.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInPandas(finish, "bucket int, keys binary, counts binary")
 
 
 #: What meets in a group of documents: kind 0 its tokens, kind 1 what is known of the words of one bucket, kind 2 the counts of its n-grams of one bucket,
@@ -457,35 +554,17 @@ def word_table(unigrams: DataFrame, sums: DataFrame, lexicon, d: np.ndarray, doc
 _PART = "chunk long, bucket int, kind int, blob binary"
 
 
-def _requests(base: DataFrame, lexicon) -> DataFrame:
+def _requests(tokens: DataFrame, lexicon) -> DataFrame:
     """(bucket, chunk, keys): the words of each group of documents, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        for chunk, _, _, _, own, _ in _groups(batches):
-            b, keys = zip(*[(b, squeeze(own[o])) for b, o in slices(lex.home(own), lex.buckets)], strict=True)
+        for chunk, blob in _rows(batches, "chunk", "blob"):
+            own = expand(list(_unpack(blob))[1])
+            b, keys = zip(*[(b, squeeze(own[o])) for b, o in slices(home(own, lex.buckets), lex.buckets)], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(keys, pa.binary())], names=["bucket", "chunk", "keys"])
 
-    return base.mapInArrow(run, "bucket int, chunk long, keys binary")
-
-
-def _tokens(base: DataFrame) -> DataFrame:
-    """Rows of kind 0: the documents' keys and lengths, and their tokens as places among the group's sorted words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, batch, words, row, _, ids in _groups(batches):
-            rows = words.last - words.first
-            known = pa.RecordBatch.from_arrays(
-                [batch.column("key").slice(words.first, rows), batch.column("held_out").slice(words.first, rows), pa.array(np.bincount(row, minlength=rows))],
-                names=["key", "held_out", "n_tokens"],
-            )
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, known.schema) as writer:
-                writer.write_batch(known)
-            blob = _pack(zstandard.compress(sink.getvalue().to_pybytes(), 3), planes(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "bucket", "kind", "blob"])
-
-    return base.mapInArrow(run, _PART)
+    return tokens.select("chunk", "blob").mapInArrow(run, "bucket int, chunk long, keys binary")
 
 
 def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -514,27 +593,27 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text_col: str = "text"
 
 
 def _score(base: DataFrame, k: int, bucket_tokens: int, order: int, shares: int) -> DataFrame:
-    train = base.where(~F.col("held_out"))
-    unigrams = cut(count_unigrams(train))
     size = base.agg(F.count("*").alias("docs"), F.count_if(~F.col("held_out")).alias("train"), F.sum(F.octet_length("text")).alias("bytes")).first()
     # about six bytes a token: only the number of buckets depends on this
-    lex = build_lexicon(unigrams, k, bucket_tokens, (size["bytes"] or 0) // 6 + size["docs"])
-    lexicon = base.sparkSession.sparkContext.broadcast(lex)
+    buckets = max(1, -(-((size["bytes"] or 0) // 6 + size["docs"]) // bucket_tokens))
     base = base.withColumn("part", F.spark_partition_id())
+    numbered = cut(number_words(base, buckets, k, bucket_tokens))
+    lexicon = base.sparkSession.sparkContext.broadcast(build_lexicon(numbered, k, bucket_tokens, buckets))
+    tokens = cut(token_table(base, numbered, buckets))
     each = lambda shares, step: reduce(DataFrame.unionByName, [cut(step(share)) for share in range(shares)])
-    table = each(shares, lambda share: count_ngrams(base, lexicon, k, order, shares, share))
+    table = each(shares, lambda share: count_ngrams(tokens, lexicon, k, order, shares, share))
     shares *= 2  # the table lies on the disk by now
     pairs, counted = table.where(F.col("order") == 2), table.where(F.col("order") == 0)
-    n = [int(x or 0) for x in pairs.select(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(2 * k + 2)]).first()]
+    n = sums_of(pairs, 2 * k + 2)
     d, d3 = discounts(n[: k + 1]), discounts(n[k + 1 :])
-    words = cut(word_table(unigrams, context_sums(pairs, lexicon, k, 2), lexicon, d, size["train"], k))
+    words = cut(word_table(numbered, context_sums(pairs, lexicon, k, 2), lexicon, d, size["train"], k))
     known = counted.select("chunk", "bucket", F.lit(2).alias("kind"), F.col("counts").alias("blob"))
     if order > 2:
         known = known.unionByName(each(shares, lambda share: context_answers(table.where(F.col("bucket") % shares == share), context_sums(pairs, lexicon, k, 3, shares, share), d, d3, k)))
 
     def answer(group, requests: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         known, raw = (expand(rows["keys"].iloc[0]), zstandard.decompress(rows["counts"].iloc[0])) if len(rows) else (np.zeros(0, U), b"")
-        columns = [np.frombuffer(raw, kind, len(known), 8 * i * len(known)) for i, kind in enumerate(("<i8", "<f8", "<f8"))]
+        columns = [np.frombuffer(raw, kind, len(known), 8 * i * len(known)) for i, kind in enumerate(("<f8", "<f8"))]
         out = []
         for chunk, blob in zip(requests["chunk"], requests["keys"], strict=True):
             keys = expand(blob)
@@ -549,14 +628,12 @@ def _score(base: DataFrame, k: int, bucket_tokens: int, order: int, shares: int)
         for b, kind, blob in zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
             parts.setdefault(kind, {})[b] = blob
         if not parts.keys() >= {0, 1, *range(2, order + 1)}:
-            raise ValueError("the documents came in other groups the second time: they are no stable input")
-        known, ids = _unpack(parts[0][0])
-        known, ids = pa.ipc.open_stream(zstandard.decompress(known)).read_all().combine_chunks(), unplanes(ids)
-        own, n, seen, back = map(np.concatenate, zip(*((expand(keys), decoded(n, "<i8"), decoded(seen, "<f8"), decoded(back, "<f8")) for keys, n, seen, back in map(_unpack, parts[1].values())), strict=True))
-        at = np.argsort(own)
-        own, n, seen, back = own[at], n[at], seen[at], back[at]
-        rows = len(known)
-        row = np.repeat(np.arange(rows), known.column(2).to_numpy())
+            raise ValueError("a group of documents lacks a part")
+        x = Group.of(parts[0][0])
+        known, row, own, n, ids, rows = x.docs, x.row, x.own, x.n, x.ids, len(x.docs)
+        words, seen, back = map(np.concatenate, zip(*((expand(keys), decoded(seen, "<f8"), decoded(back, "<f8")) for keys, seen, back in map(_unpack, parts[1].values())), strict=True))
+        at = np.argsort(words)
+        seen, back = seen[at], back[at]
         _, context, word, inverse = _distinct(own, ids, row, order)
         c, pair, two, taken, lower, pairs = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), [], [], [], 0
         for b, at in _places(lex, own, context, word):
@@ -585,9 +662,9 @@ def _score(base: DataFrame, k: int, bucket_tokens: int, order: int, shares: int)
         return pa.Table.from_arrays(columns, names=schema.names)
 
     def scored(share: int) -> DataFrame:
-        docs = base.where(F.col("part") % shares == share)
+        docs = tokens.where(F.shiftright("chunk", 32) % shares == share)
         answers = _requests(docs, lexicon).groupBy("bucket").cogroup(words.select("bucket", "keys", "counts").groupBy("bucket")).applyInPandas(answer, _PART)
-        parts = _tokens(docs).unionByName(answers).unionByName(known.where(F.shiftright("chunk", 32) % shares == share))
+        parts = docs.select("chunk", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), "blob").unionByName(answers).unionByName(known.where(F.shiftright("chunk", 32) % shares == share))
         return parts.groupBy("chunk").applyInArrow(total, schema)
 
     return each(shares, scored)

@@ -37,6 +37,9 @@ def _byte_values(lower: bool) -> np.ndarray:
     return values
 
 
+#: A-Z as a-z.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _VALUES = {False: _byte_values(False), True: _byte_values(True)}
 
 
@@ -67,16 +70,43 @@ def text_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def word_keys(texts, lower: bool = True, chunk_bytes: int = 4 << 20) -> Iterator[Words]:
+def polynomial(part: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Keys of the words that lie from ``start`` to ``end`` in ``part``, by all their bytes."""
+    if not len(start):
+        return np.zeros(0, U)
+    longest, base = int((end - start).max()), int(start[0])
+    powers = np.cumprod(np.full(longest, _BASE))
+    place = np.arange(base, len(part), dtype=np.int64) - np.repeat(start, np.diff(np.append(start, len(part))))
+    place[place >= longest] = 0  # spaces, whose value is 0
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(_VALUES[lower][part[base:]] * powers[place], start - base))
+
+
+def by_eights(part: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Keys of the same words, other ones than ``polynomial`` gives: from the length on, eight bytes at a time, so it takes a quarter of the time."""
+    data = np.zeros(len(part) + 8, np.uint8)
+    data[: len(part)] = _FOLD[part] if lower else part
+    eights = np.ndarray((len(part) + 1,), "<u8", data, strides=(1,))
+    left = end - start
+    key, todo = left.astype(U), np.arange(len(start))
+    with np.errstate(over="ignore"):
+        while len(todo):
+            known = eights[start] & (U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)).astype(U) * U(8)))
+            key[todo] = mix(known ^ (key[todo] * _BASE))
+            more = np.flatnonzero(left > 8)
+            todo, start, left = todo[more], start[more] + 8, left[more] - 8
+    return key
+
+
+def word_keys(texts, lower: bool = True, chunk_bytes: int = 4 << 20, hashed=polynomial) -> Iterator[Words]:
     """Words of a string column, some rows at a time so that temporaries stay near ``chunk_bytes`` (one row is never split)."""
     offsets, data = text_buffers(texts)
-    rows, first, longest = len(offsets) - 1, 0, 64
-    powers = np.cumprod(np.full(longest, _BASE))
+    rows, first = len(offsets) - 1, 0
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + chunk_bytes, "right")) - 1)
         bounds = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
-        blank = _SPACE[part]
+        blank = (part == 0x20) | ((part >= 0x09) & (part <= 0x0D))
         cuts = np.zeros(len(part) + 1, bool)
         cuts[bounds] = True  # a row's end ends its last word
         before = np.ones(len(part), bool)
@@ -85,20 +115,8 @@ def word_keys(texts, lower: bool = True, chunk_bytes: int = 4 << 20) -> Iterator
         after = np.ones(len(part), bool)
         after[:-1] = blank[1:]
         end = np.flatnonzero(~blank & (after | cuts[1:])) + 1
-        row = np.searchsorted(bounds, start, "right") - 1
-        if len(start):
-            lengths = end - start
-            if lengths.max() > longest:
-                longest = int(lengths.max())
-                powers = np.cumprod(np.full(longest, _BASE))
-            base = int(start[0])
-            place = np.arange(base, len(part), dtype=np.int64) - np.repeat(start, np.diff(np.append(start, len(part))))
-            place[place >= longest] = 0  # spaces, whose value is 0
-            with np.errstate(over="ignore"):
-                key = mix(np.add.reduceat(_VALUES[lower][part[base:]] * powers[place], start - base))
-        else:
-            key = np.zeros(0, U)
-        yield Words(first, last, row + first, key, start, end, part)
+        row = np.repeat(np.arange(first, last), np.diff(np.searchsorted(start, bounds)))
+        yield Words(first, last, row, hashed(part, start, end, lower), start, end, part)
         first = last
 
 

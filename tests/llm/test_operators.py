@@ -7,11 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontam, katz, near_dup, packing, pii, quality, queries, secret_scan, sharding, suffix_dedup, url_filter
 from siftwell.llm.common import table
+from siftwell.llm.words import by_eights, word_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -513,6 +515,45 @@ def test_op6_trigrams_of_frequent_words_in_many_buckets_and_shares(spark):
         assert {r["doc_id"]: r["score"] for r in found} == pytest.approx({i: score(ws) for i, ws in tokens.items()}, rel=1e-9)
 
 
+def test_op6_words_are_numbered_without_gaps_and_groups_of_documents_come_back(spark):
+    rng = random.Random(5)
+    texts = [None, "", *(" ".join(rng.choice(["the", "Straße", "of"]) + str(rng.randrange(40)) * rng.randrange(1, 9) for _ in range(rng.randrange(60))) for _ in range(60))]
+    base = spark.createDataFrame([(i, t, i % 7 == 0) for i, t in enumerate(texts)], "key long, text string, held_out boolean").repartition(3).sortWithinPartitions("key").localCheckpoint()
+    base = base.withColumn("part", F.spark_partition_id())
+    buckets, tokens = 4, {i: [*(w.translate(UPPER) for w in WORD.findall(t or "")), "\n"] for i, t in enumerate(texts)}
+    numbered = katz.number_words(base, buckets, 5, 64).localCheckpoint()
+    n = Counter(w for i, ws in tokens.items() if i % 7 for w in ws)
+    lex = katz.build_lexicon(numbered, 5, 64, buckets)
+    assert (lex.total, lex.distinct, lex.counts.tolist().count(n["\n"])) == (n.total(), len(n), int(2 * n["\n"] > 64))
+    assert sorted(lex.counts.tolist()) == sorted(c for c in n.values() if 2 * c > 64)
+    words, found = {}, {}
+    for row in katz.token_table(base, numbered, buckets).collect():
+        x = katz.Group.of(row["blob"])
+        assert x.own[0] == katz.START and (x.own[1:] > x.own[:-1]).all()
+        assert len(katz.squeeze(x.own)) < 4 * len(x.own)  # sorted hashes take more than six bytes each
+        for k, i in enumerate(x.docs.column("key").to_pylist()):
+            ids = x.ids[x.row == k]
+            found[i] = len(ids)
+            assert len(ids) == len(tokens[i])
+            for w, number, count in zip(tokens[i], x.own[ids].tolist(), x.n[ids].tolist(), strict=True):
+                assert words.setdefault(w, number) == number and count == n[w]
+    assert found == {i: len(ws) for i, ws in tokens.items()}
+    assert len(set(words.values())) == len(words) and words.pop("\n") == katz.LAST
+    by = {b: sorted(v // buckets for v in words.values() if v % buckets == b) for b in range(buckets)}
+    # one number of the end token's bucket is left out
+    assert sum(x[-1] - 1 - len(x) for x in by.values() if x) in (0, 1) and all(x[0] >= 2 for x in by.values() if x)
+
+
+def test_words_have_equal_keys_by_eights_where_their_bytes_are_equal():
+    texts = ["", None, "  ", "a" * 100 + " b", "A b\x0bC\n", "é É", " ".join("x" * k for k in (7, 8, 9, 15, 16, 17)) * 2, "\0 \0\0", "end END end"]
+    for chunk_bytes in (8, 1 << 20):
+        seen = {}
+        for words in word_keys(pa.array(texts), chunk_bytes=chunk_bytes, hashed=by_eights):
+            for key, start, end in zip(words.key.tolist(), words.start, words.end, strict=True):
+                assert seen.setdefault(words.data[start:end].tobytes().lower(), key) == key
+        assert len(set(seen.values())) == len(seen) == len({w.translate(UPPER) for t in texts for w in WORD.findall(t or "")})
+
+
 def jaccard_components(texts, n, percent):
     sets = {}
     for i, t in texts.items():
