@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 #: Words and runs of symbols: junk differs from prose mostly in its symbols and its letter case.
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
+#: Runs are possessive: nothing follows them, and the matcher keeps no places to go back to.
+TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N}\x20\x09-\x0D]++"
 
 #: Letters of a word that its stem keeps, so that inflected forms share a bucket.
 STEM = 5
@@ -63,9 +64,9 @@ def token_hashes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
 
 
-def bigram_hash(hashes: Column, h: Column, i: Column) -> Column:
-    """Of the bigram at place ``i`` of ``hashes``; the last token's has the end in it: past the end is null, which the hash passes over."""
-    return F.xxhash64(h, F.get(hashes, i + 1))
+def with_next(items: Column, body) -> Column:
+    """``body`` of each item and the next one, which is null after the last."""
+    return F.zip_with(items, rest_from(items, 2), body)
 
 
 def stem_bucket(token: Column, buckets: int) -> Column:
@@ -79,7 +80,8 @@ def hashed_ngrams(toks: Column, buckets: int) -> Column:
 
     def grams(hashes: Column) -> Column:
         single = F.transform(hashes, lambda h: h.bitwiseAND(mask))
-        return F.concat(single, F.transform(hashes, lambda h, i: bigram_hash(hashes, h, i).bitwiseAND(mask)))
+        # the last token's bigram has the end in it: a null, which the hash passes over
+        return F.concat(single, with_next(hashes, lambda h, g: F.xxhash64(h, g).bitwiseAND(mask)))
 
     return bound(token_hashes(toks), grams)
 
@@ -238,7 +240,7 @@ def judge(
     def both(hashes: Column) -> Column:
         """Weight of each token and its bigram."""
         mask = F.lit(buckets - 1)
-        return F.transform(hashes, lambda h, i: of(h.bitwiseAND(mask)) + of(bigram_hash(hashes, h, i).bitwiseAND(mask)))
+        return with_next(hashes, lambda h, g: of(h.bitwiseAND(mask)) + of(F.xxhash64(h, g).bitwiseAND(mask)))
 
     def scores(toks: Column) -> Column:
         n = F.size(toks)
